@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, ogg, tokenfile, toxicity, warc
+from . import bpe, decontam, langid, lines, ogg, tokenfile, toxicity, warc
 
 
 def queries():
     return {
         "op2_token_file": tokenfile.op2_token_file,
+        "op3_decontamination": decontam.op3_decontamination,
+        "op4_line_dedup": lines.op4_line_dedup,
         "op5_ogg_media": ogg.op5_ogg_media,
         "op6_bpe": bpe.op6_bpe,
         "op8_warc_revisits": warc.op8_warc_revisits,
@@ -17,4 +19,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op4_line_dedup": lines.OP4_SQL}
