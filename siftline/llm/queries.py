@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, lines, ogg, tokenfile, toxicity, warc
+import corpus_pipeline
+
+from . import bpe, decontam, langid, lines, lmscore, ogg, setjoin, tokenfile, toxicity, warc
 
 
 def queries():
     return {
+        "op1_ngram_jaccard": setjoin.op1_ngram_jaccard,
         "op2_token_file": tokenfile.op2_token_file,
         "op3_decontamination": decontam.op3_decontamination,
         "op4_line_dedup": lines.op4_line_dedup,
         "op5_ogg_media": ogg.op5_ogg_media,
         "op6_bpe": bpe.op6_bpe,
+        "op7_lm_scoring": lmscore.op7_lm_scoring,
         "op8_warc_revisits": warc.op8_warc_revisits,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_language_id": langid.op10_language_id,
+        "pipeline": corpus_pipeline.run,
     }
 
 
