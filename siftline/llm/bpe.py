@@ -21,11 +21,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunkwords import Encoder
+from .chunkwords import Encoder, Memory
 from .shared import by_batch, table
 
 #: Distinct pieces that one recursive query takes, and the sum of their squared lengths, which bounds the rows of all rounds.
 PIECES, SQUARES = 20_000, 6_000_000
+#: Pieces that a worker remembers (twice as many at most), and how long they may be.
+MEMORY, SHORT = 200_000, 48
 #: From so many bytes on a piece is merged outside the query.
 LONG = 512
 #: Ids that one decoding query takes, but for a longer text, which goes alone.
@@ -61,6 +63,7 @@ class Bpe:
 
         self.ranks = {base64.b64decode(t): int(r) for t, r in (x.split() for x in ranks.splitlines() if x.strip())}
         self.pattern = regex.compile(pattern)
+        self.pieces = Memory(MEMORY)
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(self.ranks[t[:i]] * 65536 + self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
@@ -70,13 +73,13 @@ class Bpe:
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of pieces of at least one byte. A piece that is a token as a whole is that token, as in the public encoders."""
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids (little-endian, 32 bits) of pieces of at least one byte. A piece that is a token as a whole is that token, as in the public encoders."""
         out: list = [None] * len(pieces)
         open_, long_ = [], []
         for i, p in enumerate(pieces):
             if p in self.ranks:
-                out[i] = np.array([self.ranks[p]], "<u4")
+                out[i] = self.ranks[p].to_bytes(4, "little")
             else:
                 (open_ if len(p) < LONG else long_).append(i)
         runs, squares = [], SQUARES
@@ -91,14 +94,14 @@ class Bpe:
             off = np.cumsum([0, *(len(pieces[i]) for i in run)]).astype(np.int32)
             self.db.register("pieces", pa.table({"piece": pa.array(np.arange(len(run), dtype=np.int32)), "ids": pa.ListArray.from_arrays(pa.array(off), pa.array(self.byte[data]))}))
             found = self.db.sql(ENCODE).to_arrow_table()["ids"].combine_chunks()
-            flat, at = found.values.to_numpy().astype("<u4"), found.offsets.to_numpy()
+            flat, at = found.values.to_numpy().astype("<u4").tobytes(), (found.offsets.to_numpy() * 4).tolist()
             for k, i in enumerate(run):
                 out[i] = flat[at[k] : at[k + 1]]
         for i in long_:
             out[i] = self._long(pieces[i])
         return out
 
-    def _long(self, piece: bytes) -> np.ndarray:
+    def _long(self, piece: bytes) -> bytes:
         """A very long piece, by the same rule one pair after the other: a heap of (rank, position) finds the next pair, as the query's lists would be copied too often."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
@@ -116,16 +119,21 @@ class Bpe:
                     heapq.heappush(heap, (self.ranks[near], i, near))
             if before[i] >= 0 and (near := parts[before[i]] + k) in self.ranks:
                 heapq.heappush(heap, (self.ranks[near], before[i], near))
-        return np.array([self.ranks[p] for p in parts if p is not None], "<u4")
+        return np.array([self.ranks[p] for p in parts if p is not None], "<u4").tobytes()
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         split = [self.pattern.findall(c) for c in chunks]
-        index: dict[str, int] = {}
+        known, memory = {}, self.pieces
         for own in split:
             for p in own:
-                index.setdefault(p, len(index))
-        ids = [x.tobytes() for x in self.merge([p.encode("utf-8", "surrogatepass") for p in index])]
-        return [ids[index[own[0]]] if len(own) == 1 else b"".join([ids[index[p]] for p in own]) for own in split]
+                if p not in known:
+                    known[p] = memory.young.get(p) or memory.get(p)
+        new = [p for p, x in known.items() if x is None]
+        for p, x in zip(new, self.merge([p.encode("utf-8", "surrogatepass") for p in new]), strict=True):
+            known[p] = x
+            if len(p) <= SHORT:
+                memory.put(p, x)
+        return [known[own[0]] if len(own) == 1 else b"".join([known[p] for p in own]) for own in split]
 
     def decode(self, texts: list[np.ndarray]) -> list[bytes]:
         """The bytes of each id list; an unknown id raises KeyError."""

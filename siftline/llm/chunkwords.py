@@ -4,7 +4,8 @@ The pre-tokenizing pattern of byte-level BPE never matches across a space that a
 non-space character follows: white space before it ends its own match, and the
 space joins what follows. So a text may be cut before each such space, the
 chunks encoded on their own and their ids joined, with the same result. Chunks
-repeat a lot, so each worker remembers the ids of up to MEMORY of them.
+repeat a lot (a comma or full stop behind a letter is always a match of its own
+and is looked up apart), so each worker remembers the ids of up to twice MEMORY of them.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-MEMORY = 300_000
+MEMORY = 400_000
 #: Longer chunks are encoded each time and not remembered.
 LONG = 64
 _CUT = re.compile(r" (?=\S)")
@@ -25,11 +26,30 @@ def cut(text: str) -> list[str]:
     return _CUT.split(text) if _ODD.search(text) else text.split(" ")
 
 
+class Memory:
+    """A bounded dictionary of two generations: when the young one is full it becomes the old one, and what is met again moves over."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        """What the old generation knows; the young one is asked directly."""
+        found = self.old.get(key)
+        if found is not None:
+            self.young[key] = found
+        return found
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class Encoder:
     """encode_chunks gives the ids of each of many chunks, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]]):
-        self.encode_chunks, self.known = encode_chunks, {}
+        self.encode_chunks, self.memory, self.marks = encode_chunks, Memory(MEMORY), {}
 
     @staticmethod
     def of(name: str, make: Callable[[], Encoder]) -> Encoder:
@@ -41,16 +61,46 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
-        known = self.known
-        rows = [cut(t) if t else [] for t in texts]
-        heads = {r[0] for r in rows if r}
-        new = {" " + c for r in rows for c in r[1:] if c not in known}
-        fresh = [*heads, *new]
+        memory, rows, missing = self.memory, [], {}
+        for text in texts:
+            if not text:
+                rows.append(None)
+                continue
+            head, *rest = cut(text)
+            got = list(map(memory.young.get, rest))
+            holes = []
+            if None in got:
+                for i, x in enumerate(got):
+                    if x is None:
+                        c = rest[i]
+                        got[i] = memory.get(c)
+                        if got[i] is None:
+                            mark = c[-1:] if c[-1:] in (",", ".") and c[-2:-1].isalpha() else ""
+                            c = c[:-1] if mark else c
+                            known = memory.young.get(c) or memory.get(c) if mark else None
+                            if known is not None and mark in self.marks:
+                                got[i] = known + self.marks[mark]
+                            else:
+                                missing[" " + c] = None
+                                if mark:
+                                    missing[mark] = None
+                                holes.append((i, " " + c, mark))
+            missing[head] = None
+            rows.append((head, got, holes))
+        fresh = list(missing)
         ids = dict(zip(fresh, self.encode_chunks(fresh), strict=True)) if fresh else {}
-        if len(known) + len(new) > MEMORY:
-            known.clear()
-            new = {" " + c for r in rows for c in r[1:]}
-            missing = [c for c in new if c not in ids]
-            ids.update(zip(missing, self.encode_chunks(missing), strict=True))
-        known.update((c[1:], ids[c]) for c in new if len(c) <= LONG)
-        return [b"".join([ids[r[0]], *(known[c] if c in known else ids[" " + c] for c in r[1:])]) if r else b"" for r in rows]
+        out = []
+        for row in rows:
+            if row is None:
+                out.append(b"")
+                continue
+            head, got, holes = row
+            for i, c, mark in holes:
+                got[i] = ids[c] + ids[mark] if mark else ids[c]
+            out.append(ids[head] + b"".join(got))
+        for c, x in ids.items():
+            if c[:1] == " " and len(c) <= LONG:
+                memory.put(c[1:], x)
+            elif c in (",", "."):
+                self.marks[c] = x
+        return out

@@ -10,8 +10,10 @@ block. Block starts let a reader unpack any run of ids without the rest.
 
 from __future__ import annotations
 
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from struct import Struct
 
@@ -169,6 +171,13 @@ def read_shards(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rows.join(starts, ["part", "shard"]).select(id_col, (F.col("local") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def _le(ids: list[int]) -> bytes:
+    own = array("I", ids)
+    if sys.byteorder == "big":
+        own.byteswap()
+    return own.tobytes()
+
+
 def library_encoder(path: str) -> Callable[[], Encoder]:
     """An encoder of the tokenizers library's file at path, whose bytes travel with the job. No special tokens are added or recognised."""
     with open(path, encoding="utf-8") as f:
@@ -179,7 +188,7 @@ def library_encoder(path: str) -> Callable[[], Encoder]:
 
         own = Tokenizer.from_str(spec)
         own.encode_special_tokens = True
-        return Encoder(lambda pieces: [np.array(x.ids, "<u4").tobytes() for x in own.encode_batch_fast(pieces, add_special_tokens=False)])
+        return Encoder(lambda pieces: [_le(x.ids) for x in own.encode_batch_fast(pieces, add_special_tokens=False)])
 
     return make
 
