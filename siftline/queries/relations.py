@@ -11,6 +11,7 @@ from siftline.operators import search as S
 from siftline.operators import sieve as C
 from siftline.operators import state as Z
 from siftline.operators import tfidf as V
+from siftline.plans.storage import saver
 from siftline.queries.mining import _TAGS, counts, n_docs, vectors
 from siftline.registry import query
 from siftline.sources import web
@@ -380,10 +381,5 @@ def similar_chunks(spark, sf_dir):
 
 @query()
 def near_duplicates(spark, sf_dir):
-    rows = chunk_shingles(spark, sf_dir)
-    save = lambda df: df.checkpoint()
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftline-"))
+    rows, save = chunk_shingles(spark, sf_dir), saver(spark)
     return C.near_duplicates(rows, save(C.similar_pairs(rows, 0.88)), save)
