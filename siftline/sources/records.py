@@ -83,7 +83,7 @@ def scan_files(spark: SparkSession, root: str, suffixes: tuple[str, ...], skip:
     end = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     inside = reduce(lambda a, b: a & b, [~F.contains("path", F.lit(f"/{s}/")) for s in skip], F.lit(True))
     rows = files.withColumn("suffix", end).filter(F.col("suffix").isin(*suffixes) & inside)
-    return rows.select("path", F.col("length").alias("bytes"), "suffix", F.sha2("content", 256).alias("sha256"), F.when(F.col("length") <= most_bytes, F.decode("content", F.lit("utf-8"))).alias("text"))
+    return rows.select("path", F.col("length").alias("bytes"), "suffix", F.sha2("content", 256).alias("sha256"), F.when(F.col("length") <= most_bytes, F.decode("content", "utf-8")).alias("text"))
 
 
 def verify_pinned(found: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -7,9 +7,10 @@ import html
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """HTML entities as characters."""
     return text.map(html.unescape, na_action="ignore")
@@ -114,7 +115,7 @@ def fits_cards(files: DataFrame) -> DataFrame:
 
 def observed_date(text: Column) -> Column:
     """A date from ISO, day/month/year or slashed forms, in that order; two-digit years are of the twentieth century."""
-    tries = [F.try_to_date(F.substring(text, 1, 10), F.lit("yyyy-MM-dd")), F.try_to_date(text, F.lit("dd/MM/yyyy")), F.try_to_date(text, F.lit("yyyy/MM/dd")), F.try_to_date(text, F.lit("dd/MM/yy"))]
+    tries = [F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"), F.try_to_date(text, "dd/MM/yyyy"), F.try_to_date(text, "yyyy/MM/dd"), F.try_to_date(text, "dd/MM/yy")]
     found = F.coalesce(*tries)
     short = text.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$")
     return F.when(short & (F.year(found) >= 2000), F.add_months(found, -1200)).otherwise(found)
