@@ -68,3 +68,19 @@ def exact_permutation(values: DataFrame, n: int, k: int) -> DataFrame:
     sums = masks.crossJoin(F.broadcast(values)).groupBy("id").agg(F.sum(F.when(F.expr("(id >> pos) & 1 = 1"), F.col("value")).otherwise(0)).alias("s"))
     own = values.filter("first").agg(F.sum("value").alias("own"))
     return sums.crossJoin(F.broadcast(own)).agg(F.count(F.lit(1)).alias("assignments"), F.avg((F.col("s") >= F.col("own") - 1e-12).cast("int")).alias("p"))
+
+
+def evaluate_cohort(days: DataFrame, exposed: DataFrame, outcomes: list[str], opportunity: str) -> DataFrame:
+    """(outcome, eo, en, uo, un, ratio) of several outcomes in one pass over the days."""
+    long = days.select("day", opportunity, F.explode(F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(o).cast("double").alias("v")) for o in outcomes])).alias("x")).select("day", opportunity, "x.outcome", "x.v")
+    hit = F.col("e").isNotNull()
+    both = long.join(exposed.withColumn("e", F.lit(1)), "day", "left").groupBy("outcome")
+    sums = both.agg(*[F.coalesce(F.sum(F.when(c, F.col(v))), F.lit(0.0)).alias(a) for a, c, v in (("eo", hit, "v"), ("en", hit, opportunity), ("uo", ~hit, "v"), ("un", ~hit, opportunity))])
+    return sums.withColumn("ratio", F.when((F.col("en") <= 0) | (F.col("un") <= 0), None).when(F.col("uo") == 0, F.lit(float("inf"))).otherwise(F.col("eo") / F.col("en") / (F.col("uo") / F.col("un"))))
+
+
+def harmonize(rows: DataFrame, cohort: str) -> DataFrame:
+    """Rows on dates that every cohort has. rows: (date, cohort column, ...)."""
+    k = rows.agg(F.countDistinct(cohort).alias("k"))
+    common = rows.groupBy("date").agg(F.countDistinct(cohort).alias("c")).crossJoin(F.broadcast(k)).filter("c = k").select("date")
+    return rows.join(common, "date", "left_semi")

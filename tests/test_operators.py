@@ -244,3 +244,28 @@ def test_streams(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert spark.read.parquet(corpus).count() == 1
+
+
+def test_places_and_pairs(spark):
+    from siftline.functions import geo, pairs
+
+    one = spark.range(1)
+    lit = F.lit
+    assert one.select(geo.great_circle_km(lit(0.0), lit(0.0), lit(0.0), lit(180.0))).first()[0] == pytest.approx(20015.1, abs=0.1)
+    assert one.select(geo.wrap_lon(lit(190.0))).first()[0] == -170
+    r = geo.cap_null(spark, 10.0, 20.0, 2000.0, 40_000, 3).first()
+    assert abs(r.p - r.analytic) < 5 * r.se
+    assert geo.digest_null(spark, 500).agg(F.sum("n")).first()[0] == 500
+    got = one.select(pairs.longest_common_substring(lit("xabcy"), lit("zabcw")).alias("s"), pairs.sequence_ratio(lit("abcd"), lit("abce")).alias("r"), pairs.title_similarity(lit("A b"), lit("a b")).alias("t")).first()
+    assert (got.s, got.r) == ("abc", 0.75) and 0 < got.t <= 1
+
+
+def test_file_helpers(spark):
+    from siftline.operators import files
+
+    df = spark.createDataFrame([("on:\n  schedule:\n  push:\n", '{"title": "T", "n": 1}'), ("x", "no json")], "w string, j string")
+    got = df.select(*[c.alias(k) for k, c in files.workflow_flags(F.col("w")).items()], files.declared_metadata(F.col("j"), ["title", "author"]).alias("m")).collect()
+    assert (got[0].has_schedule, got[0].has_dispatch, got[0].has_push, got[0].m) == (True, False, True, {"title": "T"}) and got[1].m is None
+    nodes = spark.createDataFrame([("a",), ("b",)], "id string")
+    packed = files.pack(nodes, spark.createDataFrame([("a", "time", "PARTIAL")], "subject string, facet string, status string"), spark.createDataFrame([("b", 0.5)], "node string, score double"))
+    assert {(r.id, r.score, bool(r.facets)) for r in packed.collect()} == {("a", None, True), ("b", 0.5, False)}
