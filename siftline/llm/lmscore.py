@@ -61,8 +61,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _marked(docs: DataFrame, target: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, target). The ids grow with the corpus, so both sides are sorted and merged at every size."""
     ids = target.select(F.col(id_col).alias("id")).filter("id is not null").distinct().withColumn("hit", F.lit(True))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids.hint("merge"), "id", "left")
     return rows.select("id", "text", F.coalesce("hit", F.lit(False)).alias("target"))
 
 
@@ -88,7 +89,8 @@ def _own(doc: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:
 
 def _losses(model: dict, doc: np.ndarray, w: np.ndarray, prev: np.ndarray, pair: np.ndarray, n: np.ndarray, learned: np.ndarray) -> dict:
     """Loss of each token under both models, without its own document's counts."""
-    own = {k: _own(doc, at, most) for k, at, most in (("w", w, VOCABULARY + 1), ("prev", prev, VOCABULARY + 1), ("pair", pair, BIGRAMS))}
+    own = {k: _own(doc, at, most) for k, at, most in (("w", w, VOCABULARY + 1), ("pair", pair, BIGRAMS))}
+    own["prev"] = np.where(prev == VOCABULARY, 1, np.concatenate([[0], own["w"][:-1]])) if len(w) else own["w"]
     base = model["background"]
     uniform = (base[w] - own["w"] + 0.5) / (model["background_words"] - n[doc] + 0.5 * VOCABULARY)
     out = {}
