@@ -147,6 +147,7 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: tuple[int, int] = MAX_ROWS, seed: int = 7) -> dict:
     """Train on labelled texts; of each class at most about max_rows of them, taken by a hash of the id.
+    Their ids, bounded by max_rows, are broadcast, so texts aren't shuffled.
     The bias is then set right for the share of toxic rows among all labels.
 
     Ids without text, null labels and labels other than 0 and 1 aren't learned
@@ -157,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     part = [min(1.0, most / max(1, sizes.get(y, 0))) for y, most in enumerate(max_rows)]
     share = F.when(F.col("y") == 1, part[1]).otherwise(part[0])
     taken = marked.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_003)) < share * 1_000_003)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(taken, "id").select("id", "text", "y").toArrow()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(taken), "id").select("id", "text", "y").toArrow()
     rows = rows.sort_by("id")
     model = train(rows["text"].to_pylist(), rows["y"].to_numpy(), seed)
     return model | {"bias": model["bias"] - math.log(part[1] / part[0])}
