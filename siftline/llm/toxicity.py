@@ -12,7 +12,6 @@ scoring looks distinct words up in a bounded cache and averages those numbers.
 
 from __future__ import annotations
 
-import math
 import uuid
 
 import numpy as np
@@ -26,6 +25,12 @@ BUCKETS = 1 << 16
 DIM = 8
 NGRAMS = (3, 4)
 EPOCHS = 5
+#: Small samples are gone through more often, to make so many steps.
+STEPS = 400
+#: One in so many rows of the sample isn't trained on, but calibrates the scores.
+HELD = 5
+#: A missed toxic row costs so many times what a false alarm does.
+MISS = 2.0
 BATCH = 128
 #: Bounds on the labelled clean and toxic rows that a fit uses, in expectation.
 MAX_ROWS = (5_000, 2_500)
@@ -77,8 +82,8 @@ def _bags(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, n
     return list(index), np.concatenate([*ids, np.zeros(0, np.int64)]), np.concatenate([*share, np.zeros(0)]), np.array(begin)
 
 
-def train(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> dict:
-    """Embeddings (BUCKETS x DIM), softmax weights and bias. Without both classes it scores a constant."""
+def train(texts: list[str | None], labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> dict:
+    """Embeddings (BUCKETS x DIM), softmax weights and bias; classes weigh alike. Without both classes it scores a constant."""
     labels = np.asarray(labels, np.int64)
     if not len(labels) or labels.min() == labels.max():
         base = float(labels.mean()) if len(labels) else 0.0
@@ -91,8 +96,10 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> dict:
     bias = np.zeros(2, np.float32)
     m_e, v_e = np.zeros_like(emb), np.zeros_like(emb)
     m_o, v_o, m_b, v_b = (np.zeros_like(x) for x in (out, out, bias, bias))
+    weight = len(labels) / (2 * np.bincount(labels, minlength=2))
     step, rate = 0, 0.05
-    for epoch in range(EPOCHS):
+    epochs = max(epochs, -(-STEPS * BATCH // len(labels)))
+    for epoch in range(epochs):
         order = rng.permutation(len(labels))
         for lo in range(0, len(order), BATCH):
             docs = order[lo : lo + BATCH]
@@ -112,12 +119,12 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> dict:
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(docs)), labels[docs]] -= 1
-            p /= len(docs)
+            p *= (weight[labels[docs]] / len(docs))[:, None]
             g_out, g_bias, g_doc = doc_vec.T @ p, p.sum(0), p @ out.T
             g_word = np.stack([np.bincount(local, share[cols] * g_doc[rows, d], minlength=len(own)) for d in range(DIM)], 1) / sizes[:, None]
             g_emb = np.stack([np.bincount(gram, g_word[spread, d], minlength=len(used)) for d in range(DIM)], 1)
             step += 1
-            fix = rate * (1 - epoch / EPOCHS) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            fix = rate * (1 - epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for at, value, grad, m, v in ((used, emb, g_emb, m_e, v_e), (slice(None), out, g_out, m_o, v_o), (slice(None), bias, g_bias, m_b, v_b)):
                 m[at] = 0.9 * m[at] + 0.1 * grad
                 v[at] = 0.999 * v[at] + 0.001 * grad * grad
@@ -125,6 +132,27 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> dict:
     return {"value": (emb @ (out[:, 1] - out[:, 0])).astype(np.float32), "bias": float(bias[1] - bias[0])}
 
 
+def calibrated(model: dict, texts: list[str | None], labels: np.ndarray, weights: np.ndarray) -> dict:
+    """model with its logits stretched and shifted to fit held-back rows (two parameters, by Newton's method with a small ridge), whose weights stand for the share of either class among all labels."""
+    labels = np.asarray(labels, float)
+    if not len(labels) or labels.min() == labels.max():
+        return model
+    z = Scorer(model).logits(texts)
+    mid, wide = float(z.mean()), float(z.std()) or 1.0
+    x = np.stack([(z - mid) / wide, np.ones(len(z))], 1)
+    w, own = weights / weights.mean(), np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ own, -30, 30)))
+        grad = x.T @ (w * (p - labels)) + 0.5 * (own - np.array([1.0, 0.0]))
+        hess = (x * (w * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(2)
+        step = np.linalg.solve(hess, grad)
+        own = own - np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-6:
+            break
+    a = max(own[0], 1e-3) / wide
+    return {"value": (model["value"] * a).astype(np.float32), "bias": float(a * (model["bias"] - mid) + own[1])}
+
+
 class Scorer:
     """Scores texts with a trained model; remembers words' parts in the logit up to CACHE of them."""
 
@@ -132,6 +160,9 @@ class Scorer:
         self.value, self.bias, self.known = model["value"], model["bias"], {}
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.logits(texts), -60, 60)))
+
+    def logits(self, texts: list[str | None]) -> np.ndarray:
         split = [tokens(t) for t in texts]
         new = list({w for own in split for w in own if w not in self.known})
         if len(self.known) + len(new) > CACHE:
@@ -141,14 +172,14 @@ class Scorer:
             sub, at = subwords(new)
             self.known.update(zip(new, (np.add.reduceat(self.value[sub], at[:-1]) / np.diff(at)).tolist(), strict=True))
         look = self.known.__getitem__
-        z = np.array([self.bias + (sum(map(look, own)) / len(own) if own else 0.0) for own in split])
-        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+        return np.array([self.bias + (sum(map(look, own)) / len(own) if own else 0.0) for own in split])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: tuple[int, int] = MAX_ROWS, seed: int = 7) -> dict:
     """Train on labelled texts; of each class at most about max_rows of them, taken by a hash of the id.
     Their ids, bounded by max_rows, are broadcast, so texts aren't shuffled.
-    The bias is then set right for the share of toxic rows among all labels.
+    A fifth of the sample is held back to calibrate the scores for the share of
+    toxic rows among all labels.
 
     Ids without text, null labels and labels other than 0 and 1 aren't learned
     from; an id with several equal labels counts once, with clashing labels as 1.
@@ -160,8 +191,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     taken = marked.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_003)) < share * 1_000_003)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(taken), "id").select("id", "text", "y").toArrow()
     rows = rows.sort_by("id")
-    model = train(rows["text"].to_pylist(), rows["y"].to_numpy(), seed)
-    return model | {"bias": model["bias"] - math.log(part[1] / part[0])}
+    texts, y = rows["text"].to_pylist(), rows["y"].to_numpy()
+    held = np.random.default_rng(seed).permutation(len(y)) % HELD == 0
+    model = train([t for t, h in zip(texts, held, strict=True) if not h], y[~held], seed)
+    return calibrated(model, [t for t, h in zip(texts, held, strict=True) if h], y[held], np.where(y[held] == 1, MISS, 1.0) / np.array(part)[y[held]])
 
 
 _SCORERS: dict[str, Scorer] = {}
