@@ -123,16 +123,12 @@ class Bpe:
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         split = [self.pattern.findall(c) for c in chunks]
-        known, memory = {}, self.pieces
-        for own in split:
-            for p in own:
-                if p not in known:
-                    known[p] = memory.young.get(p) or memory.get(p)
+        pieces = list(dict.fromkeys(p for own in split for p in own))
+        known = dict(zip(pieces, self.pieces.find(pieces), strict=True))
         new = [p for p, x in known.items() if x is None]
-        for p, x in zip(new, self.merge([p.encode("utf-8", "surrogatepass") for p in new]), strict=True):
-            known[p] = x
-            if len(p) <= SHORT:
-                memory.put(p, x)
+        made = dict(zip(new, self.merge([p.encode("utf-8", "surrogatepass") for p in new]), strict=True))
+        known.update(made)
+        self.pieces.put({p: x for p, x in made.items() if len(p) <= SHORT})
         return [known[own[0]] if len(own) == 1 else b"".join([known[p] for p in own]) for own in split]
 
     def decode(self, texts: list[np.ndarray]) -> list[bytes]:
@@ -178,10 +174,10 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text",
 
     def run(batch: pa.RecordBatch):
         enc = Encoder.of(name, lambda: BpeEncoder(ranks, pattern))
-        ids = enc.encode(batch.column(text_col).to_pylist())
+        ids = [x.tobytes() for x in enc.encode(batch.column(text_col))]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*kept, out_col])
 
-    return rows.mapInArrow(by_batch(run, 256), schema)
+    return rows.mapInArrow(by_batch(run, 2048), schema)
 
 
 def decode(rows: DataFrame, ranks: bytes, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -207,11 +203,11 @@ def digests(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
 
     def run(batch: pa.RecordBatch):
         enc = Encoder.of(name, lambda: BpeEncoder(ranks, pattern))
-        ids = enc.encode(batch.column("text").to_pylist())
-        data = enc.bpe.decode([np.frombuffer(x, "<u4") for x in ids])
-        yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in data])], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        ids = list(enc.encode(batch.column("text")))
+        data = enc.bpe.decode(ids)
+        yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in data])], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return rows.mapInArrow(by_batch(run, 256), f"`{id_col}` {dict(rows.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(by_batch(run, 2048), f"`{id_col}` {dict(rows.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:

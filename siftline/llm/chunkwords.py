@@ -11,19 +11,37 @@ and is looked up apart), so each worker remembers the ids of up to twice MEMORY
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MEMORY = 400_000
 #: Longer chunks are encoded each time and not remembered.
 LONG = 64
+#: Marks that are looked up apart behind a letter.
+MARKS = (",", ".")
 _CUT = re.compile(r" (?=\S)")
-_ODD = re.compile(r" (?:\s|\Z)")
+#: White space (as Python has it) or the end behind a space, for RE2.
+_ODD = r" (?:[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
 _MADE: dict[str, Encoder] = {}
+#: Bytes of text that are cut at once.
+BATCH = 6 << 20
 
 
-def cut(text: str) -> list[str]:
-    """Chunks of a text; each but the first has lost its leading space."""
-    return _CUT.split(text) if _ODD.search(text) else text.split(" ")
+def cut(texts: pa.Array) -> pa.ListArray:
+    """Chunks of each text; each but the first has lost its leading space."""
+    odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+    if not odd.any():
+        return pc.split_pattern(texts, " ")
+    out: list = [None] * len(texts)
+    even = np.flatnonzero(~odd)
+    for i, own in zip(even, pc.split_pattern(texts.take(pa.array(even)), " ").to_pylist(), strict=True):
+        out[i] = own
+    for i in np.flatnonzero(odd):
+        out[i] = _CUT.split(texts[int(i)].as_py())
+    return pa.array(out, pa.list_(pa.string()))
 
 
 class Memory:
@@ -32,24 +50,27 @@ class Memory:
     def __init__(self, most: int):
         self.most, self.young, self.old = most, {}, {}
 
-    def get(self, key: str) -> bytes | None:
-        """What the old generation knows; the young one is asked directly."""
-        found = self.old.get(key)
-        if found is not None:
-            self.young[key] = found
-        return found
-
-    def put(self, key: str, value: bytes) -> None:
-        if len(self.young) >= self.most:
+    def find(self, keys: list[str]) -> list[bytes | None]:
+        got = list(map(self.young.get, keys))
+        if self.old and None in got:
+            holes = [i for i, x in enumerate(got) if x is None]
+            again = [(i, x) for i, x in zip(holes, map(self.old.get, [keys[i] for i in holes]), strict=True) if x is not None]
+            for i, x in again:
+                got[i] = x
+            self.put({keys[i]: x for i, x in again})
+        return got
+
+    def put(self, found: dict[str, bytes]) -> None:
+        if len(self.young) + len(found) > self.most:
             self.old, self.young = self.young, {}
-        self.young[key] = value
+        self.young.update(found)
 
 
 class Encoder:
     """encode_chunks gives the ids of each of many chunks, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]]):
-        self.encode_chunks, self.memory, self.marks = encode_chunks, Memory(MEMORY), {}
+        self.encode_chunks, self.memory = encode_chunks, Memory(MEMORY)
 
     @staticmethod
     def of(name: str, make: Callable[[], Encoder]) -> Encoder:
@@ -59,48 +80,54 @@ class Encoder:
             _MADE[name] = make()
         return _MADE[name]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; null counts as empty."""
-        memory, rows, missing = self.memory, [], {}
-        for text in texts:
-            if not text:
-                rows.append(None)
-                continue
-            head, *rest = cut(text)
-            got = list(map(memory.young.get, rest))
-            holes = []
-            if None in got:
-                for i, x in enumerate(got):
-                    if x is None:
-                        c = rest[i]
-                        got[i] = memory.get(c)
-                        if got[i] is None:
-                            mark = c[-1:] if c[-1:] in (",", ".") and c[-2:-1].isalpha() else ""
-                            c = c[:-1] if mark else c
-                            known = memory.young.get(c) or memory.get(c) if mark else None
-                            if known is not None and mark in self.marks:
-                                got[i] = known + self.marks[mark]
-                            else:
-                                missing[" " + c] = None
-                                if mark:
-                                    missing[mark] = None
-                                holes.append((i, " " + c, mark))
-            missing[head] = None
-            rows.append((head, got, holes))
-        fresh = list(missing)
-        ids = dict(zip(fresh, self.encode_chunks(fresh), strict=True)) if fresh else {}
-        out = []
-        for row in rows:
-            if row is None:
-                out.append(b"")
-                continue
-            head, got, holes = row
-            for i, c, mark in holes:
-                got[i] = ids[c] + ids[mark] if mark else ids[c]
-            out.append(ids[head] + b"".join(got))
-        for c, x in ids.items():
-            if c[:1] == " " and len(c) <= LONG:
-                memory.put(c[1:], x)
-            elif c in (",", "."):
-                self.marks[c] = x
-        return out
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text; null counts as empty.
+
+        A batch's chunks are numbered by Arrow, so Python meets each distinct
+        chunk once, and the ids are laid out by numpy.
+        """
+        texts = pc.fill_null(texts, "") if texts.null_count else texts
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BATCH, side="right")))
+            yield from self._batch(texts.slice(lo, hi - lo))
+            lo = hi
+
+    def _batch(self, texts: pa.Array) -> list[np.ndarray]:
+        rows = cut(texts)
+        first = rows.offsets.to_numpy().astype(np.int64) - rows.offsets[0].as_py()
+        coded = pc.dictionary_encode(rows.flatten())
+        code, chunks = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        heads = list(dict.fromkeys(chunks[code[i]] for i in first[:-1]))
+        ids = self._known(chunks, heads)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.concatenate([[0], np.cumsum(size)])
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        at = code.astype(np.int64)
+        place = {c: len(chunks) + k for k, c in enumerate(heads)}
+        at[first[:-1]] = [place[chunks[code[i]]] for i in first[:-1]]
+        n = size[at]
+        total = np.concatenate([[0], np.cumsum(n)])
+        out = flat[np.repeat(start[at] - total[:-1], n) + np.arange(total[-1])]
+        cuts = total[first]
+        return [out[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _known(self, chunks: list[str], heads: list[str]) -> list[bytes]:
+        """Ids of chunks as they follow a space, then of chunks that begin a text."""
+        got = self.memory.find(chunks)
+        holes = [i for i, x in enumerate(got) if x is None]
+        whole = [chunks[i] for i in holes]
+        bare = [c[:-1] if c[-1:] in MARKS and c[-2:-1].isalpha() else c for c in whole]
+        wanted = list(dict.fromkeys(bare))
+        known = dict(zip(wanted, self.memory.find(wanted), strict=True))
+        new = [c for c, x in known.items() if x is None]
+        begin = [*heads, *MARKS]
+        ids = self.encode_chunks([" " + c for c in new] + begin)
+        fresh = dict(zip(new, ids, strict=False))
+        known.update(fresh)
+        self.memory.put({c: x for c, x in fresh.items() if len(c) < LONG})
+        marks = dict(zip(MARKS, ids[len(new) + len(heads) :], strict=True))
+        for i, c, b in zip(holes, whole, bare, strict=True):
+            got[i] = known[b] if len(b) == len(c) else known[b] + marks[c[-1]]
+        return got + ids[len(new) : len(new) + len(heads)]

@@ -51,13 +51,14 @@ def pack_blocks(ids: np.ndarray) -> list[bytes]:
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
         part = off[rows].astype(np.uint64)
-        small = part & np.uint64((1 << int(w)) - 1)
-        lanes = np.zeros((len(rows), (BLOCK * int(w)) // 64), np.uint64)
+        small = np.ascontiguousarray((part & np.uint64((1 << int(w)) - 1)).T)
+        lanes = np.zeros(((BLOCK * int(w)) // 64, len(rows)), np.uint64)
         for i in range(BLOCK if w else 0):
             word, shift = divmod(i * int(w), 64)
-            lanes[:, word] |= small[:, i] << np.uint64(shift)
+            lanes[word] |= small[i] << np.uint64(shift)
             if shift + int(w) > 64:
-                lanes[:, word + 1] |= small[:, i] >> np.uint64(64 - shift)
+                lanes[word + 1] |= small[i] >> np.uint64(64 - shift)
+        lanes = np.ascontiguousarray(lanes.T).astype("<u8")
         over = part >> np.uint64(w)
         at_row, at_col = np.nonzero(over)
         first = np.searchsorted(at_row, np.arange(len(rows) + 1))
@@ -65,7 +66,7 @@ def pack_blocks(ids: np.ndarray) -> list[bytes]:
         pos = at_col.astype(np.uint8)
         for k, r in enumerate(rows):
             lo, hi = first[k], first[k + 1]
-            out[r] = _BLOCK.pack(int(low[r]), int(w), hi - lo) + lanes[k].astype("<u8").tobytes() + pos[lo:hi].tobytes() + high[lo:hi].tobytes()
+            out[r] = _BLOCK.pack(int(low[r]), int(w), hi - lo) + lanes[k].tobytes() + pos[lo:hi].tobytes() + high[lo:hi].tobytes()
     return out
 
 
@@ -93,13 +94,16 @@ def read_shard(data: bytes, first: int = 0, last: int | None = None) -> tuple[np
         rows = np.flatnonzero(widths == w)
         size = BLOCK * int(w) // 8
         lanes = np.frombuffer(b"".join(data[(p := body + int(starts[lo + r]) + _BLOCK.size) : p + size] for r in rows), "<u8").reshape(len(rows), -1)
+        lanes, got = np.ascontiguousarray(lanes.T), np.empty((BLOCK, len(rows)), np.uint64)
         mask = np.uint64((1 << int(w)) - 1)
         for i in range(BLOCK if w else 0):
             word, shift = divmod(i * int(w), 64)
-            x = lanes[:, word] >> np.uint64(shift)
+            x = lanes[word] >> np.uint64(shift)
             if shift + int(w) > 64:
-                x = x | (lanes[:, word + 1] << np.uint64(64 - shift))
-            grid[rows, i] = x & mask
+                x = x | (lanes[word + 1] << np.uint64(64 - shift))
+            got[i] = x & mask
+        if w:
+            grid[rows] = got.T
     for r, (low, w, over) in enumerate(heads):
         if over:
             p = body + int(starts[lo + r]) + _BLOCK.size + BLOCK * w // 8
@@ -122,17 +126,17 @@ def write_shards(docs: DataFrame, make: Callable[[], Encoder], end_id: int, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder.of(name, make)
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         ids, held, size, shard, part = [], [], 0, 0, None
 
         def full() -> pa.RecordBatch:
             return pa.record_batch({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "docs_in": pa.array([len(held)], pa.int64()), "ids_in": pa.array([size], pa.int64()), "doc_ids": pa.array([ids], pa.list_(kind_arrow)), "data": pa.array([write_shard(held)], pa.binary())})
 
-        for batch in slices(batches, 256):
+        for batch in slices(batches, 2048):
             kind_arrow = batch.schema.field("id").type
             part = batch.column("part")[0].as_py()
-            for key, raw in zip(batch.column("id").to_pylist(), enc.encode(batch.column("text").to_pylist()), strict=True):
-                own = np.frombuffer(raw + end, "<u4")
+            for key, own in zip(batch.column("id").to_pylist(), enc.encode(batch.column("text")), strict=True):
+                own = np.concatenate([own, end])
                 ids.append(key)
                 held.append(own)
                 size += len(own)
