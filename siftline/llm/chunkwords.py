@@ -27,7 +27,7 @@ _CUT = re.compile(r" (?=\S)")
 _ODD = r" (?:[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
 _MADE: dict[str, Encoder] = {}
 #: Bytes of text that are cut at once.
-BATCH = 6 << 20
+BATCH = 3 << 20
 
 
 def cut(texts: pa.Array) -> pa.ListArray:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .chunkwords import Encoder
 from .shared import by_batch, shuffle_parts, slices, stored, table
 
-BLOCK, PERCENTILE = 128, 90
+BLOCK, PERCENTILE = 256, 90
 #: Ids after which a shard is closed, at a document's end.
 SHARD_IDS = 1 << 19
 _HEAD = Struct("<4sIQI")
