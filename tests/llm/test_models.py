@@ -113,6 +113,32 @@ def test_lm_losses_equal_a_recount(spark):
     assert lmscore.score(docs.limit(0), lmscore.fit(docs.limit(0), good), good).count() == 0
 
 
+def test_lm_counts_of_many_words_stay_apart(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{rng.randrange(20_000)}" for _ in range(300))) for i in range(100)]
+    docs, good = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i,) for i in range(0, 100, 2)], "doc_id long")
+    got = {r.doc_id: r for r in lmscore.score(docs, lmscore.fit(docs, good), good).collect()}
+    V, S, R = lmscore.VOCABULARY, lmscore.SHRINK, lmscore.PRIOR
+    uni, bi = [Counter(), Counter()], [Counter(), Counter()]
+    for i, t in rows:
+        w = t.split()
+        for k in (0, 1) if i % 2 == 0 else (0,):
+            uni[k].update(["^", *w])
+            bi[k].update(zip(["^", *w], w, strict=False))
+    total = [sum(u.values()) - u["^"] for u in uni]
+    for i, t in rows:
+        w = t.split()
+        own, own2 = Counter(["^", *w]), Counter(zip(["^", *w], w, strict=False))
+        for k, name in enumerate(("background_loss", "target_loss")):
+            m, loss = int(k == 0 or i % 2 == 0), 0.0
+            for a, b in zip(["^", *w], w, strict=False):
+                base = (uni[0][b] - own[b] + 0.5) / (total[0] - len(w) + 0.5 * V)
+                p = (uni[k][b] - m * own[b] + S * base) / (total[k] - m * len(w) + S)
+                c = uni[k][a] - m * own[a]
+                loss -= math.log((min(bi[k][a, b] - m * own2[a, b], c) + R * p) / (c + R))
+            assert getattr(got[i], name) == pytest.approx(loss / len(w), rel=1e-9)
+
+
 def test_lm_prefers_the_target(spark, sf_dir):
     larger = f"{sf_dir}/../sf0.1"  # smaller tables have too few labels
     got = lmscore.op7_lm_scoring(spark, larger).join(spark.read.parquet(f"{larger}/labels.parquet"), "doc_id").toPandas()
