@@ -172,10 +172,14 @@ def shared_entity_pairs(spark, sf_dir):
     return e.select(number("source").alias("a"), number("target").alias("b"), "via", F.round("confidence", 6).alias("confidence"))
 
 
+#: Least similarity that the graph's edges link by topic; pairs above mining.SIMILAR are near copies.
+TOPICAL = 0.14
+
+
 def _edges(spark, sf_dir):
     r = records(spark, sf_dir).select("id", "ord", "provider")
     own, all_ = entities(spark, sf_dir)
-    pairs = V.cosine_pairs(vectors(spark, sf_dir), 0.4)
+    pairs = V.cosine_pairs(vectors(spark, sf_dir), TOPICAL)
     names = lambda c: r.select(F.col("ord").alias(c), F.col("id").alias(f"{c}_id"))
     top = V.semantic_topk(pairs).join(names("a"), "a").join(names("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "similarity")
     return G.mentions(all_).unionByName(G.shared_entities(own, r)).unionByName(G.semantic(top))
@@ -183,7 +187,7 @@ def _edges(spark, sf_dir):
 
 @query()
 def weave_graph(spark, sf_dir):
-    """All edges of the graph over documents: mentions, shared tags, similarity."""
+    """Edges of the graph over documents: mentions, shared tags, similarity. Documents name no parent, so there is no lineage."""
     return _edges(spark, sf_dir).withColumn("confidence", F.round("confidence", 6))
 
 

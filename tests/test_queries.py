@@ -45,6 +45,35 @@ def test_runs(spark, sf_dir, name):
     assert catalog.queries()[name](spark, sf_dir).count() > 0
 
 
+def test_graph_links_by_topic(spark, sf_dir, tmp_path):
+    import collections
+    import random
+    import re
+
+    from siftline.functions.text import STOP
+
+    rng = random.Random(4)
+    pool = [f"{a}{b}{c}" for a in ("bran", "dril", "fost") for b in "aeiou" for c in ("mel", "nor", "pix", "tun")]
+    texts = [" ".join(rng.choice(pool) for _ in range(25)) for _ in range(30)]
+    rows = [(i, t, "en", f"src{i % 3}", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    counts = [collections.Counter(w for w in re.findall("[a-z]+", t) if w not in STOP) for t in texts]
+    df = collections.Counter(w for c in counts for w in c)
+    vectors = []
+    for c in counts:
+        raw = {w: n / sum(c.values()) * (math.log((1 + len(texts)) / (1 + df[w])) + 1) for w, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        vectors.append({w: x / norm for w, x in raw.items()})
+    want = set()
+    for a in range(30):
+        near = [(sum(x * vectors[b].get(w, 0) for w, x in vectors[a].items()), b) for b in range(a + 1, 30)]
+        want |= {(a, b, round(min(0.49, 0.14 + 0.35 * s), 6)) for s, b in sorted(near, reverse=True)[:5] if s >= 0.14}
+    edges = catalog.queries()["weave_graph"](spark, str(tmp_path)).filter("relation = 'SEMANTIC_SIMILARITY'").collect()
+    number = lambda x: int(x.rsplit(":", 1)[1])
+    assert {(number(r.source), number(r.target), r.confidence) for r in edges} == want
+    assert any(c < 0.14 + 0.35 * 0.4 for _, _, c in want)
+
+
 def test_entry_points():
     import __spark_entry__ as entry
 
