@@ -17,7 +17,7 @@ def training_rows(spark, sf_dir):
     t = F.col("text")
     words = F.split(t, r"\s+")
     docs = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), F.col("n_chars"), F.size(words).alias("words"), F.when(F.col("doc_id") % 11 != 0, F.size(F.split(t, "\n"))).alias("lines"),
+        F.col("doc_id").alias("id"), F.col("n_chars"), F.size(words).alias("words"), F.size(F.split(t, "\n")).alias("lines"),
         (F.length(F.regexp_replace(t, r"[\p{L}\p{N}\s]+", "")) / F.greatest(F.length(t), F.lit(1))).alias("symbols"), (F.length(F.regexp_replace(t, "[^0-9]+", "")) / F.greatest(F.length(t), F.lit(1))).alias("digits"),
         (F.size(F.array_distinct(words)) / F.size(words)).alias("distinct"), F.concat_ws("|", "source", (F.col("doc_id") % 3).cast("string")).alias("group"),
     )
@@ -27,7 +27,7 @@ def training_rows(spark, sf_dir):
 
 @query()
 def train_oof(spark, sf_dir):
-    out = K.train_oof(training_rows(spark, sf_dir), FEATURES, "group", 3, ("logistic", "forest"))
+    out = K.train_oof(training_rows(spark, sf_dir), FEATURES, "group", 3)
     return out.select("id", "label", "fold", F.round("score", 6).alias("score"))
 
 

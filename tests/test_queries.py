@@ -74,6 +74,29 @@ def test_graph_links_by_topic(spark, sf_dir, tmp_path):
     assert any(c < 0.14 + 0.35 * 0.4 for _, _, c in want)
 
 
+def test_training_takes_all_models_and_values(spark, sf_dir, monkeypatch):
+    from siftline.queries import learning
+
+    rows = learning.training_rows(spark, sf_dir)
+    assert rows.filter("lines is null").count() == 0
+    seen = []
+    whole = learning.K.train_oof
+    monkeypatch.setattr(learning.K, "train_oof", lambda *a, **b: seen.append(whole(*a, **b)) or seen[0])
+    out = learning.train_oof(spark, sf_dir)
+    assert out.count() == rows.count()
+    assert all(set(r.scores) == set(learning.K.models()) for r in seen[0].collect())
+
+
+def test_missing_values_are_the_median(spark):
+    from siftline.operators import classify
+
+    rows = [(i, float(i % 2), None if i == 5 else float(i), 1.0) for i in range(20)]
+    data = classify.prepared(spark.createDataFrame(rows, "id long, label double, x double, weight double"), ["x"])
+    fit = classify.pipeline(["x"], classify.models()["logistic"]).fit(data)
+    got = {r.id: (r.x_filled, r.x_missing) for r in fit.transform(data).collect()}
+    assert got == {i: (10.0, 1.0) if i == 5 else (float(i), 0.0) for i in range(20)}
+
+
 def test_entry_points():
     import __spark_entry__ as entry
 
