@@ -7,10 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a text that roles are looked for in.
-ROLE_CHARS = 200_000
-
-
 def classify_domain(path: Column, prefixes: list[tuple[str, str]], other: str = "OTHER") -> Column:
     """The domain of the first prefix that a path begins with."""
     out = F.lit(other)
@@ -20,9 +16,9 @@ def classify_domain(path: Column, prefixes: list[tuple[str, str]], other: str =
 
 
 def roles_for(path: Column, text: Column, roles: dict[str, str]) -> Column:
-    """Roles whose pattern is found in the path or the head of the text, in the order given."""
-    head = F.concat_ws("\n", path, F.substring(text, 1, ROLE_CHARS))
-    return F.array_compact(F.array(*[F.when(head.rlike(p), F.lit(r)) for r, p in roles.items()]))
+    """Roles whose pattern is found in the path or the text, in the order given."""
+    whole = F.concat_ws("\n", path, text)
+    return F.array_compact(F.array(*[F.when(whole.rlike(p), F.lit(r)) for r, p in roles.items()]))
 
 
 def lexicon_score(text: Column, weights: dict[str, int]) -> Column:

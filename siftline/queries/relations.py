@@ -23,7 +23,7 @@ def make_archive_record(spark, sf_dir):
     from siftline.functions.hashing import row_sha
 
     rows = records(spark, sf_dir)
-    return rows.select(F.col("ord").alias("doc_id"), "provider", F.substring(T.squeezed(F.col("text")), 1, 200_000).alias("text"), row_sha("archive_id", "provider").alias("record_sha256"))
+    return rows.select(F.col("ord").alias("doc_id"), "provider", T.squeezed(F.col("text")).alias("text"), row_sha("archive_id", "provider").alias("record_sha256"))
 
 
 @query("SELECT doc_id, source FROM documents WHERE (contains(lower(text), 'idiot') OR contains(lower(text), 'license')) AND contains(lower(text), 'the')")

@@ -97,6 +97,16 @@ def test_missing_values_are_the_median(spark):
     assert got == {i: (10.0, 1.0) if i == 5 else (float(i), 0.0) for i in range(20)}
 
 
+def test_texts_are_taken_whole(spark, tmp_path):
+    text = "x " * 150_000 + "license idiot 123"
+    spark.createDataFrame([(1, text, "en", "src1", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    assert run("make_archive_record")[0].text == text
+    assert run("file_roles")[0].roles == "LICENCE,ABUSE,NUMBERS"
+    assert run("repo_to_seed")[0].tags == "abuse,alpha,licence,numbers"
+    assert {r.value for r in run("repo_scan_summary")} == {"ALPHA", "LICENCE", "ABUSE", "NUMBERS"}
+
+
 def test_entry_points():
     import __spark_entry__ as entry
 
