@@ -90,16 +90,18 @@ def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     return both.filter(shared / (F.size("ha") + F.size("hb") - shared) >= threshold).select("a", "b")
 
 
-def near_duplicates(rows: DataFrame, pairs: DataFrame, save, rounds: int = 50) -> DataFrame:
+def near_duplicates(rows: DataFrame, pairs: DataFrame, save) -> DataFrame:
     """(ord, duplicate_of): what a walk in order assigns, where an item is canonical unless an earlier canonical one is similar.
 
     In rounds: an item all of whose earlier neighbours are duplicates is
     canonical; one with an earlier canonical neighbour is a duplicate of the
-    smallest. save(df) cuts the lineage of each round. More rounds than allowed
-    raise RuntimeError.
+    smallest. save(df) cuts the lineage of each round. Each round settles the
+    smallest open item of every component at least, so the rounds end; a drifting
+    chain takes as many as it has links.
     """
+    pairs = pairs.filter("a < b")
     state = save(rows.select("ord").withColumn("s", F.lit(0)).withColumn("of", F.lit(None).cast("long")))
-    for _ in range(rounds):
+    while True:
         back = pairs.select(F.col("b").alias("ord"), "a").join(state.select(F.col("ord").alias("a"), F.col("s").alias("sa")), "a")
         sums = back.groupBy("ord").agg(F.min(F.when(F.col("sa") == 1, F.col("a"))).alias("canon"), F.min(F.when(F.col("sa") == 0, F.col("a"))).alias("open"))
         n = state.join(sums, "ord", "left")
@@ -108,4 +110,3 @@ def near_duplicates(rows: DataFrame, pairs: DataFrame, save, rounds: int = 50) -
         state = save(n.select("ord", F.when(settled, F.col("s")).when(dup, 2).when(F.col("canon").isNull() & F.col("open").isNull(), 1).otherwise(0).alias("s"), F.when(settled, F.col("of")).when(dup, F.col("canon")).alias("of")))
         if not state.filter("s = 0").limit(1).count():
             return state.select("ord", F.col("of").alias("duplicate_of"))
-    raise RuntimeError(f"near duplicates aren't settled after {rounds} rounds")

@@ -56,6 +56,13 @@ def test_near_duplicates_walk_in_order(spark):
         assert got == expected
 
 
+def test_near_duplicates_of_a_long_chain(spark):
+    rows = spark.range(100).toDF("ord")
+    pairs = rows.selectExpr("ord AS a", "ord + 1 AS b").filter("b < 100")
+    got = {r.ord: r.duplicate_of for r in sieve.near_duplicates(rows, pairs, saver(spark)).collect()}
+    assert got == {i: i - 1 if i % 2 else None for i in range(100)}
+
+
 def test_edges_over_three_passes(spark):
     edge = lambda *rows: spark.createDataFrame(rows, "edge_key string, signature string, target double, confidence double")
     empty = spark.createDataFrame([], "edge_key string, weight double, seen array<string>, misses int")
