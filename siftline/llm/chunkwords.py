@@ -1,76 +1,160 @@
-"""Encoding texts through a memory of their chunks.
-
-The pre-tokenizing pattern of byte-level BPE never matches across a space that a
-non-space character follows: white space before it ends its own match, and the
-space joins what follows. So a text may be cut before each such space, the
-chunks encoded on their own and their ids joined, with the same result. Chunks
-repeat a lot (a comma or full stop behind a letter is always a match of its own
-and is looked up apart), so each worker remembers the ids of up to twice MEMORY of them.
+"""Encoding texts through a memory of their chunks, with numpy only.
+
+The pre-tokenizing pattern of byte-level BPE ends a match in two places that bytes
+alone tell: before a space that a non-space character follows (white space before
+it ends its own match, and the space joins what follows), and between an ASCII
+letter and an ASCII mark. Texts are cut there, the chunks encoded on their own and
+their ids joined, with the same result. Chunks repeat a lot, so each worker
+remembers the ids of many of them, under two 64-bit hashes that both must agree.
+Where another pattern is given, a chunk is a whole text.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
-MEMORY = 400_000
+from .textbytes import chunks, mix
+
+#: The pattern whose matches the cuts respect (fixed value: the public one of byte-level BPE).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Chunks that a worker remembers.
+MEMORY = 1_500_000
 #: Longer chunks are encoded each time and not remembered.
 LONG = 64
-#: Marks that are looked up apart behind a letter.
-MARKS = (",", ".")
-_CUT = re.compile(r" (?=\S)")
-#: White space (as Python has it) or the end behind a space, for RE2.
-_ODD = r" (?:[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
-_MADE: dict[str, Encoder] = {}
-#: Bytes of text that are cut at once.
+#: Newly met chunks are merged into the sorted memory once there are so many.
+YOUNG = 150_000
+#: Bytes of text that are cut at once, but for a longer text.
 BATCH = 3 << 20
+_U = np.uint64
+_LETTER, _MARK, _BLANK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+#: What may be white space behind a space: ASCII controls and the first bytes of wider white space.
+_BLANK[[*range(33), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_CODES = [mix(np.arange(1, 257, dtype=_U) * _U(m)) | _U(1) for m in (0xD1342543DE82EF95, 0xA24BAED4963EE407)]
+_BASE = (0x9E3779B97F4A7C15 | 3, 0xD6E8FEB86659FD93 | 3)
+_POWERS: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+_MADE: dict[str, Encoder] = {}
 
-
-def cut(texts: pa.Array) -> pa.ListArray:
-    """Chunks of each text; each but the first has lost its leading space."""
-    odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
-    if not odd.any():
-        return pc.split_pattern(texts, " ")
-    out: list = [None] * len(texts)
-    even = np.flatnonzero(~odd)
-    for i, own in zip(even, pc.split_pattern(texts.take(pa.array(even)), " ").to_pylist(), strict=True):
-        out[i] = own
-    for i in np.flatnonzero(odd):
-        out[i] = _CUT.split(texts[int(i)].as_py())
-    return pa.array(out, pa.list_(pa.string()))
+#: Function of the bytes of chunks laid end to end, their ends, and which of them open with a space, to (ids, number of ids of each).
+EncodeChunks = Callable[[bytes, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def cuts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Where chunks begin in texts that lie end to end."""
+    n = len(buf)
+    at = np.zeros(n + 1, bool)
+    at[:-2] = (buf[:-1] == 0x20) & ~_BLANK[buf[1:]]
+    at[np.maximum(off[1:] - 1, 0)] = False  # a space that ends a text
+    at[1:n] |= _LETTER[buf[:-1]] & _MARK[buf[1:]]
+    at[off] = True
+    return np.flatnonzero(at[:n])
+
+
+def parts(buf: np.ndarray) -> Iterator[np.ndarray]:
+    """A long text in parts of about BATCH bytes, cut where a chunk begins."""
+    lo, size = 0, BATCH
+    while lo < len(buf):
+        part = buf[lo : lo + size]
+        at = len(part) if lo + size >= len(buf) else int(cuts(part, np.array([0, len(part)]))[-1])
+        if at:
+            yield part[:at]
+            lo, size = lo + at, BATCH
+        else:
+            size *= 2
+
+
+def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    have = next(iter(_POWERS), 0)
+    if have < n:
+        size = max(n, 2 * BATCH)
+        own = []
+        for p in _BASE:
+            up, down = np.full(size, p, _U), np.full(size, pow(p, -1, 1 << 64), _U)
+            up[0] = down[0] = 1
+            own.append((np.multiply.accumulate(up), np.multiply.accumulate(down)))
+        _POWERS.clear()
+        _POWERS[size] = own
+    return next(iter(_POWERS.values()))
+
+
+def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each span of bytes, from running sums."""
+    out = []
+    for code, (up, down) in zip(_CODES, _powers(len(buf)), strict=True):
+        total = np.zeros(len(buf) + 1, _U)
+        np.cumsum(code[buf] * up[: len(buf)], out=total[1:])
+        out.append(mix((total[end] - total[start]) * down[start] + (end - start).astype(_U)))
+    return out[0], out[1]
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices of spans laid end to end."""
+    shift = start - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else start
+    return np.repeat(shift, size) + np.arange(int(size.sum()))
+
+
+class _Sorted:
+    """Ids of chunks, found by the first of their two hashes."""
+
+    def __init__(self):
+        self.h, self.g = np.zeros(0, _U), np.zeros(0, _U)
+        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def find(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """The place of each, -1 where it isn't known."""
+        if not len(self.h):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return np.where((self.h[at] == h) & (self.g[at] == g), at, -1)
+
+    def merged(self, h: np.ndarray, g: np.ndarray, size: np.ndarray, flat: np.ndarray) -> _Sorted:
+        """With further chunks; of two with one first hash the older stays."""
+        new, out = np.ones(len(h), bool), _Sorted()
+        if len(self.h):
+            new = self.h[np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)] != h
+        keys = np.concatenate([self.h, h[new]])
+        order = np.argsort(keys, kind="stable")
+        start = np.concatenate([[0], np.cumsum(size)])[:-1] + len(self.flat)
+        out.h, out.g = keys[order], np.concatenate([self.g, g[new]])[order]
+        out.start, out.size = np.concatenate([self.start, start[new]])[order], np.concatenate([self.size, size[new]])[order]
+        out.flat = np.concatenate([self.flat, flat])
+        return out
 
 
 class Memory:
-    """A bounded dictionary of two generations: when the young one is full it becomes the old one, and what is met again moves over."""
-
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
-
-    def find(self, keys: list[str]) -> list[bytes | None]:
-        got = list(map(self.young.get, keys))
-        if self.old and None in got:
-            holes = [i for i, x in enumerate(got) if x is None]
-            again = [(i, x) for i, x in zip(holes, map(self.old.get, [keys[i] for i in holes]), strict=True) if x is not None]
-            for i, x in again:
-                got[i] = x
-            self.put({keys[i]: x for i, x in again})
-        return got
-
-    def put(self, found: dict[str, bytes]) -> None:
-        if len(self.young) + len(found) > self.most:
-            self.old, self.young = self.young, {}
-        self.young.update(found)
+    """The ids of up to about `most` chunks: a large sorted table and a small one of what came last. When it is full it starts again from the small one."""
+
+    def __init__(self, most: int = MEMORY):
+        self.most, self.old, self.young = most, _Sorted(), _Sorted()
+
+    def find(self, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether known, number of ids, all ids of the known ones end to end)."""
+        a, b = self.old.find(h, g), self.young.find(h, g)
+        size, start = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        for at, own, base in ((a, self.old, 0), (b, self.young, len(self.old.flat))):
+            has = at >= 0
+            size[has], start[has] = own.size[at[has]], own.start[at[has]] + base
+        known = (a >= 0) | (b >= 0)
+        flat = np.concatenate([self.old.flat, self.young.flat])
+        return known, size, flat[_spread(start[known], size[known])]
+
+    def put(self, h: np.ndarray, g: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        self.young = self.young.merged(h, g, size, flat)
+        if len(self.young.h) > min(YOUNG, self.most):
+            full = len(self.old.h) + len(self.young.h) > self.most
+            young, self.young = self.young, _Sorted()
+            self.old = young if full else self.old.merged(young.h, young.g, young.size, young.flat[_spread(young.start, young.size)])
 
 
 class Encoder:
-    """encode_chunks gives the ids of each of many chunks, as little-endian unsigned 32-bit integers."""
+    """Encodes texts with encode_chunks, which must give the ids of each chunk as if it stood in its text. whole: texts aren't cut."""
 
-    def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]]):
-        self.encode_chunks, self.memory = encode_chunks, Memory(MEMORY)
+    def __init__(self, encode_chunks: EncodeChunks, whole: bool = False, memory: int = MEMORY):
+        self.encode_chunks, self.whole, self.memory = encode_chunks, whole, Memory(memory)
 
     @staticmethod
     def of(name: str, make: Callable[[], Encoder]) -> Encoder:
@@ -81,53 +165,73 @@ class Encoder:
         return _MADE[name]
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """The ids of each text; null counts as empty.
-
-        A batch's chunks are numbered by Arrow, so Python meets each distinct
-        chunk once, and the ids are laid out by numpy.
-        """
-        texts = pc.fill_null(texts, "") if texts.null_count else texts
-        ends = np.cumsum(pc.binary_length(texts).to_numpy())
-        lo = 0
-        while lo < len(texts):
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BATCH, side="right")))
-            yield from self._batch(texts.slice(lo, hi - lo))
-            lo = hi
-
-    def _batch(self, texts: pa.Array) -> list[np.ndarray]:
-        rows = cut(texts)
-        first = rows.offsets.to_numpy().astype(np.int64) - rows.offsets[0].as_py()
-        coded = pc.dictionary_encode(rows.flatten())
-        code, chunks = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        heads = list(dict.fromkeys(chunks[code[i]] for i in first[:-1]))
-        ids = self._known(chunks, heads)
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        start = np.concatenate([[0], np.cumsum(size)])
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        at = code.astype(np.int64)
-        place = {c: len(chunks) + k for k, c in enumerate(heads)}
-        at[first[:-1]] = [place[chunks[code[i]]] for i in first[:-1]]
-        n = size[at]
+        """The ids of each text; null counts as empty."""
+        for lo, hi, buf, off in chunks(texts, BATCH):
+            if hi - lo > 1 or self.whole or len(buf) < 2 * BATCH:
+                yield from self._batch(buf, off)
+            else:
+                yield np.concatenate([self._batch(part, np.array([0, len(part)]))[0] for part in parts(buf)])
+
+    def _batch(self, buf: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+        if not len(buf):
+            return [np.zeros(0, np.uint32)] * (len(off) - 1)
+        start = np.unique(off[:-1][off[:-1] < off[1:]]) if self.whole else cuts(buf, off)
+        end = np.append(start[1:], len(buf))
+        h, g = hashes(buf, start, end)
+        _, first, code = np.unique(h, return_index=True, return_inverse=True)
+        if (g != g[first[code]]).any():  # two chunks share one hash: none is taken for the other
+            first, code = np.arange(len(h)), np.arange(len(h))
+        known, size, ids = self.memory.find(h[first], g[first])
+        new = first[~known]
+        long_ = end[new] - start[new]
+        data = buf[_spread(start[new], long_)].tobytes()
+        opens = (buf[start[new]] == 0x20) & (long_ > 1) & ~_BLANK[buf[np.minimum(start[new] + 1, len(buf) - 1)]] & (not self.whole)
+        made, count = self.encode_chunks(data, np.cumsum(long_), opens)
+        short = long_ < LONG
+        begin = np.concatenate([[0], np.cumsum(count)])[:-1]
+        order = np.argsort(h[new][short], kind="stable")
+        self.memory.put(h[new][short][order], g[new][short][order], count[short][order], made[_spread(begin[short][order], count[short][order])])
+        place = np.zeros(len(first), np.int64)
+        place[known] = np.concatenate([[0], np.cumsum(size[known])])[:-1]
+        place[~known] = begin + len(ids)
+        size[~known] = count
+        n = size[code]
+        out = np.concatenate([ids, made])[_spread(place[code], n)]
         total = np.concatenate([[0], np.cumsum(n)])
-        out = flat[np.repeat(start[at] - total[:-1], n) + np.arange(total[-1])]
-        cuts = total[first]
-        return [out[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-    def _known(self, chunks: list[str], heads: list[str]) -> list[bytes]:
-        """Ids of chunks as they follow a space, then of chunks that begin a text."""
-        got = self.memory.find(chunks)
-        holes = [i for i, x in enumerate(got) if x is None]
-        whole = [chunks[i] for i in holes]
-        bare = [c[:-1] if c[-1:] in MARKS and c[-2:-1].isalpha() else c for c in whole]
-        wanted = list(dict.fromkeys(bare))
-        known = dict(zip(wanted, self.memory.find(wanted), strict=True))
-        new = [c for c, x in known.items() if x is None]
-        begin = [*heads, *MARKS]
-        ids = self.encode_chunks([" " + c for c in new] + begin)
-        fresh = dict(zip(new, ids, strict=False))
-        known.update(fresh)
-        self.memory.put({c: x for c, x in fresh.items() if len(c) < LONG})
-        marks = dict(zip(MARKS, ids[len(new) + len(heads) :], strict=True))
-        for i, c, b in zip(holes, whole, bare, strict=True):
-            got[i] = known[b] if len(b) == len(c) else known[b] + marks[c[-1]]
-        return got + ids[len(new) : len(new) + len(heads)]
+        at = total[np.searchsorted(start, off)]
+        return [out[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def groups(ends: np.ndarray, opens: np.ndarray, limit: int = 1 << 12) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(order of chunks, runs of it): chunks that open with a space follow each other in strings of about limit bytes, as a match never crosses such a space; others stand alone."""
+    size = np.diff(ends, prepend=0)
+    order = np.concatenate([np.flatnonzero(opens), np.flatnonzero(~opens)])
+    joined = int(opens.sum())
+    total = np.cumsum(size[order[:joined]])
+    bound = np.searchsorted(total, np.arange(limit, (int(total[-1]) if joined else 0) + limit, limit), side="left") + 1
+    edges = np.unique(np.concatenate([[0], np.minimum(bound, joined)])).tolist() if joined else [0]
+    return order, [*zip(edges[:-1], edges[1:], strict=True), *((i, i + 1) for i in range(joined, len(order)))]
+
+
+def strings(data: bytes, ends: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(order of chunks, their ends in that order, the strings that they make up)."""
+    order, runs = groups(ends, opens)
+    size = np.diff(ends, prepend=0)
+    start = ends - size
+    joined = np.frombuffer(data, np.uint8)[_spread(start[order], size[order])].tobytes()
+    stop = np.cumsum(size[order])
+    at = [0, *stop.tolist()]
+    return order, stop, [joined[at[a] : at[b]].decode("utf-8", "surrogatepass") for a, b in runs]
+
+
+def split_ids(order: np.ndarray, stop: np.ndarray, ids: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids in the chunks' own order, number of ids of each) from the ids of strings() and the bytes that each id spans."""
+    total = np.cumsum(width)
+    last = np.searchsorted(total, stop)
+    if len(stop) and (last[-1] + 1 != len(ids) or (total[last] != stop).any()):
+        raise RuntimeError("an id spans two chunks: the pattern isn't the one that the cuts respect")
+    count = np.diff(last + 1, prepend=0)
+    begin = last + 1 - count
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return ids[_spread(begin[back], count[back])], count[back]

@@ -2,23 +2,44 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_FOLDERS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="siftline-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+    """This application's folder inside the one that spark.checkpoint.dir names; it is removed when the driver ends.
+
+    Where none is named a local session (as in tests) takes a temporary one; a
+    cluster, whose executors don't share such a folder, gets an error instead.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not named:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="siftline-")
+        _FOLDERS[app] = f"{named.rstrip('/')}/siftline-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, _FOLDERS[app])
+    return _FOLDERS[app]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has ended: what it left stays for the cluster to clear
+        pass
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -26,7 +47,26 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more."""
+    for df in tables:
+        _remove(df.sparkSession, df.stored_at)
+
+
+def fresh(name: str) -> str:
+    """A column name that no given table has."""
+    return f"_{name}_{uuid.uuid4().hex[:12]}"
+
+
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """128 bits that tell rows apart by id and text; two hashes of both."""
+    a, b = F.col(id_col).cast("string"), F.col(text_col)
+    return [F.xxhash64(F.lit(1), a, F.lit("/"), b), F.xxhash64(b, F.lit(2), a)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
