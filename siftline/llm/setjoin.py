@@ -1,26 +1,33 @@
 """N-gram Jaccard join: an exact prefix-index set join that uses relations between sets.
 
 1. Each text becomes the set of its hashed word k-grams. Equal sets are one set
-   from here on (grouped by a 128-bit fingerprint).
+   from here on (grouped by a 128-bit fingerprint). A set so small that no other
+   set reaches the threshold with it isn't indexed.
 2. A fixed-size table of k-gram counts, summed over all documents, orders k-grams
    from rare to frequent (ties by hash; any order is right, this one keeps index
    lists short). Two sets of Jaccard >= t share at least SHARED k-grams in
    prefixes of |x| - ceil(t|x|) + SHARED of them, so only prefixes are indexed.
-3. Index lists are sorted by set size and cut into blocks of list_size entries. A pair
-   of blocks is skipped by sizes and positions when no pair in it can reach t.
-   Pairs inside lists of one block are counted, and those that meet SHARED times
-   become candidates.
-4. Longer lists aren't paired up. Lists that share their smallest set form a
-   family; its sets are shipped once and joined inside tasks of bounded size. A
-   task visits similar sets one after the other and derives a set's overlaps with
-   all others from those of the set before: it takes off the lists of k-grams that
-   went and adds the lists of k-grams that came.
-5. Links give components by alternating large-star and small-star rounds.
+3. Index lists of up to list_size entries are sorted by the k-gram's position in
+   the sets and cut into blocks. A pair of blocks is skipped when its sizes and
+   positions leave no pair that can reach t; pairs of what is left are counted,
+   and those that meet SHARED times are candidates. Candidates with one smallest
+   neighbour make a group.
+4. Longer lists aren't paired up, nor gathered anywhere. Their entries are dealt to
+   bands of sizes, and bands with one smallest set form a family. Its sets are
+   compared with that set first. Only where a family is still in several
+   components are the sets outside its largest one compared with the others, in
+   blocks by size and position, of which pairs are skipped as above.
+5. A task holds a bounded number of sets and k-grams, and takes its answers from
+   one another: it visits similar sets one after the other and derives a set's
+   overlaps with all others from those of the set before, by taking off the lists
+   of k-grams that went and adding the lists of k-grams that came.
+6. Links give components by alternating large-star and small-star rounds.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -29,15 +36,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, sorted_groups, stored, table
+from .shared import discard, fresh, hot_join, row_key, slices, sorted_groups, stored, table
 from .textbytes import chunks, joined, words
 
 SHARED = 3
 LIST = 32
+#: Entries of a block of an index list.
+BLOCK = 8
 #: Slots of the table of counts.
 SLOTS = 1 << 19
-#: K-grams that one side of a family's task holds.
-TASK_GRAMS = 1 << 20
+#: K-grams and sets that a task holds, about (a single larger set is a task with its partner).
+TASK_GRAMS, TASK_SETS = 1 << 20, 256
+#: Bytes of Arrow data after which a batch of sets is handed over.
+BATCH_BYTES = 64 << 20
+#: Index entries that are worked on at once.
+ENTRIES = 1 << 18
 _U = np.uint64
 
 
@@ -81,15 +94,29 @@ def _counts(k: int):
     return run
 
 
-def _signatures(k: int, t: Fraction, order):
-    def run(batches):
+def _flushed(rows: Iterator[tuple[int, tuple]], kinds: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Batches of (bytes, values) rows of at most 1024 rows or about BATCH_BYTES."""
+    held, size = [], 0
+    for n, row in rows:
+        held.append(row)
+        size += n
+        if len(held) == 1024 or size > BATCH_BYTES:
+            yield pa.record_batch({c: pa.array(x, kinds[c]) for c, x in zip(kinds, zip(*held, strict=True), strict=True)})
+            held, size = [], 0
+    if held:
+        yield pa.record_batch({c: pa.array(x, kinds[c]) for c, x in zip(kinds, zip(*held, strict=True), strict=True)})
+
+
+def _signatures(k: int, t: Fraction, order, kind: pa.DataType):
+    """(id, k1, k2, fp, n, prefix, often): prefix in order of position, often how many occurrences its k-grams have in the corpus at most."""
+    kinds = {"id": kind, "k1": pa.int64(), "k2": pa.int64(), "fp": pa.binary(), "n": pa.int32(), "prefix": pa.list_(pa.int64()), "often": pa.list_(pa.int32())}
+
+    def rows(batches):
         rank = order.value
         for batch in slices(batches, 1024):
-            prints, sizes, prefixes = [], [], []
-            for grams in gram_sets(batch.column("text"), k):
+            named = zip(*(batch.column(c).to_pylist() for c in ("id", "k1", "k2")), strict=True)
+            for (key, k1, k2), grams in zip(named, gram_sets(batch.column("text"), k), strict=True):
                 n = len(grams)
-                prints.append(fingerprint(grams))
-                sizes.append(n)
                 keep = min(n, n - int(_ceil(t, n)) + SHARED)
                 by = rank[(grams >> _U(45)).astype(np.int64)]
                 if keep < n:
@@ -99,74 +126,67 @@ def _signatures(k: int, t: Fraction, order):
                     part = np.concatenate([sure, tied[: keep - len(sure)]])
                 else:
                     part = np.arange(n)
-                prefixes.append(grams[part[np.lexsort((grams[part], by[part]))]].view(np.int64))
-            yield pa.record_batch({"id": batch.column("id"), "fp": pa.array(prints, pa.binary()), "n": pa.array(sizes, pa.int32()), "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
+                part = part[np.lexsort((grams[part], by[part]))]
+                yield 12 * len(part), (key, k1, k2, fingerprint(grams), n, grams[part].view(np.int64), by[part])
+
+    return lambda batches: _flushed(rows(batches), kinds)
 
-    return run
 
+def _can_reach(t: Fraction, s1, s2, p1, p2, low1, low2, lp1, lp2):
+    """Whether sets of at most s1 and s2 k-grams that share one at positions of at most p1 and p2 can reach t; low and lp are the least sizes and positions."""
+    sizes = (s1 * t.denominator >= low2 * t.numerator) & (s2 * t.denominator >= low1 * t.numerator)
+    return sizes & (np.minimum(p1, p2) + np.minimum(s1 - lp1, s2 - lp2) >= _needed(t, low1, low2))
 
-def _list_pairs(t: Fraction, most: int):
-    """(a, b, sizes): pairs inside lists of one block with their sizes' sum, and (-1 - family, set, its size) for each entry of a longer list."""
+
+def _list_pairs(t: Fraction):
+    """(a, b, na, nb): pairs of sets that meet in an index list, with their sizes."""
 
     def run(batches):
-        for group in _list_runs(batches):
-            gram, nid, size, pos = group
+        for gram, nid, size, pos in _list_runs(batches):
             cut = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1], [True]]))
             length = np.diff(cut)
             out: list[tuple] = []
-            for g in np.unique(length[(length > 1) & (length <= most)]):
+            for g in np.unique(length[length > 1]):
                 rows = cut[:-1][length == g][:, None] + np.arange(g)
                 n, s, p = nid[rows], size[rows], pos[rows]
-                i, j = np.triu_indices(g, 1)
-                need = _needed(t, s[:, i], s[:, j])
-                # sizes ascend in a list; what can still follow a pair's meeting bounds their overlap
-                ok = (s[:, i] * t.denominator >= s[:, j] * t.numerator) & (np.minimum(p[:, i], p[:, j]) + np.minimum(s[:, i] - p[:, i], s[:, j] - p[:, j]) >= need)
-                a, b, na, nb = n[:, i][ok], n[:, j][ok], s[:, i][ok], s[:, j][ok]
-                out.append((np.minimum(a, b), np.maximum(a, b), na + nb))
-            for lo, g in zip(cut[:-1][length > most], length[length > most], strict=True):
-                own, s = nid[lo : lo + g], size[lo : lo + g]
-                for fam, member in _families(own, s, t):
-                    out.append((np.full(len(member), -1 - fam), member, size[lo : lo + g][np.isin(own, member)]))
+                edge = np.arange(0, g, BLOCK)
+                stop = np.append(edge[1:], g)
+                hs, ls = np.maximum.reduceat(s, edge, axis=1), np.minimum.reduceat(s, edge, axis=1)
+                hp, lp = np.maximum.reduceat(p, edge, axis=1), np.minimum.reduceat(p, edge, axis=1)
+                for x in range(len(edge)):
+                    for y in range(x, len(edge)):
+                        left = np.flatnonzero(_can_reach(t, hs[:, x], hs[:, y], hp[:, x], hp[:, y], ls[:, x], ls[:, y], lp[:, x], lp[:, y]))
+                        if not len(left):
+                            continue
+                        i, j = np.meshgrid(np.arange(edge[x], stop[x]), np.arange(edge[y], stop[y]), indexing="ij")
+                        i, j = (i[i < j], j[i < j]) if x == y else (i.ravel(), j.ravel())
+                        i, j = (left[:, None], i), (left[:, None], j)
+                        ok = _can_reach(t, s[i], s[j], p[i], p[j], s[i], s[j], p[i], p[j])
+                        a, b, na, nb = n[i][ok], n[j][ok], s[i][ok], s[j][ok]
+                        swap = a > b
+                        out.append((np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb)))
             if out:
-                yield pa.record_batch({c: pa.array(np.concatenate(x), pa.int64()) for c, x in zip(("a", "b", "sizes"), zip(*out, strict=True), strict=True)})
+                a, b, na, nb = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "na": pa.array(na, pa.int32()), "nb": pa.array(nb, pa.int32())})
 
     return run
 
 
-def _families(nid: np.ndarray, size: np.ndarray, t: Fraction):
-    """Blocks of a long list as (smallest set, members), such that every pair that its sizes don't rule out shares a block.
-
-    Sizes ascend: a block holds all that its first member reaches, and the next
-    block begins at the first member that reaches further.
-    """
-    lo, n = 0, len(nid)
-    while lo < n:
-        hi = int(np.searchsorted(size, size[lo] * t.denominator // t.numerator, side="right"))
-        nxt = int(np.searchsorted(size, size[lo], side="right"))
-        while nxt < hi and size[nxt] * t.numerator <= size[lo] * t.denominator and hi < n:
-            reach = int(np.searchsorted(size, size[nxt] * t.denominator // t.numerator, side="right"))
-            if reach > hi:
-                break
-            nxt = int(np.searchsorted(size, size[nxt], side="right"))
-        if hi - lo > 1:
-            yield int(nid[lo:hi].min()), nid[lo:hi]
-        lo = nxt if hi < n else n
-
-
 def _list_runs(batches):
-    """Arrays of whole lists from a partition sorted by gram; a list that spans batches is joined."""
+    """Arrays of whole lists from a partition sorted by gram, about ENTRIES at a time; lists are short."""
     held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         gram = batch.column("gram").to_numpy()
-        start = int(np.searchsorted(gram != gram[-1], False)) if gram[0] == gram[-1] else int(np.flatnonzero(gram != gram[-1])[-1]) + 1
-        if start == 0:
+        start = int(np.flatnonzero(gram != gram[-1])[-1]) + 1 if (gram != gram[-1]).any() else 0
+        if size + start < ENTRIES or start == 0:
             held.append(batch)
+            size += batch.num_rows
             continue
-        held.append(batch.slice(0, start))
-        yield _arrays(held)
-        held = [batch.slice(start)]
+        yield _arrays([*held, batch.slice(0, start)])
+        held, size = [batch.slice(start)], batch.num_rows - start
     if held:
         yield _arrays(held)
 
@@ -211,17 +231,14 @@ class Family:
         self.cnt, self.last = self._lists(self.own[i]), i
         return self.cnt
 
-    def order(self) -> Iterator[int]:
-        """All sets; each next one overlaps most with the one before, among those not visited."""
-        left = np.ones(len(self.sets), bool)
-        i = 0
-        while True:
+    def order(self, visited: np.ndarray) -> Iterator[int]:
+        """All sets to visit; each next one overlaps most with the one before, among those left."""
+        left = visited.copy()
+        i = int(np.argmax(left))
+        while left[i]:
             left[i] = False
             yield i
-            near = np.where(left, self.cnt * 2 - self.size, np.iinfo(np.int64).min)
-            if not left.any():
-                return
-            i = int(np.argmax(near))
+            i = int(np.argmax(np.where(left, self.cnt * 2 - self.size, np.iinfo(np.int64).min)))
 
 
 def _find(parent: np.ndarray, i: int) -> int:
@@ -231,97 +248,180 @@ def _find(parent: np.ndarray, i: int) -> int:
     return i
 
 
-def family_links(sets: list[np.ndarray], side: np.ndarray, t: Fraction, star: bool = False) -> list[tuple[int, int]]:
-    """Links that join what is linked in a family into trees. With two sides only pairs across them count; star: only pairs with set 0."""
+def family_links(sets: list[np.ndarray], visited: np.ndarray, t: Fraction) -> list[tuple[int, int, bool]]:
+    """Links of visited sets with all others that join what is linked into trees, and whether the answer that gave each was derived."""
     fam, parent, out = Family(sets), np.arange(len(sets)), []
-    both = len(np.unique(side)) > 1
-    for i in [0] if star else fam.order():
+    for i in fam.order(visited):
+        before = fam.derived
         c = fam.overlaps(i)
         hit = c * t.denominator >= (fam.size + fam.size[i] - c) * t.numerator
         hit[i] = False
-        if both:
-            hit &= side != side[i]
         for j in np.flatnonzero(hit):
             a, b = _find(parent, i), _find(parent, int(j))
             if a != b:
                 parent[max(a, b)] = min(a, b)
-                out.append((i, int(j)))
+                out.append((i, int(j), fam.derived > before))
     return out
 
 
 def _join_tasks(t: Fraction):
-    """Links of each family or candidate star, from rows sorted by task."""
+    """Links of each task, from rows sorted by task."""
 
     def run(batches):
         for group in sorted_groups(batches, "task"):
-            nid, side = group["nid"].to_numpy(), group["side"].to_numpy()
-            star = bool(group["star"][0].as_py())
-            order = np.lexsort((nid, side)) if star else np.arange(len(nid))
-            grams = group["grams"].to_pylist()
-            sets = [np.frombuffer(grams[i], _U) for i in order]
-            links = family_links(sets, np.zeros(len(sets), np.int64) if star else side[order], t, star)
-            if links:
-                a, b = np.array(links).T
-                yield pa.record_batch({"a": pa.array(nid[order[a]], pa.int64()), "b": pa.array(nid[order[b]], pa.int64())})
+            nid = group["nid"].to_numpy()
+            sets = [np.frombuffer(x, _U) for x in group["grams"].to_pylist()]
+            found = family_links(sets, group["visited"].to_numpy().astype(bool), t)
+            if found:
+                a, b, derived = zip(*found, strict=True)
+                yield pa.record_batch({"a": pa.array(nid[list(a)], pa.int64()), "b": pa.array(nid[list(b)], pa.int64()), "derived": pa.array(derived)})
 
     return run
 
 
 def _grams_of(k: int):
-    def run(batches):
-        for batch in slices(batches, 1024):
-            sets = list(gram_sets(batch.column("text"), k))
-            yield pa.record_batch({"nid": batch.column("nid"), "fp": batch.column("fp"), "own": pa.array([fingerprint(s) for s in sets], pa.binary()), "grams": pa.array([s.tobytes() for s in sets], pa.binary())})
-
-    return run
-
-
-def links(docs: DataFrame, k: int, threshold: float, id_col: str, text_col: str, list_size: int = LIST, task_grams: int = TASK_GRAMS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(signatures, distinct sets, links between distinct sets that connect all that are linked)."""
-    spark = docs.sparkSession
-    t = Fraction(str(threshold))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = dict(rows.dtypes)["id"]
-    summed = rows.select("text").mapInArrow(_counts(k), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    rank = np.zeros(SLOTS, np.int64)
-    rank[summed["slot"].to_numpy()] = summed["n"].to_numpy()
-    order = spark.sparkContext.broadcast(np.minimum(rank, np.iinfo(np.int32).max).astype(np.int32))
-
-    signed = stored(rows.mapInArrow(_signatures(k, t, order), f"id {kind}, fp binary, n int, prefix array<long>"), "signatures")
-    firsts = signed.filter("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    sets = stored(firsts.withColumn("nid", F.monotonically_increasing_id()), "sets")
+    kinds = {"nid": pa.int64(), "fp": pa.binary(), "own": pa.binary(), "grams": pa.binary()}
 
-    lists = sets.select("nid", "n", F.posexplode("prefix").alias("pos", "gram")).repartition("gram").sortWithinPartitions("gram", "n", "nid")
-    met = stored(lists.mapInArrow(_list_pairs(t, list_size), "a long, b long, sizes long").groupBy("a", "b", "sizes").agg(F.count(F.lit(1)).alias("met")), "met")
-    s = t / (1 + t)
-    need = F.expr(f"(sizes * {s.numerator}L + {s.denominator - 1}L) div {s.denominator}L")
-    pairs = met.filter((F.col("a") >= 0) & (F.col("met") >= F.least(F.lit(SHARED).cast("long"), need))).select("a", "b")
-    stars = pairs.select(F.col("a").alias("task"), F.col("b").alias("nid"), F.lit(1).alias("side")).unionByName(pairs.select(F.col("a").alias("task"), F.col("a").alias("nid"), F.lit(0).alias("side")).distinct()).withColumn("star", F.lit(1))
-
-    members = met.filter("a < 0").select(F.col("a").alias("fam"), F.col("b").alias("nid"), F.col("sizes").alias("n"))
-    volume = members.groupBy("fam").agg(F.ceil(F.sum("n") / task_grams).cast("int").alias("blocks"))
-    dealt = members.join(volume, "fam").withColumn("own", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = dealt.select(F.xxhash64("fam", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "nid", (F.col("own") > F.col("other")).cast("int").alias("side"), F.lit(0).alias("star"))
-    wanted = stored(stars.unionByName(tasks), "wanted")
-
-    needed = wanted.select("nid").distinct().join(sets.select("nid", "fp", "id"), "nid")
-    texts = needed.join(rows, needed["id"].eqNullSafe(rows["id"])).select("nid", "fp", "text")
-    grams = texts.mapInArrow(_grams_of(k), "nid long, fp binary, own binary, grams binary").filter("fp = own").dropDuplicates(["nid"]).select("nid", "grams")
-    grams = stored(grams, "grams")
-    shipped = wanted.join(grams, "nid").repartition("task", "star").sortWithinPartitions("star", "task")
-    found = stored(shipped.mapInArrow(_join_tasks(t), "a long, b long"), "links")
-    return signed, sets, found
+    def rows(batches):
+        for batch in slices(batches, 1024):
+            named = zip(batch.column("nid").to_pylist(), batch.column("fp").to_pylist(), strict=True)
+            for (nid, fp), grams in zip(named, gram_sets(batch.column("text"), k), strict=True):
+                yield grams.nbytes, (nid, fp, fingerprint(grams), grams.tobytes())
+
+    return lambda batches: _flushed(rows(batches), kinds)
+
+
+def _dealt(rows: DataFrame, group: str, bound: tuple[int, int]) -> DataFrame:
+    """rows (group, nid, n, ...) with block: sets dealt by hash to blocks of about bounded k-grams and sets in each group. Group sizes pre-aggregate; they meet the rows by hash of both, so a large group is spread."""
+    grams, sets = bound
+    size = rows.groupBy(group).agg(F.ceil(F.greatest(F.sum("n") / grams, F.count(F.lit(1)) / sets)).cast("int").alias("blocks"))
+    return rows.join(size, group).withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
+
+
+class Links:
+    """signed: a row for each document; sets: a row for each distinct set; found: links that connect all that are linked."""
+
+    def __init__(self, docs: DataFrame, k: int, threshold: float, id_col: str, text_col: str, list_size: int = LIST, task_grams: int = TASK_GRAMS, task_sets: int = TASK_SETS):
+        self.t, self.k = Fraction(str(threshold)), k
+        self.bound = (max(1, task_grams // 2), max(1, task_sets // 2))
+        k1, k2 = row_key(id_col, text_col)
+        rows = docs.select(F.col(id_col).alias("id"), k1.alias("k1"), k2.alias("k2"), F.col(text_col).cast("string").alias("text"))
+        self.order = self._order(rows)
+        kind = dict(rows.dtypes)["id"]
+        schema = f"id {kind}, k1 long, k2 long, fp binary, n int, prefix array<long>, often array<int>"
+        arrow = pa.string() if kind == "string" else getattr(pa, {"bigint": "int64", "int": "int32", "smallint": "int16", "tinyint": "int8"}.get(kind, kind))()
+        self.signed = stored(rows.mapInArrow(_signatures(k, self.t, self.order, arrow), schema), "signatures")
+        firsts = self.signed.filter("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.min(F.struct("k1", "k2")).alias("row"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("often").alias("often"))
+        self.sets = stored(firsts.withColumn("nid", F.monotonically_increasing_id()), "sets")
+
+        lists, long_ = self._index(list_size)
+        members = stored(self._families(long_), "members")
+        pairs = stored(self._candidates(lists), "pairs")
+        tasks = stored(self._groups(pairs).unionByName(self._stars(members)), "tasks")
+        grams = self._grams(rows, tasks)
+        found = self._joined(tasks, grams, "links")
+        roots = components(found.select("a", "b"))
+        rest = stored(self._rest(members, roots), "tasks")
+        if rest.isEmpty():
+            self.found, self.roots = found, roots
+        else:
+            more = self._joined(rest, grams, "links")
+            self.found = found.unionByName(more)
+            self.roots = components(self.found.select("a", "b"))
+        discard(members, pairs, tasks, grams, rest)
+
+    def _order(self, rows: DataFrame):
+        summed = rows.select("text").mapInArrow(_counts(self.k), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+        rank = np.zeros(SLOTS, np.int64)
+        rank[summed["slot"].to_numpy()] = summed["n"].to_numpy()
+        return rows.sparkSession.sparkContext.broadcast(np.minimum(rank, np.iinfo(np.int32).max).astype(np.int32))
+
+    def _index(self, list_size: int) -> tuple[DataFrame, DataFrame]:
+        """(entries of lists of at most list_size, entries of longer lists); lists of one entry are left out."""
+        t = self.t
+        least = -(-t.numerator // (t.denominator - t.numerator)) if t < 1 else 1 << 31
+        entries = self.sets.filter(F.col("n") >= least).select("nid", "n", F.posexplode(F.arrays_zip("prefix", "often")).alias("pos", "e")).select("nid", "n", "pos", F.col("e.prefix").alias("gram"), F.col("e.often").alias("often")).filter("often > 1")
+        many = entries.filter(F.col("often") > list_size).drop("often")
+        sizes = many.groupBy("gram").agg(F.count(F.lit(1)).alias("length")).filter("length > 1")
+        many = many.join(sizes, "gram")
+        short = entries.filter(F.col("often") <= list_size).drop("often").unionByName(many.filter(F.col("length") <= list_size).drop("length"))
+        return short, many.filter(F.col("length") > list_size).drop("length")
+
+    def _candidates(self, lists: DataFrame) -> DataFrame:
+        """(a, b, na, nb) of sets that meet often enough in short lists."""
+        s = self.t / (1 + self.t)
+        need = F.expr(f"((na + nb) * {s.numerator}L + {s.denominator - 1}L) div {s.denominator}L")
+        sorted_ = lists.repartition("gram").sortWithinPartitions("gram", "pos", "n", "nid")
+        met = sorted_.mapInArrow(_list_pairs(self.t), "a long, b long, na int, nb int").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("met"))
+        return met.filter(F.col("met") >= F.least(F.lit(SHARED).cast("long"), need)).drop("met")
+
+    def _groups(self, pairs: DataFrame) -> DataFrame:
+        """Tasks of candidate pairs. A pair belongs to the group of its first set's smallest neighbour; a large group is split into blocks, and each pair goes to the task of its two blocks."""
+        near = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        hub = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("hub"))
+        own = pairs.join(hub, pairs["a"] == hub["u"]).drop("u")
+        sets = own.select("hub", F.col("a").alias("nid"), F.col("na").alias("n")).unionByName(own.select("hub", F.col("b").alias("nid"), F.col("nb").alias("n"))).distinct()
+        grams, most = self.bound
+        blocks = sets.groupBy("hub").agg(F.ceil(F.greatest(F.sum("n") / grams, F.count(F.lit(1)) / most)).cast("int").alias("blocks"))
+        at = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
+        own = own.join(blocks, "hub").withColumn("task", F.xxhash64("hub", at("a"), at("b"), F.lit("group")))
+        return own.select("task", F.col("a").alias("nid"), F.lit(1).alias("visited")).unionByName(own.select("task", F.col("b").alias("nid"), F.lit(0).alias("visited"))).groupBy("task", "nid").agg(F.max("visited").alias("visited"))
+
+    def _families(self, entries: DataFrame) -> DataFrame:
+        """(fam, nid, n, low, high): members of families, with the least and greatest position of the k-grams that they share."""
+        band = F.floor(F.log("n") / (math.log(float(1 / self.t)) * (1 + 1e-9) if self.t < 1 else 1.0))
+        both = entries.withColumn("band", band).withColumn("lower", F.explode(F.array(F.lit(1), F.lit(0)))).withColumn("band", F.col("band") - 1 + F.col("lower"))
+        fams = both.groupBy("gram", "band").agg(F.min("nid").alias("fam"), F.count(F.lit(1)).alias("m"), F.max("lower").alias("any")).filter("m > 1 and any = 1").select("gram", "band", "fam")
+        return both.join(fams, ["gram", "band"]).groupBy("fam", "nid").agg(F.first("n").alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+
+    def _stars(self, members: DataFrame) -> DataFrame:
+        """Tasks that compare a family's sets with its smallest one."""
+        others = _dealt(members.filter("nid != fam"), "fam", self.bound)
+        others = others.select(F.xxhash64("fam", "block", F.lit("star")).alias("task"), "fam", "nid")
+        return others.select("task", "nid", F.lit(0).alias("visited")).unionByName(others.select("task", F.col("fam").alias("nid"), F.lit(1).alias("visited")).distinct())
+
+    def _rest(self, members: DataFrame, roots: DataFrame) -> DataFrame:
+        """Tasks for families of several components: blocks of sets outside the largest component against all blocks that sizes and positions don't rule out."""
+        t, s = self.t, self.t / (1 + self.t)
+        named = members.join(roots, members["nid"] == roots["node"], "left").select("fam", "nid", "n", "low", "high", F.coalesce("root", "nid").alias("c"))
+        counts = named.groupBy("fam", "c").agg(F.count(F.lit(1)).alias("m"))
+        main = counts.groupBy("fam").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
+        kinds = named.join(main, "fam").withColumn("kind", F.xxhash64("fam", (F.col("c") != F.col("main")), F.floor(F.log("n") / 0.05), F.floor(F.log2(F.col("low") + 1))))
+        dealt = _dealt(kinds, "kind", self.bound).withColumn("block", F.xxhash64("kind", "block"))
+        about = dealt.groupBy("fam", "block").agg(F.max(F.col("c") != F.col("main")).alias("odd"), F.min("n").alias("ln"), F.max("n").alias("hn"), F.min("low").alias("lp"), F.max("high").alias("hp"), F.min("c").alias("lc"), F.max("c").alias("hc"))
+        x, y = (about.select("fam", *[F.col(c).alias(f"{c}{i}") for c in about.columns if c != "fam"]) for i in (1, 2))
+        need = F.expr(f"((ln1 + ln2) * {s.numerator}L + {s.denominator - 1}L) div {s.denominator}L")
+        reach = (F.col("hn1") * t.denominator >= F.col("ln2") * t.numerator) & (F.col("hn2") * t.denominator >= F.col("ln1") * t.numerator) & (F.least("hp1", "hp2") + F.least(F.col("hn1") - F.col("lp1"), F.col("hn2") - F.col("lp2")) >= need)
+        apart = ~((F.col("lc1") == F.col("hc1")) & (F.col("lc2") == F.col("hc2")) & (F.col("lc1") == F.col("lc2")))
+        pairs = x.filter("odd1").join(y, "fam").filter((~F.col("odd2") | (F.col("block1") <= F.col("block2"))) & reach & apart)
+        task = pairs.select("fam", "block1", "block2", F.xxhash64("fam", "block1", "block2", F.lit("rest")).alias("task"))
+        first = task.select("fam", F.col("block1").alias("block"), "task", F.lit(1).alias("visited"))
+        second = task.filter("block1 != block2").select("fam", F.col("block2").alias("block"), "task", F.lit(0).alias("visited"))
+        return first.unionByName(second).join(dealt.select("fam", "block", "nid"), ["fam", "block"]).select("task", "nid", "visited")
+
+    def _grams(self, rows: DataFrame, tasks: DataFrame) -> DataFrame:
+        """(nid, grams) of every set of a task, from the text of one document that has it."""
+        needed = tasks.select("nid").distinct().join(self.sets.select("nid", "fp", F.col("row.k1").alias("k1"), F.col("row.k2").alias("k2")), "nid")
+        texts = rows.drop("id").join(needed, ["k1", "k2"]).select("nid", "fp", "text")
+        return stored(texts.mapInArrow(_grams_of(self.k), "nid long, fp binary, own binary, grams binary").filter("fp = own").dropDuplicates(["nid"]).select("nid", "grams"), "grams")
+
+    def _joined(self, tasks: DataFrame, grams: DataFrame, name: str) -> DataFrame:
+        shipped = tasks.join(grams, "nid").repartition("task").sortWithinPartitions("task", "nid")
+        return stored(shipped.mapInArrow(_join_tasks(self.t), "a long, b long, derived boolean"), name)
+
+    def named(self) -> DataFrame:
+        """(fp, copies, root) of each distinct set; root names its component."""
+        return self.sets.select("nid", "fp", "copies", "id").join(self.roots, self.sets["nid"] == self.roots["node"], "left").select("fp", "copies", "id", F.coalesce("root", "nid").alias("root"))
 
 
 def components(found: DataFrame) -> DataFrame:
     """(node, root) for every node of a link; root is the smallest node of its component.
 
     Alternating large-star and small-star: each round is a min per node (which
-    pre-aggregates) and a join back to the links, so hubs aren't gathered.
+    pre-aggregates) and a join of it back to the links, one row a node; adaptive
+    skew joins split the links of a hub.
     """
-    edges = found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
-    edges = stored(edges, "edges")
+    edges = stored(found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
     before = (0, None)
     while True:
         near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -329,7 +429,8 @@ def components(found: DataFrame) -> DataFrame:
         large = near.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("x"), "m").filter("x != m").select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = stored(small, "edges")
+        last, edges = edges, stored(small, "edges")
+        discard(last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -343,16 +444,40 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_c
     between sets of word k-grams. Null and empty texts have no k-grams and are
     linked with nothing: their component is their own id. Rows with equal sets
     are linked, also where ids repeat; null ids are passed over in the minimum.
+    An empty table gives no rows; ids are integers or strings.
     """
-    signed, sets, found = links(docs, k, threshold, id_col, text_col, **bounds)
-    joined_ = components(found)
-    roots = sets.select("nid", "fp", "id").join(joined_, sets["nid"] == joined_["node"], "left").select("fp", "id", F.coalesce("root", "nid").alias("root"))
+    own = Links(docs, k, threshold, id_col, text_col, **bounds)
+    roots = own.named()
     least = roots.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = roots.join(least, "root").select("fp", "component_id")
-    full = signed.filter("n > 0").select("id", "fp", "n").join(named, "fp").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
-    empty = signed.filter("n = 0").select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"))
+    named = stored(roots.join(least, "root").select("fp", "copies", "component_id"), "components")
+    full = hot_join(own.signed.filter("n > 0").select("id", "fp", "n"), named, ["fp"], "copies").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
+    empty = own.signed.filter("n = 0").select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"))
     return full.unionByName(empty)
 
 
+def one_of_each(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **bounds: int) -> DataFrame:
+    """docs with one row of each component of near duplicates: that of the smallest id (null ids last; of rows that share it, by a hash of the text).
+
+    Rows are told apart by id and text, so a row linked with nothing stays
+    whatever its id. Of rows that agree in both one stays. Null and empty texts
+    are linked with nothing and all stay.
+    """
+    own = Links(docs, k, threshold, id_col, text_col, **bounds)
+    named = stored(own.named().select("fp", "copies", "root"), "components")
+    rows = hot_join(own.signed.filter("n > 0").select("id", "fp", "k1", "k2"), named, ["fp"], "copies")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("first")).select("first.k1", "first.k2")
+    by_row = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("rows"))
+    out = by_row.join(first, ["k1", "k2"], "left_anti").select("k1", "k2")
+    a, b = fresh("k1"), fresh("k2")
+    k1, k2 = row_key(id_col, text_col)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumns({a: k1, b: k2})
+    kept = keyed.join(out.toDF(a, b), [a, b], "left_anti")
+    again = stored(by_row.filter("rows > 1").select("k1", "k2").toDF(a, b), "repeated")
+    if again.isEmpty():
+        return kept.select(columns)
+    return kept.join(again, [a, b], "left_anti").unionByName(kept.join(again, [a, b], "left_semi").dropDuplicates([a, b])).select(columns)
+
+
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), 3, 0.9)

@@ -82,6 +82,26 @@ def crc_mod(col: str, n: int):
     return F.pmod(F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(0)), F.lit(n))
 
 
+#: A key is hot if it has more than one in so many rows, so fewer than HOT keys are.
+HOT = 1000
+
+
+def hot_join(rows: DataFrame, found: DataFrame, keys: list[str], copies: str) -> DataFrame:
+    """rows with found's columns (one row a key; copies: how many rows have it), null where the key isn't there.
+
+    Rows of hot keys, of which there are fewer than HOT, take theirs from a
+    broadcast and are spread over all tasks of the shuffle that the others need.
+    """
+    total = found.agg(F.sum(copies)).first()[0] or 0
+    hot, cold, spread = fresh("hot"), fresh("cold"), fresh("spread")
+    values = [c for c in found.columns if c not in (*keys, copies)]
+    rows_ = rows.join(F.broadcast(found.filter(F.col(copies) * HOT > total).select(*keys, F.struct(*values).alias(hot))), keys, "left")
+    rows_ = rows_.withColumn(spread, F.when(F.col(hot).isNull(), -1).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(4096))).cast("int"))
+    other = found.filter(F.col(copies) * HOT <= total).select(*keys, F.struct(*values).alias(cold), F.lit(-1).alias(spread))
+    both = F.coalesce(F.col(hot), F.col(cold))
+    return rows_.join(other, [*keys, spread], "left").select(*rows.columns, *[both.getField(v).alias(v) for v in values])
+
+
 #: Rows that Python code works on at once; an Arrow batch may hold more.
 ROWS = 512
 

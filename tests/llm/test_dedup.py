@@ -52,7 +52,7 @@ def near_copies(n, words, edits, seed):
     return out
 
 
-@pytest.mark.parametrize(("k", "threshold", "bounds"), [(3, 0.9, {}), (5, 0.8, {"list_size": 4, "task_grams": 2000}), (3, 0.9, {"list_size": 3, "task_grams": 10**6})])
+@pytest.mark.parametrize(("k", "threshold", "bounds"), [(3, 0.9, {}), (5, 0.8, {"list_size": 4, "task_grams": 2000}), (3, 0.9, {"list_size": 3, "task_grams": 10**6}), (3, 0.9, {"list_size": 2, "task_sets": 4}), (5, 0.8, {"task_sets": 3})])
 def test_components_equal_brute_force(spark, k, threshold, bounds):
     rng = random.Random(k)
     texts = near_copies(60, 120, 6, 1) + near_copies(20, 40, 3, 2) + near_copies(12, 400, 20, 3)
@@ -66,19 +66,29 @@ def test_components_equal_brute_force(spark, k, threshold, bounds):
     assert got == sorted(expected, key=repr)
 
 
-def test_families_cover_all_pairs_that_sizes_allow():
+def test_blocks_are_skipped_only_where_no_pair_can_reach():
+    """Every pair of sets that reaches t, of lists of any length, is among the pairs of each list that both are in."""
     import numpy as np
-
-    t = Fraction(9, 10)
-    rng = np.random.default_rng(0)
-    for _ in range(50):
-        size = np.sort(rng.integers(1, 80, rng.integers(2, 60)))
-        nid = rng.permutation(len(size))
-        seen = {frozenset((int(a), int(b))) for _, own in setjoin._families(nid, size, t) for a in own for b in own}
-        for i in range(len(size)):
-            for j in range(i):
-                if size[j] * 10 >= size[i] * 9:
-                    assert frozenset((int(nid[i]), int(nid[j]))) in seen
+    import pyarrow as pa
+
+    t, rng = Fraction(4, 5), np.random.default_rng(0)
+    base = rng.choice(400, 60, replace=False)
+    sets = [np.sort(np.unique(np.concatenate([base[rng.random(60) > 0.1], rng.integers(0, 400, rng.integers(0, 12))]))) for _ in range(60)]
+    entries = sorted((g, p, len(x), i) for i, x in enumerate(sets) for p, g in enumerate(x))
+    batch = pa.record_batch({c: pa.array(v, pa.int64() if c in ("gram", "nid") else pa.int32()) for c, v in zip(("gram", "pos", "n", "nid"), zip(*entries, strict=True), strict=True)})
+    got = {}
+    for out in setjoin._list_pairs(t)([batch.slice(0, 500), batch.slice(500)]):
+        for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True):
+            got[a, b] = got.get((a, b), 0) + 1
+    linked = 0
+    for i, x in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            both = len(np.intersect1d(x, sets[j]))
+            if both >= t * len(np.union1d(x, sets[j])):
+                linked += 1
+                assert got[i, j] == both
+    every = sum(n * (n - 1) // 2 for n in np.unique([e[0] for e in entries], return_counts=True)[1])
+    assert linked and sum(got.values()) < every
 
 
 def test_overlaps_are_derived_from_similar_sets():
@@ -88,11 +98,51 @@ def test_overlaps_are_derived_from_similar_sets():
     base = rng.choice(10**6, 200, replace=False)
     sets = [np.unique(np.concatenate([base[: 200 - e], rng.integers(10**6, 10**7, e)])).astype(np.uint64) for e in range(12)]
     fam = setjoin.Family(sets)
-    for i in fam.order():
+    for i in fam.order(np.ones(12, bool)):
         assert fam.overlaps(i).tolist() == [len(np.intersect1d(sets[i], s)) for s in sets]
     assert fam.derived >= 8
 
 
+def test_answers_are_derived_and_large_families_split(spark):
+    """A large group of near copies in one long list: tasks stay small, most answers are derived, and no link is lost."""
+    texts = near_copies(400, 60, 3, 5) + near_copies(30, 80, 4, 6)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    own = setjoin.Links(df, 3, 0.9, "doc_id", "text", task_sets=64)
+    assert own.found.filter("derived").count() > 0
+    got = sorted(map(tuple, setjoin.jaccard_components(df, 3, 0.9, task_sets=64).collect()))
+    assert got == sorted(brute_components(list(enumerate(texts)), 3, 0.9))
+
+
+def test_many_short_texts_of_one_phrase(spark):
+    """Sets of six 3-grams can only be linked to equal ones at 0.9 and aren't indexed; those of nine and ten can."""
+    n = 100_000
+    df = spark.range(n).selectExpr("id AS doc_id", "concat('thank you very much dear ', id % 50000, ' and bye') AS text")
+    more = [(n + i, "one two three four five six seven eight nine ten eleven" + " twelve" * i) for i in range(2)]
+    got = setjoin.jaccard_components(df.unionByName(spark.createDataFrame(more, "doc_id long, text string")), 3, 0.9)
+    assert got.filter(f"doc_id < {n} and component_id != doc_id % 50000").count() == 0
+    assert {tuple(r) for r in got.filter(f"doc_id >= {n}").collect()} == {(n, 9, n), (n + 1, 10, n)}
+
+
+def test_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "BATCH_BYTES", 1000)
+    rng = random.Random(8)
+    long_ = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60_000))
+    rows = [(1, long_), (2, long_ + " more words at the end"), (3, "w1 " * 200_000), (4, None)]
+    got = {tuple(r) for r in setjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 0.8).collect()}
+    assert {(a, c) for a, _, c in got} == {(1, 1), (2, 1), (3, 3), (4, 4)}
+
+
+def test_one_row_of_each_component_stays(spark):
+    a = "some words that make one text of a dozen words and then more of them"
+    rows = [(1, a, "x"), (3, a + " end", "y"), (3, "linked with nothing at all under the same id", "z"), (5, "twice the very same row is here", "p"), (5, "twice the very same row is here", "p"), (6, None, "q"), (6, "", "q"), (6, "", "q"), (None, a + " end too", "n"), (None, "alone without any id among all", "n"), (None, "alone without any id among all", "n")]
+    df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, k1 string, root int").repartition(3)
+    got = sorted(((r.doc_id, r.text, r.k1, r.root) for r in setjoin.one_of_each(df).collect()), key=repr)
+    assert got == sorted(((*rows[i], 7) for i in (0, 2, 3, 5, 6, 7, 9)), key=repr)
+    assert setjoin.one_of_each(df.limit(0)).count() == 0
+    names = spark.createDataFrame([("b", a), ("a", a + " end"), ("c", "else")], "name string, body string")
+    assert {r.name for r in setjoin.one_of_each(names, id_col="name", text_col="body").collect()} == {"a", "c"}
+
+
 def test_components_of_an_empty_table(spark):
     assert setjoin.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
