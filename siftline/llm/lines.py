@@ -8,24 +8,19 @@ gathered in a set. Only hashes and positions are shuffled to find repeats.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import fresh, row_key, table
 
 LINES = 3
 
 
-def _row_key(id_col: str, text_col: str) -> list[Column]:
-    """128 bits that tell rows apart, whatever their ids; two hashes of id and text."""
-    a, b = F.col(id_col).cast("string"), F.col(text_col)
-    return [F.xxhash64(F.lit(1), a, F.lit("/"), b).alias("_k1"), F.xxhash64(b, F.lit(2), a).alias("_k2")]
-
-
 def windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_k1, _k2, _id, _pos, _h1, _h2): a row for each window. A text of one or two lines is one window of all its lines."""
     lines = F.split(F.col(text_col), "\n")
-    rows = docs.filter(F.col(text_col).isNotNull()).select(*_row_key(id_col, text_col), F.col(id_col).alias("_id"), lines.alias("l"))
+    k1, k2 = row_key(id_col, text_col)
+    rows = docs.filter(F.col(text_col).isNotNull()).select(k1.alias("_k1"), k2.alias("_k2"), F.col(id_col).alias("_id"), lines.alias("l"))
     n = F.size("l")
     zipped = F.arrays_zip(*[F.slice("l", i + 1, n).alias(f"l{i}") for i in range(LINES)])
     rows = rows.select("_k1", "_k2", "_id", F.least(n, F.lit(LINES)).alias("own"), F.greatest(n - (LINES - 1), F.lit(1)).alias("many"), F.posexplode(zipped).alias("_pos", "w")).filter("_pos < many")
@@ -44,20 +39,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = windows(docs, id_col, text_col)
     first = found.groupBy("_h1", "_h2").agg(F.min(F.struct("_id", "_pos")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     later = found.join(first, ["_h1", "_h2"]).filter(F.struct("_id", "_pos") > F.col("_first"))
-    gone = later.groupBy("_k1", "_k2").agg(F.collect_set("_pos").alias("_gone"))
+    gone_, k1, k2, left_ = (fresh(c) for c in ("gone", "k1", "k2", "left"))
+    gone = later.groupBy(F.col("_k1").alias(k1), F.col("_k2").alias(k2)).agg(F.collect_set("_pos").alias(gone_))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], *_row_key(id_col, text_col)).join(gone, ["_k1", "_k2"], "left")
+    own = row_key(id_col, text_col)
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], own[0].alias(k1), own[1].alias(k2)).join(gone, [k1, k2], "left")
     lines = F.split(F.col(text_col), "\n")
     n = F.size(lines)
-    under = F.flatten(F.transform("_gone", lambda p: F.sequence(p, F.least(p + (LINES - 1), n - 1))))
+    under = F.flatten(F.transform(gone_, lambda p: F.sequence(p, F.least(p + (LINES - 1), n - 1))))
     left = F.array_except(F.sequence(F.lit(0), n - 1), under)
-    rows = rows.withColumn("_left", F.when(F.col("_gone").isNotNull(), left))
-    clean = F.when(F.col("_left").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform("_left", lambda i: F.element_at(lines, i + 1)), "\n"))
+    rows = rows.withColumn(left_, F.when(F.col(gone_).isNotNull(), left))
+    clean = F.when(F.col(left_).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left_, lambda i: F.element_at(lines, i + 1)), "\n"))
     count = F.when(F.col(text_col).isNull(), 0).otherwise(n)
     return rows.select(
         *[(clean.alias(c) if c == text_col else F.col(f"`{c}`")) for c in kept],
         count.cast("long").alias("n_lines"),
-        F.when(F.col("_left").isNull(), 0).otherwise(n - F.size("_left")).cast("long").alias("n_removed"),
+        F.when(F.col(left_).isNull(), 0).otherwise(n - F.size(left_)).cast("long").alias("n_removed"),
     )
 
 

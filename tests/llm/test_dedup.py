@@ -210,3 +210,68 @@ def test_benchmark_blocks_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_TOKENS", 40)
     assert set(map(tuple, decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect())) == whole
     assert {(a, b) for a, b, *_ in whole} == {(i, i) for i in range(8)}
+
+
+def brute_overlaps(rows, items):
+    """(id, item, matched, overlap) of the best alignment of every pair whose window agrees enough, by trying all alignments."""
+    cut = lambda t: [x for x in re.split(r"[\s!-/:-@\[-`{-~]+", (t or "").lower()) if x]
+    out = {}
+    for key, text in rows:
+        d = cut(text)
+        for item, body in items:
+            it = cut(body)
+            if len(it) < decontam.SPAN:
+                continue
+            for start in range(-len(it) + 1, len(d)):
+                lo = max(0, -start)
+                n = min(len(it) - lo, len(d) - start - lo)
+                eq = [it[lo + i] == d[start + lo + i] for i in range(n)]
+                wide = min(n, decontam.WINDOW)
+                if wide >= decontam.SPAN and any(sum(eq[i : i + wide]) >= -(-wide * 4 // 5) for i in range(n - wide + 1)):
+                    out[key, item] = max(out.get((key, item), (0, 0)), (sum(eq), n))
+    return {(*k, *v) for k, v in out.items()}
+
+
+def test_matched_and_overlap_equal_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    items = [(i, " ".join(word() for _ in range(rng.choice([10, 12, 15, 16, 24, 40])))) for i in range(12)]
+    docs = []
+    for d in range(60):
+        own = [word() for _ in range(rng.randrange(0, 40))]
+        part = items[d % 12][1].split()
+        part = part[rng.randrange(0, 5) :] if d % 4 == 0 else part
+        for at in range(d % 7, len(part), 8):
+            part[at] = word()
+        own[len(own) // 2 : len(own) // 2] = part
+        docs.append((d, " ".join(own)))
+    docs += [(90, items[0][1] + " " + items[1][1] + " " + items[0][1]), (91, None), (92, "word " * 120_000 + items[4][1])]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"))
+    assert {tuple(r) for r in got.collect()} == brute_overlaps(docs[:-1], items) | {(92, 4, len(items[4][1].split()), len(items[4][1].split()))}
+
+
+def test_seeds_survive_substitutions_at_every_length():
+    import itertools
+    import math
+
+    masks = [[i for i, x in enumerate(m) if x == "1"] for m in decontam.MASKS]
+    for n in range(decontam.SPAN, decontam.WINDOW + 1):
+        lost = [set(c) for c in itertools.combinations(range(n), n - math.ceil(n * decontam.SHARE))]
+        hit = sum(any(not any(a + i in c for i in m) for m in masks for a in range(n - m[-1])) for c in lost)
+        assert hit >= 0.98 * len(lost), n
+
+
+def test_rows_are_cleaned_by_their_own_text(spark):
+    item = " ".join(f"t{i}" for i in range(20))
+    rows = [(1, "x " + item, 5), (1, "another text under that id", 6), (None, item, 7), (None, "fine", 8), (2, None, 9), (3, "", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, item_id long")
+    got = decontam.clean(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert got.columns == df.columns and sorted(r.item_id for r in got.collect()) == [6, 8, 9, 9]
+
+
+def test_long_lines_between_different_neighbours_stay(spark):
+    """A line of over 50 words is a window of its own only in a text of one line; the window is three lines."""
+    line = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"a\n{line}\nb"), (2, f"c\n{line}\nd"), (3, f"x\na\n{line}\nb\ny"), (4, line), (5, line)]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, _k1 int, _gone int")).collect()}
+    assert got == {1: 0, 2: 0, 3: 3, 4: 0, 5: 1}
