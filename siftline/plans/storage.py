@@ -9,7 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def saver(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """checkpoint() into the folder that spark.checkpoint.dir names; a temporary one only where none is set."""
+    """checkpoint() into the folder that spark.checkpoint.dir names.
+
+    Where none is named a local session (as in tests) takes a temporary one; a
+    cluster, whose executors don't share such a folder, gets an error instead.
+    """
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftline-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="siftline-"))
     return lambda df: df.checkpoint()
