@@ -2,11 +2,14 @@
 
 Training counts n-grams of one to three characters in BUCKETS hash buckets per
 length; the log-probability matrix (languages x buckets, a fixed size) is
-broadcast and batches of texts are scored by gathering and summing its rows.
+broadcast and each batch of texts becomes one sparse matrix (text, bucket, count),
+which is multiplied with it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,8 +23,10 @@ ORDERS = (1, 2, 3)
 MAX_TRAIN = 40_000
 #: Evidence beyond this many n-grams is scaled down, so that long texts don't all score exactly 1.
 EVIDENCE = 60
-#: Characters per step, which bounds the gathered matrix whatever a text holds.
-STEP = 20_000
+#: Characters per piece of a text and per sparse matrix, which bound both whatever a text holds.
+STEP, MATRIX = 20_000, 1 << 18
+#: More languages than these are refused, as the matrix that is broadcast grows with them.
+MAX_LANGS = 512
 _MUL = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
 _SPACE = 32
 _FOLD: list[np.ndarray] = []
@@ -69,10 +74,13 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_tra
     """Counts by language and bucket, summed in Spark; the result is at most languages x buckets numbers.
 
     Rows without text or language are not learned from. With no rows at all the
-    model knows no language and every prediction is ``und``.
+    model knows no language and every prediction is ``und``. More than MAX_LANGS
+    languages raise ValueError.
     """
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    n = rows.count()
+    n, many = rows.agg(F.count(F.lit(1)), F.count_distinct("lang")).first()
+    if many > MAX_LANGS:
+        raise ValueError(f"{many} languages; the model is broadcast and takes at most {MAX_LANGS}")
     if n > max_train:
         rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(1_000_003 * max_train / n))
     counts = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
@@ -88,26 +96,50 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_tra
     return {"langs": langs, "logp": np.ascontiguousarray(logp.T.astype(np.float32))}
 
 
-def score_texts(texts: list[str | None], langs: list[str], logp: np.ndarray) -> tuple[list[str], list[float]]:
-    pred, score = [], []
-    for text in texts:
-        chars = letters(text or "")
-        if not langs or not (chars != _SPACE).any():
-            pred.append("und")
-            score.append(0.0)
-            continue
-        total, n = np.zeros(len(langs)), 0
+def _matrices(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sparse matrices (text, bucket, count), sorted, of pieces of the texts; their sum counts every n-gram of every text once."""
+    held, size = [], 0
+    for row, chars in enumerate(texts):
         for lo in range(0, len(chars), STEP):
-            for k, at in enumerate(grams(chars[lo : lo + STEP + len(ORDERS) - 1])):
-                at = at[: max(0, min(STEP, len(chars) - lo - k))]
-                n += len(at)
-                total += np.ones(len(at), np.float32) @ logp.take(at, axis=0)
-        z = total * (min(n, EVIDENCE) / n)
-        p = np.exp(z - z.max())
-        best = int(np.argmax(z))
-        pred.append(langs[best])
-        score.append(float(p[best] / p.sum()))
-    return pred, score
+            part = chars[lo : lo + STEP + len(ORDERS) - 1]
+            held.append((row, min(STEP, len(chars) - lo), part))
+            size += len(part)
+            if size >= MATRIX:
+                yield _matrix(held)
+                held, size = [], 0
+    if held:
+        yield _matrix(held)
+
+
+def _matrix(held: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = np.array([len(part) for *_, part in held])
+    row = np.repeat([row for row, *_ in held], size)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    starts, left = at < np.repeat([n for _, n, _ in held], size), np.repeat(size, size) - at
+    keys = []
+    for k, bucket in enumerate(grams(np.concatenate([part for *_, part in held]))):
+        ok = starts[: len(bucket)] & (left[: len(bucket)] > k)
+        keys.append((row[: len(bucket)][ok] << 17) | bucket[ok])
+    keys = np.sort(np.concatenate(keys).astype(np.uint32))
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    own = keys[first]
+    return (own >> np.uint32(17)).astype(np.int64), (own & np.uint32(0x1FFFF)).astype(np.int64), np.diff(np.append(first, len(keys)))
+
+
+def score_texts(texts: list[str | None], langs: list[str], logp: np.ndarray) -> tuple[list[str], list[float]]:
+    """Of at most 32,768 texts the likeliest language of each and its share of the evidence."""
+    chars = [letters(t or "") for t in texts]
+    open_ = [bool(langs) and bool((c != _SPACE).any()) for c in chars]
+    total, n = np.zeros((len(texts), max(1, len(langs)))), np.zeros(len(texts))
+    for row, bucket, count in _matrices([c if o else c[:0] for c, o in zip(chars, open_, strict=True)]):
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        total[row[first]] += np.add.reduceat(logp[bucket] * count[:, None], first)
+        n += np.bincount(row, count, minlength=len(texts))
+    z = total * (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None]
+    p = np.exp(z - z.max(1, keepdims=True))
+    best = np.argmax(z, 1)
+    share = p[np.arange(len(texts)), best] / p.sum(1)
+    return [langs[b] if o else "und" for b, o in zip(best, open_, strict=True)], [float(x) if o else 0.0 for x, o in zip(share, open_, strict=True)]
 
 
 def identify(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:

@@ -7,9 +7,10 @@ hash, in tables that grow with the corpus: documents are dealt to blocks of
 bounded size, each block sends its distinct keys with their counts to the tasks
 that own a range of keys, and gets back the corpus's counts of just those keys.
 Nothing is broadcast. A document's score is the mean over its tokens of
-background loss minus target loss: higher means closer to the target. A
-document's own counts are left out of both models while it is scored, so that
-having been learned from is no advantage.
+background loss minus target loss: higher means closer to the target. The counts of
+all documents of the same text (which have a key of their own) are left out of
+both models while it is scored, so that having been learned from, itself or as a
+copy, is no advantage.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunkwords import hashes
 from .shared import shuffle_parts, table
 from .textbytes import chunks, mix, words
 
@@ -53,17 +55,17 @@ def _dealt(docs: DataFrame, target: DataFrame, seats: list[int], id_col: str, te
     return rows.unionByName(ids).withColumn("block", F.element_at(F.lit(seats), at + 1)).repartition(len(seats), "block")
 
 
-def _keys(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of words and of pairs (each word with the one before), and first words."""
+def _keys(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of words and of pairs (each word with the one before), first words, and keys of whole texts."""
     _, _, w, first = words(buf, off)
     prev = np.empty(len(w), _U)
     prev[1:] = w[:-1]
     prev[first[:-1][first[:-1] < first[1:]]] = _OPEN
-    return w, mix(prev * _U(0x9E3779B97F4A7C15) + mix(w)), first
+    return w, mix(prev * _U(0x9E3779B97F4A7C15) + mix(w)), first, mix(hashes(buf, off[:-1], off[1:])[0] ^ _OPEN)
 
 
-def _texts(block: pa.Table) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, whether learned from, word keys, pair keys, first words) of runs of a block's documents."""
+def _texts(block: pa.Table) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, whether learned from, word keys, pair keys, first words, text keys) of runs of a block's documents."""
     ids = block.filter(block["hit"])["id"].combine_chunks()
     for batch in block.filter(pc.invert(block["hit"])).to_batches():
         if not batch.num_rows:
@@ -90,7 +92,7 @@ _FOUND = "block int, bucket int, n long, words long, target_words long, counts b
 
 def _distinct(runs: list[tuple]) -> np.ndarray:
     """The sorted distinct keys of a block."""
-    return np.unique(np.concatenate([np.array([_OPEN]), *(x for run in runs for x in run[2:4])]))
+    return np.unique(np.concatenate([np.array([_OPEN]), *(run[k] for run in runs for k in (2, 3, 5))]))
 
 
 def _asking(seats: list[int]) -> Callable:
@@ -102,11 +104,11 @@ def _asking(seats: list[int]) -> Callable:
         keys = _distinct(runs)
         count = np.zeros((2, len(keys)), np.int64)
         total = [0, 0]
-        for _, target, w, pair, first in runs:
+        for _, target, w, pair, first, text in runs:
             n = np.diff(first)
             good = np.repeat(target, n)
-            for row, (keep, has) in enumerate(((slice(None), n > 0), (good, (n > 0) & target))):
-                for x in (w[keep], pair[keep]):
+            for row, (keep, has, whole) in enumerate(((slice(None), n > 0, slice(None)), (good, (n > 0) & target, target))):
+                for x in (w[keep], pair[keep], text[whole]):
                     own, times = np.unique(x, return_counts=True)
                     count[row, np.searchsorted(keys, own)] += times
                 count[row, np.searchsorted(keys, _OPEN)] += int(has.sum())
@@ -153,15 +155,16 @@ def _own(doc: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:
     return n[where]
 
 
-def _losses(model: dict, doc: np.ndarray, w: np.ndarray, prev: np.ndarray, pair: np.ndarray, n: np.ndarray, learned: np.ndarray) -> dict:
-    """Loss of each token under both models, without its own document's counts. w, prev and pair are places in the models' tables."""
+def _losses(model: dict, doc: np.ndarray, w: np.ndarray, prev: np.ndarray, pair: np.ndarray, n: np.ndarray, text: np.ndarray) -> dict:
+    """Loss of each token under both models, without the counts of documents of its text. w, prev, pair and text are places in the models' tables."""
     most = len(model["background"])
     own = {k: _own(doc, at, most) for k, at in (("w", w), ("pair", pair))}
     own["prev"] = np.where(prev == model["open"], 1, np.concatenate([[0], own["w"][:-1]])) if len(w) else own["w"]
+    copies = {name: model[name][text][doc] for name in ("background", "target")}
     base = model["background"]
-    uniform = (base[w] - own["w"] + 0.5) / (model["background_words"] - n[doc] + 0.5 * VOCABULARY)
+    uniform = (base[w] - copies["background"] * own["w"] + 0.5) / (model["background_words"] - copies["background"] * n[doc] + 0.5 * VOCABULARY)
     out = {}
-    for name, weight in (("background", np.ones(len(w))), ("target", learned[doc].astype(float))):
+    for name, weight in copies.items():
         table_ = model[name]
         count = {k: np.maximum(table_[at] - weight * own[k], 0) for k, at in (("w", w), ("prev", prev))}
         both = np.maximum(table_[pair] - weight * own["pair"], 0)
@@ -191,14 +194,14 @@ def score(docs: DataFrame, model: dict, target: DataFrame, id_col: str = "doc_id
         if counts.shape[1] != len(keys):
             raise RuntimeError(f"{counts.shape[1]} counts for {len(keys)} keys: the model is of other documents")
         own = {"background": counts[0], "target": counts[1], "open": int(np.searchsorted(keys, _OPEN)), "background_words": found["words"][0].as_py(), "target_words": found["target_words"][0].as_py()}
-        for ids, target_, w, pair, first in runs:
-            w, pair = np.searchsorted(keys, w), np.searchsorted(keys, pair)
+        for ids, _, w, pair, first, text in runs:
+            w, pair, text = (np.searchsorted(keys, x) for x in (w, pair, text))
             prev = np.empty(len(w), np.int64)
             prev[1:] = w[:-1]
             prev[first[:-1][first[:-1] < first[1:]]] = own["open"]
             n = np.diff(first)
             doc = np.repeat(np.arange(len(n)), n)
-            each = _losses(own, doc, w, prev, pair, n, target_)
+            each = _losses(own, doc, w, prev, pair, n, text)
             loss = [np.bincount(doc, each[k], minlength=len(n)) / np.maximum(n, 1) for k in ("target", "background")]
             none = n == 0
             out.append(pa.table([ids, pa.array(n, pa.int64()), *(pa.array(x, pa.float64(), mask=none) for x in loss), pa.array(np.where(none, 0.0, loss[1] - loss[0]))], names=names))

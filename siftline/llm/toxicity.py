@@ -6,13 +6,16 @@ the mean of its words' vectors; a softmax over two classes reads it. Embeddings
 and softmax are trained together (Adam on mini-batches). Misspelt or inflected
 words that never occurred in training share n-grams with those that did.
 
-As the softmax is linear, a word's part in a text's logit is one number, so
+Both means are linear, so a text is a bag of subword buckets with weights. Bags are
+made where the texts are; the driver trains on those of a bounded sample alone.
+As the softmax is linear too, a word's part in a text's logit is one number, so
 scoring looks distinct words up in a bounded cache and averages those numbers.
 """
 
 from __future__ import annotations
 
 import uuid
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -69,27 +72,44 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h[order], np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(words)))])
 
 
-def _bags(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of the texts; for each text the words it has and their share of its length."""
-    index: dict[str, int] = {}
-    ids, share, begin = [], [], [0]
-    for text in texts:
-        own = tokens(text)
-        at, n = np.unique(np.fromiter((index.setdefault(w, len(index)) for w in own), np.int64, len(own)), return_counts=True)
-        ids.append(at)
-        share.append(n / max(1, len(own)))
-        begin.append(begin[-1] + len(at))
-    return list(index), np.concatenate([*ids, np.zeros(0, np.int64)]), np.concatenate([*share, np.zeros(0)]), np.array(begin)
+class Bags(NamedTuple):
+    """Subword buckets of texts with their weights, one text after the other, and where each text's begin, with the end appended."""
+
+    bucket: np.ndarray
+    weight: np.ndarray
+    begin: np.ndarray
+
+    def take(self, rows: np.ndarray) -> Bags:
+        size = np.diff(self.begin)[rows]
+        begin = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(self.begin[rows] - begin[:-1], size) + np.arange(begin[-1])
+        return Bags(self.bucket[at], self.weight[at], begin)
 
 
-def train(texts: list[str | None], labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> dict:
+def bags(texts: list[str | None]) -> Bags:
+    """A bucket's weight in a text: over its words, the word's share of the text's words times the bucket's share of the word's subwords."""
+    index: dict[str, int] = {}
+    own = [np.fromiter((index.setdefault(w, len(index)) for w in tokens(t)), np.int64) for t in texts]
+    sub, at = subwords(list(index)) if index else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+    size = np.diff(at)
+    bucket, weight, begin = [], [], [0]
+    for words in own:
+        word, n = np.unique(words, return_counts=True)
+        spans = size[word]
+        grams = sub[np.repeat(at[word] - (np.cumsum(spans) - spans), spans) + np.arange(spans.sum())]
+        used, place = np.unique(grams, return_inverse=True)
+        bucket.append(used)
+        weight.append(np.bincount(place, np.repeat(n / max(1, len(words)) / spans, spans), minlength=len(used)))
+        begin.append(begin[-1] + len(used))
+    return Bags(np.concatenate([*bucket, np.zeros(0, np.int64)]).astype(np.uint16), np.concatenate([*weight, np.zeros(0)]).astype(np.float32), np.array(begin))
+
+
+def train(own: Bags, labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> dict:
     """Embeddings (BUCKETS x DIM), softmax weights and bias; classes weigh alike. Without both classes it scores a constant."""
     labels = np.asarray(labels, np.int64)
     if not len(labels) or labels.min() == labels.max():
         base = float(labels.mean()) if len(labels) else 0.0
         return {"value": np.zeros(BUCKETS, np.float32), "bias": 8.0 if base > 0.5 else -8.0}
-    words, ids, share, begin = _bags(texts)
-    sub, sub_at = subwords(words)
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     out = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
@@ -99,58 +119,67 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7, epochs: in
     weight = len(labels) / (2 * np.bincount(labels, minlength=2))
     step, rate = 0, 0.05
     epochs = max(epochs, -(-STEPS * BATCH // len(labels)))
+    place = np.zeros(BUCKETS, np.int64)
     for epoch in range(epochs):
         order = rng.permutation(len(labels))
         for lo in range(0, len(order), BATCH):
             docs = order[lo : lo + BATCH]
-            cols = np.concatenate([np.arange(begin[d], begin[d + 1]) for d in docs])
-            rows = np.repeat(np.arange(len(docs)), begin[docs + 1] - begin[docs])
-            if not len(cols):
+            part = own.take(docs)
+            if not len(part.bucket):
                 continue
-            own, local = np.unique(ids[cols], return_inverse=True)
-            sizes = sub_at[own + 1] - sub_at[own]
-            spread = np.repeat(np.arange(len(own)), sizes)
-            grams = sub[np.repeat(sub_at[own] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())]
-            used, gram = np.unique(grams, return_inverse=True)
-            table_e = emb[used]
-            word_vec = np.add.reduceat(table_e[gram], np.concatenate([[0], np.cumsum(sizes)[:-1]])) / sizes[:, None]
-            doc_vec = np.stack([np.bincount(rows, share[cols] * word_vec[local, d], minlength=len(docs)) for d in range(DIM)], 1)
-            z = doc_vec @ out + bias
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(docs)), labels[docs]] -= 1
-            p *= (weight[labels[docs]] / len(docs))[:, None]
-            g_out, g_bias, g_doc = doc_vec.T @ p, p.sum(0), p @ out.T
-            g_word = np.stack([np.bincount(local, share[cols] * g_doc[rows, d], minlength=len(own)) for d in range(DIM)], 1) / sizes[:, None]
-            g_emb = np.stack([np.bincount(gram, g_word[spread, d], minlength=len(used)) for d in range(DIM)], 1)
+            used, grads = gradients(part, labels[docs], weight[labels[docs]], emb, out, bias, place)
             step += 1
             fix = rate * (1 - epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for at, value, grad, m, v in ((used, emb, g_emb, m_e, v_e), (slice(None), out, g_out, m_o, v_o), (slice(None), bias, g_bias, m_b, v_b)):
+            for at, value, grad, m, v in zip((used, slice(None), slice(None)), (emb, out, bias), grads, (m_e, m_o, m_b), (v_e, v_o, v_b), strict=True):
                 m[at] = 0.9 * m[at] + 0.1 * grad
                 v[at] = 0.999 * v[at] + 0.001 * grad * grad
                 value[at] = value[at] - fix * m[at] / (np.sqrt(v[at]) + 1e-8)
     return {"value": (emb @ (out[:, 1] - out[:, 0])).astype(np.float32), "bias": float(bias[1] - bias[0])}
 
 
-def calibrated(model: dict, texts: list[str | None], labels: np.ndarray, weights: np.ndarray) -> dict:
+def gradients(part: Bags, labels: np.ndarray, weight: np.ndarray, emb: np.ndarray, out: np.ndarray, bias: np.ndarray, place: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
+    """(buckets used, gradients of their embeddings, of the softmax and of its bias) of the weighted mean cross-entropy of a mini-batch."""
+    place = np.zeros(len(emb), np.int64) if place is None else place
+    rows = np.repeat(np.arange(len(labels)), np.diff(part.begin))
+    used = np.flatnonzero(np.bincount(part.bucket, minlength=len(emb)))
+    place[used] = np.arange(len(used))
+    gram = place[part.bucket]
+    vectors = emb[part.bucket]
+    doc_vec = np.stack([np.bincount(rows, part.weight * vectors[:, d], minlength=len(labels)) for d in range(emb.shape[1])], 1)
+    z = doc_vec @ out + bias
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    p[np.arange(len(labels)), labels] -= 1
+    p *= (weight / len(labels))[:, None]
+    g_doc = p @ out.T
+    g_emb = np.stack([np.bincount(gram, part.weight * g_doc[rows, d], minlength=len(used)) for d in range(emb.shape[1])], 1)
+    return used, (g_emb, doc_vec.T @ p, p.sum(0))
+
+
+def logits(model: dict, own: Bags) -> np.ndarray:
+    rows = np.repeat(np.arange(len(own.begin) - 1), np.diff(own.begin))
+    return model["bias"] + np.bincount(rows, own.weight * model["value"][own.bucket], minlength=len(own.begin) - 1)
+
+
+def calibrated(model: dict, own: Bags, labels: np.ndarray, weights: np.ndarray) -> dict:
     """model with its logits stretched and shifted to fit held-back rows (two parameters, by Newton's method with a small ridge), whose weights stand for the share of either class among all labels."""
     labels = np.asarray(labels, float)
     if not len(labels) or labels.min() == labels.max():
         return model
-    z = Scorer(model).logits(texts)
+    z = logits(model, own)
     mid, wide = float(z.mean()), float(z.std()) or 1.0
     x = np.stack([(z - mid) / wide, np.ones(len(z))], 1)
-    w, own = weights / weights.mean(), np.array([1.0, 0.0])
+    w, at = weights / weights.mean(), np.array([1.0, 0.0])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ own, -30, 30)))
-        grad = x.T @ (w * (p - labels)) + 0.5 * (own - np.array([1.0, 0.0]))
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
+        grad = x.T @ (w * (p - labels)) + 0.5 * (at - np.array([1.0, 0.0]))
         hess = (x * (w * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(2)
         step = np.linalg.solve(hess, grad)
-        own = own - np.clip(step, -2, 2)
+        at = at - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
-    a = max(own[0], 1e-3) / wide
-    return {"value": (model["value"] * a).astype(np.float32), "bias": float(a * (model["bias"] - mid) + own[1])}
+    a = max(at[0], 1e-3) / wide
+    return {"value": (model["value"] * a).astype(np.float32), "bias": float(a * (model["bias"] - mid) + at[1])}
 
 
 class Scorer:
@@ -177,7 +206,8 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: tuple[int, int] = MAX_ROWS, seed: int = 7) -> dict:
     """Train on labelled texts; of each class at most about max_rows of them, taken by a hash of the id.
-    Their ids, bounded by max_rows, are broadcast, so texts aren't shuffled.
+    Their ids, bounded by max_rows, are broadcast, so texts aren't shuffled, and
+    only their bags come to the driver: at most BUCKETS numbers a row, whatever its text.
     A fifth of the sample is held back to calibrate the scores for the share of
     toxic rows among all labels.
 
@@ -189,12 +219,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     part = [min(1.0, most / max(1, sizes.get(y, 0))) for y, most in enumerate(max_rows)]
     share = F.when(F.col("y") == 1, part[1]).otherwise(part[0])
     taken = marked.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_003)) < share * 1_000_003)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(taken), "id").select("id", "text", "y").toArrow()
-    rows = rows.sort_by("id")
-    texts, y = rows["text"].to_pylist(), rows["y"].to_numpy()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(taken), "id").select("id", "text", "y")
+    found = rows.mapInArrow(by_batch(_bagged, 256), f"id {dict(rows.dtypes)['id']}, y int, bucket binary, weight binary").toArrow().sort_by("id")
+    y = found["y"].to_numpy()
+    raw = {c: found[c].to_pylist() for c in ("bucket", "weight")}
+    del found
+    begin = np.concatenate([[0], np.cumsum([len(x) // 2 for x in raw["bucket"]], dtype=np.int64)])
+    own = Bags(np.frombuffer(b"".join(raw.pop("bucket")), "<u2"), np.frombuffer(b"".join(raw.pop("weight")), "<f4"), begin)
     held = np.random.default_rng(seed).permutation(len(y)) % HELD == 0
-    model = train([t for t, h in zip(texts, held, strict=True) if not h], y[~held], seed)
-    return calibrated(model, [t for t, h in zip(texts, held, strict=True) if h], y[held], np.where(y[held] == 1, MISS, 1.0) / np.array(part)[y[held]])
+    model = train(own.take(np.flatnonzero(~held)), y[~held], seed)
+    return calibrated(model, own.take(np.flatnonzero(held)), y[held], np.where(y[held] == 1, MISS, 1.0) / np.array(part)[y[held]])
+
+
+def _bagged(batch: pa.RecordBatch):
+    own = bags(batch.column("text").to_pylist())
+    cut = list(zip(own.begin[:-1], own.begin[1:], strict=True))
+    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([own.bucket[a:b].astype("<u2").tobytes() for a, b in cut], pa.binary()), pa.array([own.weight[a:b].astype("<f4").tobytes() for a, b in cut], pa.binary())], names=["id", "y", "bucket", "weight"])
 
 
 _SCORERS: dict[str, Scorer] = {}

@@ -4,7 +4,9 @@ An archive is a bounded run of WARC/1.1 records, one gzip member each, held as
 (archive, data) rows; ``export`` writes them as plain .warc.gz files. Revisits are
 resolved on headers alone: (id, digest, length) rows are grouped by digest and
 length, which pre-aggregates in each task, so a page that a third of the crawl
-repeats costs one row per task; payloads don't move.
+repeats costs one row per task. Only the verdicts that a page is a revisit are then
+joined to the payloads, by id and digest; where they are too many to broadcast, the
+payloads are shuffled once for it, by keys that no page repeats.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ import base64
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,9 +40,9 @@ def record_id(name: str) -> str:
 
 def write_record(kind: str, key: str, uri: str, payload: bytes, digest: str, refers_to: str | None = None, refers_uri: str | None = None) -> bytes:
     """One record as a gzip member. A revisit carries the digest and what it refers to, and no payload."""
-    head = [b"WARC/1.1", b"WARC-Type: " + kind.encode(), b"WARC-Record-ID: " + record_id(key).encode(), b"WARC-Date: " + DATE.encode(), b"WARC-Target-URI: " + uri.replace("\r", "%0D").replace("\n", "%0A").encode(), b"X-Page-Key: " + key.encode(), b"WARC-Payload-Digest: sha1:" + digest.encode()]
+    head = [b"WARC/1.1", b"WARC-Type: " + kind.encode(), b"WARC-Record-ID: " + record_id(key).encode(), b"WARC-Date: " + DATE.encode(), b"WARC-Target-URI: " + uri.replace("\r", "%0D").replace("\n", "%0A").encode(), b"X-Page-Key: " + quote(key, safe=" ").encode(), b"WARC-Payload-Digest: sha1:" + digest.encode()]
     if kind == "revisit":
-        head += [b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", b"WARC-Refers-To: " + record_id(refers_to).encode(), b"X-Refers-To-Key: " + refers_to.encode()]
+        head += [b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", b"WARC-Refers-To: " + record_id(refers_to).encode(), b"X-Refers-To-Key: " + quote(refers_to, safe=" ").encode()]
         block, http = b"", b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Content-Length: %d\r\n\r\n" % len(payload)
     else:
         block, http = payload, b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
@@ -113,34 +116,40 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", uri_col: str = "ur
     with the same payload are responses too. Null payloads count as empty.
     """
     data = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).cast("string").alias("uri"), F.col(payload_col).alias("payload")).withColumn("digest", F.unhex(F.sha1(F.coalesce("payload", F.lit("")).cast("binary")))).withColumn("bytes", F.octet_length(F.coalesce("payload", F.lit("")).cast("binary")).cast("long"))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(uri_col).cast("string").alias("uri"), F.col(payload_col).alias("payload")).withColumn("digest", F.unhex(F.sha1(F.coalesce("payload", F.lit("")).cast("binary")))).withColumn("bytes", F.octet_length(F.coalesce("payload", F.lit("")).cast("binary")).cast("long"))
     firsts = resolve(rows.select("id", "digest", "bytes"), min_bytes)
     copies = rows.select("id", "digest", "bytes").join(firsts, ["digest", "bytes"]).filter("id != first").select("id", "digest", "first").distinct()
     return rows.join(copies, ["id", "digest"], "left").select("id", "uri", "payload", "digest", "first").mapInArrow(_archives, "archive string, records long, data binary")
 
 
-def _rows(batch: pa.RecordBatch):
-    rows = []
-    for data in batch.column("data").to_pylist():
-        for fields, payload in read_records(data):
-            key, refers = fields["X-Page-Key"], fields.get("X-Refers-To-Key")
-            rows.append((int(key) if key else None, fields["WARC-Target-URI"], int(fields["X-Content-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], int(refers) if refers else None, payload))
-            if len(rows) == 256:
-                yield _batch(rows)
-                rows = []
-    if rows:
-        yield _batch(rows)
+def _rows(id_type: str) -> Callable:
+    of = unquote if id_type == "string" else int
 
+    def run(batch: pa.RecordBatch):
+        rows = []
+        for data in batch.column("data").to_pylist():
+            for fields, payload in read_records(data):
+                key, refers = fields["X-Page-Key"], fields.get("X-Refers-To-Key")
+                rows.append((of(key) if key else None, fields["WARC-Target-URI"], int(fields["X-Content-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], of(refers) if refers else None, payload))
+                if len(rows) == 256:
+                    yield _batch(rows, id_type)
+                    rows = []
+        if rows:
+            yield _batch(rows, id_type)
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return run
+
+
+def _batch(rows: list[tuple], id_type: str) -> pa.RecordBatch:
     names = ("page_id", "uri", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")
-    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+    own = pa.string() if id_type == "string" else pa.int64()
+    kinds = (own, pa.string(), pa.int64(), pa.string(), pa.string(), own, pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
-    """One row per record; lengths and response digests are verified, and a broken archive fails the job. A revisit's payload is empty."""
-    return archives.select("data").mapInArrow(by_batch(_rows, 1), "page_id long, uri string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+def read_archives(archives: DataFrame, id_type: str = "long") -> DataFrame:
+    """One row per record; lengths and response digests are verified, and a broken archive fails the job. A revisit's payload is empty; an empty string as id reads as null."""
+    return archives.select("data").mapInArrow(by_batch(_rows(id_type), 1), f"page_id {id_type}, uri string, payload_bytes long, payload_digest string, record_type string, refers_to {id_type}, payload binary")
 
 
 def export(archives: DataFrame, folder: str) -> None:

@@ -281,6 +281,8 @@ def test_warc_revisits(spark, tmp_path):
     assert sum(1 for f in tmp_path.glob("*.warc.gz") for _ in warc.read_records(f.read_bytes())) == len(rows)
     assert warc.read_archives(warc.write_archives(df, min_bytes=100)).filter("record_type = 'revisit'").count() == 2
     assert warc.read_archives(warc.write_archives(df.limit(0))).count() == 0
+    names = spark.createDataFrame([("p\r\n/ü", "u", "same"), ("a b", "u", "same"), ("c", "u", None)], "page_id string, url string, html string")
+    assert {(r.page_id, r.record_type, r.refers_to) for r in warc.read_archives(warc.write_archives(names), "string").collect()} == {("p\r\n/ü", "revisit", "a b"), ("a b", "response", None), ("c", "response", None)}
     broken = next(iter(tmp_path.glob("*.warc.gz"))).read_bytes()
     with pytest.raises((ValueError, zlib.error)):
         list(warc.read_records(broken[:-9]))
