@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, fresh, hot_join, row_key, slices, sorted_groups, stored, table
+from .shared import discard, fresh, hot_join, maybe_among, row_key, slices, sorted_groups, stored, table
 from .textbytes import chunks, joined, words
 
 SHARED = 3
@@ -292,10 +292,10 @@ def _grams_of(k: int):
 
 
 def _dealt(rows: DataFrame, group: str, bound: tuple[int, int]) -> DataFrame:
-    """rows (group, nid, n, ...) with block: sets dealt by hash to blocks of about bounded k-grams and sets in each group. Group sizes pre-aggregate; they meet the rows by hash of both, so a large group is spread."""
+    """rows (group, nid, n, ...) with block: sets dealt by hash to blocks of about bounded k-grams and sets in each group."""
     grams, sets = bound
-    size = rows.groupBy(group).agg(F.ceil(F.greatest(F.sum("n") / grams, F.count(F.lit(1)) / sets)).cast("int").alias("blocks"))
-    return rows.join(size, group).withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
+    size = rows.groupBy(group).agg(F.ceil(F.greatest(F.sum("n") / grams, F.count(F.lit(1)) / sets)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("m"))
+    return hot_join(rows, size, [group], "m").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int")).drop("blocks")
 
 
 class Links:
@@ -328,7 +328,7 @@ class Links:
             more = self._joined(rest, grams, "links")
             self.found = found.unionByName(more)
             self.roots = components(self.found.select("a", "b"))
-        discard(members, pairs, tasks, grams, rest)
+        discard(members, pairs, tasks, grams, rest, *self.spent)
 
     def _order(self, rows: DataFrame):
         summed = rows.select("text").mapInArrow(_counts(self.k), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
@@ -342,8 +342,9 @@ class Links:
         least = -(-t.numerator // (t.denominator - t.numerator)) if t < 1 else 1 << 31
         entries = self.sets.filter(F.col("n") >= least).select("nid", "n", F.posexplode(F.arrays_zip("prefix", "often")).alias("pos", "e")).select("nid", "n", "pos", F.col("e.prefix").alias("gram"), F.col("e.often").alias("often")).filter("often > 1")
         many = entries.filter(F.col("often") > list_size).drop("often")
-        sizes = many.groupBy("gram").agg(F.count(F.lit(1)).alias("length")).filter("length > 1")
-        many = many.join(sizes, "gram")
+        sizes = stored(many.groupBy("gram").agg(F.count(F.lit(1)).alias("length")).filter("length > 1").withColumn("m", F.col("length")), "lengths")
+        many = stored(hot_join(many, sizes, ["gram"], "m").filter("length > 1"), "lists")
+        self.spent = [sizes, many]
         short = entries.filter(F.col("often") <= list_size).drop("often").unionByName(many.filter(F.col("length") <= list_size).drop("length"))
         return short, many.filter(F.col("length") > list_size).drop("length")
 
@@ -362,17 +363,17 @@ class Links:
         own = pairs.join(hub, pairs["a"] == hub["u"]).drop("u")
         sets = own.select("hub", F.col("a").alias("nid"), F.col("na").alias("n")).unionByName(own.select("hub", F.col("b").alias("nid"), F.col("nb").alias("n"))).distinct()
         grams, most = self.bound
-        blocks = sets.groupBy("hub").agg(F.ceil(F.greatest(F.sum("n") / grams, F.count(F.lit(1)) / most)).cast("int").alias("blocks"))
+        blocks = sets.groupBy("hub").agg(F.ceil(F.greatest(F.sum("n") / grams, F.count(F.lit(1)) / most)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("m"))
         at = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
-        own = own.join(blocks, "hub").withColumn("task", F.xxhash64("hub", at("a"), at("b"), F.lit("group")))
+        own = hot_join(own, blocks, ["hub"], "m").withColumn("task", F.xxhash64("hub", at("a"), at("b"), F.lit("group")))
         return own.select("task", F.col("a").alias("nid"), F.lit(1).alias("visited")).unionByName(own.select("task", F.col("b").alias("nid"), F.lit(0).alias("visited"))).groupBy("task", "nid").agg(F.max("visited").alias("visited"))
 
     def _families(self, entries: DataFrame) -> DataFrame:
         """(fam, nid, n, low, high): members of families, with the least and greatest position of the k-grams that they share."""
         band = F.floor(F.log("n") / (math.log(float(1 / self.t)) * (1 + 1e-9) if self.t < 1 else 1.0))
         both = entries.withColumn("band", band).withColumn("lower", F.explode(F.array(F.lit(1), F.lit(0)))).withColumn("band", F.col("band") - 1 + F.col("lower"))
-        fams = both.groupBy("gram", "band").agg(F.min("nid").alias("fam"), F.count(F.lit(1)).alias("m"), F.max("lower").alias("any")).filter("m > 1 and any = 1").select("gram", "band", "fam")
-        return both.join(fams, ["gram", "band"]).groupBy("fam", "nid").agg(F.first("n").alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+        fams = both.groupBy("gram", "band").agg(F.min("nid").alias("fam"), F.count(F.lit(1)).alias("m"), F.max("lower").alias("any")).filter("m > 1 and any = 1").select("gram", "band", "fam", "m")
+        return hot_join(both, fams, ["gram", "band"], "m").filter("fam IS NOT NULL").groupBy("fam", "nid").agg(F.first("n").alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high"))
 
     def _stars(self, members: DataFrame) -> DataFrame:
         """Tasks that compare a family's sets with its smallest one."""
@@ -385,8 +386,8 @@ class Links:
         t, s = self.t, self.t / (1 + self.t)
         named = members.join(roots, members["nid"] == roots["node"], "left").select("fam", "nid", "n", "low", "high", F.coalesce("root", "nid").alias("c"))
         counts = named.groupBy("fam", "c").agg(F.count(F.lit(1)).alias("m"))
-        main = counts.groupBy("fam").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
-        kinds = named.join(main, "fam").withColumn("kind", F.xxhash64("fam", (F.col("c") != F.col("main")), F.floor(F.log("n") / 0.05), F.floor(F.log2(F.col("low") + 1))))
+        main = counts.groupBy("fam").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m")).filter("parts > 1").drop("parts")
+        kinds = hot_join(named, main, ["fam"], "m").filter("main IS NOT NULL").withColumn("kind", F.xxhash64("fam", (F.col("c") != F.col("main")), F.floor(F.log("n") / 0.05), F.floor(F.log2(F.col("low") + 1))))
         dealt = _dealt(kinds, "kind", self.bound).withColumn("block", F.xxhash64("kind", "block"))
         about = dealt.groupBy("fam", "block").agg(F.max(F.col("c") != F.col("main")).alias("odd"), F.min("n").alias("ln"), F.max("n").alias("hn"), F.min("low").alias("lp"), F.max("high").alias("hp"), F.min("c").alias("lc"), F.max("c").alias("hc"))
         x, y = (about.select("fam", *[F.col(c).alias(f"{c}{i}") for c in about.columns if c != "fam"]) for i in (1, 2))
@@ -402,7 +403,7 @@ class Links:
     def _grams(self, rows: DataFrame, tasks: DataFrame) -> DataFrame:
         """(nid, grams) of every set of a task, from the text of one document that has it."""
         needed = tasks.select("nid").distinct().join(self.sets.select("nid", "fp", F.col("row.k1").alias("k1"), F.col("row.k2").alias("k2")), "nid")
-        texts = rows.drop("id").join(needed, ["k1", "k2"]).select("nid", "fp", "text")
+        texts = maybe_among(rows.drop("id"), needed, "k1").join(needed, ["k1", "k2"]).select("nid", "fp", "text")
         return stored(texts.mapInArrow(_grams_of(self.k), "nid long, fp binary, own binary, grams binary").filter("fp = own").dropDuplicates(["nid"]).select("nid", "grams"), "grams")
 
     def _joined(self, tasks: DataFrame, grams: DataFrame, name: str) -> DataFrame:
@@ -418,23 +419,23 @@ def components(found: DataFrame) -> DataFrame:
     """(node, root) for every node of a link; root is the smallest node of its component.
 
     Alternating large-star and small-star: each round is a min per node (which
-    pre-aggregates) and a join of it back to the links, one row a node; adaptive
-    skew joins split the links of a hub.
+    pre-aggregates) and a join of it back to the links, where a hub's links are
+    spread over the tasks.
     """
     edges = stored(found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
-    before = (0, None)
+    before, total = (0, None), 2 * edges.count()
     while True:
         near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = near.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("x"), "m").filter("x != m").select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        low = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("links"))
+        large = hot_join(near, low, ["u"], "links", total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("links"))
+        small = hot_join(large, low, ["u"], "links", total).select(F.col("v").alias("x"), "m").filter("x != m").select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         last, edges = edges, stored(small, "edges")
         discard(last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+        before, total = now, 2 * now[0]
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **bounds: int) -> DataFrame:

@@ -86,13 +86,13 @@ def crc_mod(col: str, n: int):
 HOT = 1000
 
 
-def hot_join(rows: DataFrame, found: DataFrame, keys: list[str], copies: str) -> DataFrame:
-    """rows with found's columns (one row a key; copies: how many rows have it), null where the key isn't there.
+def hot_join(rows: DataFrame, found: DataFrame, keys: list[str], copies: str, total: int | None = None) -> DataFrame:
+    """rows with found's columns (one row a key; copies: how many rows have it; total: their sum), null where the key isn't there.
 
     Rows of hot keys, of which there are fewer than HOT, take theirs from a
     broadcast and are spread over all tasks of the shuffle that the others need.
     """
-    total = found.agg(F.sum(copies)).first()[0] or 0
+    total = (found.agg(F.sum(copies)).first()[0] or 0) if total is None else total
     hot, cold, spread = fresh("hot"), fresh("cold"), fresh("spread")
     values = [c for c in found.columns if c not in (*keys, copies)]
     rows_ = rows.join(F.broadcast(found.filter(F.col(copies) * HOT > total).select(*keys, F.struct(*values).alias(hot))), keys, "left")
@@ -102,6 +102,21 @@ def hot_join(rows: DataFrame, found: DataFrame, keys: list[str], copies: str) ->
     return rows_.join(other, [*keys, spread], "left").select(*rows.columns, *[both.getField(v).alias(v) for v in values])
 
 
+#: Bits of a table of hashes, whatever they are hashes of.
+BITS = 1 << 24
+
+
+def maybe_among(rows: DataFrame, keys: DataFrame, col: str) -> DataFrame:
+    """The rows whose 64-bit hash col may be among those of keys. None is lost; how many others go depends on how full a table of BITS bits, which is broadcast, is."""
+    slot = F.pmod(F.col(col), F.lit(BITS)) + 1
+    bucket, bits = fresh("bucket"), fresh("bits")
+    table_ = keys.groupBy(F.bitmap_bucket_number(slot).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias(bits))
+    own = rows.withColumn(bucket, F.bitmap_bucket_number(slot)).join(F.broadcast(table_), bucket)
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring(F.col(bits), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return own.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+
+
 #: Rows that Python code works on at once; an Arrow batch may hold more.
 ROWS = 512
 

@@ -7,6 +7,7 @@ import re
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftline.llm import decontam, lines, setjoin
 
@@ -275,3 +276,15 @@ def test_long_lines_between_different_neighbours_stay(spark):
     rows = [(1, f"a\n{line}\nb"), (2, f"c\n{line}\nd"), (3, f"x\na\n{line}\nb\ny"), (4, line), (5, line)]
     got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, _k1 int, _gone int")).collect()}
     assert got == {1: 0, 2: 0, 3: 3, 4: 0, 5: 1}
+
+
+def test_rows_that_may_be_among_keys(spark):
+    from siftline.llm.shared import hot_join, maybe_among
+
+    rows = spark.range(3000).selectExpr("id", "xxhash64(id) AS h", "id % 7 AS k")
+    keys = rows.filter("id % 100 = 3").select("h")
+    got = {r.id for r in maybe_among(rows, keys, "h").collect()}
+    assert {i for i in range(3000) if i % 100 == 3} <= got and len(got) < 60
+    found = rows.filter("k < 5 OR id > 2990").groupBy("k").agg(F.min("id").alias("least"), F.count("h").alias("m")).filter("k != 2")
+    want = {(r.id, None if r.k == 2 else {0: 0, 1: 1, 3: 3, 4: 4}.get(r.k, 2991 + (r.k - 2991) % 7)) for r in rows.collect()}
+    assert {(r.id, r.least) for r in hot_join(rows, found, ["k"], "m").collect()} == want
