@@ -216,20 +216,25 @@ def test_benchmark_blocks_give_the_same(spark, monkeypatch):
 def brute_overlaps(rows, items):
     """(id, item, matched, overlap) of the best alignment of every pair whose window agrees enough, by trying all alignments."""
     cut = lambda t: [x for x in re.split(r"[\s!-/:-@\[-`{-~]+", (t or "").lower()) if x]
-    out = {}
+    import numpy as np
+
+    out, number = {}, {}
+    code = lambda t: np.array([number.setdefault(x, len(number)) for x in cut(t)], np.int64)
+    coded = [(item, code(body)) for item, body in items]
     for key, text in rows:
-        d = cut(text)
-        for item, body in items:
-            it = cut(body)
+        d = code(text)
+        for item, it in coded:
             if len(it) < decontam.SPAN:
                 continue
             for start in range(-len(it) + 1, len(d)):
                 lo = max(0, -start)
                 n = min(len(it) - lo, len(d) - start - lo)
-                eq = [it[lo + i] == d[start + lo + i] for i in range(n)]
                 wide = min(n, decontam.WINDOW)
-                if wide >= decontam.SPAN and any(sum(eq[i : i + wide]) >= -(-wide * 4 // 5) for i in range(n - wide + 1)):
-                    out[key, item] = max(out.get((key, item), (0, 0)), (sum(eq), n))
+                if wide < decontam.SPAN:
+                    continue
+                total = np.concatenate([[0], np.cumsum(it[lo : lo + n] == d[start + lo : start + lo + n])])
+                if (total[wide:] - total[:-wide]).max() >= -(-wide * 4 // 5):
+                    out[key, item] = max(out.get((key, item), (0, 0)), (int(total[-1]), n))
     return {(*k, *v) for k, v in out.items()}
 
 
