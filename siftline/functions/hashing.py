@@ -56,3 +56,12 @@ def stream_digest(df: DataFrame, sha: str, buckets: int = 256) -> DataFrame:
     cut = (F.conv(F.substring(sha, 1, 4), 16, 10).cast("int") * buckets / 65536).cast("int")
     inside = df.groupBy(cut.alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(sha)), ""), 256).alias("d"), F.count(F.lit(1)).alias("n"))
     return inside.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), ""), 256).alias("digest"), F.sum("n").alias("n"))
+
+
+def record_key(provider: Column, archive_id: Column, url: Column, title: Column, digest: Column) -> Column:
+    """(kind, key) by which records are the same: provider and archive id, else URL, else title, else digest."""
+    none, low = F.lit(""), lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    a, u, t = low(archive_id), low(url), F.lower(F.trim(F.regexp_replace(F.coalesce(title, none), r"\s+", " ")))
+    pair = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    by_archive = pair("ARCHIVE", F.concat_ws("|", F.upper(F.coalesce(provider, none)), a))
+    return F.when(a != "", by_archive).when(u != "", pair("URL", u)).when(t != "", pair("TITLE", t)).otherwise(pair("SHA", digest))

@@ -99,3 +99,60 @@ def resolve_path(column: Column, path: str) -> Column:
     for part in path.split("."):
         column = F.get(column, F.lit(int(part))) if part.isdigit() else column.getField(part)
     return column
+
+
+#: Metadata keys whose texts count as a record's own.
+TEXT_KEYS = ("title", "scopeAndContentNote", "dateNote", "arrangement", "description", "subject", "otherTitles")
+#: Topics and places that are looked for as substrings.
+TOPICS = (
+    "uap", "ufo", "tachyon", "tachyons", "retrocausality", "retrocausal", "precognition", "nuclear", "palomar", "star gate", "stargate",
+    "remote viewing", "advanced potential", "reverse information", "future to past", "future-to-past",
+)
+PLACES = ("ukraine", "ukrainian", "kyiv", "kiev", "odesa", "odessa", "chernobyl", "palomar", "arizona", "colorado", "petrozavodsk", "ussr", "soviet")
+#: Characters beyond which a file's text isn't looked at.
+INSPECTED = 2_000_000
+
+
+def text_of(title: Column, text: Column, agency: Column | None = None, tags: Column | None = None, metadata: Column | None = None) -> Column:
+    """Title, text, agency, tags and the metadata's (a map's) own texts, joined by spaces; what is null counts as empty."""
+    none = F.lit("")
+    parts = [F.coalesce(title, none), F.coalesce(text, none), F.coalesce(agency, none) if agency is not None else none]
+    parts.append(F.array_join(F.coalesce(tags, F.array().cast("array<string>")), " ") if tags is not None else none)
+    joined = F.concat_ws(" ", *parts)
+    if metadata is None:
+        return joined
+    own = F.array_compact(F.array(*[F.when(F.length(metadata[k]) > 0, metadata[k]) for k in TEXT_KEYS]))
+    return F.when(F.size(own) > 0, F.concat(joined, F.lit(" "), F.array_join(own, " "))).otherwise(joined)
+
+
+def normalize_title(title: Column) -> Column:
+    """Lower-case with single spaces; null counts as empty."""
+    return F.lower(squeezed(F.coalesce(title, F.lit(""))))
+
+
+def simple(title: Column) -> Column:
+    """A title's letters a-z and digits alone."""
+    return F.regexp_replace(normalize_title(title), "[^a-z0-9]+", "")
+
+
+def search_query(topic: Column, field: str = "all") -> Column:
+    """A search expression: the whole topic as a phrase, or all of its meaningful tokens; null for an empty topic."""
+    phrase = F.replace(squeezed(topic), F.lit('"'), F.lit(""))
+    words = meaningful_tokens(topic)
+    every = F.array_join(F.transform(words, lambda w: F.concat(F.lit(f"{field}:"), w)), " AND ")
+    quoted = F.concat(F.lit(f'{field}:"'), phrase, F.lit('"'))
+    return F.when(squeezed(topic) == "", None).when(F.size(words) <= 1, quoted).otherwise(F.concat(F.lit("("), quoted, F.lit(" OR ("), every, F.lit("))")))
+
+
+def entity_nodes(text: Column, tags: Column) -> Column:
+    """Distinct (kind, value) of a text: topics and places by substring, dates, and its trimmed lower-case tags."""
+    low = F.lower(text)
+    found = [F.when(F.contains(low, F.lit(v)), F.struct(F.lit(k).alias("kind"), F.lit(v).alias("value"))) for k, own in (("topic", TOPICS), ("place", PLACES)) for v in own]
+    named = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    clean = F.array_remove(F.transform(tags, lambda t: F.lower(F.trim(t))), "")
+    return F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*found)), named("date", dates(text)), named("tag", clean))))
+
+
+def inspected(text: Column, most: int = INSPECTED) -> Column:
+    """Whether a text is short enough to be looked at; a longer one keeps its provenance row alone."""
+    return F.coalesce(F.octet_length(text) <= most, F.lit(True))

@@ -144,3 +144,8 @@ def concept_coverage(files: DataFrame, concepts: dict[str, str], most: int = 20)
     hits = files.select("repo", "path", F.explode(F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(c)) for c, p in concepts.items()]))).alias("concept"))
     w = W.partitionBy("repo", "concept").orderBy("path")
     return hits.groupBy("repo", "concept").agg(F.countDistinct("path").alias("files")), hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+
+
+def route_topk(scored: DataFrame, most: int = 80, id_col: str = "id") -> DataFrame:
+    """The `most` records of the highest route_score, ties by id; a top-k report."""
+    return scored.orderBy(F.col("route_score").desc(), F.col(id_col).cast("string")).limit(most)

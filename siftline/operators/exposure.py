@@ -84,3 +84,17 @@ def harmonize(rows: DataFrame, cohort: str) -> DataFrame:
     k = rows.agg(F.countDistinct(cohort).alias("k"))
     common = rows.groupBy("date").agg(F.countDistinct(cohort).alias("c")).crossJoin(F.broadcast(k)).filter("c = k").select("date")
     return rows.join(common, "date", "left_semi")
+
+
+def harmonized(days: DataFrame, exposed: DataFrame, outcomes: list[str], opportunity: str) -> DataFrame:
+    """(scope, cohort, outcome, eo, en, uo, un, ratio): each cohort on all its days, then all again on the days that every cohort has.
+
+    days: (cohort, day, opportunity, outcomes), a row for each day of a cohort.
+    """
+    whole = days.withColumn("scope", F.lit("ALL")).unionByName(harmonize(days.withColumnRenamed("day", "date"), "cohort").withColumnRenamed("date", "day").withColumn("scope", F.lit("COMMON")))
+    cell = F.explode(F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(o).cast("double").alias("v")) for o in outcomes])).alias("x")
+    long = whole.select("scope", "cohort", "day", opportunity, cell).select("scope", "cohort", "day", opportunity, "x.outcome", "x.v")
+    hit = F.col("e").isNotNull()
+    both = long.join(exposed.withColumn("e", F.lit(1)), "day", "left").groupBy("scope", "cohort", "outcome")
+    sums = both.agg(*[F.coalesce(F.sum(F.when(c, F.col(v))), F.lit(0.0)).alias(a) for a, c, v in (("eo", hit, "v"), ("en", hit, opportunity), ("uo", ~hit, "v"), ("un", ~hit, opportunity))])
+    return sums.withColumn("ratio", F.when((F.col("en") <= 0) | (F.col("un") <= 0), None).when(F.col("uo") == 0, F.lit(float("inf"))).otherwise(F.col("eo") / F.col("en") / (F.col("uo") / F.col("un"))))

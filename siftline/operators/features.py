@@ -8,13 +8,21 @@ from pyspark.sql import functions as F
 
 from siftline.functions.hashing import fold
 
-#: Parts of a name that give the label away.
-LEAKS = ("label", "target", "truth", "outcome", "exposed", "event_window")
-
-
-def guard_names(names: list[str], forbidden: tuple[str, ...] = LEAKS) -> list[str]:
-    """names as they are; a name that holds a forbidden part raises ValueError before any plan is built."""
-    bad = [n for n in names if any(f in n.lower() for f in forbidden)]
+#: Names, and parts of a name, that give the label away.
+LEAKS = (
+    "plate_id", "date_obs", "obs_date", "group_id", "nuclear_window",
+    "nuclear_test", "nuclear_event", "harmonization_outcome", "effect_p_value",
+    "uap", "nhi", "label", "target", "ground_truth",
+)
+LEAK_PARTS = (
+    "nuclear_", "atomic_test", "bomb_test", "detonation_", "harmonization_",
+    "uap_", "nhi_", "outcome_",
+)
+
+
+def guard_names(names: list[str], exact: tuple[str, ...] = LEAKS, parts: tuple[str, ...] = LEAK_PARTS) -> list[str]:
+    """names as they are; one that is forbidden or holds a forbidden part, in any case of letters, raises ValueError before any plan is built."""
+    bad = [n for n in names if n.lower() in exact or any(f in n.lower() for f in parts)]
     if bad:
         raise ValueError(f"features that leak the label: {', '.join(sorted(bad))}")
     return names
@@ -40,6 +48,51 @@ def checked_join(rows: DataFrame, dim: DataFrame, key: str, values: list[str]) -
     return rows.join(one.select(key, *values), key, "left"), one.filter(clash).select(key)
 
 
+def complete_join(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """rows joined to side on key; a row whose key side lacks raises ValueError, so that nothing is lost in silence."""
+    lost = rows.join(side, key, "left_anti").select(key).limit(1).collect()
+    if lost:
+        raise ValueError(f"no side row for {key} {lost[0][0]!r}")
+    return rows.join(side, key)
+
+
+def sidecar_gate(verified: dict[str, DataFrame], base: DataFrame, key: str, fields: dict[str, list[str]], least: float = 0.5, present: tuple[str, ...] = ()) -> DataFrame:
+    """(sidecar, status, reasons, coverage, admitted): which sidecars a feature rail may take.
+
+    All are audited in one pass each. If any fails, none is admitted; a sidecar
+    whose name is present already raises ValueError.
+    """
+    again = sorted(set(verified) & set(present))
+    if again:
+        raise ValueError(f"sidecars that are there already: {', '.join(again)}")
+    audits = None
+    for name, side in sorted(verified.items()):
+        own = sidecar_audit(base, side, key, fields[name], least).select(F.lit(name).alias("sidecar"), "status", "reasons", "coverage")
+        audits = own if audits is None else audits.unionByName(own)
+    all_pass = audits.agg(F.bool_and(F.col("status") == "PASS").alias("all_pass"))
+    return audits.crossJoin(F.broadcast(all_pass)).select("sidecar", "status", "reasons", "coverage", F.col("all_pass").alias("admitted"))
+
+
+def feature_rail(base: DataFrame, key: str, tiles: DataFrame, tile: str, sides: dict[str, tuple[DataFrame, list[str]]], full: tuple[str, ...] = ()) -> DataFrame:
+    """One row per base row: base columns, those of its tile, and each sidecar's fields as <sidecar>_<field>.
+
+    Tiles and sidecars have one row a key or the rail is refused; sidecars named
+    in full must cover the base. features_present counts the fields that aren't null.
+    """
+    for name, side, own in (("tiles", tiles, tile), *((n, s, key) for n, (s, _) in sides.items())):
+        twice = side.groupBy(own).count().filter("count > 1").limit(1).collect()
+        if twice:
+            raise ValueError(f"{name}: {own} {twice[0][0]!r} repeats")
+    out, names = base.join(tiles, tile, "left"), [c for c in tiles.columns if c != tile]
+    for name, (side, fields) in sides.items():
+        own = side.select(key, *[F.col(f).alias(f"{name}_{f}") for f in fields])
+        out = complete_join(out, own, key) if name in full else out.join(own, key, "left")
+        names += [f"{name}_{f}" for f in fields]
+    guard_names(names)
+    present = sum((F.col(n).isNotNull().cast("int") for n in names), F.lit(0))
+    return out.withColumn("features_present", present)
+
+
 def sidecar_audit(base: DataFrame, side: DataFrame, key: str, fields: list[str], least: float = 0.5) -> DataFrame:
     """One row: rows, distinct and repeated ids, ids inside and outside the base, coverage, empty fields, and why it fails."""
     ids = side.groupBy(key).agg(F.count(F.lit(1)).alias("c"))

@@ -65,3 +65,14 @@ def needles(df: DataFrame, any_of: tuple[str, ...] = (), all_of: tuple[str, ...]
         keep = keep & text.rlike(f"(?i){pattern}" if fold else pattern)
     out = df.filter(keep)
     return out if limit is None else out.limit(limit)
+
+
+def search_join(index: DataFrame, queries: DataFrame, most: int = 10_000) -> DataFrame:
+    """(query, id, matched, tf): records that have any of a query's tokens, from an index of postings.
+
+    queries: (query, token). A set of up to `most` tokens is broadcast to the
+    postings; a larger one is joined by shuffle.
+    """
+    own = queries.select("query", "token").distinct()
+    own = F.broadcast(own) if own.limit(most + 1).count() <= most else own
+    return index.join(own, "token").groupBy("query", "id").agg(F.count(F.lit(1)).alias("matched"), F.sum("tf").alias("tf"))

@@ -11,7 +11,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Tags of transport, which say nothing of content.
-TRANSPORT_TAGS = ("archive", "collection", "document", "file", "record", "metadata", "bulk", "download", "page", "pdf", "html", "json", "text", "source", "official", "public")
+TRANSPORT_TAGS = (
+    "failed_fetch", "fetch_error", "link", "landing_page", "bulk_metadata",
+    "declassified", "foia", "pointer", "pointer_only", "archive", "archival",
+    "source", "metadata", "collection", "provider", "download", "official",
+)
 
 
 def term_counts(docs: DataFrame, words: Column) -> DataFrame:

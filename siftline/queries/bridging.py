@@ -181,11 +181,27 @@ def context_coverage(spark, sf_dir):
     return C.coverage(obs, rows, spark.createDataFrame(list(C.REGISTRY), "facet string, field string"))
 
 
-@query("SELECT count(*) AS fresh, 0::BIGINT AS replayed FROM (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM documents)")
+_SECOND = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'xx' ELSE lang END AS lang, lang AS was FROM documents"
+
+
+def _origins(spark, sf_dir):
+    """Origins of two passes; the second reads another language for every third document."""
+    rows, obs = _context(spark, sf_dir)
+    again = C.observations(rows.withColumn("lang", F.when(F.col("ord") % 3 == 0, "xx").otherwise(F.col("lang"))), "pass-2")
+    return obs.filter(F.col("facet") == "origin"), again.filter(F.col("facet") == "origin")
+
+
+@query(f"SELECT (SELECT count(source) + count(lang) FROM documents) AS fresh, 0::BIGINT AS replayed, count(*) FILTER (WHERE lang IS DISTINCT FROM was) AS changed, count(*) FILTER (WHERE lang != was) AS conflicts FROM ({_SECOND})")
 def context_merge(spark, sf_dir):
-    """Merging a pass into nothing adds all of it; merging it again adds nothing."""
-    _, obs = _context(spark, sf_dir)
-    obs = obs.filter(F.col("facet") == "origin")
-    fresh, _ = C.merge(obs.limit(0), obs)
-    again, _ = C.merge(obs, obs)
-    return fresh.agg(F.count(F.lit(1)).alias("fresh")).crossJoin(again.agg(F.count(F.lit(1)).alias("replayed")))
+    """Merging a pass into nothing adds all of it; merging it again adds nothing; a differing pass adds what it changed and is in conflict there."""
+    first, second = _origins(spark, sf_dir)
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    changed, clash = C.merge(first, second)
+    return count(C.merge(first.limit(0), first)[0], "fresh").crossJoin(count(C.merge(first, first)[0], "replayed")).crossJoin(count(changed, "changed")).crossJoin(count(clash, "conflicts"))
+
+
+@query(f"SELECT doc_id::VARCHAR AS subject, 'language' AS field, lang AS value, was AS other FROM ({_SECOND}) WHERE lang != was")
+def context_conflicts(spark, sf_dir):
+    """What a second pass says otherwise than the first; both values stay."""
+    first, second = _origins(spark, sf_dir)
+    return C.merge(first, second)[1].select("subject", "field", "value", "other")

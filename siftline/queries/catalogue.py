@@ -79,7 +79,8 @@ def oof_override_join(spark, sf_dir):
 @query("SELECT ps.p_partkey, ps.p_name, l.n FROM part ps JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) l ON l.l_partkey = ps.p_partkey")
 def plate_wcs_join(spark, sf_dir):
     side = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n"))
-    return table(spark, sf_dir, "part").select("p_partkey", "p_name").join(side, "p_partkey")
+    used = table(spark, sf_dir, "part").select("p_partkey", "p_name").join(side.select("p_partkey"), "p_partkey", "left_semi")
+    return X.complete_join(used, side, "p_partkey")
 
 
 _TIER = "CASE doc_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END"
@@ -162,11 +163,14 @@ def band_tags(spark, sf_dir):
 @query("""WITH s AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS e FROM lineitem), n AS (SELECT k, count(*) AS n FROM s GROUP BY k)
 SELECT a.k AS contained, b.k AS container FROM s a JOIN s b ON b.e = a.e AND b.k != a.k JOIN n ON n.k = a.k GROUP BY a.k, b.k HAVING count(*) = any_value(n.n)""")
 def containment_join(spark, sf_dir):
-    """Orders whose set of suppliers lies within another order's."""
+    """Orders whose set of suppliers lies within another order's. A container has the contained set's rarest supplier, so only orders that share it are compared."""
     s = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("e")).distinct()
-    n = s.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    met = s.toDF("contained", "e").join(s.toDF("container", "e"), "e").filter("contained != container").groupBy("contained", "container").agg(F.count(F.lit(1)).alias("c"))
-    return met.join(n, met["contained"] == n["k"]).filter("c = n").select("contained", "container")
+    often = s.groupBy("e").agg(F.count(F.lit(1)).alias("df"))
+    sets = s.join(often, "e").groupBy("k").agg(F.collect_set("e").alias("set"), F.min(F.struct("df", "e")).alias("rare"))
+    small = sets.select(F.col("k").alias("contained"), F.col("set").alias("small"), F.col("rare.e").alias("e"))
+    large = sets.select(F.col("k").alias("container"), F.col("set").alias("large"), F.explode("set").alias("e")).filter(F.size("large") > 0)
+    met = small.join(large, "e").filter((F.col("contained") != F.col("container")) & (F.size("small") <= F.size("large")))
+    return met.filter(F.size(F.array_except("small", "large")) == 0).select("contained", "container")
 
 
 @query("SELECT c_custkey, sha256('{\"c_custkey\":' || c_custkey || ',\"c_mktsegment\":\"' || c_mktsegment || '\",\"c_name\":\"' || c_name || '\"}') AS sha FROM customer")
@@ -181,23 +185,41 @@ def digest_distance(spark, sf_dir):
     return h.select("c_custkey", H.hex_hamming(F.col("a"), F.col("b")).alias("hamming"), H.equal_positions(F.col("a"), F.col("b")).alias("same"))
 
 
-_CLAIM = "SELECT doc_id AS claim_id, CASE WHEN doc_id % 5 = 0 THEN 'SUPPORTED' ELSE 'OPEN' END AS status, CASE WHEN doc_id % 7 = 0 THEN 'GUESS' ELSE 'REPORT' END AS kind, quality, toxic FROM labels"
+_CLAIM = """c AS (SELECT *, doc_id % 7 = 0 AS guess, ['SOURCE_FACT', 'FORMAL_DERIVATION', 'REPRODUCIBLE_EXPERIMENT', 'STATISTICAL_INFERENCE', 'HYPOTHESIS_ONLY', 'NONE'][doc_id % 6 + 1] AS ev,
+['SOURCE_BOUND_FACT', 'PROVED_IN_SCOPE', 'HYPOTHESIS_ONLY', 'WEAKENED', 'OPEN'][doc_id % 5 + 1] AS st, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'PEER_MESSAGE' WHEN 2 THEN 'DIRECT_OBSERVATION' ELSE 'RUMOUR' END AS ch FROM labels)"""
 
 
-@query(f"""WITH c AS ({_CLAIM}) SELECT claim_id::VARCHAR AS claim_id, array_to_string(CASE WHEN kind = 'GUESS' THEN ['KIND_UNKNOWN'] ELSE [] END || CASE WHEN status = 'SUPPORTED' AND quality = 0 THEN ['SUPPORTED_WITHOUT_SOURCE', 'SUPPORTED_WITHOUT_EVIDENCE'] ELSE [] END, ',') AS errors,
-array_to_string(['NO_ALTERNATIVES', 'NO_TESTS'] || CASE WHEN quality = 1 THEN ['SINGLE_SOURCE'] ELSE [] END || CASE WHEN toxic = 1 THEN ['CONFIDENCE_WITHOUT_INDEPENDENCE'] ELSE [] END, ',') AS warnings, NOT (kind = 'GUESS' OR (status = 'SUPPORTED' AND quality = 0)) AS admissible FROM c""")
+def _when(*rules: tuple[str, str]) -> str:
+    return " || ".join(f"CASE WHEN {cond} THEN ['{code}'] ELSE [] END" for code, cond in rules)
+
+
+_ERRORS = _when(
+    ("INVALID_CLAIM_KIND", "guess"), ("DEPRECATED_HEURISTIC_OR_LEGACY_STATUS_FORBIDDEN_FOR_ACTIVE_CLAIM", "st = 'WEAKENED'"), ("INVALID_STATUS", "st = 'OPEN'"), ("MISSING_OR_INVALID_EVIDENCE_CLASS", "ev = 'NONE'"),
+    ("INVALID_PROVENANCE_CHANNEL", "ch = 'RUMOUR'"), ("UNCALIBRATED_CONFIDENCE_FORBIDDEN", "toxic = 1"), ("CONSENSUS_IS_NOT_WORLD_TRUTH", "doc_id % 11 = 0"),
+    ("SOURCE_FACT_REQUIRES_SOURCE_POINTER", "ev = 'SOURCE_FACT' AND quality = 0"), ("SOURCE_FACT_REQUIRES_PROVENANCE_CHANNEL", "ev = 'SOURCE_FACT' AND ch = ''"),
+    ("FORMAL_DERIVATION_REQUIRES_DERIVATION_OR_SOURCE_OBJECT", "ev = 'FORMAL_DERIVATION' AND quality = 0"), ("FORMAL_DERIVATION_STATUS_MISMATCH", "ev = 'FORMAL_DERIVATION' AND st != 'PROVED_IN_SCOPE'"),
+    ("REPRODUCIBLE_EXPERIMENT_REQUIRES_VERSIONED_EVIDENCE_OBJECT", "ev = 'REPRODUCIBLE_EXPERIMENT' AND quality = 0"), ("FINITE_EXPERIMENT_CANNOT_BE_PROMOTED_TO_UNIVERSAL_PROOF", "ev = 'REPRODUCIBLE_EXPERIMENT' AND st = 'PROVED_IN_SCOPE'"),
+    ("STATISTICAL_INFERENCE_REQUIRES_MODEL", "ev = 'STATISTICAL_INFERENCE' AND doc_id % 9 != 3"), ("STATISTICAL_MODEL_MISSING:model,uncertainty", "ev = 'STATISTICAL_INFERENCE' AND doc_id % 9 = 3"),
+    ("HYPOTHESIS_CANNOT_BE_PROMOTED_AS_EVIDENCE", "ev = 'HYPOTHESIS_ONLY' AND st != 'HYPOTHESIS_ONLY'"), ("HYPOTHESIS_REQUIRES_FALSIFICATION_ROUTE", "ev = 'HYPOTHESIS_ONLY' AND quality = 0"),
+    ("INDEPENDENT_REPLICATION_REQUIRES_MULTIPLE_SOURCE_POINTERS", "doc_id % 13 = 0"), ("INDEPENDENT_REPLICATION_REQUIRES_DEPENDENCY_ANALYSIS", "doc_id % 13 = 0"), ("PREDICTION_NOT_FROZEN_BEFORE_SCORING", "doc_id % 17 = 0"),
+)
+_WARNINGS = _when(("SOURCE_FACT_IS_REPORT_OCCURRENCE_ONLY_FOR_CONTEXT_CHANNEL", "ev = 'SOURCE_FACT' AND ch = 'PEER_MESSAGE' AND st = 'SOURCE_BOUND_FACT'"), ("EVENT_TIME_NOT_RECORDED", "NOT guess"), ("EVENT_LOCATION_NOT_RECORDED", "NOT guess"), ("CLOSED_BELIEF_LOOP_WARNING", "ev = 'HYPOTHESIS_ONLY' AND quality = 0"))
+
+
+@query(f"WITH {_CLAIM}, e AS (SELECT doc_id::VARCHAR AS claim_id, {_ERRORS} AS e, {_WARNINGS} AS w FROM c) SELECT claim_id, array_to_string(e, ',') AS errors, array_to_string(w, ',') AS warnings, len(e) = 0 AS admissible FROM e")
 def validate_claims(spark, sf_dir):
-    rows = table(spark, sf_dir, "labels")
-    none = F.array().cast("array<string>")
-    some = F.when(F.col("quality") == 1, F.array(F.col("doc_id").cast("string"))).otherwise(none)
-    text = F.lit("claim")
-    claims = rows.select(
-        F.col("doc_id").cast("string").alias("claim_id"), F.lit("agent").alias("origin_agent_id"), text.alias("claim_text"), text.alias("raw_claim_text"),
-        F.when(F.col("doc_id") % 7 == 0, "GUESS").otherwise("REPORT").alias("claim_kind"), F.when(F.col("doc_id") % 5 == 0, "SUPPORTED").otherwise("OPEN").alias("status"),
-        F.lit("PRIMARY").alias("evidence_class"), F.lit("DIRECT").alias("provenance_channel"), F.lit("FIRSTHAND").alias("firsthand_status"),
-        F.lit(None).cast("string").alias("event_time"), F.lit(None).cast("string").alias("event_location"), some.alias("source_pointers"), some.alias("evidence_objects"),
-        none.alias("alternative_hypotheses"), none.alias("falsification_tests"), none.alias("independence_evidence"), F.when(F.col("toxic") == 1, "HIGH").alias("confidence"), F.lit(False).alias("independent_replication"),
-        F.lit(None).cast("struct<frozen:boolean,scored:boolean,post_hoc_redefined:boolean,prediction_timestamp:string,deadline_or_window:string,success_criterion:string,failure_criterion:string,score:string>").alias("prediction"),
-        F.lit(None).cast("struct<model:string,conditioning:string,estimation_or_calibration:string>").alias("probability_model"), F.lit(None).cast("struct<target:string,model:string,uncertainty:string>").alias("statistical_model"),
+    """Labels as claims, whose fields follow from id, quality and toxicity so that most rules are met by some."""
+    n = F.col("doc_id")
+    one = lambda k, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (n % k + 1).cast("int"))
+    some = F.when(F.col("quality") == 1, F.array(n.cast("string"))).otherwise(F.array().cast("array<string>"))
+    claims = table(spark, sf_dir, "labels").select(
+        n.cast("string").alias("claim_id"), F.lit("agent").alias("origin_agent_id"), F.lit("claim").alias("claim_text"),
+        F.when(n % 7 == 0, "GUESS").otherwise("REPORTED").alias("claim_kind"), one(5, "SOURCE_BOUND_FACT", "PROVED_IN_SCOPE", "HYPOTHESIS_ONLY", "WEAKENED", "OPEN").alias("status"),
+        one(6, "SOURCE_FACT", "FORMAL_DERIVATION", "REPRODUCIBLE_EXPERIMENT", "STATISTICAL_INFERENCE", "HYPOTHESIS_ONLY", "NONE").alias("evidence_class"),
+        one(4, "", "PEER_MESSAGE", "DIRECT_OBSERVATION", "RUMOUR").alias("provenance_channel"),
+        some.alias("source_pointers"), some.alias("evidence_objects"), some.alias("falsification_tests"), F.when(F.col("toxic") == 1, "HIGH").alias("confidence"),
+        (n % 13 == 0).alias("independent_replication"), F.when(n % 11 == 0, F.array(F.lit("consensus_as_truth"))).alias("flags"),
+        F.when(n % 9 == 3, F.struct(F.lit("rate").alias("target"), F.lit("").alias("model"), F.lit(None).cast("string").alias("uncertainty"))).alias("statistical_model"),
+        F.when(n % 17 == 0, F.from_json(F.lit('{"scored":true}'), "frozen boolean, scored boolean, post_hoc_redefined boolean, prediction_timestamp string, deadline_or_window string, success_criterion string, failure_criterion string, analysis_rule string, score string")).alias("prediction"),
     )
     return R.validate_claims(claims).select("claim_id", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"), "admissible")

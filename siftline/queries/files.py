@@ -62,15 +62,32 @@ def source_health(spark, sf_dir):
     return O.source_health(d.select(F.col("lang").alias("source"), (F.col("n_chars") > 500).alias("ok"), F.col("n_chars").alias("records")))
 
 
-@query(f"""WITH {_DAYS}, {_EVENTS}, ex AS (SELECT DISTINCT day FROM evd), l AS (SELECT day, opportunity, 'weighted' AS outcome, weighted AS v FROM days UNION ALL SELECT day, opportunity, 'opportunity', opportunity FROM days)
-SELECT outcome, round(sum(v) FILTER (WHERE e.day IS NOT NULL), 6) AS eo, round(coalesce(sum(v) FILTER (WHERE e.day IS NULL), 0), 6) AS uo FROM l LEFT JOIN ex e ON e.day = l.day GROUP BY outcome""")
+_RATES = """round(coalesce(sum(v) FILTER (WHERE e.day IS NOT NULL), 0), 6) AS eo, coalesce(sum(opportunity) FILTER (WHERE e.day IS NOT NULL), 0) AS en, round(coalesce(sum(v) FILTER (WHERE e.day IS NULL), 0), 6) AS uo, coalesce(sum(opportunity) FILTER (WHERE e.day IS NULL), 0) AS un,
+round((sum(v) FILTER (WHERE e.day IS NOT NULL) / sum(opportunity) FILTER (WHERE e.day IS NOT NULL)) / (sum(v) FILTER (WHERE e.day IS NULL) / sum(opportunity) FILTER (WHERE e.day IS NULL)), 6) AS ratio"""
+
+
+def _rounded(df):
+    return df.select(*[F.round(c, 6).alias(c) if c in ("eo", "uo", "ratio") else c for c in df.columns])
+
+
+@query(f"""WITH {_DAYS}, {_EVENTS}, l AS (SELECT day, opportunity, 'weighted' AS outcome, weighted AS v FROM days UNION ALL SELECT day, opportunity, 'opportunity', opportunity FROM days)
+SELECT outcome, {_RATES} FROM l LEFT JOIN evd e ON e.day = l.day GROUP BY outcome""")
 def evaluate_cohort(spark, sf_dir):
     by_day, events, n = days(spark, sf_dir)
-    exposed = X.exposed_days(events.filter("event_id % 97 = 0").select("day").distinct(), 0, n)
-    return X.evaluate_cohort(by_day, exposed, ["weighted", "opportunity"], "opportunity").select("outcome", F.round("eo", 6).alias("eo"), F.round("uo", 6).alias("uo"))
+    return _rounded(X.evaluate_cohort(by_day, X.exposed_days(events, 0, n), ["weighted", "opportunity"], "opportunity"))
 
 
-@query("WITH e AS (SELECT CAST(ts AS DATE) AS date, event_type, value FROM events), k AS (SELECT date FROM e GROUP BY date HAVING count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM e)) SELECT event_type, count(*) AS n FROM e SEMI JOIN k ON k.date = e.date GROUP BY event_type")
+@query(f"""WITH {_DAYS}, {_EVENTS}, h AS (SELECT event_type || CASE WHEN event_type = 'signup' AND dayofmonth(date) % 3 = 0 THEN '-late' ELSE '' END AS cohort, date_diff('day', d0, date) AS day, score FROM ev, span),
+c AS (SELECT cohort, day, count(*)::DOUBLE AS opportunity, sum(score) AS v FROM h GROUP BY ALL), k AS (SELECT day FROM c GROUP BY day HAVING count(DISTINCT cohort) = (SELECT count(DISTINCT cohort) FROM c)),
+s AS (SELECT 'ALL' AS scope, * FROM c UNION ALL SELECT 'COMMON', * FROM c SEMI JOIN k ON k.day = c.day), l AS (SELECT scope, cohort, day, opportunity, 'weighted' AS outcome, v FROM s)
+SELECT scope, cohort, outcome, {_RATES} FROM l LEFT JOIN evd e ON e.day = l.day GROUP BY scope, cohort, outcome""")
 def harmonize(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(F.to_date("ts").alias("date"), "event_type", "value")
-    return X.harmonize(rows, "event_type").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    """Kinds of events as cohorts (late signups, on each third day of a month, are one of their own), each over all its days and over the days that all have."""
+    from siftline.queries.statistics import scored
+
+    _, events, n = days(spark, sf_dir)
+    rows = scored(spark, sf_dir)
+    d0 = rows.agg(F.min("date")).first()[0]
+    late = F.when((F.col("event_type") == "signup") & (F.dayofmonth("date") % 3 == 0), "-late").otherwise("")
+    by_day = rows.groupBy(F.concat("event_type", late).alias("cohort"), F.datediff("date", F.lit(d0)).alias("day")).agg(F.count(F.lit(1)).cast("double").alias("opportunity"), F.sum("score").alias("weighted"))
+    return _rounded(X.harmonized(by_day, X.exposed_days(events, 0, n), ["weighted"], "opportunity"))

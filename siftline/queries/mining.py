@@ -141,10 +141,9 @@ def shingles(spark, sf_dir):
     return words.select("doc_id", F.size(T.shingles(F.col("w"))).cast("long").alias("n_shingles"))
 
 
-@query(f"WITH {_SHINGLES} SELECT doc_id, array_to_string(list_filter(t, lambda x: len(x) >= 3)[:3], ' ') AS head FROM w")
+@query(f"WITH {_SHINGLES}, k AS (SELECT doc_id, list_filter(t, lambda x: len(x) >= 3) AS k FROM w) SELECT doc_id, array_to_string(list_filter(k, lambda x, i: list_position(k, x) = i)[:12], ' ') AS head FROM k")
 def meaningful_tokens(spark, sf_dir):
-    kept = F.slice(F.filter(T.norm_tokens(F.col("text")), lambda w: F.length(w) >= 3), 1, 3)
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(kept, " ").alias("head"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.meaningful_tokens(F.col("text")), " ").alias("head"))
 
 
 def _state_sql() -> str:

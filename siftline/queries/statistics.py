@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline.operators import exposure as X
 from siftline.operators import metrics as M
+from siftline.operators import rules as R
 from siftline.registry import query
 from siftline.sources.tables import table
 
@@ -15,7 +16,8 @@ SCALE = 200.0
 _EV = f"ev AS (SELECT CAST(ts AS DATE) AS date, event_id, user_id, event_type, least(greatest(value / {SCALE}, 0), 1) AS score, event_type = 'signup' AS is_event FROM events)"
 _DAYS = f"""{_EV}, span AS (SELECT min(date) AS d0, date_diff('day', min(date), max(date)) + 1 AS n FROM ev),
 days AS (SELECT date_diff('day', d0, date) AS day, count(*)::DOUBLE AS opportunity, sum(score) AS weighted FROM ev, span GROUP BY ALL)"""
-_EVENTS = "evd AS (SELECT DISTINCT date_diff('day', d0, date) AS day FROM ev, span WHERE is_event AND event_id % 97 = 0)"
+#: Days whose share of signups is above the median day's count as days of an event.
+_EVENTS = "sh AS (SELECT date_diff('day', d0, date) AS day, avg(is_event::INT) AS share FROM ev, span GROUP BY ALL), evd AS (SELECT day FROM sh WHERE share > (SELECT median(share) FROM sh))"
 
 
 def scored(spark, sf_dir):
@@ -24,12 +26,14 @@ def scored(spark, sf_dir):
 
 
 def days(spark, sf_dir):
-    """(day, opportunity, weighted) by day index from the first date, and the number of days."""
+    """(day, opportunity, weighted) by day index from the first date, days of an event (day), and the number of days."""
     rows = scored(spark, sf_dir)
     d0, d1 = rows.agg(F.min("date"), F.max("date")).first()
     indexed = rows.withColumn("day", F.datediff("date", F.lit(d0)))
     by_day = indexed.groupBy("day").agg(F.count(F.lit(1)).cast("double").alias("opportunity"), F.sum("score").alias("weighted"))
-    return by_day, indexed.filter(F.col("is_event")).select("day", "event_id"), (d1 - d0).days + 1
+    share = indexed.groupBy("day").agg(F.avg(F.col("is_event").cast("int")).alias("share"))
+    events = share.crossJoin(F.broadcast(share.agg(F.percentile("share", 0.5).alias("mid")))).filter("share > mid").select("day")
+    return by_day, events, (d1 - d0).days + 1
 
 
 @query(f"WITH {_EV} SELECT date, count(*) AS n, round(sum(score), 6) AS weighted, count(*) FILTER (WHERE score >= 0.5) AS n_50, count(*) FILTER (WHERE score >= 0.8) AS n_80 FROM ev GROUP BY date")
@@ -77,7 +81,7 @@ round((sum(weighted) FILTER (WHERE e.day IS NOT NULL) / sum(opportunity) FILTER
 FROM days LEFT JOIN ex e ON e.day = days.day""")
 def rate_ratio(spark, sf_dir):
     by_day, events, n = days(spark, sf_dir)
-    exposed = X.exposed_days(events.filter("event_id % 97 = 0").select("day").distinct(), 1, n)
+    exposed = X.exposed_days(events, 1, n)
     out = X.rate_ratio(by_day, exposed, "weighted", "opportunity")
     return out.select(F.round("eo", 6).alias("eo"), "en", F.round("uo", 6).alias("uo"), "un", F.round("ratio", 6).alias("ratio"))
 
@@ -85,7 +89,7 @@ def rate_ratio(spark, sf_dir):
 @query(f"""WITH {_DAYS}, {_EVENTS} SELECT DISTINCT ((((day + d) % n) + n) % n)::INT AS day FROM evd, span, unnest(range(-1, 2)) AS r(d)""")
 def interval_exposure_join(spark, sf_dir):
     _, events, n = days(spark, sf_dir)
-    return X.exposed_days(events.filter("event_id % 97 = 0").select("day").distinct(), 1, n)
+    return X.exposed_days(events, 1, n)
 
 
 _SHIFTS = f"""{_DAYS}, {_EVENTS}, hit AS (SELECT DISTINCT s, (((day + s + d) % n) + n) % n AS day FROM evd, span, unnest(range(0, n)) AS t(s), unnest(range(0, 1)) AS r(d)),
@@ -96,7 +100,7 @@ rr AS (SELECT s AS shift, (eo / en) / ((wo - eo) / (wn - en)) AS ratio FROM ex,
 @query(f"WITH {_SHIFTS} SELECT shift, round(ratio, 6) AS ratio FROM rr")
 def circular_shifts(spark, sf_dir):
     by_day, events, n = days(spark, sf_dir)
-    out = X.shift_table(by_day, events.filter("event_id % 97 = 0").select("day").distinct(), 0, n, "weighted", "opportunity")
+    out = X.shift_table(by_day, events, 0, n, "weighted", "opportunity")
     return out.withColumn("ratio", F.round("ratio", 6))
 
 
@@ -105,7 +109,7 @@ SELECT count(*) AS shifts, round(any_value(observed), 6) AS observed, round(avg(
 round(avg((abs(ln(greatest(ratio, 1e-12)) - ln(greatest(mid, 1e-12))) >= abs(ln(greatest(observed, 1e-12)) - ln(greatest(mid, 1e-12))) - 1e-12)::INT), 6) AS p_two_sided FROM rr, o, m""")
 def circular_shift_test(spark, sf_dir):
     by_day, events, n = days(spark, sf_dir)
-    ratios = X.shift_table(by_day, events.filter("event_id % 97 = 0").select("day").distinct(), 0, n, "weighted", "opportunity")
+    ratios = X.shift_table(by_day, events, 0, n, "weighted", "opportunity")
     out = X.shift_test(ratios)
     return out.select("shifts", *[F.round(c, 6).alias(c) for c in ("observed", "p_upper", "p_two_sided")])
 
@@ -188,13 +192,15 @@ def vector_pair_similarity(spark, sf_dir):
     return both.select("a", (F.col("a") + 1).alias("b"), F.round(cos, 6).alias("cosine"), F.round(cor, 6).alias("correlation"))
 
 
-@query("""WITH c AS (SELECT conv_id, turn, sha256(coalesce(role, '') || '|' || coalesce(text, '')) AS sha FROM conversations), p AS (SELECT *, lag(sha, 1, repeat('0', 64)) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM c),
-l AS (SELECT conv_id, turn, sha, previous, lag(sha, 1, repeat('0', 64)) OVER (PARTITION BY conv_id ORDER BY turn) = previous AS ok FROM p)
-SELECT conv_id, count(*) AS links, bool_and(ok) AS intact, max(sha) AS largest FROM l GROUP BY conv_id""")
+_CHAIN = "c AS (SELECT conv_id, turn, coalesce(text, '') AS t, sha256(coalesce(role, '') || '|' || coalesce(text, '')) AS sha FROM conversations), p AS (SELECT *, CASE WHEN length(t) % 13 = 5 THEN sha ELSE lag(sha, 1, repeat('0', 64)) OVER (PARTITION BY conv_id ORDER BY turn) END AS previous FROM c)"
+
+
+@query(f"""WITH {_CHAIN}, l AS (SELECT conv_id, turn, previous = lag(sha, 1, repeat('0', 64)) OVER (PARTITION BY conv_id ORDER BY turn) AS ok FROM p)
+SELECT conv_id, count(*) AS links, bool_and(ok) AS intact, min(turn) FILTER (WHERE NOT ok) AS first_broken FROM l GROUP BY conv_id""")
 def hash_chain_verify(spark, sf_dir):
-    """Turns as a chain of receipts: each must name its predecessor's hash, the first one 64 zeros."""
-    w = W.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.concat(F.coalesce("role", F.lit("")), F.lit("|"), F.coalesce("text", F.lit(""))), 256).alias("sha"))
-    zero = F.lit("0" * 64)
-    chained = rows.withColumn("previous", F.coalesce(F.lag("sha").over(w), zero))
-    return chained.withColumn("ok", F.coalesce(F.lag("sha").over(w), zero) == F.col("previous")).groupBy("conv_id").agg(F.count(F.lit(1)).alias("links"), F.bool_and("ok").alias("intact"), F.max("sha").alias("largest"))
+    """Turns as a chain of receipts: each must name its predecessor's hash, the first one 64 zeros. Those whose text has a length of 5 modulo 13 name their own instead, so their chains are broken there."""
+    t = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", t.alias("t"), F.sha2(F.concat(F.coalesce("role", F.lit("")), F.lit("|"), t), 256).alias("sha"))
+    before = F.coalesce(F.lag("sha").over(W.partitionBy("conv_id").orderBy("turn")), F.lit("0" * 64))
+    receipts = rows.withColumn("previous", F.when(F.length("t") % 13 == 5, F.col("sha")).otherwise(before))
+    return R.verify_chain(receipts, "conv_id", "turn")

@@ -7,6 +7,8 @@ import html
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from siftline.functions.text import normalize_doi
 from pyspark.sql import types as T
 
 
@@ -119,3 +121,27 @@ def observed_date(text: Column) -> Column:
     found = F.coalesce(*tries)
     short = text.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$")
     return F.when(short & (F.year(found) >= 2000), F.add_months(found, -1200)).otherwise(found)
+
+
+#: What literature records are marked with.
+LITERATURE_TAGS = ("P_VS_NP", "LITERATURE_DISCOVERY")
+REVIEW_STATE, AUTHORITY, CEILING = "UNEXAMINED", "DISCOVERY_METADATA_ONLY", "PAPER_METADATA_AND_CLAIMS_REQUIRE_SEPARATE_VALIDATION"
+
+
+def _literature(provider: str, doi: Column, other: Column, title: Column, text: Column, url: Column) -> list[Column]:
+    marks = [F.array(*map(F.lit, LITERATURE_TAGS)).alias("relation_tags"), F.lit(REVIEW_STATE).alias("review_state"), F.lit(AUTHORITY).alias("scientific_authority"), F.lit(CEILING).alias("claim_ceiling")]
+    return [F.lit(provider).alias("provider"), F.coalesce(doi, other).alias("archive_id"), doi.alias("doi"), F.coalesce(title, F.lit("")).alias("title"), F.coalesce(text, F.lit("")).alias("text"), url.alias("source_url"), *marks]
+
+
+def crossref_records(items: DataFrame) -> DataFrame:
+    """Literature records from items (DOI, URL, title array<string>, abstract); the first title counts, abstracts end at 12,000 characters."""
+    doi = normalize_doi(F.col("DOI"))
+    url = F.coalesce(F.nullif("URL", F.lit("")), F.concat(F.lit("https://doi.org/"), doi), F.lit(""))
+    return items.select(*_literature("CROSSREF", doi, F.col("URL"), F.get("title", F.lit(0)), F.substring("abstract", 1, 12_000), url))
+
+
+def openalex_records(items: DataFrame) -> DataFrame:
+    """Literature records from items (id, doi, title, abstract_inverted_index map<string,array<int>>)."""
+    doi = normalize_doi(F.col("doi"))
+    url = F.coalesce(F.nullif("doi", F.lit("")), F.nullif("id", F.lit("")), F.lit(""))
+    return items.select(*_literature("OPENALEX", doi, F.col("id"), F.col("title"), abstract_of(F.col("abstract_inverted_index")), url))

@@ -209,7 +209,7 @@ def test_pages_feeds_and_headers(spark, tmp_path):
 
 def test_features_and_guards(spark):
     with pytest.raises(ValueError):
-        features.guard_names(["ok", "is_label"])
+        features.guard_names(["ok", "label"])
     got = spark.createDataFrame([("1.5",), ("",), ("nan",), ("x",), ("2",)], "v string").select(features.coerce(F.col("v"), "float").alias("f"), features.coerce(F.col("v"), "int").alias("i"), features.coerce(F.lit("Yes"), "bool").alias("b")).collect()
     assert [(r.f, r.i, r.b) for r in got] == [(1.5, None, True), (None, None, True), (None, None, True), (None, None, True), (2.0, 2, True)]
     assert spark.range(1).select(H.fold(F.lit("g"), 7)).first()[0] == int(__import__("hashlib").sha256(b"g").hexdigest()[:16], 16) % 7
@@ -276,3 +276,119 @@ def test_file_helpers(spark):
     nodes = spark.createDataFrame([("a",), ("b",)], "id string")
     packed = files.pack(nodes, spark.createDataFrame([("a", "time", "PARTIAL")], "subject string, facet string, status string"), spark.createDataFrame([("b", 0.5)], "node string, score double"))
     assert {(r.id, r.score, bool(r.facets)) for r in packed.collect()} == {("a", None, True), ("b", 0.5, False)}
+
+
+STRING = "claim_id origin_agent_id claim_text raw_claim_text claim_kind status evidence_class provenance_channel firsthand_status event_time event_location confidence".split()
+GOOD = dict(claim_id="c", origin_agent_id="a", claim_text="t", claim_kind="DERIVED", status="UNRESOLVED", evidence_class="SOURCE_FACT", provenance_channel="INSTRUMENT_RECORD", firsthand_status="FIRSTHAND", source_pointers=["s"], alternative_hypotheses=["x"])
+FROZEN = dict(frozen=True, prediction_timestamp="1", deadline_or_window="2", success_criterion="3", failure_criterion="4", analysis_rule="5")
+STATED = dict(model="m", conditioning="c", estimation_or_calibration="e", validation="v", uncertainty="u")
+HYPOTHESIS = dict(evidence_class="HYPOTHESIS_ONLY", status="HYPOTHESIS_ONLY", falsification_tests=["f"])
+CLAIMS = [
+    ({}, [], []),
+    (dict(claim_id=" "), ["MISSING_CLAIM_ID"], []),
+    (dict(origin_agent_id=None), ["MISSING_ORIGIN_AGENT_ID"], []),
+    (dict(claim_text="", raw_claim_text="raw"), ["MISSING_CLAIM_TEXT"], []),
+    (dict(claim_text=""), ["MISSING_CLAIM_TEXT", "MISSING_RAW_CLAIM_TEXT"], []),
+    (dict(claim_kind="GUESS"), ["INVALID_CLAIM_KIND"], []),
+    (dict(claim_kind="measured", event_time="1"), [], ["EVENT_LOCATION_NOT_RECORDED"]),
+    (dict(claim_kind=None, event_location="x"), [], ["EVENT_TIME_NOT_RECORDED"]),
+    (dict(alternative_hypotheses=[]), [], ["ALTERNATIVE_HYPOTHESES_NOT_RECORDED"]),
+    (dict(status="OPEN"), ["INVALID_STATUS"], []),
+    (dict(status=None), [], []),
+    (dict(evidence_class=None), ["MISSING_OR_INVALID_EVIDENCE_CLASS"], []),
+    (dict(provenance_channel="RUMOUR"), ["INVALID_PROVENANCE_CHANNEL"], []),
+    (dict(provenance_channel=""), ["SOURCE_FACT_REQUIRES_PROVENANCE_CHANNEL"], []),
+    (dict(firsthand_status="MAYBE"), ["INVALID_FIRSTHAND_STATUS"], []),
+    (dict(confidence="0.9"), ["UNCALIBRATED_CONFIDENCE_FORBIDDEN"], []),
+    (dict(confidence="0.9", probability_model=STATED), [], []),
+    (dict(probability_model=STATED | dict(model="", validation=None)), ["PROBABILITY_MODEL_MISSING:model,validation"], []),
+    (dict(source_pointers=[" "]), ["SOURCE_FACT_REQUIRES_SOURCE_POINTER"], []),
+    (dict(status="SOURCE_BOUND_FACT", provenance_channel="HEARSAY_REPORT"), [], ["SOURCE_FACT_IS_REPORT_OCCURRENCE_ONLY_FOR_CONTEXT_CHANNEL"]),
+    (dict(evidence_class="FORMAL_DERIVATION", source_pointers=None), ["FORMAL_DERIVATION_REQUIRES_DERIVATION_OR_SOURCE_OBJECT"], []),
+    (dict(evidence_class="FORMAL_DERIVATION", status="HYPOTHESIS_ONLY"), ["FORMAL_DERIVATION_STATUS_MISMATCH"], []),
+    (dict(evidence_class="REPRODUCIBLE_EXPERIMENT"), ["REPRODUCIBLE_EXPERIMENT_REQUIRES_VERSIONED_EVIDENCE_OBJECT"], []),
+    (dict(evidence_class="REPRODUCIBLE_EXPERIMENT", evidence_objects=["e"], status="PROVED_IN_SCOPE"), ["FINITE_EXPERIMENT_CANNOT_BE_PROMOTED_TO_UNIVERSAL_PROOF"], []),
+    (dict(evidence_class="STATISTICAL_INFERENCE"), ["STATISTICAL_INFERENCE_REQUIRES_MODEL"], []),
+    (dict(evidence_class="STATISTICAL_INFERENCE", status="SUPPORTED_BY_STATISTICAL_INFERENCE_WITH_MODEL"), ["STATISTICAL_INFERENCE_REQUIRES_MODEL", "STATISTICAL_STATUS_REQUIRES_MODEL"], []),
+    (dict(evidence_class="STATISTICAL_INFERENCE", statistical_model=dict(target="t", model="", uncertainty="u")), ["STATISTICAL_MODEL_MISSING:model"], []),
+    (HYPOTHESIS, [], []),
+    (HYPOTHESIS | dict(status="REFUTED"), ["HYPOTHESIS_CANNOT_BE_PROMOTED_AS_EVIDENCE"], []),
+    (HYPOTHESIS | dict(falsification_tests=[]), ["HYPOTHESIS_REQUIRES_FALSIFICATION_ROUTE"], ["CLOSED_BELIEF_LOOP_WARNING"]),
+    (dict(independent_replication=True), ["INDEPENDENT_REPLICATION_REQUIRES_MULTIPLE_SOURCE_POINTERS", "INDEPENDENT_REPLICATION_REQUIRES_DEPENDENCY_ANALYSIS"], []),
+    (dict(independent_replication=True, source_pointers=["a", "b"], independence_evidence=["i"]), [], []),
+    (dict(prediction=FROZEN), [], []),
+    (dict(prediction=FROZEN | dict(analysis_rule="")), ["FROZEN_PREDICTION_MISSING_CRITERIA"], []),
+    (dict(prediction=dict(scored=True)), ["PREDICTION_NOT_FROZEN_BEFORE_SCORING"], []),
+    (dict(prediction=FROZEN | dict(post_hoc_redefined=True)), ["NO_POST_HOC_REDEFINITION_TO_SAVE_A_FAILED_PREDICTION"], []),
+    (dict(prediction=FROZEN | dict(score="good")), ["INVALID_PREDICTION_SCORE"], []),
+    (dict(prediction=FROZEN | dict(score="pass")), [], []),
+]
+
+
+def test_claim_rules_and_values(spark):
+    from siftline.operators import rules
+
+    rows = [(change, errors, warnings) for change, errors, warnings in CLAIMS]
+    rows += [(dict(flags=[name]), [code], []) for name, code in rules.FLAGS.items()]
+    rows += [(dict(status=x), ["DEPRECATED_HEURISTIC_OR_LEGACY_STATUS_FORBIDDEN_FOR_ACTIVE_CLAIM"], []) for x in rules.OLD_STATUSES]
+    rows += [(dict(claim_kind=x, event_time="1", event_location="2"), [], []) for x in rules.KINDS] + [(dict(firsthand_status=x), [], []) for x in rules.FIRSTHAND] + [(dict(provenance_channel=x), [], []) for x in rules.CHANNELS]
+    rows += [(dict(status=x), [], []) for x in rules.STATUSES if x != "SOURCE_BOUND_FACT"] + [(dict(prediction=FROZEN | dict(score=x)), [], []) for x in rules.SCORES]
+    given = spark.createDataFrame([GOOD | change for change, *_ in rows], rules.CLAIM)
+    got = [(r.errors, r.warnings, r.admissible) for r in rules.validate_claims(given).coalesce(1).collect()]
+    assert got == [(e, w, not e) for _, e, w in rows]
+    few = spark.createDataFrame([("c", "a", "t", "SOURCE_FACT")], "claim_id string, origin_agent_id string, claim_text string, evidence_class string")
+    assert rules.validate_claims(few).first().errors == ["SOURCE_FACT_REQUIRES_SOURCE_POINTER", "SOURCE_FACT_REQUIRES_PROVENANCE_CHANNEL"]
+
+
+def test_broken_chains_are_found(spark):
+    from siftline.operators import rules
+
+    zero = "0" * 64
+    rows = [("a", 1, "x", zero), ("a", 2, "y", "x"), ("a", 3, "z", "y"), ("b", 1, "x", zero), ("b", 2, "y", "q"), ("b", 3, "z", "y"), ("c", 1, "x", "y"), ("d", 1, "x", None)]
+    got = {r.g: (r.links, r.intact, r.first_broken) for r in rules.verify_chain(spark.createDataFrame(rows, "g string, i int, sha string, previous string"), "g", "i").collect()}
+    assert got == {"a": (3, True, None), "b": (3, False, 2), "c": (1, False, 1), "d": (1, False, 1)}
+
+
+def test_names_that_leak_are_refused():
+    from siftline.operators import features
+
+    for name in (*features.LEAKS, *(f"x_{p}y" for p in features.LEAK_PARTS), "Plate_ID", "NUCLEAR_x"):
+        with pytest.raises(ValueError):
+            features.guard_names(["ok", name])
+    assert features.guard_names(["is_labelled", "targets", "brightness"]) == ["is_labelled", "targets", "brightness"]
+
+
+def test_rails_and_gates_fail_closed(spark):
+    from siftline.operators import features
+
+    base = spark.createDataFrame([(i, f"t{i % 2}") for i in range(4)], "id long, tile string")
+    tiles = spark.createDataFrame([("t0", 1), ("t1", 2)], "tile string, area int")
+    half = spark.createDataFrame([(0, 1.0), (1, None)], "id long, v double")
+    rail = features.feature_rail(base, "id", tiles, "tile", {"s": (half, ["v"])})
+    assert {r.id: (r.area, r.s_v, r.features_present) for r in rail.collect()} == {0: (1, 1.0, 2), 1: (2, None, 1), 2: (1, None, 1), 3: (2, None, 1)}
+    with pytest.raises(ValueError, match="no side row"):
+        features.feature_rail(base, "id", tiles, "tile", {"s": (half, ["v"])}, full=("s",))
+    with pytest.raises(ValueError, match="repeats"):
+        features.feature_rail(base, "id", tiles, "tile", {"s": (half.union(half), ["v"])})
+    with pytest.raises(ValueError, match="leak"):
+        features.feature_rail(base, "id", tiles, "tile", {"uap": (half, ["v"])})
+    with pytest.raises(ValueError, match="no side row"):
+        features.complete_join(base, half, "id")
+    gate = lambda **sides: {r.sidecar: (r.status, r.reasons, r.admitted) for r in features.sidecar_gate(sides, base, "id", dict.fromkeys(sides, ["v"]), 0.5).collect()}
+    assert gate(a=half) == {"a": ("PASS", [], True)}
+    assert gate(a=half, b=half.limit(0)) == {"a": ("PASS", [], False), "b": ("FAIL", ["EMPTY", "LOW_COVERAGE"], False)}
+    with pytest.raises(ValueError, match="already"):
+        features.sidecar_gate({"a": half}, base, "id", {"a": ["v"]}, present=("a",))
+
+
+def test_literature_records(spark):
+    from siftline.sources import web
+
+    items = spark.createDataFrame([("https://doi.org/10.1/X", None, ["one", "two"], "a" * 13_000), (None, "http://u", [], None)], "DOI string, URL string, title array<string>, abstract string")
+    a, b = web.crossref_records(items).collect()
+    assert (a.archive_id, a.doi, a.title, len(a.text), a.source_url) == ("10.1/x", "10.1/x", "one", 12_000, "https://doi.org/10.1/x")
+    assert (b.archive_id, b.doi, b.title, b.text, b.source_url, b.provider) == ("http://u", None, "", "", "http://u", "CROSSREF")
+    works = spark.createDataFrame([("w1", None, "t", {"b": [1], "a": [0, 2]}), ("w2", "doi:10.2/Y", None, None)], "id string, doi string, title string, abstract_inverted_index map<string,array<int>>")
+    a, b = web.openalex_records(works).collect()
+    assert (a.archive_id, a.text, a.source_url) == ("w1", "a b a", "w1")
+    assert (b.archive_id, b.doi, b.text, b.title, b.source_url, b.review_state) == ("10.2/y", "10.2/y", "", "", "doi:10.2/Y", "UNEXAMINED")
