@@ -21,13 +21,13 @@ from .textbytes import chunks, mix
 #: The pattern whose matches the cuts respect (fixed value: the public one of byte-level BPE).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks that a worker remembers.
-MEMORY = 1_500_000
+MEMORY = 1_000_000
 #: Longer chunks are encoded each time and not remembered.
 LONG = 64
 #: Newly met chunks are merged into the sorted memory once there are so many.
-YOUNG = 150_000
+YOUNG = 100_000
 #: Bytes of text that are cut at once, but for a longer text.
-BATCH = 3 << 20
+BATCH = 3 << 19
 _U = np.uint64
 _LETTER, _MARK, _BLANK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -70,7 +70,7 @@ def parts(buf: np.ndarray) -> Iterator[np.ndarray]:
 def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     have = next(iter(_POWERS), 0)
     if have < n:
-        size = max(n, 2 * BATCH)
+        size = max(n, BATCH)
         own = []
         for p in _BASE:
             up, down = np.full(size, p, _U), np.full(size, pow(p, -1, 1 << 64), _U)
