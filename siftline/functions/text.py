@@ -14,6 +14,8 @@ STOP = (
     "source metadata document documents page pages http https www gov com org pdf json html unidentified information report "
     "reports research official public collection data file files content title provider landing bulk download"
 ).split()
+#: The stop words of the first form of the graph, a prefix of STOP.
+STOP_V1 = STOP[: STOP.index("document")]
 DATE = r"(?<![0-9A-Za-z_])(?:18|19|20)[0-9]{2}(?:-[0-9]{2}-[0-9]{2})?(?![0-9A-Za-z_])"
 #: Cues of each state label.
 STATES = {

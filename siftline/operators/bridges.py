@@ -12,12 +12,12 @@ from siftline.functions.text import normalized
 
 
 def match_substring(rows: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(id, family, score, hits): an alias in the title counts 2, in the body 1, plus up to 1 for the number of hits. rows: (id, title, body)."""
+    """(id, family, score, hits): 2 where an alias is in the title, else 1, plus up to 1 for the number of aliases found. rows: (id, title, body)."""
     low = rows.select("id", normalized(F.coalesce("title", F.lit(""))).alias("t"), normalized(F.coalesce("body", F.lit(""))).alias("b"))
     hit = low.join(F.broadcast(aliases.select("family", "alias")), F.expr("contains(t, alias) or contains(b, alias)"))
-    where = F.expr("contains(t, alias)").cast("int") * 2 + F.expr("contains(b, alias)").cast("int")
-    g = hit.groupBy("id", "family").agg(F.max(where.cast("double")).alias("base"), F.count(F.lit(1)).alias("hits"))
-    return g.select("id", "family", (F.least(F.col("base"), F.lit(3.0)) + F.least(F.lit(1.0), 0.15 * F.col("hits"))).alias("score"), "hits")
+    where = F.when(F.expr("contains(t, alias)"), 2.0).otherwise(1.0)
+    g = hit.groupBy("id", "family").agg(F.max(where).alias("base"), F.count(F.lit(1)).alias("hits"))
+    return g.select("id", "family", (F.col("base") + F.least(F.lit(1.0), 0.15 * F.col("hits"))).alias("score"), "hits")
 
 
 def match_strict(rows: DataFrame, aliases: DataFrame, context: dict[str, list[str]] | None = None, generic: str | None = None) -> DataFrame:
@@ -27,8 +27,8 @@ def match_strict(rows: DataFrame, aliases: DataFrame, context: dict[str, list[st
     for family, terms in (context or {}).items():
         seen = reduce(lambda a, c: a | c, [F.contains("b", F.lit(f" {x} ")) | F.contains("t", F.lit(f" {x} ")) for x in terms])
         hit = hit.filter((F.col("family") != family) | seen)
-    where = F.expr("contains(t, p)").cast("int") * 2 + F.expr("contains(b, p)").cast("int")
-    g = hit.groupBy("id", "family").agg(F.max(where.cast("double")).alias("base"), F.count(F.lit(1)).alias("hits"))
+    where = F.when(F.expr("contains(t, p)"), 2.0).otherwise(1.0)
+    g = hit.groupBy("id", "family").agg(F.max(where).alias("base"), F.count(F.lit(1)).alias("hits"))
     out = g.select("id", "family", (F.col("base") + F.least(F.lit(1.0), 0.15 * F.col("hits"))).alias("score"), "hits")
     if generic is not None:
         out = out.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("id"))).filter((F.col("family") != generic) | (F.col("_n") > 1)).drop("_n")
@@ -149,3 +149,61 @@ def concept_coverage(files: DataFrame, concepts: dict[str, str], most: int = 20)
 def route_topk(scored: DataFrame, most: int = 80, id_col: str = "id") -> DataFrame:
     """The `most` records of the highest route_score, ties by id; a top-k report."""
     return scored.orderBy(F.col("route_score").desc(), F.col(id_col).cast("string")).limit(most)
+
+
+def _routed(scored: DataFrame) -> DataFrame:
+    """(id, families, route_score) from (id, family, score)."""
+    return scored.groupBy("id").agg(F.array_sort(F.collect_set("family")).alias("families"), F.round(F.sum("score"), 6).alias("route_score"))
+
+
+def assemble_bridges(papers: DataFrame, aliases: DataFrame, routes: DataFrame, anchors: DataFrame, sources: DataFrame, most: int = 80) -> DataFrame:
+    """(source_id, kind, families, route_score, anchors): given sources, and the `most` best papers that have a family.
+
+    papers: (id, title, body); sources: (id, families), all kept without a score.
+    A source or paper of no anchored family has an empty list.
+    """
+    live = route_topk(_routed(match_substring(papers, aliases)), most).select(F.col("id").cast("string"), F.lit("CANDIDATE").alias("kind"), "families", "route_score")
+    known = sources.select(F.col("id").cast("string"), F.lit("CANONICAL").alias("kind"), "families", F.lit(None).cast("double").alias("route_score"))
+    rows = known.unionByName(live)
+    out = rows.join(anchor_routes(rows, routes, anchors), "id", "left")
+    return out.select(F.col("id").alias("source_id"), "kind", "families", "route_score", F.coalesce("anchors", F.array().cast("array<string>")).alias("anchors"))
+
+
+def strict_refine(papers: DataFrame, candidates: DataFrame, aliases: DataFrame, context: dict[str, list[str]] | None = None, generic: str | None = None) -> DataFrame:
+    """(id, kept, families, route_score, old_families): candidates matched again by match_strict; those without a family are kept = false.
+
+    candidates: (id, families).
+    """
+    again = _routed(match_strict(papers.join(candidates.select("id"), "id", "left_semi"), aliases, context, generic))
+    both = candidates.select("id", F.col("families").alias("old_families")).join(again, "id", "left")
+    return both.select("id", F.col("families").isNotNull().alias("kept"), "families", "route_score", "old_families")
+
+
+def work_lineages(works: DataFrame, sequence=None) -> DataFrame:
+    """(a, b, authors, titles, abstracts, families, strong): pairs of works that may share their core result.
+
+    works: (id, title, authors, title_words, abstract_words, families), all but id
+    and title as sets. Pairs without a common author can't pass, so they are found
+    by author. sequence(a, b), a Column function, may vouch for titles by 0.72.
+    """
+    who = works.select("id", F.explode("authors").alias("who"))
+    pairs = who.toDF("a", "who").join(who.toDF("b", "who"), "who").filter("a < b").select("a", "b").distinct()
+    left, right = ([F.col("id").alias(k)] + [F.col(c).alias(f"{k}_{c}") for c in works.columns if c != "id"] for k in "ab")
+    both = pairs.join(works.select(*left), "a").join(works.select(*right), "b")
+    j = lambda c: F.round(F.coalesce(F.try_divide(F.size(F.array_intersect(f"a_{c}", f"b_{c}")), F.size(F.array_union(f"a_{c}", f"b_{c}"))), F.lit(0.0)), 6)
+    x = both.select("a", "b", "a_title", "b_title", j("authors").alias("authors"), j("title_words").alias("titles"), j("abstract_words").alias("abstracts"), j("families").alias("families"))
+    x = x.filter("authors >= 0.34 and abstracts >= 0.3")
+    alike = F.col("titles") >= 0.45
+    if sequence is not None:
+        alike = alike | (sequence(F.col("a_title"), F.col("b_title")) >= 0.72)
+    strong = (F.col("authors") >= 0.5) & (F.col("abstracts") >= 0.4) & alike
+    related = (F.col("titles") >= 0.35) & (F.col("families") >= 0.5)
+    return x.withColumn("strong", strong).filter(F.col("strong") | related).drop("a_title", "b_title")
+
+
+def enrich_routes(bridges: DataFrame, routes: DataFrame, anchors: DataFrame) -> DataFrame:
+    """bridges (source_id, families, ...) with anchors of the given routes and routed, which tells whether there is one."""
+    b = bridges.drop("anchors", "routed")
+    found = anchor_routes(b.select(F.col("source_id").alias("id"), "families"), routes, anchors).withColumnRenamed("id", "source_id")
+    out = b.join(found, "source_id", "left")
+    return out.withColumn("routed", F.col("anchors").isNotNull()).withColumn("anchors", F.coalesce("anchors", F.array().cast("array<string>")))

@@ -48,3 +48,10 @@ def merge(existing: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = fresh.select("subject", "facet", "field", "value", F.struct(F.lit(1).alias("_b"), "ord").alias("_n"))
     clash = n.join(k, ["subject", "facet", "field"]).filter((F.col("value") != F.col("other")) & (F.col("_o") < F.col("_n")))
     return fresh, clash.select("subject", "facet", "field", "value", "other").distinct()
+
+
+def receipt(coverage: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """One row (subjects, complete, partial, missing, tasks, conflicts): facets by status; each facet that lacks a field is a task."""
+    by = lambda s: F.count_if(F.col("status") == s)
+    facets = coverage.agg(F.countDistinct("subject").alias("subjects"), by("COMPLETE").alias("complete"), by("PARTIAL").alias("partial"), by("MISSING").alias("missing"), F.count_if(F.col("known") < F.col("fields")).alias("tasks"))
+    return facets.crossJoin(conflicts.agg(F.count(F.lit(1)).alias("conflicts")))

@@ -72,19 +72,60 @@ def papers(spark, sf_dir):
     return records(spark, sf_dir).select(F.col("ord").alias("id"), "title", F.col("text").alias("body"))
 
 
-@query(f"WITH {_TB} SELECT doc_id, family, round(least(max(contains(t, alias)::INT * 2 + contains(b, alias)::INT), 3) + least(1::DOUBLE, 0.15::DOUBLE * count(*)), 6) AS score, count(*) AS hits FROM tb JOIN al ON contains(t, alias) OR contains(b, alias) GROUP BY ALL")
+@query(f"WITH {_TB} SELECT doc_id, family, round(max(CASE WHEN contains(t, alias) THEN 2 ELSE 1 END) + least(1::DOUBLE, 0.15::DOUBLE * count(*)), 6) AS score, count(*) AS hits FROM tb JOIN al ON contains(t, alias) OR contains(b, alias) GROUP BY ALL")
 def match_substring(spark, sf_dir):
     out = B.match_substring(papers(spark, sf_dir), spark.createDataFrame(ALIASES, "family string, alias string"))
     return out.select(F.col("id").alias("doc_id"), "family", F.round("score", 6).alias("score"), "hits")
 
 
-@query(f"""WITH {_TB}, m AS (SELECT doc_id, family, max(contains(' ' || t || ' ', ' ' || alias || ' ')::INT * 2 + contains(' ' || b || ' ', ' ' || alias || ' ')::INT) + least(1::DOUBLE, 0.15::DOUBLE * count(*)) AS score, count(*) AS hits FROM tb JOIN al ON contains(' ' || t || ' ', ' ' || alias || ' ') OR contains(' ' || b || ' ', ' ' || alias || ' ')
+@query(f"""WITH {_TB}, m AS (SELECT doc_id, family, max(CASE WHEN contains(' ' || t || ' ', ' ' || alias || ' ') THEN 2 ELSE 1 END) + least(1::DOUBLE, 0.15::DOUBLE * count(*)) AS score, count(*) AS hits FROM tb JOIN al ON contains(' ' || t || ' ', ' ' || alias || ' ') OR contains(' ' || b || ' ', ' ' || alias || ' ')
 WHERE family != 'insult' OR contains(' ' || b || ' ', ' the ') OR contains(' ' || t || ' ', ' the ') GROUP BY ALL), n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM m) SELECT doc_id, family, round(score, 6) AS score, hits FROM n WHERE family != 'place' OR n > 1""")
 def match_strict(spark, sf_dir):
     out = B.match_strict(papers(spark, sf_dir), spark.createDataFrame(ALIASES, "family string, alias string"), {"insult": ["the"]}, "place")
     return out.select(F.col("id").alias("doc_id"), "family", F.round("score", 6).alias("score"), "hits")
 
 
+ROUTES = [("insult", "hub", 0), ("insult", "west", 1), ("licence", "hub", 0), ("licence", "gone", 1)]
+_BR = f"""{_TB}, m AS (SELECT doc_id, family, max(CASE WHEN contains(t, alias) THEN 2 ELSE 1 END) + least(1::DOUBLE, 0.15::DOUBLE * count(*)) AS score FROM tb JOIN al ON contains(t, alias) OR contains(b, alias) GROUP BY ALL),
+rt AS (SELECT doc_id, string_agg(family, ',' ORDER BY family) AS families, round(sum(score), 6) AS route_score FROM m GROUP BY doc_id), top AS (SELECT * FROM rt ORDER BY route_score DESC, doc_id::VARCHAR LIMIT 80),
+br AS (SELECT doc_id::VARCHAR AS source_id, 'CANDIDATE' AS kind, families, route_score FROM top UNION ALL SELECT 'source:' || n_name, 'CANONICAL', CASE WHEN n_regionkey = 0 THEN 'insult' ELSE 'place' END, NULL FROM nation)"""
+_ANCHORED = "CASE WHEN contains(families, 'insult') THEN 'hub,west' WHEN contains(families, 'licence') THEN 'hub' ELSE '' END"
+
+
+def _frames(spark):
+    return spark.createDataFrame(ALIASES, "family string, alias string"), spark.createDataFrame(ROUTES, "family string, anchor string, place int"), spark.createDataFrame([("hub",), ("west",)], "anchor string")
+
+
+def _bridges(spark, sf_dir):
+    aliases, routes, anchors = _frames(spark)
+    sources = table(spark, sf_dir, "nation").select(F.concat(F.lit("source:"), "n_name").alias("id"), F.array(F.when(F.col("n_regionkey") == 0, "insult").otherwise("place")).alias("families"))
+    return B.assemble_bridges(papers(spark, sf_dir), aliases, routes, anchors, sources)
+
+
+@query(f"WITH {_BR} SELECT source_id, kind, families, route_score, {_ANCHORED} AS anchors FROM br")
+def assemble_bridges(spark, sf_dir):
+    """The 80 best documents (a top-k report) and the nations as given sources."""
+    return _bridges(spark, sf_dir).select("source_id", "kind", F.array_join("families", ",").alias("families"), "route_score", F.array_join("anchors", ",").alias("anchors"))
+
+
+@query(f"WITH {_BR} SELECT source_id, {_ANCHORED} AS anchors, {_ANCHORED} != '' AS routed FROM br")
+def enrich_routes(spark, sf_dir):
+    _, routes, anchors = _frames(spark)
+    return B.enrich_routes(_bridges(spark, sf_dir), routes, anchors).select("source_id", F.array_join("anchors", ",").alias("anchors"), "routed")
+
+
+@query(f"""WITH {_BR}, sm AS (SELECT doc_id, family, max(CASE WHEN contains(' ' || t || ' ', ' ' || alias || ' ') THEN 2 ELSE 1 END) + least(1::DOUBLE, 0.15::DOUBLE * count(*)) AS score FROM tb JOIN al ON contains(' ' || t || ' ', ' ' || alias || ' ') OR contains(' ' || b || ' ', ' ' || alias || ' ')
+WHERE family != 'insult' OR contains(' ' || b || ' ', ' the ') OR contains(' ' || t || ' ', ' the ') GROUP BY ALL), sn AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM sm), sr AS (SELECT doc_id, string_agg(family, ',' ORDER BY family) AS families, round(sum(score), 6) AS route_score FROM sn WHERE family != 'place' OR n > 1 GROUP BY doc_id)
+SELECT rt.doc_id, sr.doc_id IS NOT NULL AS kept, sr.families, sr.route_score, rt.families AS old_families FROM rt LEFT JOIN sr ON sr.doc_id = rt.doc_id""")
+def strict_refine(spark, sf_dir):
+    """Every document with a family, matched again on whole words and with context."""
+    aliases, _, _ = _frames(spark)
+    rows = papers(spark, sf_dir)
+    found = B.match_substring(rows, aliases).groupBy("id").agg(F.array_sort(F.collect_set("family")).alias("families"))
+    out = B.strict_refine(rows, found, aliases, {"insult": ["the"]}, "place")
+    return out.select(F.col("id").alias("doc_id"), "kept", F.array_join("families", ",").alias("families"), "route_score", F.array_join("old_families", ",").alias("old_families"))
+
+
 _WORDS = {"abuse": ["idiot", "moron", "the and"], "legal": ["license", "all rights", "apache"]}
 
 
@@ -181,6 +222,15 @@ def context_coverage(spark, sf_dir):
     return C.coverage(obs, rows, spark.createDataFrame(list(C.REGISTRY), "facet string, field string"))
 
 
+@query()
+def fur_receipt(spark, sf_dir):
+    """Facets of all documents by status, and conflicts of a second pass with the first."""
+    rows, obs = _context(spark, sf_dir)
+    first, second = _origins(spark, sf_dir)
+    covered = C.coverage(obs, rows, spark.createDataFrame(list(C.REGISTRY), "facet string, field string"))
+    return C.receipt(covered, C.merge(first, second)[1])
+
+
 _SECOND = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'xx' ELSE lang END AS lang, lang AS was FROM documents"
 
 

@@ -189,17 +189,49 @@ TOPICAL = 0.14
 
 def _edges(spark, sf_dir):
     r = records(spark, sf_dir).select("id", "ord", "provider")
-    own, all_ = entities(spark, sf_dir)
-    pairs = V.cosine_pairs(vectors(spark, sf_dir), TOPICAL)
+    _, all_ = entities(spark, sf_dir)
+    return _woven(G.mentions(all_), G.shared_classes(all_, r), G.semantic(_topical(r, vectors(spark, sf_dir))))
+
+
+def _topical(r, v):
+    """The five most similar of the later documents of each, by name."""
     names = lambda c: r.select(F.col("ord").alias(c), F.col("id").alias(f"{c}_id"))
-    top = V.semantic_topk(pairs).join(names("a"), "a").join(names("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "similarity")
-    return G.mentions(all_).unionByName(G.shared_entities(own, r)).unionByName(G.semantic(top))
+    top = V.semantic_topk(V.cosine_pairs(v, TOPICAL)).join(names("a"), "a").join(names("b"), "b")
+    return top.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "similarity")
+
+
+def _woven(mentions, classes, similar):
+    one = mentions.unionByName(similar).withColumn("links", F.lit(1).cast("long"))
+    return one.unionByName(classes).withColumn("confidence", F.round("confidence", 6))
 
 
 @query()
 def weave_graph(spark, sf_dir):
-    """Edges of the graph over documents: mentions, shared tags, similarity. Documents name no parent, so there is no lineage."""
-    return _edges(spark, sf_dir).withColumn("confidence", F.round("confidence", 6))
+    """Edges of the graph over documents: mentions, shared entities, similarity. Documents name no parent, so there is no lineage.
+
+    The documents that share an entity are a class: its row says how many pairs it
+    stands for (links), its members are those that mention it.
+    """
+    return _edges(spark, sf_dir)
+
+
+@query()
+def weave_graph_v2(spark, sf_dir):
+    """As weave_graph, where every tag is informative."""
+    r = records(spark, sf_dir).select("id", "ord", "provider")
+    _, all_ = entities(spark, sf_dir)
+    all_ = all_.withColumn("weight", F.lit(None).cast("double"))
+    return _woven(G.mentions(all_), G.shared_classes(all_, r), G.semantic(_topical(r, vectors(spark, sf_dir))))
+
+
+@query()
+def weave_graph_v1(spark, sf_dir):
+    """Entities are topics, places, dates and tags; vectors keep numbers and leave out the first stop words only."""
+    r = records(spark, sf_dir)
+    nodes = r.select("id", F.explode(T.entity_nodes(F.col("text"), F.array_compact("relation_tags"))).alias("n")).select("id", "n.kind", "n.value", F.lit(None).cast("double").alias("weight"))
+    counts = V.term_counts(r.select(F.col("ord").alias("id"), "text"), T.tokens(F.col("text"), T.STOP_V1, keep_digits=True))
+    docs = r.select("id", "ord", "provider")
+    return _woven(G.mentions(nodes), G.shared_classes(nodes, docs, 0.28, 0.12), G.semantic(_topical(docs, V.tfidf(counts, n_docs(spark, sf_dir))), 0.15))
 
 
 @query()
