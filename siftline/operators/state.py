@@ -98,3 +98,17 @@ def focus(nodes: DataFrame, most: int = 5) -> DataFrame:
     top = nodes.orderBy(F.col("score").desc(), "node").limit(max(most, 1)).withColumn("rank", F.row_number().over(w)).crossJoin(F.broadcast(edge)).filter((F.col("score") >= F.col("edge")) | (F.col("rank") == 1)).select("node", "rank")
     state = F.when(F.col("rank") == 1, "PRIMARY_FOCUS").when(F.col("rank").isNotNull(), "ACTIVE_FOCUS").when(F.col("score") < 0.10, "DORMANT").otherwise("PERIPHERY")
     return nodes.join(top, "node", "left").select("node", "score", "rank", state.alias("focus_state"))
+
+
+def package_stats(edges: DataFrame, attention: DataFrame, focus: DataFrame, coverage: DataFrame) -> DataFrame:
+    """One row that counts a package: edges, attended edges and nodes, active centres, subjects and their mean coverage.
+
+    focus: (node, focus_state); coverage: (subject, known, fields), a row for each
+    facet. Without subjects the mean is 0.
+    """
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    active = F.count_if(F.col("focus_state").isin("PRIMARY_FOCUS", "ACTIVE_FOCUS"))
+    each = coverage.groupBy("subject").agg((F.sum("known") / F.sum("fields")).alias("share"))
+    mean = each.agg(F.count(F.lit(1)).alias("subjects"), F.coalesce(F.round(F.avg("share"), 6), F.lit(0.0)).alias("mean_coverage"))
+    nodes = focus.agg(F.count(F.lit(1)).alias("attention_nodes"), active.alias("active_focus_nodes"))
+    return count(edges, "edges").crossJoin(count(attention, "attention_edges")).crossJoin(nodes).crossJoin(mean)

@@ -8,8 +8,10 @@ from siftline.functions import text as T
 from siftline.operators import bridges as B
 from siftline.operators import context as C
 from siftline.operators import pull as P
+from siftline.operators import state as Z
 from siftline.operators import tfidf as V
 from siftline.plans.storage import saver
+from siftline.queries import relations as R
 from siftline.queries.mining import TOKENS, _vectors, n_docs, vectors
 from siftline.registry import query
 from siftline.sources.tables import records, table
@@ -231,6 +233,14 @@ def fur_receipt(spark, sf_dir):
     return C.receipt(covered, C.merge(first, second)[1])
 
 
+@query()
+def package_stats(spark, sf_dir):
+    """Counts of the edges of two passes, their attention and focus, and the context of all documents."""
+    rows, obs = _context(spark, sf_dir)
+    covered = C.coverage(obs, rows, spark.createDataFrame(list(C.REGISTRY), "facet string, field string"))
+    return Z.package_stats(R.two_passes(spark, sf_dir), R.attention(spark, sf_dir), R.focus_rank(spark, sf_dir), covered)
+
+
 _SECOND = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'xx' ELSE lang END AS lang, lang AS was FROM documents"
 
 

@@ -54,6 +54,13 @@ def write_jsonl(df: DataFrame, path: str, compression: str | None = None, mode:
     df.select(*[F.col(f"`{c}`") for c in sorted(df.columns)]).write.mode(mode).option("ignoreNullFields", "false").option("compression", compression or "none").json(path)
 
 
+def write_json_doc(df: DataFrame, path: str) -> None:
+    """The only row of df as one JSON document that replaces what was there; another number of rows is an error."""
+    if len(df.limit(2).collect()) != 1:
+        raise ValueError("a document is exactly one row")
+    write_jsonl(df.coalesce(1), path, mode="overwrite")
+
+
 def append_history(df: DataFrame, path: str, pass_id: str) -> None:
     """Append a pass to a history that is partitioned by pass."""
     df.withColumn("pass_id", F.lit(pass_id)).write.mode("append").partitionBy("pass_id").parquet(path)

@@ -7,10 +7,14 @@ import itertools
 import random
 from difflib import SequenceMatcher
 
+import pytest
+
 from siftline import catalog
 from siftline.functions.pairs import sequence_ratio
 from siftline.operators import bridges as B
 from siftline.operators import graph as G
+from siftline.operators import state as Z
+from siftline.sources import records as R
 
 ENTITY = "id string, kind string, value string, weight double"
 
@@ -105,3 +109,31 @@ def test_fur_receipt(spark, sf_dir):
     assert (got.complete, got.partial, got.missing) == (n["COMPLETE"], n["PARTIAL"], n["MISSING"])
     assert got.tasks == n["PARTIAL"] + n["MISSING"] and got.subjects == len(docs)
     assert got.conflicts == sum(1 for d in docs if d.doc_id % 3 == 0 and d.lang not in (None, "xx"))
+
+
+def test_package_stats(spark, sf_dir):
+    run = lambda name: catalog.queries()[name](spark, sf_dir).collect()
+    got, focus, cover = run("package_stats")[0], run("focus_rank"), run("context_coverage")
+    assert (got.edges, got.attention_edges, got.attention_nodes) == (len(run("calibrate_edges")), len(run("edge_attention")), len(focus))
+    assert got.active_focus_nodes == sum(r.focus_state in ("PRIMARY_FOCUS", "ACTIVE_FOCUS") for r in focus) > 0
+    share = collections.defaultdict(lambda: [0, 0])
+    for r in cover:
+        share[r.subject][0] += r.known
+        share[r.subject][1] += r.fields
+    assert got.subjects == len(share)
+    assert got.mean_coverage == pytest.approx(sum(k / n for k, n in share.values()) / len(share), abs=1e-6)
+
+
+def test_package_of_nothing(spark):
+    none = lambda schema: spark.createDataFrame([], schema)
+    out = Z.package_stats(none("x int"), none("x int"), none("node string, focus_state string"), none("subject string, known int, fields int"))
+    assert tuple(out.collect()[0]) == (0, 0, 0, 0, 0, 0.0)
+
+
+def test_a_document_is_one_row(spark, tmp_path):
+    path = f"{tmp_path}/doc"
+    for value in (None, "b"):
+        R.write_json_doc(spark.createDataFrame([(value, 1)], "b string, a int"), path)
+    assert [r.value for r in spark.read.text(path).collect()] == ['{"a":1,"b":"b"}']
+    with pytest.raises(ValueError, match="exactly one row"):
+        R.write_json_doc(spark.range(2), path)
