@@ -68,6 +68,50 @@ def snapshot_relations(before: DataFrame, now: DataFrame) -> DataFrame:
     return both.withColumn("state", F.when(F.col("before") > 0, "PREEXISTING").when(F.col("now") > 0, "TODAY_ONLY").otherwise("DARK"))
 
 
+def family_files(files: DataFrame, families: dict[str, list[str]]) -> DataFrame:
+    """(family, path): files whose text matches one of a family's patterns, case aside. files: (path, text)."""
+    hit = F.array_compact(F.array(*[F.when(F.col("text").rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(name)) for name, patterns in families.items()]))
+    return files.select("path", F.explode(hit).alias("family")).select("family", "path").distinct()
+
+
+def anchor_state(files: DataFrame, anchors: DataFrame, meaning: str, guard: str) -> DataFrame:
+    """(path, present, sha256, has_meaning, has_guard): what a snapshot holds at the anchors' paths; null beside a path that it lacks.
+
+    anchors: (path). files: (path, text), one for each path; a null text counts as empty.
+    """
+    own = files.withColumn("_t", F.coalesce("text", F.lit(""))).select("path", F.lit(True).alias("_in"), F.sha2("_t", 256).alias("sha256"), F.col("_t").rlike(f"(?is){meaning}").alias("has_meaning"), F.col("_t").rlike(f"(?is){guard}").alias("has_guard"))
+    return anchors.select("path").distinct().join(own, "path", "left").select("path", F.coalesce("_in", F.lit(False)).alias("present"), "sha256", "has_meaning", "has_guard")
+
+
+def family_audit(before: DataFrame, now: DataFrame, families: dict[str, list[str]]) -> DataFrame:
+    """(family, before, now, state): files of every family at two snapshots; families without a file have zeros. Both: (path, text)."""
+    sides = [family_files(f, families).withColumnRenamed("family", "operator") for f in (before, now)]
+    every = before.sparkSession.createDataFrame([(f,) for f in families], "family string")
+    found = every.join(snapshot_relations(*sides).withColumnRenamed("operator", "family"), "family", "left")
+    return found.select("family", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("now", F.lit(0)).alias("now"), F.coalesce("state", F.lit("DARK")).alias("state"))
+
+
+def audit_verdict(audit: DataFrame, anchors_before: DataFrame, anchors_now: DataFrame, important: list[str], exact: str, needed: int = 3) -> DataFrame:
+    """One row: anchors with a meaning at both snapshots, and what follows for the earlier one.
+
+    A meaning was there before if enough anchors had it and any important family
+    had a file; the exact family is judged by itself.
+    """
+    count = lambda a, name: a.agg(F.count(F.when(F.col("has_meaning"), 1)).alias(name))
+    sums = audit.agg(F.coalesce(F.sum(F.when(F.col("family").isin(important), F.col("before"))), F.lit(0)).alias("_i"), F.coalesce(F.sum(F.when(F.col("family") == exact, F.col("before"))), F.lit(0)).alias("_e"), F.coalesce(F.sum(F.when(F.col("family") == exact, F.col("now"))), F.lit(0)).alias("exact_now"))
+    row = count(anchors_before, "anchors_before").crossJoin(count(anchors_now, "anchors_now")).crossJoin(sums)  # one row each
+    preexists = (F.col("anchors_before") >= needed) & (F.col("_i") > 0)
+    return row.select(
+        "anchors_before",
+        "anchors_now",
+        F.when(preexists, "HARD_PASS").otherwise("NOT_ESTABLISHED").alias("preexistence"),
+        F.when(F.col("anchors_before") > 0, "PASS").otherwise("FAIL").alias("contained_before"),
+        F.when(F.col("_e") > 0, "PASS").otherwise("NOT_FOUND").alias("exact_before"),
+        "exact_now",
+        F.when(preexists, "HIGH").otherwise("UNRESOLVED").alias("stable_anchor"),
+    )
+
+
 def hub_ranking(rows: DataFrame, prior: DataFrame, most: int = 25) -> DataFrame:
     """Paths by how many operators reach them, then by score; known tells whether the prior snapshot had the path."""
     g = rows.groupBy("path").agg(F.countDistinct("operator").alias("operators"), F.sum("score").alias("score"))

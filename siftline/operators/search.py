@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftline.functions.text import norm_tokens
+from siftline.functions.text import meaningful_tokens, norm_tokens, search_query
 
 K1, B = 1.2, 0.75
 
@@ -76,3 +76,20 @@ def search_join(index: DataFrame, queries: DataFrame, most: int = 10_000) -> Dat
     own = queries.select("query", "token").distinct()
     own = F.broadcast(own) if own.limit(most + 1).count() <= most else own
     return index.join(own, "token").groupBy("query", "id").agg(F.count(F.lit(1)).alias("matched"), F.sum("tf").alias("tf"))
+
+
+def investigate(index: DataFrame, n_docs: DataFrame, docs: DataFrame, topic: str, limit: int = 100) -> DataFrame:
+    """(rank, id, title, source_url, query, score, matched, route_sha256): a topic's best records as candidates for review.
+
+    index: postings of docs (id, title, source_url). The topic's meaningful tokens
+    search the index; query is its search expression for a remote catalogue. An
+    empty topic is an error; one without a meaningful token finds nothing.
+    """
+    spark = docs.sparkSession
+    asked = spark.range(1).select(search_query(F.lit(topic)).alias("q"), meaningful_tokens(F.lit(topic)).alias("w")).first()
+    if asked["q"] is None:
+        raise ValueError("the topic is empty")
+    top = bm25(index, n_docs, asked["w"], limit).withColumn("rank", F.row_number().over(W.orderBy(F.round("score", 9).desc(), "id")))
+    found = F.broadcast(top).join(docs.select("id", "title", "source_url"), "id")
+    route = F.concat_ws("|", F.lit(topic), "rank", "id", F.coalesce("source_url", F.lit("")))
+    return found.select("rank", "id", "title", "source_url", F.lit(asked["q"]).alias("query"), "score", "matched", F.sha2(route, 256).alias("route_sha256"))

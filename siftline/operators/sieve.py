@@ -2,43 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftline.functions.text import norm_tokens
+from siftline.functions.text import norm_tokens, shingles
 
 
 def chunk_text(rows: DataFrame, words: int = 180, overlap: int = 45) -> DataFrame:
-    """rows (id, text) as (id, chunk_index, word_start, word_end, chunk); the last chunk is the first that reaches the end."""
+    """rows (id, text and others) as (id, others, chunk_index, word_start, word_end, chunk); the last chunk is the first that reaches the end."""
     step = max(1, words - overlap)
-    split = rows.select("id", F.array_remove(F.split(F.coalesce("text", F.lit("")), r"\s+"), "").alias("w")).filter(F.size("w") > 0)
+    rest = [f"`{c}`" for c in rows.columns if c not in ("id", "text")]
+    split = rows.select("id", *rest, F.array_remove(F.split(F.coalesce("text", F.lit("")), r"\s+"), "").alias("w")).filter(F.size("w") > 0)
     last = F.greatest(F.lit(0), F.ceil((F.size("w") - words) / step)).cast("int")
-    at = split.select("id", "w", F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
+    at = split.select("id", *rest, "w", F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
     start = F.col("chunk_index") * step
     end = F.least(F.size("w"), start + words)
-    return at.select("id", "chunk_index", start.alias("word_start"), end.alias("word_end"), F.array_join(F.slice("w", start + 1, words), " ").alias("chunk"))
+    return at.select("id", *rest, "chunk_index", start.alias("word_start"), end.alias("word_end"), F.array_join(F.slice("w", start + 1, words), " ").alias("chunk"))
 
 
-def family_hits(chunks: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(id, chunk_index, family, alias, n): whole-word, non-overlapping occurrences of each alias.
+def with_matches(chunks: DataFrame, aliases: list[tuple[str, str]]) -> DataFrame:
+    """chunks with matches, an array of (family, alias, n): whole-word, non-overlapping occurrences of each alias.
 
-    aliases: (family, alias), a small table, broadcast after its size is checked
-    by the optimiser. Chunks are normalised once; a literal test goes first.
+    aliases: (family, alias), the lines of a lexicon. Each is an expression over the
+    chunk, which is normalised once; nothing is joined. Null chunks match nothing.
     """
-    norm = chunks.select("id", "chunk_index", F.concat(F.lit(" "), F.array_join(norm_tokens(F.col("chunk")), "  "), F.lit(" ")).alias("s"))
-    phrases = aliases.select("family", "alias", F.concat(F.lit(" "), F.array_join(norm_tokens(F.col("alias")), "  "), F.lit(" ")).alias("p")).filter("trim(p) != ''")
-    hit = norm.join(phrases, F.expr("contains(s, p)"))
-    n = (F.length("s") - F.length(F.replace(F.col("s"), F.col("p"), F.lit("")))) / F.length("p")
-    return hit.select("id", "chunk_index", "family", "alias", n.cast("long").alias("n"))
+    spaced = lambda words: F.concat(F.lit(" "), F.array_join(norm_tokens(words), "  "), F.lit(" "))
+    found = []
+    for family, alias in aliases:
+        p = spaced(F.lit(alias))
+        n = ((F.length("_s") - F.length(F.replace(F.col("_s"), p, F.lit("")))) / F.length(p)).cast("long")
+        found.append(F.when((F.trim(p) != "") & F.contains("_s", p), F.struct(F.lit(family).alias("family"), F.lit(alias).alias("alias"), n.alias("n"))))
+    return chunks.withColumn("_s", spaced(F.col("chunk"))).withColumn("matches", F.array_compact(F.array(*found))).drop("_s")
 
 
-def retain(chunks: DataFrame, hits: DataFrame, radius: int = 1) -> DataFrame:
-    """Chunks that hit or stand within radius of one that does: with families, hit count, neighbours and score."""
-    direct = hits.groupBy("id", "chunk_index").agg(F.array_sort(F.collect_set("family")).alias("families"), F.sum("n").alias("hits"))
+def family_hits(chunks: DataFrame, aliases: list[tuple[str, str]]) -> DataFrame:
+    """(id, chunk_index, family, alias, n): the matches of with_matches, a row each."""
+    return with_matches(chunks, aliases).select("id", "chunk_index", F.explode("matches").alias("m")).select("id", "chunk_index", "m.family", "m.alias", "m.n")
+
+
+def retain(chunks: DataFrame, aliases: list[tuple[str, str]], radius: int = 1) -> DataFrame:
+    """Chunks that hit or stand within radius of one that does: with families (empty without a hit), hit count, neighbours and score."""
+    rows = with_matches(chunks, aliases).withColumn("families", F.array_sort(F.array_distinct("matches.family"))).withColumn("hits", F.aggregate("matches.n", F.lit(0).cast("long"), lambda x, y: x + y)).drop("matches")
+    rows = rows.withColumn("direct", F.size("families") > 0)
     w = W.partitionBy("id").orderBy("chunk_index").rowsBetween(-radius, radius)
-    rows = chunks.join(direct, ["id", "chunk_index"], "left").withColumn("direct", F.col("families").isNotNull())
     rows = rows.withColumn("near", F.array_remove(F.collect_list(F.when(F.col("direct"), F.col("chunk_index"))).over(w), F.col("chunk_index")))
     kept = rows.filter(F.col("direct") | (F.size("near") > 0))
     score = F.when(F.col("direct"), F.least(F.lit(1.0), 0.32 + 0.16 * F.size("families") + 0.025 * F.col("hits"))).otherwise(0.0)
@@ -46,41 +53,49 @@ def retain(chunks: DataFrame, hits: DataFrame, radius: int = 1) -> DataFrame:
 
 
 def family_summary(kept: DataFrame) -> DataFrame:
-    """Per family: direct chunks, documents, and context chunks next to a hit of it."""
-    direct = kept.filter("direct").select("id", "chunk_index", F.explode("families").alias("family"))
-    a = direct.groupBy("family").agg(F.count(F.lit(1)).alias("direct_chunks"), F.countDistinct("id").alias("documents"))
+    """Per family: direct chunks, documents, independent source families, and context chunks next to a hit of it."""
+    direct = kept.filter("direct").select("id", "source_family", "chunk_index", F.explode("families").alias("family"))
+    a = direct.groupBy("family").agg(F.count(F.lit(1)).alias("direct_chunks"), F.countDistinct("id").alias("documents"), F.countDistinct("source_family").alias("source_families"))
     side = kept.filter("not direct").select("id", F.explode("near").alias("hit"), F.col("chunk_index").alias("at"))
     b = side.join(direct.withColumnRenamed("chunk_index", "hit"), ["id", "hit"]).select("family", "id", "at").distinct().groupBy("family").agg(F.count(F.lit(1)).alias("context_chunks"))
-    return a.join(b, "family", "left").select("family", "direct_chunks", "documents", F.coalesce("context_chunks", F.lit(0)).alias("context_chunks"))
+    return a.join(b, "family", "left").select("family", "direct_chunks", "documents", "source_families", F.coalesce("context_chunks", F.lit(0)).alias("context_chunks"))
 
 
-def cooccurrence(rows: DataFrame, unit: list[str]) -> DataFrame:
-    """(a, b, n, documents): pairs of families in the same unit. rows: (id, unit columns, family)."""
-    x = rows.select(*unit, "family").distinct()
-    both = x.withColumnRenamed("family", "a").join(x.withColumnRenamed("family", "b"), unit).filter("a < b")
-    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("documents"))
+def cooccurrence(rows: DataFrame, unit: list[str], source: str | None = None) -> DataFrame:
+    """(a, b, n, documents): pairs of families in the same unit, and with source the source families that have them. rows: (id, unit columns, family, source)."""
+    named = [source] if source else []
+    sets = rows.groupBy(*unit, *named).agg(F.array_sort(F.collect_set("family")).alias("f"))
+    pair = F.flatten(F.transform("f", lambda x: F.transform(F.filter("f", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    both = sets.select(*unit, *named, F.explode(pair).alias("p"))
+    seen = [F.countDistinct(source).alias("source_families")] if source else []
+    return both.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("documents"), *seen)
 
 
-def batches(rows: DataFrame, *order: Column, size: int = 64) -> DataFrame:
-    """rows with the number of their batch of size consecutive rows.
+def numbered(rows: DataFrame, *order: Column, save) -> DataFrame:
+    """rows with their place in the order, from 0, as ord.
 
-    Ranks add up per range partition, so no task sees all rows.
+    save(df) writes the sorted ranges once, so that both readers see the same
+    ones; places add up per range, so no task sees all rows.
     """
-    part = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    part = part.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy("_m")) - 1)
+    part = save(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part = part.withColumn("_p", F.shiftright("_m", 33))
     sizes = part.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return part.join(before, "_p").withColumn("batch", F.floor((F.col("_i") + F.col("_b")) / size)).drop("_p", "_m", "_i", "_b")
+    before = sizes.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    return part.join(before, "_p").withColumn("ord", F.col("_m").bitwiseAND((1 << 33) - 1) + F.col("_b")).drop("_m", "_p", "_b")
+
+
+def batches(rows: DataFrame, *order: Column, save, size: int = 64) -> DataFrame:
+    """rows with the number of their batch of size consecutive rows."""
+    return numbered(rows, *order, save=save).withColumn("batch", F.floor(F.col("ord") / size)).drop("ord")
 
 
 def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b) for a < b whose shingle sets reach the Jaccard threshold. rows: (ord, shingles).
 
     Shingles are hashed; prefixes in hash order and a size filter make
-    candidates, which are then counted exactly. Three joins read the hashes, so
-    they are persisted.
+    candidates, which are then counted exactly.
     """
-    s = rows.select("ord", F.array_sort(F.array_distinct(F.transform("shingles", lambda x: F.xxhash64(x)))).alias("h")).withColumn("n", F.size("h")).filter("n > 0").persist(StorageLevel.DISK_ONLY)
+    s = rows.select("ord", F.array_sort(F.array_distinct(F.transform("shingles", lambda x: F.xxhash64(x)))).alias("h")).withColumn("n", F.size("h")).filter("n > 0")
     keep = (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")
     head = s.select("ord", "n", F.explode(F.slice("h", F.lit(1), keep)).alias("t"))
     a, b = head.toDF("a", "na", "t"), head.toDF("b", "nb", "t")
@@ -110,3 +125,45 @@ def near_duplicates(rows: DataFrame, pairs: DataFrame, save) -> DataFrame:
         state = save(n.select("ord", F.when(settled, F.col("s")).when(dup, 2).when(F.col("canon").isNull() & F.col("open").isNull(), 1).otherwise(0).alias("s"), F.when(settled, F.col("of")).when(dup, F.col("canon")).alias("of")))
         if not state.filter("s = 0").limit(1).count():
             return state.select("ord", F.col("of").alias("duplicate_of"))
+
+
+def duplicates(kept: DataFrame, save, threshold: float = 0.88) -> DataFrame:
+    """(ord, duplicate_of): for each chunk the earlier canonical one that it repeats, or null. kept: (ord, chunk, families).
+
+    Chunks of the same shingles and families (those without a shingle: of the same
+    text) are one item, in the place of the first; all others of it repeat that or
+    what it repeats. Two items are alike from the threshold on if either has no
+    family or both share one.
+    """
+    words = kept.select("ord", "families", "chunk", norm_tokens(F.col("chunk")).alias("_w"))
+    sets = words.select("ord", "families", "chunk", shingles(F.col("_w")).alias("shingles"))
+    own = F.when(F.size("shingles") > 0, F.concat(F.lit("s"), F.array_join(F.array_sort("shingles"), "|"))).otherwise(F.concat(F.lit("t"), F.coalesce("chunk", F.lit(""))))
+    items = save(sets.select("ord", "families", "shingles", F.sha2(F.concat_ws("|", F.array_join("families", "|"), own), 256).alias("key")))
+    first = items.groupBy("key").agg(F.min("ord").alias("first"))
+    heads = save(items.join(first.select(F.col("first").alias("ord")), "ord").select("ord", "families", "shingles"))
+    side = lambda c: heads.select(F.col("ord").alias(c), F.col("families").alias(f"f{c}"))
+    alike = similar_pairs(heads, threshold).join(side("a"), "a").join(side("b"), "b")
+    gate = (F.size("fa") == 0) | (F.size("fb") == 0) | F.arrays_overlap("fa", "fb")
+    near = near_duplicates(heads, save(alike.filter(gate).select("a", "b")), save).select(F.col("ord").alias("first"), "duplicate_of")
+    placed = items.select("ord", "key").join(first.join(near, "first"), "key")
+    return placed.select("ord", F.coalesce("duplicate_of", F.when(F.col("ord") != F.col("first"), F.col("first"))).alias("duplicate_of"))
+
+
+def chunk_sieve(records: DataFrame, aliases: list[tuple[str, str]], save, words: int = 180, overlap: int = 45, radius: int = 1, size: int = 64, threshold: float = 0.88) -> DataFrame:
+    """Chunks that a phrase family reaches, in order: with chunk_id, families, score, batch, and the chunk_id of the one they repeat.
+
+    records: (id, source_family, text), one for each id. save(df) cuts lineage.
+    Records of null or empty text have no chunk.
+    """
+    kept = retain(chunk_text(records, words, overlap), aliases, radius)
+    named = kept.withColumn("chunk_id", F.concat_ws(":", "source_family", "chunk_index", F.substring(F.sha2("chunk", 256), 1, 12)))
+    rows = save(numbered(named, F.col("id"), F.col("chunk_index"), save=save))
+    dup = duplicates(rows, save, threshold).filter("duplicate_of is not null")
+    of = rows.select(F.col("ord").alias("duplicate_of"), F.col("chunk_id").alias("duplicate_id"))
+    return rows.join(dup.join(of, "duplicate_of").select("ord", "duplicate_id"), "ord", "left").withColumn("batch", F.floor(F.col("ord") / size))
+
+
+def batch_digests(kept: DataFrame) -> DataFrame:
+    """(batch, size, sha256): each batch's chunk ids in order. A batch is bounded, so its ids are collected. kept: (batch, ord, chunk_id)."""
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "chunk_id"))), lambda x: x["chunk_id"]), "\n")
+    return kept.groupBy("batch").agg(F.count(F.lit(1)).alias("size"), F.sha2(ids, 256).alias("sha256"))

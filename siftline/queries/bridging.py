@@ -8,6 +8,7 @@ from siftline.functions import text as T
 from siftline.operators import bridges as B
 from siftline.operators import context as C
 from siftline.operators import pull as P
+from siftline.operators import sieve as S
 from siftline.operators import state as Z
 from siftline.operators import tfidf as V
 from siftline.plans.storage import saver
@@ -171,6 +172,51 @@ def hub_ranking(spark, sf_dir):
     return B.hub_ranking(_ranked(f), f.filter("path % 2 = 0")).withColumn("score", F.round("score", 6))
 
 
+_FAMILIES = {"abuse": ["idiot", "moron"], "licence": [r"licen[cs]e", "all rights reserved"], "number": ["[0-9]{4}"], "symbol": ["†", r"U\+2020"]}
+_AUDIT = """d AS (SELECT d.doc_id, coalesce(d.text, '') AS text, d.source, EXISTS (FROM labels l WHERE l.doc_id = d.doc_id) AS old FROM documents d),
+h AS (SELECT doc_id, old, unnest(['abuse', 'licence', 'number', 'symbol']) AS family, unnest([regexp_matches(text, 'idiot|moron', 'i'), regexp_matches(text, 'licen[cs]e|all rights reserved', 'i'), regexp_matches(text, '[0-9]{4}'), regexp_matches(text, '†|U\\+2020', 'i')]) AS hit FROM d),
+a AS (SELECT family, count(DISTINCT CASE WHEN hit AND old THEN doc_id END) AS before, count(DISTINCT CASE WHEN hit THEN doc_id END) AS now FROM h GROUP BY family),
+p AS (SELECT min(doc_id) AS doc_id FROM d WHERE source IS NOT NULL GROUP BY source),
+s AS (SELECT p.doc_id, d.old, sha256(d.text) AS sha256, regexp_matches(d.text, 'licen[cs]e|the', 'i') AS has_meaning, regexp_matches(d.text, 'not.*proof', 'is') AS has_guard FROM p JOIN d ON d.doc_id = p.doc_id)"""
+
+
+def _snapshots(spark, sf_dir):
+    """Labelled documents as the earlier snapshot, all as the later one, each source's first document as an anchor."""
+    docs = table(spark, sf_dir, "documents")
+    now = docs.select(F.col("doc_id").alias("path"), "text")
+    before = now.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("path")), "path", "left_semi")
+    return before, now, docs.filter("source is not null").groupBy("source").agg(F.min("doc_id").alias("path"))
+
+
+def _anchors(files, anchors):
+    return B.anchor_state(files, anchors, "licen[cs]e|the", "not.*proof")
+
+
+@query(f"WITH {_AUDIT} SELECT family, before, now, CASE WHEN before > 0 THEN 'PREEXISTING' WHEN now > 0 THEN 'TODAY_ONLY' ELSE 'DARK' END AS state FROM a")
+def snapshot_family_audit(spark, sf_dir):
+    before, now, _ = _snapshots(spark, sf_dir)
+    return B.family_audit(before, now, _FAMILIES)
+
+
+@query(f"WITH {_AUDIT} SELECT doc_id, old AS present, CASE WHEN old THEN sha256 END AS sha256, CASE WHEN old THEN has_meaning END AS has_meaning, CASE WHEN old THEN has_guard END AS has_guard FROM s")
+def snapshot_anchors(spark, sf_dir):
+    before, _, anchors = _snapshots(spark, sf_dir)
+    return _anchors(before, anchors).withColumnRenamed("path", "doc_id")
+
+
+@query(f"""WITH {_AUDIT}, c AS (SELECT count(*) FILTER (WHERE old AND has_meaning) AS ab, count(*) FILTER (WHERE has_meaning) AS an FROM s), v AS (SELECT sum(before) FILTER (WHERE family IN ('abuse', 'licence')) AS i, sum(before) FILTER (WHERE family = 'symbol') AS e, sum(now) FILTER (WHERE family = 'symbol') AS en FROM a)
+SELECT ab AS anchors_before, an AS anchors_now, CASE WHEN ab >= 3 AND i > 0 THEN 'HARD_PASS' ELSE 'NOT_ESTABLISHED' END AS preexistence, CASE WHEN ab > 0 THEN 'PASS' ELSE 'FAIL' END AS contained_before, CASE WHEN e > 0 THEN 'PASS' ELSE 'NOT_FOUND' END AS exact_before, en::BIGINT AS exact_now, CASE WHEN ab >= 3 AND i > 0 THEN 'HIGH' ELSE 'UNRESOLVED' END AS stable_anchor FROM c, v""")
+def snapshot_verdict(spark, sf_dir):
+    before, now, anchors = _snapshots(spark, sf_dir)
+    return B.audit_verdict(B.family_audit(before, now, _FAMILIES), _anchors(before, anchors), _anchors(now, anchors), ["abuse", "licence"], "symbol")
+
+
+@query(f"WITH {_AUDIT}, f AS (SELECT DISTINCT doc_id, family FROM h WHERE hit) SELECT x.family AS a, y.family AS b, count(*) AS n FROM f x JOIN f y ON y.doc_id = x.doc_id AND x.family < y.family GROUP BY ALL")
+def snapshot_cooccurrence(spark, sf_dir):
+    _, now, _ = _snapshots(spark, sf_dir)
+    return S.cooccurrence(B.family_files(now, _FAMILIES).withColumnRenamed("path", "id"), ["id"]).drop("documents")
+
+
 @query("WITH r AS (SELECT doc_id, lang, source FROM documents) SELECT doc_id, CASE WHEN lang = 'en' THEN 'hub,west' WHEN lang = 'de' THEN 'hub,north' ELSE 'hub' END AS anchors FROM r WHERE lang IN ('en', 'de', 'fr')")
 def anchor_route_join(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array("lang", "source").alias("families"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftline.functions import text as T
+from siftline.functions.hashing import source_family
 from siftline.operators import graph as G
 from siftline.operators import merging as M
 from siftline.operators import search as S
@@ -139,6 +140,18 @@ def search_rank(spark, sf_dir):
     return top.select(F.col("id").alias("doc_id"), F.row_number().over(W.orderBy(F.round("score", 9).desc(), "id")).alias("rank"))
 
 
+_TOPIC = "Apache license, trash or an idiot"
+
+
+@query("WITH " + _BM.replace("('idiot', 'license', 'apache', 'trash')", "('apache', 'license', 'trash', 'idiot')") + f""", r AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s QUALIFY rank <= 100)
+SELECT rank, doc_id, '(all:"{_TOPIC}" OR (all:apache AND all:license AND all:trash AND all:idiot))' AS query, round(score, 5) AS score, matched, sha256('{_TOPIC}|' || rank || '|' || doc_id || '|https://' || source || '.example.org/' || doc_id) AS route_sha256 FROM r JOIN documents USING (doc_id)""")
+def investigate(spark, sf_dir):
+    """A topic's hundred best documents as candidates for review."""
+    docs = records(spark, sf_dir).select(F.col("ord").alias("id"), "title", "source_url")
+    found = S.investigate(_index(spark, sf_dir), n_docs(spark, sf_dir), docs, _TOPIC)
+    return found.select("rank", F.col("id").alias("doc_id"), "query", F.round("score", 5).alias("score"), "matched", "route_sha256")
+
+
 _FED = """u AS (SELECT 'documents:' || doc_id AS id, '' AS title, text AS body, lang AS extra FROM documents UNION ALL SELECT 'turns:' || conv_id || '/' || turn, coalesce(role, ''), coalesce(text, ''), '' FROM conversations UNION ALL SELECT 'benchmark:' || item_id, '', text, '' FROM benchmark),
 f AS (SELECT id, unnest(regexp_extract_all(replace(lower(title), 'ß', 'ss'), '[a-z0-9]+')) AS token, 3.0 AS w FROM u UNION ALL SELECT id, unnest(regexp_extract_all(replace(lower(body), 'ß', 'ss'), '[a-z0-9]+')), 1.5 FROM u UNION ALL SELECT id, unnest(regexp_extract_all(replace(lower(extra), 'ß', 'ss'), '[a-z0-9]+')), 1.0 FROM u),
 p AS (SELECT id, token, sum(w) AS tf, count(*) AS c FROM f GROUP BY ALL), l AS (SELECT id, sum(c) AS length FROM p GROUP BY id), m AS (SELECT avg(length) AS mean FROM l), n AS (SELECT count(*) AS n FROM u),
@@ -354,16 +367,21 @@ nb AS (SELECT *, list_filter(list(CASE WHEN direct THEN chunk_index END) OVER (P
 kept AS (SELECT *, CASE WHEN direct THEN least(1::DOUBLE, 0.32::DOUBLE + 0.16::DOUBLE * len(families) + 0.025::DOUBLE * hits) ELSE 0::DOUBLE END AS sc FROM nb WHERE direct OR len(near) > 0)"""
 
 
+def sieved(spark, sf_dir):
+    r = records(spark, sf_dir)
+    return r.select(F.col("ord").alias("id"), source_family(F.col("provider"), F.col("archive_id"), F.col("source_url")).alias("source_family"), "text")
+
+
 def chunks(spark, sf_dir):
-    return C.chunk_text(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return C.chunk_text(sieved(spark, sf_dir))
 
 
 def hits(spark, sf_dir):
-    return C.family_hits(chunks(spark, sf_dir), spark.createDataFrame(ALIASES, "family string, alias string"))
+    return C.family_hits(chunks(spark, sf_dir), ALIASES)
 
 
 def kept(spark, sf_dir):
-    return C.retain(chunks(spark, sf_dir), hits(spark, sf_dir))
+    return C.retain(chunks(spark, sf_dir), ALIASES)
 
 
 @query(f"WITH {_CH} SELECT doc_id, chunk_index, word_start, word_end, sha256(array_to_string(ws, ' ')) AS text_sha256 FROM ch")
@@ -384,15 +402,15 @@ def neighbor_context(spark, sf_dir):
 
 @query(f"""WITH {_CH}, d AS (SELECT doc_id, chunk_index, unnest(families) AS family FROM kept WHERE direct), s AS (SELECT doc_id, chunk_index AS pos, unnest(near) AS hit FROM kept WHERE NOT direct),
 c AS (SELECT family, count(*) AS n FROM (SELECT DISTINCT family, s.doc_id, s.pos FROM s JOIN d ON d.doc_id = s.doc_id AND d.chunk_index = s.hit) GROUP BY family)
-SELECT family, count(*) AS direct_chunks, count(DISTINCT doc_id) AS documents, coalesce(any_value(c.n), 0) AS context_chunks FROM d LEFT JOIN c USING (family) GROUP BY family""")
+SELECT family, count(*) AS direct_chunks, count(DISTINCT doc_id) AS documents, count(DISTINCT doc_id) AS source_families, coalesce(any_value(c.n), 0) AS context_chunks FROM d LEFT JOIN c USING (family) GROUP BY family""")
 def family_summary(spark, sf_dir):
     return C.family_summary(kept(spark, sf_dir))
 
 
-@query(f"WITH {_CH}, d AS (SELECT doc_id, chunk_index, unnest(families) AS family FROM kept WHERE direct) SELECT x.family AS a, y.family AS b, count(*) AS n, count(DISTINCT x.doc_id) AS documents FROM d x JOIN d y ON y.doc_id = x.doc_id AND y.chunk_index = x.chunk_index AND x.family < y.family GROUP BY ALL")
+@query(f"WITH {_CH}, d AS (SELECT doc_id, chunk_index, unnest(families) AS family FROM kept WHERE direct) SELECT x.family AS a, y.family AS b, count(*) AS n, count(DISTINCT x.doc_id) AS documents, count(DISTINCT x.doc_id) AS source_families FROM d x JOIN d y ON y.doc_id = x.doc_id AND y.chunk_index = x.chunk_index AND x.family < y.family GROUP BY ALL")
 def pattern_cooccurrence(spark, sf_dir):
-    rows = kept(spark, sf_dir).filter("direct").select("id", "chunk_index", F.explode("families").alias("family"))
-    return C.cooccurrence(rows, ["id", "chunk_index"])
+    rows = kept(spark, sf_dir).filter("direct").select("id", "source_family", "chunk_index", F.explode("families").alias("family"))
+    return C.cooccurrence(rows, ["id", "chunk_index"], "source_family")
 
 
 @query(f"WITH {_CH} SELECT family, count(DISTINCT doc_id) AS documents FROM hit GROUP BY family")
@@ -407,7 +425,7 @@ def family_doc_cooccurrence(spark, sf_dir):
 
 @query(f"WITH {_CH}, o AS (SELECT doc_id, chunk_index, row_number() OVER (ORDER BY doc_id, chunk_index) - 1 AS i FROM kept) SELECT (i // 64) AS batch, count(*) AS size, min(doc_id) AS first_doc FROM o GROUP BY ALL")
 def batching(spark, sf_dir):
-    rows = C.batches(kept(spark, sf_dir).select("id", "chunk_index"), F.col("id"), F.col("chunk_index"))
+    rows = C.batches(kept(spark, sf_dir).select("id", "chunk_index"), F.col("id"), F.col("chunk_index"), save=saver(spark))
     return rows.groupBy("batch").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first_doc"))
 
 
@@ -426,7 +444,27 @@ def similar_chunks(spark, sf_dir):
     return C.similar_pairs(chunk_shingles(spark, sf_dir), 0.88)
 
 
+def whole_sieve(spark, sf_dir):
+    return C.chunk_sieve(sieved(spark, sf_dir), ALIASES, saver(spark))
+
+
 @query()
 def near_duplicates(spark, sf_dir):
-    rows, save = chunk_shingles(spark, sf_dir), saver(spark)
-    return C.near_duplicates(rows, save(C.similar_pairs(rows, 0.88)), save)
+    """Each retained chunk and the one it repeats, by number in order."""
+    save = saver(spark)
+    return C.duplicates(save(C.numbered(kept(spark, sf_dir), F.col("id"), F.col("chunk_index"), save=save)), save)
+
+
+@query()
+def chunk_sieve(spark, sf_dir):
+    rows = whole_sieve(spark, sf_dir)
+    return rows.select(F.col("id").alias("doc_id"), "chunk_index", "chunk_id", "direct", F.array_join("families", ",").alias("families"), "score", "batch", "duplicate_id")
+
+
+@query(f"""WITH {_CH}, o AS (SELECT row_number() OVER (ORDER BY doc_id, chunk_index) - 1 AS i, upper(source) || ':' || doc_id || ':' || chunk_index || ':' || sha256(array_to_string(ws, ' '))[:12] AS cid FROM kept JOIN ch USING (doc_id, chunk_index) JOIN documents USING (doc_id))
+SELECT (i // 64) AS batch, count(*) AS size, sha256(string_agg(cid, chr(10) ORDER BY i)) AS sha256 FROM o GROUP BY ALL""")
+def sieve_batches(spark, sf_dir):
+    save = saver(spark)
+    rows = C.retain(chunks(spark, sf_dir), ALIASES).withColumn("chunk_id", F.concat_ws(":", "source_family", "chunk_index", F.substring(F.sha2("chunk", 256), 1, 12)))
+    placed = C.numbered(rows.select("id", "chunk_index", "chunk_id"), F.col("id"), F.col("chunk_index"), save=save)
+    return C.batch_digests(placed.withColumn("batch", F.floor(F.col("ord") / 64)))

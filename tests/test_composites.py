@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import itertools
 import random
+import re
 from difflib import SequenceMatcher
 
 import pytest
@@ -13,7 +14,9 @@ from siftline import catalog
 from siftline.functions.pairs import sequence_ratio
 from siftline.operators import bridges as B
 from siftline.operators import graph as G
+from siftline.operators import search, sieve
 from siftline.operators import state as Z
+from siftline.plans.storage import saver
 from siftline.sources import records as R
 
 ENTITY = "id string, kind string, value string, weight double"
@@ -137,3 +140,93 @@ def test_a_document_is_one_row(spark, tmp_path):
     assert [r.value for r in spark.read.text(path).collect()] == ['{"a":1,"b":"b"}']
     with pytest.raises(ValueError, match="exactly one row"):
         R.write_json_doc(spark.range(2), path)
+
+
+ALIASES = [("a", "red fox"), ("a", "fox"), ("b", "Blue-Owl"), ("c", "  ")]
+
+
+def _sieve_by_hand(docs, words, overlap, radius, limit):
+    norm = lambda t: re.findall("[a-z0-9]+", t.lower())
+    kept = []
+    for i, text in sorted(docs):
+        w = (text or "").split()
+        parts = []
+        for start in range(0, len(w), words - overlap):
+            parts.append(" ".join(w[start : start + words]))
+            if start + words >= len(w):
+                break
+        found = []
+        for part in parts:
+            s = f" {'  '.join(norm(part))} "
+            n = {(f, a): s.count(f" {'  '.join(norm(a))} ") for f, a in ALIASES if norm(a)}
+            found.append((sorted({f for (f, _), k in n.items() if k}), sum(n.values())))
+        for k, (families, n) in enumerate(found):
+            near = [j for j in range(max(0, k - radius), min(len(parts), k + radius + 1)) if j != k and found[j][0]]
+            if families or near:
+                score = min(1.0, 0.32 + 0.16 * len(families) + 0.025 * n) if families else 0.0
+                kept.append([i, k, parts[k], families, round(max(score, 0.12) if near else score, 6)])
+    runs = lambda t: {" ".join(t[i : i + 4]) for i in range(len(t) - 3)} if len(t) >= 4 else set(t)
+    canonical, exact, of = [], {}, []
+    for place, (_, _, text, families, _) in enumerate(kept):
+        if text in exact:
+            of.append(exact[text])
+            continue
+        own = runs(norm(text))
+        dup = next((p for p, s, f in canonical if not (families and f and not set(families) & set(f)) and own and s and len(own & s) / len(own | s) >= limit), None)
+        of.append(dup)
+        if dup is None:
+            canonical.append((place, own, families))
+            exact[text] = place
+    return [(i, k, ",".join(f), s, place // 5, of[place]) for place, (i, k, _, f, s) in enumerate(kept)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chunk_sieve_walks_in_order(spark, seed):
+    rng = random.Random(seed)
+    pool = ["sun", "moon", "star", "red", "fox", "blue", "owl", "!", "Fox", "blue owl"]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.choice([0, 2, 5, 14, 33]))) for _ in range(24)]
+    for _ in range(40):
+        t = rng.choice(texts).split(" ")
+        kind = rng.randrange(4)
+        if kind and len(t) > 1:
+            t[rng.randrange(len(t))] = rng.choice(pool)
+        texts.append(" ".join(t).upper() if kind == 3 else " ".join(t))
+    docs = [*enumerate(texts), (900, None), (901, ""), (902, "fox"), (903, "fox"), (904, "† fox"), (905, "word " * 3000 + "fox")]
+    df = spark.createDataFrame([(i, f"S{i % 3}", t) for i, t in docs], "id long, source_family string, text string")
+    got = sieve.chunk_sieve(df, ALIASES, saver(spark), 12, 4, 1, 5, 0.6).sort("ord").collect()
+    place = {r.chunk_id: r.ord for r in got}
+    assert [r.ord for r in got] == list(range(len(got)))
+    want = _sieve_by_hand(docs, 12, 4, 1, 0.6)
+    assert [(r.id, r.chunk_index, ",".join(r.families), r.score, r.batch) for r in got] == [w[:5] for w in want]
+    text = {r.ord: r.chunk for r in got}
+    for r, w in zip(got, want, strict=True):
+        named = None if r.duplicate_id is None else text[place[r.duplicate_id]]
+        assert named == (None if w[5] is None else text[w[5]])
+    assert any(w[5] is not None for w in want)
+
+
+def test_sieve_of_nothing(spark):
+    df = spark.createDataFrame([(1, "S", None)], "id long, source_family string, text string")
+    assert sieve.chunk_sieve(df, ALIASES, saver(spark)).collect() == []
+
+
+def test_anchors_and_verdicts(spark):
+    old = spark.createDataFrame([(1, "the sign, not a proof"), (2, "sign"), (3, None), (4, "SIGN")], "path long, text string")
+    now = old.unionByName(spark.createDataFrame([(5, "sign † and mark")], old.schema))
+    anchors = spark.createDataFrame([(1,), (2,), (3,), (4,), (5,), (6,)], "path long")
+    a, b = (B.anchor_state(f, anchors, "sign", "not.*proof") for f in (old, now))
+    assert {r.path: (r.present, r.has_meaning, r.has_guard) for r in a.collect()} == {1: (True, True, True), 2: (True, True, False), 3: (True, False, False), 4: (True, True, False), 5: (False, None, None), 6: (False, None, None)}
+    audit = B.family_audit(old, now, {"sign": ["sign"], "mark": ["mark"], "symbol": ["†"], "none": ["zzz"]})
+    assert {r.family: (r.before, r.now, r.state) for r in audit.collect()} == {"sign": (3, 4, "PREEXISTING"), "mark": (0, 1, "TODAY_ONLY"), "symbol": (0, 1, "TODAY_ONLY"), "none": (0, 0, "DARK")}
+    verdict = lambda important, needed=3: B.audit_verdict(audit, a, b, important, "symbol", needed).first().asDict()
+    assert verdict(["sign"]) == {"anchors_before": 3, "anchors_now": 4, "preexistence": "HARD_PASS", "contained_before": "PASS", "exact_before": "NOT_FOUND", "exact_now": 1, "stable_anchor": "HIGH"}
+    assert verdict(["mark"])["preexistence"] == verdict(["sign"], 4)["preexistence"] == "NOT_ESTABLISHED"
+
+
+def test_an_empty_topic_is_an_error(spark):
+    docs = spark.createDataFrame([(1, "A fox", "u1", "the fox ran"), (2, "An owl", None, "fox")], "id long, title string, source_url string, text string")
+    index, n = search.postings(docs, {"title": 3.0, "text": 1.5}), docs.selectExpr("count(*) as n")
+    with pytest.raises(ValueError):
+        search.investigate(index, n, docs, "  ")
+    assert search.investigate(index, n, docs, "of").collect() == []
+    assert [(r.rank, r.id, r.query) for r in search.investigate(index, n, docs, "Fox").sort("rank").collect()] == [(1, 1, 'all:"Fox"'), (2, 2, 'all:"Fox"')]
