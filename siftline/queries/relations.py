@@ -441,7 +441,7 @@ def chunk_shingles(spark, sf_dir):
 
 @query(f"WITH {_SHIN} SELECT a, b FROM pr")
 def similar_chunks(spark, sf_dir):
-    return C.similar_pairs(chunk_shingles(spark, sf_dir), 0.88)
+    return C.similar_pairs(saver(spark)(chunk_shingles(spark, sf_dir)), 0.88)
 
 
 def whole_sieve(spark, sf_dir):
