@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, decontam, langid, lines, lmscore, ogg, setjoin, tokenfile, toxicity, warc
+from . import bpe, decontam, divergence, langid, lines, lmscore, manifest, ogg, setjoin, tokenfile, toxicity, warc
 
 
 def queries():
@@ -19,9 +19,11 @@ def queries():
         "op8_warc_revisits": warc.op8_warc_revisits,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_language_id": langid.op10_language_id,
+        "op12_merkle_manifest": manifest.op12_merkle_manifest,
+        "op13_source_divergence": divergence.op13_source_divergence,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    return {"op4_line_dedup": lines.OP4_SQL}
+    return {"op4_line_dedup": lines.OP4_SQL, "op12_merkle_manifest": manifest.OP12_SQL, "op13_source_divergence": divergence.OP13_SQL}
