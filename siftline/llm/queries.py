@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, decontam, divergence, langid, lines, lmscore, manifest, ogg, setjoin, tokenfile, toxicity, warc
+from . import bpe, decontam, divergence, langid, lines, lmscore, manifest, ogg, quality, setjoin, tokenfile, toxicity, warc
 
 
 def queries():
@@ -19,6 +19,7 @@ def queries():
         "op8_warc_revisits": warc.op8_warc_revisits,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_language_id": langid.op10_language_id,
+        "op11_quality": quality.op11_quality,
         "op12_merkle_manifest": manifest.op12_merkle_manifest,
         "op13_source_divergence": divergence.op13_source_divergence,
         "pipeline": corpus_pipeline.run,
