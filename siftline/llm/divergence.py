@@ -16,6 +16,8 @@ of all kept terms are added once. Tasks are bounded in postings and in peers.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -63,7 +65,8 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 class Audit:
     """peers: a row for each group, numbered in its language; own: its kept terms with their p and their language's q."""
 
-    def __init__(self, docs: DataFrame, least_docs: int = LEAST_DOCS, text_col: str = "text", lang_col: str = "lang", source_col: str = "source"):
+    def __init__(self, docs: DataFrame, least_docs: int = LEAST_DOCS, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", peers: int = PEERS, postings: tuple[int, int] = POSTINGS):
+        self.peers_of_block = peers
         text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
         counts = stored(term_counts(docs, text_col, lang_col, source_col), "terms")
         kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("df"), F.sum("n").alias("all_n")).filter(F.col("df") >= least_docs).drop("df")
@@ -75,7 +78,7 @@ class Audit:
         langs = groups.groupBy("lang").agg(F.min("before").alias("first"), F.count(F.lit(1)).alias("peers"), F.sum("postings").alias("lang_postings")).join(terms, "lang", "left").na.fill(0, ["terms", "lang_total"])
         groups = groups.join(langs, "lang").withColumn("i", F.col("before") - F.col("first"))
         zero = F.coalesce(probability(F.lit(0).cast("long"), F.col("total"), F.col("terms")), F.lit(0))
-        most = F.greatest(F.lit(POSTINGS[0]), F.least(F.lit(POSTINGS[1]), 4 * F.col("peers") * F.col("peers")))
+        most = F.greatest(F.lit(postings[0]), F.least(F.lit(postings[1]), 4 * F.col("peers") * F.col("peers")))
         blocks = F.greatest(F.lit(1), F.ceil(F.col("lang_postings") / most)).cast("int")
         self.peers = stored(groups.select("lang", "source", "i", "peers", "total", "terms", "lang_total", zero.alias("zero"), blocks.alias("blocks")), "peers")
         named = own.join(self.peers.select("lang", "source", "i", "peers", "total", "terms", "lang_total", "blocks"), ["lang", "source"])
@@ -85,8 +88,8 @@ class Audit:
 
     def _tasks(self, rows: DataFrame, block: Column) -> DataFrame:
         """rows with block, x and y: the blocks of terms and of peers whose tasks need them."""
-        of = F.floor(F.col("i") / PEERS).cast("int")
-        out = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("peers") - 1) / PEERS).cast("int"))))
+        of = F.floor(F.col("i") / self.peers_of_block).cast("int")
+        out = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("peers") - 1) / self.peers_of_block).cast("int"))))
         return out.withColumns({"x": F.least(of, "other"), "y": F.greatest(of, "other")})
 
     def pairs(self) -> DataFrame:
@@ -94,7 +97,7 @@ class Audit:
         keys = ["lang", "block", "x", "y"]
         index = self._tasks(self.own, F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int")).select(*keys, "i", "term", "p")
         peers = self._tasks(self.peers, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*keys, "i", "zero", "terms")
-        found = index.groupBy(keys).cogroup(peers.groupBy(keys)).applyInArrow(accumulated, "lang string, a long, b long, value long")
+        found = index.groupBy(keys).cogroup(peers.groupBy(keys)).applyInArrow(_accumulator(self.peers_of_block), "lang string, a long, b long, value long")
         return found.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
     def ranked_pairs(self) -> DataFrame:
@@ -111,7 +114,11 @@ class Audit:
         return over.withColumn("rank", rank).filter(F.col("rank") <= ranks)
 
 
-def accumulated(key: tuple, index: pa.Table, peers: pa.Table) -> pa.Table:
+def _accumulator(peers_of_block: int) -> Callable:
+    return lambda key, index, peers: accumulated(key, index, peers, peers_of_block)
+
+
+def accumulated(key: tuple, index: pa.Table, peers: pa.Table, peers_of_block: int = PEERS) -> pa.Table:
     """What a block of terms adds to each pair of peers; the first block adds the baselines of all terms."""
     lang, block, x, y = (k.as_py() for k in key)
     order = np.argsort(peers["i"].to_numpy(), kind="stable")
@@ -146,12 +153,12 @@ def accumulated(key: tuple, index: pa.Table, peers: pa.Table) -> pa.Table:
         total += peers["terms"][0].as_py() * distance(zero[:, None], zero[None, :])
     a, b = np.triu_indices(n, 1)
     if x != y:
-        apart = (name[a] // PEERS == x) & (name[b] // PEERS == y)
+        apart = (name[a] // peers_of_block == x) & (name[b] // peers_of_block == y)
         a, b = a[apart], b[apart]
     return pa.table({"lang": pa.array([lang] * len(a), pa.string()), "a": pa.array(name[a], pa.int64()), "b": pa.array(name[b], pa.int64()), "value": pa.array(total[a, b], pa.int64())})
 
 
-def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, ranks: int = TERMS, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, ranks: int = TERMS, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **bounds) -> DataFrame:
     """(lang, source, part, item, value, rank), ranks from 1 in each group and part by value from the greatest, then item.
 
     Part ``pair``: every other source of the language, and the divergence of the
@@ -163,7 +170,7 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, ranks: int = TERMS
     value 0, one of a single source has none. Repeated rows count as often as they
     occur. An empty table gives no rows, further columns aren't read.
     """
-    audit = Audit(docs, least_docs, text_col, lang_col, source_col)
+    audit = Audit(docs, least_docs, text_col, lang_col, source_col, **bounds)
     return audit.ranked_pairs().unionByName(audit.ranked_terms(ranks))
 
 
