@@ -293,3 +293,14 @@ def test_rows_that_may_be_among_keys(spark):
     found = rows.filter("k < 5 OR id > 2990").groupBy("k").agg(F.min("id").alias("least"), F.count("h").alias("m")).filter("k != 2")
     want = {(r.id, None if r.k == 2 else {0: 0, 1: 1, 3: 3, 4: 4}.get(r.k, 2991 + (r.k - 2991) % 7)) for r in rows.collect()}
     assert {(r.id, r.least) for r in hot_join(rows, found, ["k"], "m").collect()} == want
+
+
+def test_items_of_any_length(spark):
+    """What is broadcast is split among blocks, also inside an item, and a long alignment is verified once."""
+    long_ = [f"tok{i * 7919 % 100_003}" for i in range(30_000)]
+    changed = [("other" if i % 9 == 4 else w) for i, w in enumerate(long_)]
+    docs = [(1, "before " + " ".join(changed) + " after"), (2, " ".join(long_[25_000:25_020])), (3, "nothing of it here at all, but ten words and more")]
+    items = [(7, " ".join(long_)), (8, " ".join(f"tok{i}" for i in range(20)))]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_tokens=8_000)
+    equal = sum(a == b for a, b in zip(long_, changed, strict=True))
+    assert {tuple(r) for r in got.collect()} == {(1, 7, equal, 30_000), (2, 7, 20, 20)}
