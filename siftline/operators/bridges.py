@@ -8,28 +8,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftline.functions.text import normalized
+from siftline.functions.text import norm_tokens, normalized
+from siftline.operators.phrases import substrings, whole_words
 
 
-def match_substring(rows: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(id, family, score, hits): 2 where an alias is in the title, else 1, plus up to 1 for the number of aliases found. rows: (id, title, body)."""
-    low = rows.select("id", normalized(F.coalesce("title", F.lit(""))).alias("t"), normalized(F.coalesce("body", F.lit(""))).alias("b"))
-    hit = low.join(F.broadcast(aliases.select("family", "alias")), F.expr("contains(t, alias) or contains(b, alias)"))
-    where = F.when(F.expr("contains(t, alias)"), 2.0).otherwise(1.0)
-    g = hit.groupBy("id", "family").agg(F.max(where).alias("base"), F.count(F.lit(1)).alias("hits"))
+def _words(rows: DataFrame, *more: Column) -> DataFrame:
+    """(id, more, title_words, w): the tokens of title and body, with an empty one between that no phrase crosses."""
+    title, body = (norm_tokens(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "body"))
+    return rows.select("id", *more, F.size(title).alias("title_words"), F.concat(title, F.array(F.lit("")), body).alias("w"))
+
+
+def _scored(met: DataFrame) -> DataFrame:
+    """(id, family, score, hits) from places of aliases: 2 where one is in the title, else 1, plus up to 1 for the number of aliases found."""
+    base = F.when(F.col("at") < F.col("title_words"), 2.0).otherwise(1.0)
+    g = met.groupBy("id", "family").agg(F.max(base).alias("base"), F.countDistinct("alias").alias("hits"))
     return g.select("id", "family", (F.col("base") + F.least(F.lit(1.0), 0.15 * F.col("hits"))).alias("score"), "hits")
 
 
+def match_substring(rows: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(id, family, score, hits): aliases found in title or body, also inside words. rows: (id, title, body), one for each id."""
+    return _scored(substrings(_words(rows), aliases))
+
+
 def match_strict(rows: DataFrame, aliases: DataFrame, context: dict[str, list[str]] | None = None, generic: str | None = None) -> DataFrame:
     """Like match_substring on whole words; a family with context terms needs one of them in the text, and a lone generic family is dropped."""
-    low = rows.select("id", F.concat(F.lit(" "), normalized(F.coalesce("title", F.lit(""))), F.lit(" ")).alias("t"), F.concat(F.lit(" "), normalized(F.coalesce("body", F.lit(""))), F.lit(" ")).alias("b"))
-    hit = low.join(F.broadcast(aliases.select("family", F.concat(F.lit(" "), "alias", F.lit(" ")).alias("p"))), F.expr("contains(t, p) or contains(b, p)"))
-    for family, terms in (context or {}).items():
-        seen = reduce(lambda a, c: a | c, [F.contains("b", F.lit(f" {x} ")) | F.contains("t", F.lit(f" {x} ")) for x in terms])
-        hit = hit.filter((F.col("family") != family) | seen)
-    where = F.when(F.expr("contains(t, p)"), 2.0).otherwise(1.0)
-    g = hit.groupBy("id", "family").agg(F.max(where).alias("base"), F.count(F.lit(1)).alias("hits"))
-    out = g.select("id", "family", (F.col("base") + F.least(F.lit(1.0), 0.15 * F.col("hits"))).alias("score"), "hits")
+    spaced = F.concat(F.lit(" "), normalized(F.coalesce("title", F.lit(""))), F.lit("  "), normalized(F.coalesce("body", F.lit(""))), F.lit(" "))
+    gates = [F.when(reduce(lambda a, c: a | c, [F.contains(spaced, F.lit(f" {x} ")) for x in terms]), F.lit(family)) for family, terms in (context or {}).items()]
+    met = whole_words(_words(rows, F.array_compact(F.array(*gates, F.lit(None).cast("string"))).alias("gates")), aliases)
+    out = _scored(met.filter(~F.col("family").isin(list(context or {})) | F.array_contains("gates", F.col("family"))))
     if generic is not None:
         out = out.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("id"))).filter((F.col("family") != generic) | (F.col("_n") > 1)).drop("_n")
     return out

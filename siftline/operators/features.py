@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftline.functions.hashing import fold
+from siftline.plans.ordered import quantiles
 
 #: Names, and parts of a name, that give the label away.
 LEAKS = (
@@ -140,7 +141,7 @@ def group_folds(rows: DataFrame, group: str, folds: int) -> DataFrame:
 
 def psf_reference(stars: DataFrame, candidates: DataFrame, tile: str, value: str, least: int = 5) -> DataFrame:
     """Candidates with the ratio of value to the median of their tile's reference stars, or why there is none."""
-    ref = stars.groupBy(tile).agg(F.percentile(value, 0.5).alias("reference"), F.count(value).alias("stars"))
+    ref = quantiles(stars, value, {"reference": 0.5}, (tile,)).withColumnRenamed("n", "stars")
     out = candidates.join(ref, tile, "left")
     why = F.when(F.col("stars").isNull(), "NO_REFERENCE").when(F.col("stars") < least, "TOO_FEW_STARS")
     return out.withColumn("reason", why).withColumn("ratio", F.when(why.isNull(), F.col(value) / F.col("reference")))

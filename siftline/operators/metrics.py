@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftline.plans.ordered import quantiles, running_sums
+
 
 def score_summary(rows: DataFrame, score: str = "score") -> DataFrame:
     s = F.col(score)
@@ -13,9 +14,12 @@ def score_summary(rows: DataFrame, score: str = "score") -> DataFrame:
 
 
 def score_distribution(rows: DataFrame, score: str = "score", digits: int = 6, collapse: float = 0.5) -> DataFrame:
-    """Quantiles, distinct rounded values, the largest share of one value, and whether that share means collapse."""
+    """Quantiles, distinct rounded values, the largest share of one value, and whether that share means collapse.
+
+    Quantiles come from ranges of the distinct scores, which are written once.
+    """
     buckets = rows.groupBy(F.round(score, digits).alias("b")).agg(F.count(F.lit(1)).alias("c")).agg(F.count(F.lit(1)).alias("buckets"), F.max("c").alias("top"), F.sum("c").alias("n"))
-    qs = rows.agg(*[F.percentile(score, q).alias(f"p{int(q * 100):02d}") for q in (0.05, 0.25, 0.5, 0.75, 0.95)])
+    qs = quantiles(rows, score, {f"p{int(q * 100):02d}": q for q in (0.05, 0.25, 0.5, 0.75, 0.95)}).drop("n")
     return buckets.crossJoin(qs).withColumn("top_share", F.col("top") / F.col("n")).withColumn("collapsed", F.col("top_share") > collapse).drop("top")
 
 
@@ -27,14 +31,15 @@ def reliability(rows: DataFrame, score: str = "score", label: str = "label", bin
 def binary_metrics(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """ROC-AUC by mid-ranks, average precision, balanced accuracy at 0.5 and Brier score.
 
-    Rows are first counted by distinct score, so the running sums go over
-    distinct scores, not rows.
+    Rows are counted by distinct score; what lies below a score is summed along
+    ranges of scores, which are written once, and what lies above is the rest.
     """
     y = F.col(label).cast("double")
     by = rows.groupBy(F.col(score).alias("s")).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n"))
-    up, down = W.orderBy("s"), W.orderBy(F.col("s").desc())
-    run = by.withColumn("below", F.sum("n").over(up) - F.col("n")).withColumn("tp", F.sum("p").over(down)).withColumn("seen", F.sum(F.col("p") + F.col("n")).over(down))
-    area = run.agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"), (F.sum(F.col("p") * F.col("tp") / F.col("seen")) / F.sum("p")).alias("average_precision"))
+    run = running_sums(by, ["s"], {"p_below": "p", "n_below": "n"})
+    run = run.crossJoin(F.broadcast(run.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))))
+    tp, fp = F.col("all_p") - F.col("p_below"), F.col("all_n") - F.col("n_below")
+    area = run.agg((F.sum(F.col("p") * (F.col("n_below") + F.col("n") / 2)) / (F.max("all_p") * F.max("all_n"))).alias("auc"), (F.sum(F.col("p") * tp / (tp + fp)) / F.max("all_p")).alias("average_precision"))
     hit = (F.col(score) >= 0.5).cast("double")
     rest = rows.agg(((F.sum(y * hit) / F.sum(y) + F.sum((1 - y) * (1 - hit)) / F.sum(1 - y)) / 2).alias("balanced_accuracy"), F.avg((F.col(score) - y) * (F.col(score) - y)).alias("brier"))
     return area.crossJoin(rest)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,17 +13,30 @@ from siftline.functions.text import meaningful_tokens, norm_tokens, search_query
 K1, B = 1.2, 0.75
 
 
+def lengths(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(id, length): how many tokens the fields of weights have."""
+    size = sum((F.size(norm_tokens(F.coalesce(F.col(f).cast("string"), F.lit("")))) for f in weights), F.lit(0))
+    return docs.select("id", size.cast("long").alias("length"))
+
+
 def postings(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(id, token, tf, length): term frequency summed over fields by weight, and the length in tokens of all fields.
+    """(id, token, tf, length): term frequency summed over fields by weight, and the length in tokens of all fields. Ids are unique.
 
-    Write it partitioned by a hash of the token to search it again and again.
+    The length is known before tokens are exploded, so one aggregation makes all.
+    operators/index.py writes postings to search them again and again.
     """
-    parts = None
-    for field, weight in weights.items():
-        own = docs.select("id", F.explode(norm_tokens(F.coalesce(F.col(field).cast("string"), F.lit("")))).alias("token"), F.lit(float(weight)).alias("w"))
-        parts = own if parts is None else parts.unionByName(own)
-    counts = parts.groupBy("id", "token").agg(F.sum("w").alias("tf"), F.count(F.lit(1)).alias("c"))
-    return counts.withColumn("length", F.sum("c").over(W.partitionBy("id"))).drop("c")
+    fields = {f"_f{i}": (norm_tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))), float(w)) for i, (f, w) in enumerate(weights.items())}
+    rows = docs.select("id", *[t.alias(f) for f, (t, _) in fields.items()])
+    length = sum((F.size(f) for f in fields), F.lit(0)).cast("long")
+    weighed = lambda f, w: F.transform(f, lambda t: F.struct(t.alias("token"), F.lit(w).alias("w")))
+    each = F.concat(*[weighed(f, w) for f, (_, w) in fields.items()])
+    flat = rows.select("id", length.alias("length"), F.explode(each).alias("e")).select("id", "length", "e.token", "e.w")
+    return flat.groupBy("id", "token", "length").agg(F.sum("w").alias("tf")).select("id", "token", "tf", "length")
+
+
+def idf(n, df):
+    """ln((n - df + 0.5) / (df + 0.5)) of numbers; 1e-6 for a token that most documents have."""
+    return max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6)
 
 
 def bm25(index: DataFrame, n_docs: DataFrame, query: list[str], limit: int | None = None) -> DataFrame:
@@ -29,11 +44,11 @@ def bm25(index: DataFrame, n_docs: DataFrame, query: list[str], limit: int | Non
 
     n_docs is a one-row frame (n). A token that most documents have weighs 1e-6.
     """
-    mean = index.select("id", "length").distinct().agg(F.avg("length").alias("mean"))
+    mean = index.groupBy("id").agg(F.max("length").alias("length")).agg(F.avg("length").alias("mean"))
     hit = index.filter(F.col("token").isin(sorted(set(query))))
     df = hit.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    rows = hit.join(F.broadcast(df.crossJoin(n_docs.select("n")).select("token", idf.alias("idf"))), "token").crossJoin(F.broadcast(mean))
+    weight = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    rows = hit.join(F.broadcast(df.crossJoin(n_docs.select("n")).select("token", weight.alias("idf"))), "token").crossJoin(F.broadcast(mean))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     out = rows.groupBy("id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("matched"))
     return out if limit is None else out.orderBy(F.round("score", 9).desc(), "id").limit(limit)

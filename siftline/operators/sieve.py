@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftline.functions.text import norm_tokens, shingles
+from siftline.operators.phrases import apart, whole_words
 
 
 def chunk_text(rows: DataFrame, words: int = 180, overlap: int = 45) -> DataFrame:
@@ -21,33 +23,33 @@ def chunk_text(rows: DataFrame, words: int = 180, overlap: int = 45) -> DataFram
     return at.select("id", *rest, "chunk_index", start.alias("word_start"), end.alias("word_end"), F.array_join(F.slice("w", start + 1, words), " ").alias("chunk"))
 
 
-def with_matches(chunks: DataFrame, aliases: list[tuple[str, str]]) -> DataFrame:
-    """chunks with matches, an array of (family, alias, n): whole-word, non-overlapping occurrences of each alias.
+def _lexicon(chunks: DataFrame, aliases: list[tuple[str, str]] | DataFrame) -> DataFrame:
+    return chunks.sparkSession.createDataFrame(aliases, "family string, alias string") if isinstance(aliases, list) else aliases
 
-    aliases: (family, alias), the lines of a lexicon. Each is an expression over the
-    chunk, which is normalised once; nothing is joined. Null chunks match nothing.
+
+def family_hits(chunks: DataFrame, aliases: list[tuple[str, str]] | DataFrame) -> DataFrame:
+    """(id, chunk_index, family, alias, n): whole-word, non-overlapping occurrences of each alias in a chunk.
+
+    aliases: (family, alias), the lines of a lexicon of any size. Null chunks match nothing.
+    """
+    words = chunks.select("id", "chunk_index", norm_tokens(F.col("chunk")).alias("w"))
+    met = whole_words(words, _lexicon(chunks, aliases))
+    return met.groupBy("id", "chunk_index", "family", "alias", "size").agg(F.collect_list("at").alias("places")).select("id", "chunk_index", "family", "alias", apart(F.col("places"), F.col("size")).alias("n"))
+
+
+def retain(chunks: DataFrame, aliases: list[tuple[str, str]] | DataFrame, radius: int = 1) -> DataFrame:
+    """Chunks that hit or stand within radius of one that does: with families (empty without a hit), hit count, neighbours and score.
+
+    Hits mark their neighbours, so only marks are shuffled; chunks are read again to
+    meet them.
     """
-    spaced = lambda words: F.concat(F.lit(" "), F.array_join(norm_tokens(words), "  "), F.lit(" "))
-    found = []
-    for family, alias in aliases:
-        p = spaced(F.lit(alias))
-        n = ((F.length("_s") - F.length(F.replace(F.col("_s"), p, F.lit("")))) / F.length(p)).cast("long")
-        found.append(F.when((F.trim(p) != "") & F.contains("_s", p), F.struct(F.lit(family).alias("family"), F.lit(alias).alias("alias"), n.alias("n"))))
-    return chunks.withColumn("_s", spaced(F.col("chunk"))).withColumn("matches", F.array_compact(F.array(*found))).drop("_s")
-
-
-def family_hits(chunks: DataFrame, aliases: list[tuple[str, str]]) -> DataFrame:
-    """(id, chunk_index, family, alias, n): the matches of with_matches, a row each."""
-    return with_matches(chunks, aliases).select("id", "chunk_index", F.explode("matches").alias("m")).select("id", "chunk_index", "m.family", "m.alias", "m.n")
-
-
-def retain(chunks: DataFrame, aliases: list[tuple[str, str]], radius: int = 1) -> DataFrame:
-    """Chunks that hit or stand within radius of one that does: with families (empty without a hit), hit count, neighbours and score."""
-    rows = with_matches(chunks, aliases).withColumn("families", F.array_sort(F.array_distinct("matches.family"))).withColumn("hits", F.aggregate("matches.n", F.lit(0).cast("long"), lambda x, y: x + y)).drop("matches")
-    rows = rows.withColumn("direct", F.size("families") > 0)
-    w = W.partitionBy("id").orderBy("chunk_index").rowsBetween(-radius, radius)
-    rows = rows.withColumn("near", F.array_remove(F.collect_list(F.when(F.col("direct"), F.col("chunk_index"))).over(w), F.col("chunk_index")))
-    kept = rows.filter(F.col("direct") | (F.size("near") > 0))
+    own = family_hits(chunks, aliases).groupBy("id", "chunk_index").agg(F.array_sort(F.collect_set("family")).alias("families"), F.sum("n").alias("hits"))
+    step = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
+    spread = own.withColumn("_d", step).withColumn("_hit", F.col("chunk_index")).withColumn("chunk_index", F.col("chunk_index") + F.col("_d"))
+    here = F.col("_d") == 0
+    marks = spread.groupBy("id", "chunk_index").agg(F.array_sort(F.collect_list(F.when(~here, F.col("_hit")))).alias("near"), F.max(F.when(here, F.col("families"))).alias("families"), F.max(F.when(here, F.col("hits"))).alias("hits"))
+    marks = marks.select("id", "chunk_index", F.coalesce("families", F.array().cast("array<string>")).alias("families"), F.coalesce("hits", F.lit(0)).alias("hits"), F.col("families").isNotNull().alias("direct"), "near")
+    kept = chunks.join(marks, ["id", "chunk_index"]).select(*[f"`{c}`" for c in chunks.columns], "families", "hits", "direct", "near")
     score = F.when(F.col("direct"), F.least(F.lit(1.0), 0.32 + 0.16 * F.size("families") + 0.025 * F.col("hits"))).otherwise(0.0)
     return kept.withColumn("score", F.round(F.when(F.size("near") > 0, F.greatest(score, F.lit(0.12))).otherwise(score), 6))
 
@@ -105,26 +107,78 @@ def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     return both.filter(shared / (F.size("ha") + F.size("hb") - shared) >= threshold).select("a", "b")
 
 
-def near_duplicates(rows: DataFrame, pairs: DataFrame, save) -> DataFrame:
+#: Items of a stretch of the walk that one task settles.
+STRETCH = 4096
+OPEN, CANONICAL, DUPLICATE = 0, 1, 2
+
+
+def _settled(items: pa.Table) -> pa.Table:
+    """What a stretch's items are, in order, given what is known of earlier stretches.
+
+    items: b; canon: whether an earlier neighbour outside is canonical; low and high:
+    the least and greatest open item that its open neighbours outside depend on;
+    same, turned: whether one of them is what that item is, or the opposite; inner:
+    open neighbours inside. An item that depends on one open item outside alone gets
+    it as its link, and flip says whether it is the opposite.
+    """
+    items = items.sort_by("b")
+    state: dict[int, tuple[int, int | None, bool]] = {}
+    for b, canon, low, high, same, turned, inner in zip(*(items[c].to_pylist() for c in ("b", "canon", "low", "high", "same", "turned", "inner")), strict=True):
+        own = [state[a] for a in inner]
+        atoms, flips = {x for x in (low, high) if x is not None}, {f for f, has in ((False, same), (True, turned)) if has}
+        atoms |= {link for s, link, _ in own if s == OPEN}
+        flips |= {flip for s, link, flip in own if s == OPEN and link is not None}
+        if canon or any(s == CANONICAL for s, _, _ in own):
+            state[b] = (DUPLICATE, None, False)
+        elif not atoms:
+            state[b] = (CANONICAL, None, False)
+        elif len(atoms) > 1 or None in atoms:
+            state[b] = (OPEN, None, False)
+        elif len(flips) == 2:  # an item and its opposite: one of them is canonical
+            state[b] = (DUPLICATE, None, False)
+        else:
+            state[b] = (OPEN, atoms.pop(), not flips.pop())
+    s, link, flip = zip(*state.values(), strict=True)
+    return pa.table({"ord": pa.array(state, pa.int64()), "s": pa.array(s, pa.int32()), "link": pa.array(link, pa.int64()), "flip": pa.array(flip, pa.bool_())})
+
+
+def near_duplicates(rows: DataFrame, pairs: DataFrame, save, stretch: int = STRETCH) -> DataFrame:
     """(ord, duplicate_of): what a walk in order assigns, where an item is canonical unless an earlier canonical one is similar.
 
-    In rounds: an item all of whose earlier neighbours are duplicates is
-    canonical; one with an earlier canonical neighbour is a duplicate of the
-    smallest. save(df) cuts the lineage of each round. Each round settles the
-    smallest open item of every component at least, so the rounds end; a drifting
-    chain takes as many as it has links.
+    Stretches of consecutive items are settled in a task each, as far as what is
+    known of earlier ones goes. An item that hangs on a single open item of an
+    earlier stretch is linked to it, and links are followed to where they lead, twice
+    as far in each round: a drifting chain takes as many rounds as its number of
+    stretches has digits. save(df) cuts the lineage of each round, and each settles
+    the smallest open item at least. Items without a pair are canonical.
     """
-    pairs = pairs.filter("a < b")
-    state = save(rows.select("ord").withColumn("s", F.lit(0)).withColumn("of", F.lit(None).cast("long")))
+    pairs = save(pairs.filter("a < b").distinct())
+    place = lambda c: F.floor(F.col(c) / stretch)
+    state = save(pairs.select(F.explode(F.array("a", "b")).alias("ord")).distinct().select("ord", F.lit(OPEN).alias("s"), F.lit(None).cast("long").alias("link"), F.lit(False).alias("flip")))
     while True:
-        back = pairs.select(F.col("b").alias("ord"), "a").join(state.select(F.col("ord").alias("a"), F.col("s").alias("sa")), "a")
-        sums = back.groupBy("ord").agg(F.min(F.when(F.col("sa") == 1, F.col("a"))).alias("canon"), F.min(F.when(F.col("sa") == 0, F.col("a"))).alias("open"))
-        n = state.join(sums, "ord", "left")
-        settled = F.col("s") != 0
-        dup = F.col("canon").isNotNull() & (F.col("open").isNull() | (F.col("canon") < F.col("open")))
-        state = save(n.select("ord", F.when(settled, F.col("s")).when(dup, 2).when(F.col("canon").isNull() & F.col("open").isNull(), 1).otherwise(0).alias("s"), F.when(settled, F.col("of")).when(dup, F.col("canon")).alias("of")))
-        if not state.filter("s = 0").limit(1).count():
-            return state.select("ord", F.col("of").alias("duplicate_of"))
+        open_ = state.filter(F.col("s") == OPEN)
+        back = pairs.join(open_.select(F.col("ord").alias("b")), "b").join(state.toDF("a", "s", "link", "flip"), "a").filter(F.col("s") != DUPLICATE)
+        inside = place("a") == place("b")
+        outer = (F.col("s") == OPEN) & ~inside
+        atom, flip = F.coalesce("link", "a"), F.coalesce("flip", F.lit(False))
+        known = back.groupBy("b").agg(F.max(F.col("s") == CANONICAL).alias("canon"), F.min(F.when(outer, atom)).alias("low"), F.max(F.when(outer, atom)).alias("high"), F.max(outer & ~flip).alias("same"), F.max(outer & flip).alias("turned"), F.collect_list(F.when(inside & (F.col("s") == OPEN), F.col("a"))).alias("inner"))
+        free = {"canon": F.lit(False), "same": F.lit(False), "turned": F.lit(False), "inner": F.array().cast("array<bigint>")}
+        asked = open_.select(F.col("ord").alias("b")).join(known, "b", "left").withColumns({c: F.coalesce(c, v) for c, v in free.items()})
+        solved = asked.withColumn("_s", place("b")).groupBy("_s").applyInArrow(_settled, "ord long, s int, link long, flip boolean")
+        state = save(state.filter(F.col("s") != OPEN).unionByName(solved))
+        for _ in range(2):
+            to = state.select(F.col("ord").alias("link"), F.col("s").alias("_to"), F.col("link").alias("_link"), F.col("flip").alias("_flip"))
+            led = state.join(to, "link", "left")
+            sure = F.col("_to").isin(CANONICAL, DUPLICATE)
+            s = F.when(sure, F.when((F.col("_to") == CANONICAL) != F.col("flip"), CANONICAL).otherwise(DUPLICATE)).otherwise(F.col("s"))
+            link, flip = F.when(sure, F.lit(None)).otherwise(F.coalesce("_link", "link")), F.when(sure, F.lit(False)).when(F.col("_link").isNotNull(), F.col("flip") != F.col("_flip")).otherwise(F.col("flip"))
+            state = led.select("ord", s.alias("s"), link.cast("long").alias("link"), flip.alias("flip"))
+        state = save(state)
+        if state.filter(F.col("s") == OPEN).isEmpty():
+            break
+    canon = state.filter(F.col("s") == CANONICAL).select(F.col("ord").alias("a"))
+    of = pairs.join(canon, "a").groupBy(F.col("b").alias("ord")).agg(F.min("a").alias("duplicate_of"))
+    return rows.select("ord").join(of, "ord", "left")
 
 
 def duplicates(kept: DataFrame, save, threshold: float = 0.88) -> DataFrame:
@@ -149,7 +203,7 @@ def duplicates(kept: DataFrame, save, threshold: float = 0.88) -> DataFrame:
     return placed.select("ord", F.coalesce("duplicate_of", F.when(F.col("ord") != F.col("first"), F.col("first"))).alias("duplicate_of"))
 
 
-def chunk_sieve(records: DataFrame, aliases: list[tuple[str, str]], save, words: int = 180, overlap: int = 45, radius: int = 1, size: int = 64, threshold: float = 0.88) -> DataFrame:
+def chunk_sieve(records: DataFrame, aliases: list[tuple[str, str]] | DataFrame, save, words: int = 180, overlap: int = 45, radius: int = 1, size: int = 64, threshold: float = 0.88) -> DataFrame:
     """Chunks that a phrase family reaches, in order: with chunk_id, families, score, batch, and the chunk_id of the one they repeat.
 
     records: (id, source_family, text), one for each id. save(df) cuts lineage.

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftline.plans.ordered import quantiles
+
 #: Rates of adaptation and decay.
 FRESH, REPLAY, ABSENT = 0.55, 0.18, 0.93
 ATT_FRESH, ATT_REPLAY, ATT_MISSING = 0.72, 0.50, 0.78
@@ -93,7 +95,7 @@ def propagate(local: DataFrame, edges: DataFrame, rings: int = 3) -> DataFrame:
 
 def focus(nodes: DataFrame, most: int = 5) -> DataFrame:
     """Ranks nodes (node, score) and marks the focus: scores of at least max(0.28, third quartile), most of them at most, one at least."""
-    edge = nodes.agg(F.greatest(F.lit(0.28), F.percentile("score", 0.75)).alias("edge"))
+    edge = quantiles(nodes, "score", {"quartile": 0.75}).select(F.greatest(F.lit(0.28), "quartile").alias("edge"))
     w = W.orderBy(F.col("score").desc(), "node")
     top = nodes.orderBy(F.col("score").desc(), "node").limit(max(most, 1)).withColumn("rank", F.row_number().over(w)).crossJoin(F.broadcast(edge)).filter((F.col("score") >= F.col("edge")) | (F.col("rank") == 1)).select("node", "rank")
     state = F.when(F.col("rank") == 1, "PRIMARY_FOCUS").when(F.col("rank").isNotNull(), "ACTIVE_FOCUS").when(F.col("score") < 0.10, "DORMANT").otherwise("PERIPHERY")

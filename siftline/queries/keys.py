@@ -8,7 +8,8 @@ from siftline.functions import hashing as H
 from siftline.functions import text as T
 from siftline.operators import bridges as B
 from siftline.operators import features as X
-from siftline.operators import search as S
+from siftline.operators.index import Index, append
+from siftline.plans.storage import new_folder
 from siftline.registry import query
 from siftline.sources import web
 from siftline.sources.tables import records, table
@@ -63,15 +64,16 @@ def build_search_query(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", T.search_query(F.col("text")).alias("query"))
 
 
-@query(f"""WITH q AS (SELECT item_id, {_TOKENS} AS k FROM benchmark), qt AS (SELECT DISTINCT item_id AS query, unnest(list_filter(k, lambda x, i: list_position(k, x) = i)[:3]) AS token FROM q WHERE item_id % 50 = 0),
+@query(f"""WITH qt AS (SELECT DISTINCT item_id AS query, unnest({_TOKENS}) AS token FROM benchmark WHERE item_id % 50 = 0),
 f AS (SELECT doc_id AS id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9]+')) AS token FROM documents), p AS (SELECT id, token, sum(1.5) AS tf FROM f GROUP BY ALL)
 SELECT query, id, count(*) AS matched, sum(tf)::DOUBLE AS tf FROM p JOIN qt USING (token) GROUP BY query, id""")
 def search_join(spark, sf_dir):
-    """Each fiftieth benchmark item's first three tokens as a query against all documents."""
+    """The tokens of each fiftieth benchmark item, looked up in a stored index of all documents."""
     items = table(spark, sf_dir, "benchmark").filter("item_id % 50 = 0")
-    words = items.select(F.col("item_id").alias("query"), F.explode(F.slice(T.meaningful_tokens(F.col("text")), 1, 3)).alias("token"))
-    index = S.postings(records(spark, sf_dir).select(F.col("ord").alias("id"), "text"), {"text": 1.5})
-    return S.search_join(index, words)
+    words = items.select(F.col("item_id").alias("query"), F.explode(T.norm_tokens(F.col("text"))).alias("token")).filter(F.length("token") >= 3)
+    path = new_folder(spark, "index")
+    append(records(spark, sf_dir).select(F.col("ord").alias("id"), "text"), {"text": 1.5}, path, "documents")
+    return Index(spark, path).lookup(words)
 
 
 @query(f"""WITH d AS (SELECT doc_id, lang, source, lower(text) AS low, text FROM documents), n AS (

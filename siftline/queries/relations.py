@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftline.functions import text as T
@@ -12,7 +13,8 @@ from siftline.operators import search as S
 from siftline.operators import sieve as C
 from siftline.operators import state as Z
 from siftline.operators import tfidf as V
-from siftline.plans.storage import saver
+from siftline.operators.index import Index, append
+from siftline.plans.storage import new_folder, saver
 from siftline.queries.mining import _TAGS, counts, n_docs, vectors
 from siftline.registry import query
 from siftline.sources import web
@@ -134,12 +136,25 @@ def bm25_search(spark, sf_dir):
 
 @query(f"WITH {_BM} SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s ORDER BY rank LIMIT 20")
 def search_rank(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    top = S.bm25(_index(spark, sf_dir), n_docs(spark, sf_dir), _QUERY, 20)
+    top = _searched(spark, sf_dir, 20)
     return top.select(F.col("id").alias("doc_id"), F.row_number().over(W.orderBy(F.round("score", 9).desc(), "id")).alias("rank"))
 
 
+@query(f"WITH {_BM} SELECT doc_id, round(score, 5) AS score, matched FROM s ORDER BY round(score, 9) DESC, doc_id LIMIT 50")
+def search_limit(spark, sf_dir):
+    """The fifty best documents of a stored index that was written in two batches."""
+    return _searched(spark, sf_dir, 50).select(F.col("id").alias("doc_id"), F.round("score", 5).alias("score"), "matched")
+
+
+def _searched(spark, sf_dir, limit):
+    docs = records(spark, sf_dir).select(F.col("ord").alias("id"), "title", "text", "provider")
+    path = new_folder(spark, "index")
+    late = F.pmod(F.crc32(F.col("provider").cast("binary")), F.lit(2)) == 1
+    for name, part in (("early", docs.filter(~F.coalesce(late, F.lit(False)))), ("late", docs.filter(late))):
+        append(part.drop("provider"), {"title": 3.0, "text": 1.5}, path, name)
+    return Index(spark, path).search(_QUERY, limit)
+
+
 _TOPIC = "Apache license, trash or an idiot"
 
 
@@ -159,18 +174,35 @@ h AS (SELECT * FROM p WHERE token IN ('idiot', 'license', 'user', 'the')), d AS
 s AS (SELECT id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean))) AS score, count(*) AS matched FROM h JOIN d USING (token) JOIN l USING (id), m, n GROUP BY id)"""
 
 
-@query(f"WITH {_FED} SELECT id, split_part(id, ':', 1) AS source, round(score, 5) AS score, matched FROM s")
-def federated_search(spark, sf_dir):
-    """BM25 over three corpora as one: titles weigh 3, bodies 1.5, the rest 1; every record that has one of the words, with its score."""
+_FED_QUERY = ["idiot", "license", "user", "the"]
+_FED_WEIGHTS = {"title": 3.0, "body": 1.5, "extra": 1.0}
+
+
+def _corpora(spark, sf_dir):
     doc = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("").alias("title"), F.col("text").alias("body"), F.col("lang").alias("extra"))
     turn = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.col("role").alias("title"), F.col("text").alias("body"), F.lit("").alias("extra"))
     item = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("").alias("title"), F.col("text").alias("body"), F.lit("").alias("extra"))
-    union = S.federated({"documents": doc, "turns": turn, "benchmark": item})
-    index = S.postings(union, {"title": 3.0, "body": 1.5, "extra": 1.0})
-    found = S.bm25(index, union.agg(F.count(F.lit(1)).alias("n")), ["idiot", "license", "user", "the"])
+    return {"documents": doc, "turns": turn, "benchmark": item}
+
+
+@query(f"WITH {_FED} SELECT id, split_part(id, ':', 1) AS source, round(score, 5) AS score, matched FROM s")
+def federated_search(spark, sf_dir):
+    """BM25 over three corpora as one: titles weigh 3, bodies 1.5, the rest 1; every record that has one of the words, with its score."""
+    union = S.federated(_corpora(spark, sf_dir))
+    found = S.bm25(S.postings(union, _FED_WEIGHTS), union.agg(F.count(F.lit(1)).alias("n")), _FED_QUERY)
     return found.select("id", F.split("id", ":")[0].alias("source"), F.round("score", 5).alias("score"), "matched")
 
 
+@query(f"WITH {_FED} SELECT row_number() OVER (ORDER BY round(score, 9) DESC, id)::INTEGER AS rank, id, split_part(id, ':', 1) AS source, round(score, 5) AS score, matched FROM s ORDER BY rank LIMIT 50")
+def federated_rank(spark, sf_dir):
+    """The fifty best records of the federation, from a stored index to which each corpus is added as a batch."""
+    path = new_folder(spark, "index")
+    for name, part in _corpora(spark, sf_dir).items():
+        append(S.federated({name: part}).drop("source"), _FED_WEIGHTS, path, name)
+    best = Index(spark, path).search(_FED_QUERY, 50)
+    return best.select(F.row_number().over(W.orderBy(F.round("score", 9).desc(), "id")).alias("rank"), "id", F.split("id", ":")[0].alias("source"), F.round("score", 5).alias("score"), "matched")
+
+
 # graph
 
 _W = f"{_TAGS}, w AS (SELECT tag, CASE WHEN count(*) / any_value(n) > 0.2 THEN 0 ELSE ln((1 + any_value(n)) / (1 + count(*))) END AS weight FROM tags, docs GROUP BY tag)"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftline.operators import exposure as X
 from siftline.operators import metrics as M
 from siftline.operators import rules as R
+from siftline.plans.ordered import quantiles
 from siftline.registry import query
 from siftline.sources.tables import table
 
@@ -153,9 +154,10 @@ SELECT event_type, count(*) AS n, round(avg(d), 6) AS mean, median(d) AS median,
 def delay_baseline(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("date"))
     first = rows.agg(F.min("date").alias("d0"))
-    d = F.datediff("date", "d0")
-    out = rows.crossJoin(F.broadcast(first)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(d), 6).alias("mean"), F.percentile(d, 0.5).alias("median"), F.min(d).cast("long").alias("min"), F.max(d).cast("long").alias("max"))
-    return out.withColumn("last_ratio", F.round(F.col("max") / F.col("median"), 6))
+    days_ = rows.crossJoin(F.broadcast(first)).select("event_type", F.datediff("date", "d0").alias("d"))
+    mid = quantiles(days_, "d", {"median": 0.5}, ("event_type",)).select("event_type", "median")
+    out = days_.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("d"), 6).alias("mean"), F.min("d").cast("long").alias("min"), F.max("d").cast("long").alias("max")).join(mid, "event_type")
+    return out.select("event_type", "n", "mean", "median", "min", "max").withColumn("last_ratio", F.round(F.col("max") / F.col("median"), 6))
 
 
 @query("""WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, ts, lag(ts) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS before FROM events)
