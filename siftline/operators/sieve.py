@@ -152,20 +152,24 @@ def near_duplicates(rows: DataFrame, pairs: DataFrame, save, stretch: int = STRE
     stretches has digits. save(df) cuts the lineage of each round, and each settles
     the smallest open item at least. Items without a pair are canonical.
     """
-    pairs = save(pairs.filter("a < b").distinct())
+    pairs = save(pairs.filter("a < b"))
     place = lambda c: F.floor(F.col(c) / stretch)
-    state = save(pairs.select(F.explode(F.array("a", "b")).alias("ord")).distinct().select("ord", F.lit(OPEN).alias("s"), F.lit(None).cast("long").alias("link"), F.lit(False).alias("flip")))
-    while True:
-        open_ = state.filter(F.col("s") == OPEN)
-        back = pairs.join(open_.select(F.col("ord").alias("b")), "b").join(state.toDF("a", "s", "link", "flip"), "a").filter(F.col("s") != DUPLICATE)
-        inside = place("a") == place("b")
+    inside = place("a") == place("b")
+
+    def solved(back: DataFrame) -> DataFrame:
+        """What open items b are, from rows (b, a, s, link, flip) of their neighbours that aren't duplicates; a is null in a row of b alone."""
         outer = (F.col("s") == OPEN) & ~inside
         atom, flip = F.coalesce("link", "a"), F.coalesce("flip", F.lit(False))
-        known = back.groupBy("b").agg(F.max(F.col("s") == CANONICAL).alias("canon"), F.min(F.when(outer, atom)).alias("low"), F.max(F.when(outer, atom)).alias("high"), F.max(outer & ~flip).alias("same"), F.max(outer & flip).alias("turned"), F.collect_list(F.when(inside & (F.col("s") == OPEN), F.col("a"))).alias("inner"))
-        free = {"canon": F.lit(False), "same": F.lit(False), "turned": F.lit(False), "inner": F.array().cast("array<bigint>")}
-        asked = open_.select(F.col("ord").alias("b")).join(known, "b", "left").withColumns({c: F.coalesce(c, v) for c, v in free.items()})
-        solved = asked.withColumn("_s", place("b")).groupBy("_s").applyInArrow(_settled, "ord long, s int, link long, flip boolean")
-        state = save(state.filter(F.col("s") != OPEN).unionByName(solved))
+        has = lambda c: F.coalesce(F.max(c), F.lit(False))
+        known = back.groupBy("b").agg(has(F.col("s") == CANONICAL).alias("canon"), F.min(F.when(outer, atom)).alias("low"), F.max(F.when(outer, atom)).alias("high"), has(outer & ~flip).alias("same"), has(outer & flip).alias("turned"), F.collect_list(F.when(inside & (F.col("s") == OPEN), F.col("a"))).alias("inner"))
+        return known.withColumn("_s", place("b")).groupBy("_s").applyInArrow(_settled, "ord long, s int, link long, flip boolean")
+
+    nothing = {"link": F.lit(None).cast("long"), "flip": F.lit(False)}
+    alone = lambda c: F.struct(F.col(c).alias("b"), F.lit(None).cast("long").alias("a"))
+    # at first every item is open
+    first = pairs.select(F.explode(F.array(F.struct("b", "a"), alone("a"))).alias("p")).select("p.b", "p.a", F.lit(OPEN).alias("s")).withColumns(nothing)
+    state = save(solved(first))
+    while not state.filter(F.col("s") == OPEN).isEmpty():
         for _ in range(2):
             to = state.select(F.col("ord").alias("link"), F.col("s").alias("_to"), F.col("link").alias("_link"), F.col("flip").alias("_flip"))
             led = state.join(to, "link", "left")
@@ -174,8 +178,10 @@ def near_duplicates(rows: DataFrame, pairs: DataFrame, save, stretch: int = STRE
             link, flip = F.when(sure, F.lit(None)).otherwise(F.coalesce("_link", "link")), F.when(sure, F.lit(False)).when(F.col("_link").isNotNull(), F.col("flip") != F.col("_flip")).otherwise(F.col("flip"))
             state = led.select("ord", s.alias("s"), link.cast("long").alias("link"), flip.alias("flip"))
         state = save(state)
-        if state.filter(F.col("s") == OPEN).isEmpty():
-            break
+        open_ = state.filter(F.col("s") == OPEN).select(F.col("ord").alias("b"))
+        back = pairs.join(open_, "b").join(state.toDF("a", "s", "link", "flip"), "a").filter(F.col("s") != DUPLICATE).select("b", "a", "s", "link", "flip")
+        back = back.unionByName(open_.select("b", F.lit(None).cast("long").alias("a"), F.lit(OPEN).alias("s")).withColumns(nothing))
+        state = save(state.filter(F.col("s") != OPEN).unionByName(solved(back)))
     canon = state.filter(F.col("s") == CANONICAL).select(F.col("ord").alias("a"))
     of = pairs.join(canon, "a").groupBy(F.col("b").alias("ord")).agg(F.min("a").alias("duplicate_of"))
     return rows.select("ord").join(of, "ord", "left")
