@@ -169,7 +169,8 @@ def near_duplicates(rows: DataFrame, pairs: DataFrame, save, stretch: int = STRE
     # at first every item is open
     first = pairs.select(F.explode(F.array(F.struct("b", "a"), alone("a"))).alias("p")).select("p.b", "p.a", F.lit(OPEN).alias("s")).withColumns(nothing)
     state = save(solved(first))
-    while not state.filter(F.col("s") == OPEN).isEmpty():
+    left = lambda: not state.filter(F.col("s") == OPEN).isEmpty()
+    while left():
         for _ in range(2):
             to = state.select(F.col("ord").alias("link"), F.col("s").alias("_to"), F.col("link").alias("_link"), F.col("flip").alias("_flip"))
             led = state.join(to, "link", "left")
@@ -178,6 +179,8 @@ def near_duplicates(rows: DataFrame, pairs: DataFrame, save, stretch: int = STRE
             link, flip = F.when(sure, F.lit(None)).otherwise(F.coalesce("_link", "link")), F.when(sure, F.lit(False)).when(F.col("_link").isNotNull(), F.col("flip") != F.col("_flip")).otherwise(F.col("flip"))
             state = led.select("ord", s.alias("s"), link.cast("long").alias("link"), flip.alias("flip"))
         state = save(state)
+        if not left():
+            break
         open_ = state.filter(F.col("s") == OPEN).select(F.col("ord").alias("b"))
         back = pairs.join(open_, "b").join(state.toDF("a", "s", "link", "flip"), "a").filter(F.col("s") != DUPLICATE).select("b", "a", "s", "link", "flip")
         back = back.unionByName(open_.select("b", F.lit(None).cast("long").alias("a"), F.lit(OPEN).alias("s")).withColumns(nothing))
