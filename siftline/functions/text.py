@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 #: What counts as a word, and the words that carry no topic.
 WORD = r"[A-Za-zА-Яа-яЁё0-9][A-Za-zА-Яа-яЁё0-9_.+\-/]{2,}"
 STOP = (
-    "the and for with from that this into are was were not have has had its their about records record archive archived "
-    "source metadata document documents page pages http https www gov com org pdf json html unidentified information report "
-    "reports research official public collection data file files content title provider landing bulk download"
-).split()
+    "the", "and", "for", "with", "from", "that", "this", "into", "are", "was", "were", "not", "have", "has", "had", "its", "their", "about",
+    "records", "record", "archive", "archived", "source", "metadata", "document", "documents", "page", "pages", "http", "https", "www", "gov", "com",
+    "org", "pdf", "json", "html", "unidentified", "information", "report", "reports", "research", "official", "public", "collection", "data", "file",
+    "files", "content", "title", "provider", "landing", "bulk", "download",
+)
 #: The stop words of the first form of the graph, a prefix of STOP.
 STOP_V1 = STOP[: STOP.index("document")]
 DATE = r"(?<![0-9A-Za-z_])(?:18|19|20)[0-9]{2}(?:-[0-9]{2}-[0-9]{2})?(?![0-9A-Za-z_])"
@@ -34,9 +35,9 @@ def matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def tokens(text: Column, stop: list[str] = STOP, keep_digits: bool = False) -> Column:
+def tokens(text: Column, stop: tuple[str, ...] = STOP, keep_digits: bool = False) -> Column:
     """Lower-cased words without stop words and, unless kept, without numbers. Null text gives null."""
-    ok = lambda w: ~w.isin(stop) & (F.lit(True) if keep_digits else ~w.rlike("^[0-9]+$"))
+    ok = lambda w: ~w.isin(*stop) & (F.lit(True) if keep_digits else ~w.rlike("^[0-9]+$"))
     return F.filter(F.transform(matches(text, WORD), F.lower), ok)
 
 

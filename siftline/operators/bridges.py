@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions.text import norm_tokens, normalized
 from siftline.operators.phrases import substrings, whole_words
+from siftline.plans.pairs import pairs_within
 
 
 def _words(rows: DataFrame, *more: Column) -> DataFrame:
@@ -135,8 +136,8 @@ def anchor_routes(rows: DataFrame, routes: DataFrame, anchors: DataFrame) -> Dat
 
 def lineage_pairs(rows: DataFrame, title: float = 0.5, author: float = 0.3) -> DataFrame:
     """(a, b, authors, titles) of works that share an author and are alike in authors and title words. rows: (id, authors, words)."""
-    a = rows.select("id", F.explode("authors").alias("who"))
-    pairs = a.toDF("a", "who").join(a.toDF("b", "who"), "who").filter("a < b").select("a", "b").distinct()
+    who = rows.select("id", F.explode("authors").alias("who"))
+    pairs = pairs_within(who, ["who"], "id").select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     x = rows.toDF("a", "aa", "wa")
     y = rows.toDF("b", "ab", "wb")
     j = lambda p, q: F.size(F.array_intersect(p, q)) / F.size(F.array_union(p, q))
@@ -237,7 +238,7 @@ def work_lineages(works: DataFrame, sequence=None) -> DataFrame:
     by author. sequence(a, b), a Column function, may vouch for titles by 0.72.
     """
     who = works.select("id", F.explode("authors").alias("who"))
-    pairs = who.toDF("a", "who").join(who.toDF("b", "who"), "who").filter("a < b").select("a", "b").distinct()
+    pairs = pairs_within(who, ["who"], "id").select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     left, right = ([F.col("id").alias(k)] + [F.col(c).alias(f"{k}_{c}") for c in works.columns if c != "id"] for k in "ab")
     both = pairs.join(works.select(*left), "a").join(works.select(*right), "b")
     j = lambda c: F.round(F.coalesce(F.try_divide(F.size(F.array_intersect(f"a_{c}", f"b_{c}")), F.size(F.array_union(f"a_{c}", f"b_{c}"))), F.lit(0.0)), 6)

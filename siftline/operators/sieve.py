@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions.text import norm_tokens, shingles
 from siftline.operators.phrases import apart, whole_words
+from siftline.plans.pairs import pairs_within
 
 
 def chunk_text(rows: DataFrame, words: int = 180, overlap: int = 45) -> DataFrame:
@@ -94,17 +95,28 @@ def batches(rows: DataFrame, *order: Column, save, size: int = 64) -> DataFrame:
 def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b) for a < b whose shingle sets reach the Jaccard threshold. rows: (ord, shingles).
 
-    Shingles are hashed; prefixes in hash order and a size filter make
-    candidates, which are then counted exactly.
+    Shingles are hashed and ordered from rare to frequent. Two sets share one in
+    the beginnings of both; their positions there and sizes tell how much they can
+    share at most, which drops most pairs before sets are compared. Hot shingles
+    meet in bounded blocks.
     """
-    s = rows.select("ord", F.array_sort(F.array_distinct(F.transform("shingles", lambda x: F.xxhash64(x)))).alias("h")).withColumn("n", F.size("h")).filter("n > 0")
-    keep = (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")
-    head = s.select("ord", "n", F.explode(F.slice("h", F.lit(1), keep)).alias("t"))
-    a, b = head.toDF("a", "na", "t"), head.toDF("b", "nb", "t")
-    pairs = a.join(b, "t").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)).select("a", "b").distinct()
+    s = rows.select("ord", F.array_distinct(F.transform("shingles", lambda x: F.xxhash64(x))).alias("h")).withColumn("n", F.size("h")).filter("n > 0")
+    flat = s.select("ord", "n", F.explode("h").alias("t"))
+    often = flat.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # a shingle that only one set has is rarest and meets nothing: it only moves the others' places
+    shared = flat.join(often, "t").groupBy("ord", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("p"))
+    keep = F.col("n") - F.ceil(F.col("n") * (threshold - 1e-9)) + 1
+    lone = F.col("n") - F.size("p")
+    head = shared.select("ord", "n", lone.alias("lone"), F.posexplode(F.slice("p", F.lit(1), F.greatest(F.lit(0), keep - lone).cast("int"))).alias("at", "e"))
+    head = head.select("ord", "n", (F.col("at") + F.col("lone")).alias("at"), F.col("e.t").alias("t"))
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    need = (a("n") + b("n")) * (threshold / (1 + threshold)) - 1e-6
+    # the first shared shingle of a pair leaves no more than the shorter rest behind it
+    fits = (F.least(a("n"), b("n")) >= F.greatest(a("n"), b("n")) * (threshold - 1e-9)) & (F.least(a("at"), b("at")) + F.least(a("n") - a("at"), b("n") - b("at")) >= need)
+    pairs = pairs_within(head, ["t"], "ord").filter(fits).select(a("ord").alias("a"), b("ord").alias("b")).distinct()
     both = pairs.join(s.select(F.col("ord").alias("a"), F.col("h").alias("ha")), "a").join(s.select(F.col("ord").alias("b"), F.col("h").alias("hb")), "b")
-    shared = F.size(F.array_intersect("ha", "hb"))
-    return both.filter(shared / (F.size("ha") + F.size("hb") - shared) >= threshold).select("a", "b")
+    shared_ = F.size(F.array_intersect("ha", "hb"))
+    return both.filter(shared_ / (F.size("ha") + F.size("hb") - shared_) >= threshold).select("a", "b")
 
 
 #: Items of a stretch of the walk that one task settles.

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftline.plans.pairs import met_between, pairs_within
+
 #: Tags of transport, which say nothing of content.
 TRANSPORT_TAGS = (
     "failed_fetch", "fetch_error", "link", "landing_page", "bulk_metadata",
@@ -19,8 +21,9 @@ TRANSPORT_TAGS = (
 
 
 def term_counts(docs: DataFrame, words: Column) -> DataFrame:
-    """(id, token, n): how often each document has each token."""
-    return docs.select("id", F.explode(words).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("n"))
+    """(id, token, n, total): how often each document has each token, and how many it has. Ids are unique."""
+    own = docs.select("id", words.alias("_w"))
+    return own.select("id", F.size("_w").alias("total"), F.explode("_w").alias("token")).groupBy("id", "token", "total").agg(F.count(F.lit(1)).alias("n")).select("id", "token", "n", "total")
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
@@ -30,10 +33,10 @@ def document_frequency(counts: DataFrame) -> DataFrame:
 def tfidf(counts: DataFrame, n_docs: DataFrame, min_df: int = 1) -> DataFrame:
     """(id, token, weight), L2-normalised. n_docs is a one-row frame (n); tokens in fewer than min_df documents go before the norm."""
     df = document_frequency(counts).filter(F.col("df") >= min_df)
-    total = W.partitionBy("id")
-    rows = counts.withColumn("total", F.sum("n").over(total)).join(df, "token").crossJoin(F.broadcast(n_docs.select(F.col("n").alias("docs"))))
+    whole = W.partitionBy("id")
+    rows = counts.join(df, "token").crossJoin(F.broadcast(n_docs.select(F.col("n").alias("docs"))))
     rows = rows.withColumn("raw", F.col("n") / F.col("total") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1))
-    return rows.withColumn("weight", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(total))).select("id", "token", "weight")
+    return rows.withColumn("weight", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(whole))).select("id", "token", "weight")
 
 
 def salient(vectors: DataFrame, k: int = 8, digits: int = 9) -> DataFrame:
@@ -42,27 +45,39 @@ def salient(vectors: DataFrame, k: int = 8, digits: int = 9) -> DataFrame:
     return vectors.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) for a < b at or above the threshold, exactly.
+def cosine_candidates(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, part, rest): pairs a < b that may reach the threshold; part is their similarity over the tokens of both heads, rest bounds what is missing.
 
-    Tokens are ordered from rare to frequent; the tail of a document whose norm
-    stays under the threshold can't make a pair alone, so only pairs that share a
-    token outside both tails become candidates. The join on the remaining tokens
-    is then summed for candidates only.
+    Tokens are ordered from frequent to rare. A document's tail is its longest run
+    of frequent tokens that can't reach the threshold with any other: neither by its
+    norm nor by its weights times the largest weight of each token. What is
+    shared outside both heads lies in one of the tails, so pairs whose part and
+    larger tail stay under the threshold are dropped before anything is joined.
+    Hot tokens meet in bounded blocks.
     """
-    df = vectors.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    w = W.partitionBy("id").orderBy(F.col("df").desc(), F.col("token").desc())
-    ranked = vectors.join(df, "token").withColumn("tail", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(w)))
-    head = ranked.filter(F.col("tail") >= threshold * (1 - 1e-9)).select("token", "id")
-    pairs = head.toDF("token", "a").join(head.toDF("token", "b"), "token").filter("a < b").select("a", "b").distinct()
+    least = threshold * (1 - 1e-9)
+    stats = vectors.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("most"))
+    w = W.partitionBy("id").orderBy(F.col("df").desc(), F.col("token").desc()).rowsBetween(W.unboundedPreceding, 0)
+    reach = F.least(F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(w)), F.sum(F.col("weight") * F.col("most")).over(w))
+    ranked = vectors.join(stats, "token").select("id", "token", "weight", reach.alias("reach"))
+    # reach rises along the order, so the tail's is the greatest below the threshold
+    tail = F.max(F.when(F.col("reach") < least, F.col("reach"))).over(W.partitionBy("id"))
+    head = ranked.withColumn("tail", F.coalesce(tail, F.lit(0.0))).filter(F.col("reach") >= least).select("token", "id", "weight", "tail")
+    met = pairs_within(head, ["token"], "id").groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.sum(F.col("a.weight") * F.col("b.weight")).alias("part"), F.max(F.greatest("a.tail", "b.tail")).alias("rest"))
+    return met.filter(F.col("part") + F.col("rest") >= least)
+
+
+def cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) for a < b at or above the threshold, exactly: candidates are summed over all their tokens."""
+    pairs = cosine_candidates(vectors, threshold).select("a", "b")
     left = vectors.select(F.col("id").alias("a"), "token", F.col("weight").alias("wa"))
     right = vectors.select(F.col("id").alias("b"), "token", F.col("weight").alias("wb"))
     return pairs.join(left, "a").join(right, ["b", "token"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
 def semantic_topk(pairs: DataFrame, k: int = 5) -> DataFrame:
-    """Of each document's neighbours with a larger id the k most similar; ties go to the larger id."""
-    w = W.partitionBy("a").orderBy(F.col("similarity").desc(), F.col("b").desc())
+    """Of each document's neighbours with a larger id the k most similar, to nine digits; ties go to the larger id."""
+    w = W.partitionBy("a").orderBy(F.round("similarity", 9).desc(), F.col("b").desc())
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -102,3 +117,21 @@ def tag_signal(pairs: DataFrame, tags: DataFrame, weights: DataFrame, gate: floa
     union = F.col("ta") + F.col("tb") - F.col("shared")
     signal = F.when((union > 0) & (F.col("shared") > 0), F.col("shared") / union * F.least(F.lit(1.0), F.col("shared") / gate)).otherwise(0.0)
     return both.select("a", "b", signal.alias("signal"), "shared")
+
+
+def contained_sets(members: DataFrame) -> DataFrame:
+    """(contained, container): sets all of whose elements another set has. members: (k, e), distinct.
+
+    A container has the contained set's rarest element, so sets meet under it, in
+    bounded blocks where it is common. Sizes and 64-bit signatures drop most pairs
+    before elements are compared. Sets without a member don't occur.
+    """
+    often = members.groupBy("e").agg(F.count(F.lit(1)).alias("df"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("e"), F.lit(64)).cast("int"))
+    sets = members.join(often, "e").groupBy("k").agg(F.collect_set("e").alias("set"), F.min(F.struct("df", "e")).alias("rare"), F.bit_or(bit).alias("sig"))
+    sized = sets.select("k", "set", F.col("rare.e").alias("rare"), F.size("set").alias("n"), "sig")
+    met = met_between(sized.select(F.col("rare").alias("e"), "k", "n", "sig"), sized.select(F.explode("set").alias("e"), "k", "n", "sig"), ["e"], "k", "k")
+    fits = (F.col("a.k") != F.col("b.k")) & (F.col("a.n") <= F.col("b.n")) & (F.col("a.sig").bitwiseAND(F.bitwise_not(F.col("b.sig"))) == 0)
+    pairs = met.filter(fits).select(F.col("a.k").alias("contained"), F.col("b.k").alias("container"))
+    small, large = sets.select(F.col("k").alias("contained"), F.col("set").alias("small")), sets.select(F.col("k").alias("container"), F.col("set").alias("large"))
+    return pairs.join(small, "contained").join(large, "container").filter(F.size(F.array_except("small", "large")) == 0).select("contained", "container")

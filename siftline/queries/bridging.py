@@ -14,7 +14,7 @@ from siftline.operators import tfidf as V
 from siftline.plans.storage import saver
 from siftline.queries import relations as R
 from siftline.queries.mining import TOKENS, _vectors, n_docs, vectors
-from siftline.registry import query
+from siftline.registry import SQL, query
 from siftline.sources.tables import records, table
 
 _TAGW = """tg AS (SELECT DISTINCT doc_id, unnest([lang, source]) AS tag FROM documents), tw AS (SELECT tag, CASE WHEN count(*) / (SELECT count(*) FROM documents) > 0.2 THEN 0::DOUBLE ELSE ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) END AS weight FROM tg GROUP BY tag),
@@ -249,8 +249,16 @@ def concept_coverage(spark, sf_dir):
 
 # context
 
-_OBS = r"""ob AS (SELECT doc_id, 'origin' AS facet, 'source' AS field, source AS value FROM documents UNION ALL SELECT doc_id, 'origin', 'language', lang FROM documents
-UNION ALL SELECT doc_id, 'time', 'iso_date', unnest(list_distinct(regexp_extract_all(text, '(^|[^0-9])([0-9]{4}-[0-9]{2}-[0-9]{2})($|[^0-9])', 2))) FROM documents)"""
+#: Values of every field of a document. Digits and clock times are taken as whole runs, which is what the patterns' look-arounds ask for.
+_OBS = r"""pr AS (SELECT doc_id, regexp_extract(text, '(-?[0-9]{1,2}\.[0-9]+)\s*,\s*(-?[0-9]{1,3}\.[0-9]+)', 1) AS lat, regexp_extract(text, '(-?[0-9]{1,2}\.[0-9]+)\s*,\s*(-?[0-9]{1,3}\.[0-9]+)', 2) AS lon FROM documents),
+ok AS (SELECT * FROM pr WHERE lat != '' AND abs(try_cast(lat AS DOUBLE)) <= 90 AND abs(try_cast(lon AS DOUBLE)) <= 180),
+ob AS (SELECT doc_id, 'origin' AS facet, 'source' AS field, source AS value FROM documents WHERE source IS NOT NULL UNION ALL SELECT doc_id, 'origin', 'language', lang FROM documents WHERE lang IS NOT NULL
+UNION ALL SELECT doc_id, 'time', 'iso_date', unnest(list_distinct(regexp_extract_all(text, '(^|[^0-9])([0-9]{4}-[0-9]{2}-[0-9]{2})($|[^0-9])', 2))) FROM documents
+UNION ALL SELECT doc_id, 'time', 'year', unnest(list_distinct(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: regexp_full_match(x, '(18|19|20)[0-9]{2}')))) FROM documents
+UNION ALL SELECT doc_id, 'time', 'clock', unnest(list_distinct(list_filter(regexp_extract_all(text, '[0-9:]+'), lambda x: regexp_full_match(x, '([01][0-9]|2[0-3]):[0-5][0-9]')))) FROM documents
+UNION ALL SELECT doc_id, 'place', 'latitude', lat FROM ok UNION ALL SELECT doc_id, 'place', 'longitude', lon FROM ok)"""
+_COVERED = f"""{_OBS}, want AS (SELECT * FROM (VALUES ('time', 3), ('place', 2), ('origin', 2)) AS v(facet, fields)), have AS (SELECT doc_id, facet, count(DISTINCT field) AS known FROM ob GROUP BY ALL),
+cov AS (SELECT doc_id::VARCHAR AS subject, want.facet, coalesce(known, 0) AS known, fields FROM documents CROSS JOIN want LEFT JOIN have USING (doc_id, facet))"""
 
 
 def _context(spark, sf_dir):
@@ -261,16 +269,20 @@ def _context(spark, sf_dir):
 @query(f"WITH {_OBS} SELECT facet, field, count(*) AS n, count(DISTINCT doc_id) AS subjects FROM ob GROUP BY ALL")
 def context_build(spark, sf_dir):
     _, obs = _context(spark, sf_dir)
-    return obs.filter(F.col("field").isin("source", "language", "iso_date")).groupBy("facet", "field").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("subject").alias("subjects"))
+    return obs.groupBy("facet", "field").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("subject").alias("subjects"))
 
 
-@query()
+@query(f"WITH {_COVERED} SELECT subject, facet, known, fields, CASE WHEN known = 0 THEN 'MISSING' WHEN known < fields THEN 'PARTIAL' ELSE 'COMPLETE' END AS status FROM cov")
 def context_coverage(spark, sf_dir):
     rows, obs = _context(spark, sf_dir)
     return C.coverage(obs, rows, spark.createDataFrame(list(C.REGISTRY), "facet string, field string"))
 
 
-@query()
+_SECOND = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'xx' ELSE lang END AS lang, lang AS was FROM documents"
+
+
+@query(f"""WITH {_COVERED} SELECT count(DISTINCT subject) AS subjects, count(*) FILTER (known = fields) AS complete, count(*) FILTER (known > 0 AND known < fields) AS partial, count(*) FILTER (known = 0) AS missing, count(*) FILTER (known < fields) AS tasks,
+(SELECT count(*) FILTER (WHERE lang != was) FROM ({_SECOND})) AS conflicts FROM cov""")
 def fur_receipt(spark, sf_dir):
     """Facets of all documents by status, and conflicts of a second pass with the first."""
     rows, obs = _context(spark, sf_dir)
@@ -279,7 +291,9 @@ def fur_receipt(spark, sf_dir):
     return C.receipt(covered, C.merge(first, second)[1])
 
 
-@query()
+@query(f"""WITH {_COVERED} SELECT (SELECT count(*) FROM ({SQL['calibrate_edges']})) AS edges, (SELECT count(*) FROM ({SQL['edge_attention']})) AS attention_edges,
+(SELECT count(*) FROM ({SQL['focus_rank']})) AS attention_nodes, (SELECT count(*) FILTER (focus_state IN ('PRIMARY_FOCUS', 'ACTIVE_FOCUS')) FROM ({SQL['focus_rank']})) AS active_focus_nodes,
+count(*) AS subjects, round(avg(share), 6) AS mean_coverage FROM (SELECT subject, sum(known) / sum(fields) AS share FROM cov GROUP BY subject)""")
 def package_stats(spark, sf_dir):
     """Counts of the edges of two passes, their attention and focus, and the context of all documents."""
     rows, obs = _context(spark, sf_dir)
@@ -287,9 +301,6 @@ def package_stats(spark, sf_dir):
     return Z.package_stats(R.two_passes(spark, sf_dir), R.attention(spark, sf_dir), R.focus_rank(spark, sf_dir), covered)
 
 
-_SECOND = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'xx' ELSE lang END AS lang, lang AS was FROM documents"
-
-
 def _origins(spark, sf_dir):
     """Origins of two passes; the second reads another language for every third document."""
     rows, obs = _context(spark, sf_dir)

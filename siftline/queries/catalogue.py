@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from siftline.functions import hashing as H
 from siftline.operators import features as X
 from siftline.operators import rules as R
+from siftline.operators.tfidf import contained_sets
+from siftline.plans.pairs import pairs_within
 from siftline.registry import query
 from siftline.sources.tables import table
 
@@ -147,9 +149,8 @@ SELECT a.id AS a, b.id AS b, round(b.f - a.f, 2) AS spacing, round((b.f - a.f) /
 def same_target_pairs(spark, sf_dir):
     """Pairs of orders of one customer: spacing in price, the nearest whole thousand, and days between them."""
     p = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("target"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("f"), F.col("o_orderdate").alias("t"))
-    a, b = p.alias("a"), p.alias("b")
     gap = F.col("b.f") - F.col("a.f")
-    return a.join(b, (F.col("a.target") == F.col("b.target")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(gap, 2).alias("spacing"), F.round(gap / 1000, 0).cast("long").alias("nearest"), F.datediff("b.t", "a.t").cast("long").alias("days"))
+    return pairs_within(p, ["target"], "id").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(gap, 2).alias("spacing"), F.round(gap / 1000, 0).cast("long").alias("nearest"), F.datediff("b.t", "a.t").cast("long").alias("days"))
 
 
 @query("SELECT o_orderkey, string_agg(b, ',' ORDER BY b) AS bands FROM orders JOIN (VALUES ('high', 200000, 1e9), ('low', 0, 50000), ('mid', 40000, 250000)) AS v(b, lo, hi) ON o_totalprice >= lo AND o_totalprice <= hi GROUP BY o_orderkey")
@@ -163,14 +164,9 @@ def band_tags(spark, sf_dir):
 @query("""WITH s AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS e FROM lineitem), n AS (SELECT k, count(*) AS n FROM s GROUP BY k)
 SELECT a.k AS contained, b.k AS container FROM s a JOIN s b ON b.e = a.e AND b.k != a.k JOIN n ON n.k = a.k GROUP BY a.k, b.k HAVING count(*) = any_value(n.n)""")
 def containment_join(spark, sf_dir):
-    """Orders whose set of suppliers lies within another order's. A container has the contained set's rarest supplier, so only orders that share it are compared."""
+    """Orders whose set of suppliers lies within another order's."""
     s = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("e")).distinct()
-    often = s.groupBy("e").agg(F.count(F.lit(1)).alias("df"))
-    sets = s.join(often, "e").groupBy("k").agg(F.collect_set("e").alias("set"), F.min(F.struct("df", "e")).alias("rare"))
-    small = sets.select(F.col("k").alias("contained"), F.col("set").alias("small"), F.col("rare.e").alias("e"))
-    large = sets.select(F.col("k").alias("container"), F.col("set").alias("large"), F.explode("set").alias("e")).filter(F.size("large") > 0)
-    met = small.join(large, "e").filter((F.col("contained") != F.col("container")) & (F.size("small") <= F.size("large")))
-    return met.filter(F.size(F.array_except("small", "large")) == 0).select("contained", "container")
+    return contained_sets(s)
 
 
 @query("SELECT c_custkey, sha256('{\"c_custkey\":' || c_custkey || ',\"c_mktsegment\":\"' || c_mktsegment || '\",\"c_name\":\"' || c_name || '\"}') AS sha FROM customer")

@@ -15,7 +15,7 @@ _PREFIX = [("src1", "ALPHA"), ("src2", "BETA")]
 _ROLES = {"LICENCE": "(?i)license", "ABUSE": "idiot|moron", "NUMBERS": "[0-9]{3}"}
 _LEXICON = {"license": 3, "idiot": 4, "the ": 2, "que ": 2}
 _F = """f AS (SELECT doc_id, source || '/' || doc_id AS path, text, CASE WHEN starts_with(source, 'src1') THEN 'ALPHA' WHEN starts_with(source, 'src2') THEN 'BETA' ELSE 'OTHER' END AS domain FROM documents),
-r AS (SELECT *, CASE WHEN regexp_matches(path || chr(10) || text[:200000], '(?i)license') THEN ['LICENCE'] ELSE [] END || CASE WHEN regexp_matches(path || chr(10) || text[:200000], 'idiot|moron') THEN ['ABUSE'] ELSE [] END || CASE WHEN regexp_matches(path || chr(10) || text[:200000], '[0-9]{3}') THEN ['NUMBERS'] ELSE [] END AS roles FROM f)"""
+r AS (SELECT *, CASE WHEN regexp_matches(path || chr(10) || text, '(?i)license') THEN ['LICENCE'] ELSE [] END || CASE WHEN regexp_matches(path || chr(10) || text, 'idiot|moron') THEN ['ABUSE'] ELSE [] END || CASE WHEN regexp_matches(path || chr(10) || text, '[0-9]{3}') THEN ['NUMBERS'] ELSE [] END AS roles FROM f)"""
 
 
 def files(spark, sf_dir):

@@ -76,10 +76,14 @@ def search_join(spark, sf_dir):
     return Index(spark, path).lookup(words)
 
 
-@query(f"""WITH d AS (SELECT doc_id, lang, source, lower(text) AS low, text FROM documents), n AS (
+#: (doc_id, kind, value) of a document's topics, places, dates and tags.
+NODES_V1 = f"""d AS (SELECT doc_id, lang, source, lower(text) AS low, text FROM documents), n AS (
 SELECT doc_id, 'topic' AS kind, v AS value FROM d, unnest({_LIST(T.TOPICS)}) AS t(v) WHERE contains(low, v) UNION SELECT doc_id, 'place', v FROM d, unnest({_LIST(T.PLACES)}) AS t(v) WHERE contains(low, v)
-UNION SELECT doc_id, 'date', unnest(regexp_extract_all(text, '(^|[^0-9A-Za-z_])((18|19|20)[0-9][0-9](-[0-9][0-9]-[0-9][0-9])?)($|[^0-9A-Za-z_])', 2)) FROM d UNION SELECT doc_id, 'tag', unnest([lower(lang), lower(source)]) FROM d)
-SELECT doc_id, kind, value FROM n WHERE value IS NOT NULL""")
+UNION SELECT doc_id, 'date', unnest(regexp_extract_all(text, '(^|[^0-9A-Za-z_])((18|19|20)[0-9][0-9](-[0-9][0-9]-[0-9][0-9])?)($|[^0-9A-Za-z_])', 2)) FROM d UNION SELECT doc_id, 'tag', unnest([lower(lang), lower(source)]) FROM d),
+nodes AS (SELECT doc_id, kind, value FROM n WHERE value IS NOT NULL)"""
+
+
+@query(f"WITH {NODES_V1} SELECT * FROM nodes")
 def entity_nodes_v1(spark, sf_dir):
     nodes = F.explode(T.entity_nodes(F.col("text"), F.array_compact("relation_tags"))).alias("n")
     return records(spark, sf_dir).select(F.col("ord").alias("doc_id"), nodes).select("doc_id", "n.kind", "n.value")
@@ -114,14 +118,20 @@ def sidecar_gate(spark, sf_dir):
     return out.select("sidecar", "status", F.round("coverage", 6).alias("coverage"), "admitted")
 
 
-@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url ELSE '10.5/p' || page_id END AS archive_id, CASE WHEN page_id % 3 != 0 THEN '10.5/p' || page_id END AS doi, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, html[:12000] AS text, url AS source_url FROM pages")
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url ELSE '10.5/p' || page_id END AS archive_id, CASE WHEN page_id % 3 != 0 THEN '10.5/p' || page_id END AS doi, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, html AS text, url AS source_url FROM pages")
 def normalize_crossref(spark, sf_dir):
     """Pages as literature items, two thirds of them with a DOI."""
     doi = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("https://doi.org/10.5/P"), F.col("page_id").cast("string")))
     items = table(spark, sf_dir, "pages").select("page_id", doi.alias("DOI"), F.col("url").alias("URL"), F.array(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1), F.lit("second")).alias("title"), F.col("html").alias("abstract"))
-    out = web.crossref_records(items.drop("page_id"))
-    key = F.coalesce(F.regexp_extract("doi", "p([0-9]+)$", 1).cast("long"), F.lit(None))
-    by_url = items.select("page_id", "URL", "DOI")
-    known = out.filter("doi is not null").withColumn("page_id", key)
-    rest = out.filter("doi is null").join(by_url.filter("DOI is null").select(F.col("URL").alias("source_url"), "page_id"), "source_url").select(*known.columns)
-    return known.unionByName(rest).select("page_id", "archive_id", "doi", "title", "text", "source_url").distinct()
+    return web.crossref_records(items, kept=("page_id",)).select("page_id", "archive_id", "doi", "title", "text", "source_url")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 != 0 THEN '10.7/d' || doc_id ELSE source || '/' || doc_id END AS archive_id, CASE WHEN doc_id % 4 != 0 THEN '10.7/d' || doc_id END AS doi, lang AS title, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x != ''), ' ') AS text, CASE WHEN doc_id % 4 != 0 THEN 'https://doi.org/10.7/D' || doc_id ELSE source || '/' || doc_id END AS source_url FROM documents")
+def normalize_openalex(spark, sf_dir):
+    """Documents as catalogue items whose abstracts are inverted indexes of their words: whole texts come back in order of position."""
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"\s+"), "")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "doc_id").alias("id"), F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("https://doi.org/10.7/D"), F.col("doc_id").cast("string"))).alias("doi"), F.col("lang").alias("title"), words.alias("w"))
+    flat = rows.select("doc_id", F.posexplode("w").alias("p", "word")).groupBy("doc_id", "word").agg(F.collect_list("p").alias("places"))
+    index = flat.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("abstract_inverted_index"))
+    items = rows.drop("w").join(index, "doc_id", "left")
+    return web.openalex_records(items, kept=("doc_id",)).select("doc_id", "archive_id", "doi", "title", "text", "source_url")

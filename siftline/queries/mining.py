@@ -6,21 +6,31 @@ from pyspark.sql import functions as F
 
 from siftline.functions import text as T
 from siftline.operators import tfidf as V
+from siftline.plans.storage import saver
 from siftline.registry import query
 from siftline.sources.tables import records, table
 
-_STOP = ", ".join(f"'{w}'" for w in T.STOP)
-TOKENS = f"""
-words AS (SELECT doc_id, lower(w) AS token FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{T.WORD}')) AS w FROM documents)),
-tokens AS (SELECT doc_id, token FROM words WHERE token NOT IN ({_STOP}) AND NOT regexp_full_match(token, '[0-9]+')),
+#: Title (the first eight words), text and tags of a document, as text_of() joins them.
+WHOLE = r"concat_ws(' ', array_to_string(regexp_split_to_array(text, '\s+')[:8], ' '), text, '', concat_ws(' ', lang, source))"
+
+
+def token_sql(text: str = "text", stop=T.STOP, keep_digits: bool = False) -> str:
+    listed = ", ".join(f"'{w}'" for w in stop)
+    digits = "" if keep_digits else " AND NOT regexp_full_match(token, '[0-9]+')"
+    return f"""
+words AS (SELECT doc_id, lower(w) AS token FROM (SELECT doc_id, unnest(regexp_extract_all({text}, '{T.WORD}')) AS w FROM documents)),
+tokens AS (SELECT doc_id, token FROM words WHERE token NOT IN ({listed}){digits}),
 counts AS (SELECT doc_id, token, count(*) AS n FROM tokens GROUP BY ALL),
 dfs AS (SELECT token, count(*) AS df FROM counts GROUP BY token),
 docs AS (SELECT count(*) AS n_docs FROM documents)
 """
 
 
-def _vectors(min_df: int) -> str:
-    return f"""{TOKENS},
+TOKENS = token_sql()
+
+
+def _vectors(min_df: int, tokens_: str = TOKENS) -> str:
+    return f"""{tokens_},
 totals AS (SELECT doc_id, sum(n) AS total FROM counts GROUP BY doc_id),
 raws AS (SELECT doc_id, token, n / total * (ln((1 + n_docs) / (1 + df)) + 1) AS raw FROM counts JOIN totals USING (doc_id) JOIN dfs USING (token), docs WHERE df >= {min_df}),
 norms AS (SELECT doc_id, sqrt(sum(raw * raw)) AS norm FROM raws GROUP BY doc_id),
@@ -73,22 +83,29 @@ def salient_keywords(spark, sf_dir):
     return V.salient(vectors(spark, sf_dir)).select(F.col("id").alias("doc_id"), "token", "rank", F.round("weight", 5).alias("weight"))
 
 
-#: Above it pairs are near copies; the graph's own threshold is lower and links by topic.
-SIMILAR = 0.4
-_PAIRS = f"""{_vectors(1)},
+#: Least similarity that links documents by topic.
+SIMILAR = 0.14
+def pair_sql(vectors_: str) -> str:
+    return f"""{vectors_},
 pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(x.weight * y.weight) AS similarity FROM vectors x JOIN vectors y ON x.token = y.token AND x.doc_id < y.doc_id GROUP BY ALL HAVING sum(x.weight * y.weight) >= {SIMILAR})
 """
 
 
+_PAIRS = pair_sql(_vectors(1))
+
+
 @query(f"WITH {_PAIRS} SELECT a, b, round(similarity, 6) AS similarity FROM pairs")
 def cosine_pairs(spark, sf_dir):
-    return V.cosine_pairs(vectors(spark, sf_dir), SIMILAR).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return _similar(spark, sf_dir).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+def _similar(spark, sf_dir):
+    return V.cosine_pairs(saver(spark)(vectors(spark, sf_dir)), SIMILAR)
 
 
 @query(f"WITH {_PAIRS}, r AS (SELECT a, b, similarity, row_number() OVER (PARTITION BY a ORDER BY round(similarity, 9) DESC, b DESC) AS rank FROM pairs) SELECT a, b, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 5")
 def semantic_topk(spark, sf_dir):
-    pairs = V.cosine_pairs(vectors(spark, sf_dir), SIMILAR).withColumn("similarity", F.round("similarity", 9))
-    return V.semantic_topk(pairs).select("a", "b", F.round("similarity", 6).alias("similarity"), "rank")
+    return V.semantic_topk(_similar(spark, sf_dir)).select("a", "b", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 _TAGS = "tags AS (SELECT DISTINCT doc_id, source AS provider, lower(trim(t)) AS tag FROM (SELECT doc_id, source, unnest([lang, source]) AS t FROM documents)), docs AS (SELECT count(*) AS n FROM documents)"
@@ -123,7 +140,7 @@ SELECT a, b, round(CASE WHEN ta.t + tb.t - shared > 0 AND shared > 0 THEN shared
 FROM sh JOIN tot ta ON ta.doc_id = a JOIN tot tb ON tb.doc_id = b""")
 def weighted_jaccard_gate(spark, sf_dir):
     tags = V.tag_rows(records(spark, sf_dir))
-    pairs = V.cosine_pairs(vectors(spark, sf_dir), SIMILAR)
+    pairs = _similar(spark, sf_dir)
     return V.tag_signal(pairs.select("a", "b"), tags.withColumn("id", F.regexp_extract("id", "([0-9]+)$", 1).cast("long")), V.tag_idf(tags, n_docs(spark, sf_dir))).select("a", "b", F.round("signal", 6).alias("signal"), F.round("shared", 6).alias("shared"))
 
 

@@ -15,13 +15,14 @@ from siftline.operators import state as Z
 from siftline.operators import tfidf as V
 from siftline.operators.index import Index, append
 from siftline.plans.storage import new_folder, saver
-from siftline.queries.mining import _TAGS, counts, n_docs, vectors
+from siftline.queries.keys import NODES_V1
+from siftline.queries.mining import _TAGS, SIMILAR, WHOLE, _vectors, n_docs, pair_sql, token_sql
 from siftline.registry import query
 from siftline.sources import web
 from siftline.sources.tables import records, table
 
 
-@query(r"""SELECT doc_id, source AS provider, trim(regexp_replace(text, '\s+', ' ', 'g'))[:200000] AS text, sha256('{"archive_id":"' || doc_id || '","provider":"' || source || '"}') AS record_sha256 FROM documents""")
+@query(r"""SELECT doc_id, source AS provider, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text, sha256('{"archive_id":"' || doc_id || '","provider":"' || source || '"}') AS record_sha256 FROM documents""")
 def make_archive_record(spark, sf_dir):
     from siftline.functions.hashing import row_sha
 
@@ -208,40 +209,49 @@ def federated_rank(spark, sf_dir):
 _W = f"{_TAGS}, w AS (SELECT tag, CASE WHEN count(*) / any_value(n) > 0.2 THEN 0 ELSE ln((1 + any_value(n)) / (1 + count(*))) END AS weight FROM tags, docs GROUP BY tag)"
 
 
-def entities(spark, sf_dir):
-    """(id, kind, value, weight): tags with capped weights, dates, and salient keywords of documents."""
+def graph_vectors(spark, sf_dir):
+    """Vectors of title, text and tags."""
     r = records(spark, sf_dir)
-    tags = V.tag_rows(r)
+    whole = T.text_of(F.col("title"), F.col("text"), None, F.col("relation_tags"))
+    return saver(spark)(V.tfidf(V.term_counts(r.select(F.col("ord").alias("id"), whole.alias("whole")), T.tokens(F.col("whole"))), n_docs(spark, sf_dir)))
+
+
+def tag_entities(spark, sf_dir):
+    """(id, kind, value, weight): tags with capped weights."""
+    tags = V.tag_rows(records(spark, sf_dir))
     weights = V.tag_idf(tags, n_docs(spark, sf_dir), "capped").select("tag", "weight")
-    own = tags.join(F.broadcast(weights), "tag").select("id", F.lit("tag").alias("kind"), F.col("tag").alias("value"), "weight")
+    return tags.join(weights, "tag").select("id", F.lit("tag").alias("kind"), F.col("tag").alias("value"), "weight")
+
+
+def entities(spark, sf_dir, v):
+    """(id, kind, value, weight): tags with capped weights, dates, and salient keywords of documents by their vectors."""
+    r = records(spark, sf_dir)
     dates = r.select("id", F.lit("date").alias("kind"), F.explode(T.dates(F.col("text"))).alias("value"), F.lit(None).cast("double").alias("weight"))
-    words = V.salient(vectors(spark, sf_dir)).join(r.select(F.col("ord").alias("n"), F.col("id").alias("name")), F.col("id") == F.col("n")).select(F.col("name").alias("id"), F.lit("keyword").alias("kind"), F.col("token").alias("value"), F.lit(None).cast("double").alias("weight"))
-    return own, own.unionByName(dates).unionByName(words)
+    words = V.salient(v).join(r.select(F.col("ord").alias("n"), F.col("id").alias("name")), F.col("id") == F.col("n")).select(F.col("name").alias("id"), F.lit("keyword").alias("kind"), F.col("token").alias("value"), F.lit(None).cast("double").alias("weight"))
+    return tag_entities(spark, sf_dir).unionByName(dates).unionByName(words)
 
 
 @query(f"WITH {_W}, m AS (SELECT doc_id, provider, tag FROM tags JOIN w USING (tag) WHERE weight >= 0.2) SELECT a.doc_id AS a, b.doc_id AS b, 'tag:' || a.tag AS via, round(0.26::DOUBLE + 0.1 * (a.provider != b.provider)::INT, 6) AS confidence FROM m a JOIN m b ON a.tag = b.tag AND a.doc_id < b.doc_id")
 def shared_entity_pairs(spark, sf_dir):
     r = records(spark, sf_dir).select("id", "ord", "provider")
-    own, _ = entities(spark, sf_dir)
-    e = G.shared_entities(own, r)
+    e = G.shared_entities(tag_entities(spark, sf_dir), r)
     number = lambda c: F.regexp_extract(c, "([0-9]+)$", 1).cast("long")
     return e.select(number("source").alias("a"), number("target").alias("b"), "via", F.round("confidence", 6).alias("confidence"))
 
 
-#: Least similarity that the graph's edges link by topic; pairs above mining.SIMILAR are near copies.
-TOPICAL = 0.14
-
-
-def _edges(spark, sf_dir):
+def _edges(spark, sf_dir, informative: bool = False):
+    """All edges of the graph; with informative every tag counts as such."""
     r = records(spark, sf_dir).select("id", "ord", "provider")
-    _, all_ = entities(spark, sf_dir)
-    return _woven(G.mentions(all_), G.shared_classes(all_, r), G.semantic(_topical(r, vectors(spark, sf_dir))))
+    v = graph_vectors(spark, sf_dir)
+    nodes = entities(spark, sf_dir, v)
+    nodes = saver(spark)(nodes.withColumn("weight", F.lit(None).cast("double")) if informative else nodes)
+    return _woven(G.mentions(nodes), G.shared_classes(nodes, r), G.semantic(_topical(r, v)))
 
 
 def _topical(r, v):
     """The five most similar of the later documents of each, by name."""
     names = lambda c: r.select(F.col("ord").alias(c), F.col("id").alias(f"{c}_id"))
-    top = V.semantic_topk(V.cosine_pairs(v, TOPICAL)).join(names("a"), "a").join(names("b"), "b")
+    top = V.semantic_topk(V.cosine_pairs(v, SIMILAR)).join(names("a"), "a").join(names("b"), "b")
     return top.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "similarity")
 
 
@@ -250,7 +260,31 @@ def _woven(mentions, classes, similar):
     return one.unionByName(classes).withColumn("confidence", F.round("confidence", 6))
 
 
-@query()
+_DATE_NODES = "SELECT DISTINCT doc_id, 'date' AS kind, unnest(regexp_extract_all(text, '(^|[^0-9A-Za-z_])((18|19|20)[0-9][0-9](-[0-9][0-9]-[0-9][0-9])?)($|[^0-9A-Za-z_])', 2)) AS value, NULL::DOUBLE AS weight FROM documents"
+_V2_NODES = f"""{_TAGS.replace('docs AS', 'docs2 AS')}, w AS (SELECT tag, CASE WHEN count(*) / any_value(n) > 0.2 THEN 0 ELSE ln((1 + any_value(n)) / (1 + count(*))) END AS weight FROM tags, docs2 GROUP BY tag),
+salient AS (SELECT doc_id, token FROM vectors QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, token) <= 8),
+ent AS (SELECT doc_id, 'tag' AS kind, tag AS value, {{weight}} AS weight FROM tags JOIN w USING (tag) UNION ALL {_DATE_NODES} UNION ALL SELECT doc_id, 'keyword', token, NULL FROM salient)"""
+
+
+def _graph_sql(vectors_: str, nodes: str, base: float = 0.26, apart: float = 0.10, similar: float = 0.14) -> str:
+    """The edges over entities ent (doc_id, kind, value, weight)."""
+    named = "(SELECT doc_id, 'doc:' || source || ':' || doc_id AS id, source AS provider FROM documents)"
+    return f"""{pair_sql(vectors_)}, {nodes}, r AS {named},
+weak AS (SELECT *, coalesce(kind = 'tag' AND weight < 0.2, false) AS weak FROM ent JOIN r USING (doc_id)),
+mentions AS (SELECT id AS source, kind || ':' || value AS target, 'MENTIONS' AS relation, NULL::VARCHAR AS via, CASE WHEN weak THEN 0.1 WHEN kind = 'keyword' THEN 0.3 ELSE 0.35 END::DOUBLE AS confidence, 1 AS evidence_count, 1 AS independence_count, CASE WHEN weak THEN 'COLLECTION_CONTEXT_EDGE' ELSE 'WEAK_DISCOVERY_EDGE' END AS status, 1::BIGINT AS links FROM weak),
+own AS (SELECT kind || ':' || value AS via, provider, count(*) AS n, arg_min(id, doc_id) AS id, min(doc_id) AS first FROM weak WHERE NOT weak GROUP BY ALL),
+sums AS (SELECT via, sum(n) AS n, arg_min(id, first) AS id, coalesce(sum(n) FILTER (provider IS NOT NULL), 0) AS k, coalesce(sum(n * (n - 1)) FILTER (provider IS NOT NULL), 0) AS same FROM own GROUP BY via),
+parts AS (SELECT via, id, 0 AS ind, (n * (n - 1) - (k * (k - 1) - same)) // 2 AS links FROM sums UNION ALL SELECT via, id, 1, (k * (k - 1) - same) // 2 FROM sums),
+classes AS (SELECT id AS source, via AS target, 'SHARED_ENTITY' AS relation, via, round({base}::DOUBLE + {apart}::DOUBLE * ind, 6) AS confidence, 2 AS evidence_count, ind AS independence_count, 'WEAK_ASSOCIATION' AS status, links::BIGINT AS links FROM parts WHERE links > 0),
+top AS (SELECT a, b, similarity FROM pairs QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(similarity, 9) DESC, b DESC) <= 5),
+semantic AS (SELECT x.id AS source, y.id AS target, 'SEMANTIC_SIMILARITY' AS relation, NULL::VARCHAR AS via, round(least(0.49, {similar}::DOUBLE + 0.35::DOUBLE * similarity), 6) AS confidence, 0 AS evidence_count, 0 AS independence_count, 'SPECULATIVE_SEMANTIC_EDGE' AS status, 1::BIGINT AS links FROM top JOIN r x ON x.doc_id = a JOIN r y ON y.doc_id = b),
+graph AS (SELECT * FROM mentions UNION ALL SELECT * FROM classes UNION ALL SELECT * FROM semantic)"""
+
+
+_GRAPH = _graph_sql(_vectors(1, token_sql(WHOLE)), _V2_NODES.format(weight="weight"))
+
+
+@query(f"WITH {_GRAPH} SELECT * FROM graph")
 def weave_graph(spark, sf_dir):
     """Edges of the graph over documents: mentions, shared entities, similarity. Documents name no parent, so there is no lineage.
 
@@ -260,26 +294,25 @@ def weave_graph(spark, sf_dir):
     return _edges(spark, sf_dir)
 
 
-@query()
+@query(f"WITH {_graph_sql(_vectors(1, token_sql(WHOLE)), _V2_NODES.format(weight='NULL::DOUBLE'))} SELECT * FROM graph")
 def weave_graph_v2(spark, sf_dir):
     """As weave_graph, where every tag is informative."""
-    r = records(spark, sf_dir).select("id", "ord", "provider")
-    _, all_ = entities(spark, sf_dir)
-    all_ = all_.withColumn("weight", F.lit(None).cast("double"))
-    return _woven(G.mentions(all_), G.shared_classes(all_, r), G.semantic(_topical(r, vectors(spark, sf_dir))))
+    return _edges(spark, sf_dir, informative=True)
 
 
-@query()
+@query(f"WITH {_graph_sql(_vectors(2, token_sql(WHOLE, T.STOP_V1, keep_digits=True)), NODES_V1 + ', ent AS (SELECT *, NULL::DOUBLE AS weight FROM nodes)', 0.28, 0.12, 0.15)} SELECT * FROM graph")
 def weave_graph_v1(spark, sf_dir):
-    """Entities are topics, places, dates and tags; vectors keep numbers and leave out the first stop words only."""
+    """Entities are topics, places, dates and tags; vectors keep numbers, leave out the first stop words only and tokens of a single document."""
     r = records(spark, sf_dir)
     nodes = r.select("id", F.explode(T.entity_nodes(F.col("text"), F.array_compact("relation_tags"))).alias("n")).select("id", "n.kind", "n.value", F.lit(None).cast("double").alias("weight"))
-    counts = V.term_counts(r.select(F.col("ord").alias("id"), "text"), T.tokens(F.col("text"), T.STOP_V1, keep_digits=True))
+    whole = T.text_of(F.col("title"), F.col("text"), None, F.col("relation_tags"))
+    counts = V.term_counts(r.select(F.col("ord").alias("id"), whole.alias("whole")), T.tokens(F.col("whole"), T.STOP_V1, keep_digits=True))
     docs = r.select("id", "ord", "provider")
-    return _woven(G.mentions(nodes), G.shared_classes(nodes, docs, 0.28, 0.12), G.semantic(_topical(docs, V.tfidf(counts, n_docs(spark, sf_dir))), 0.15))
+    v = saver(spark)(V.tfidf(counts, n_docs(spark, sf_dir), min_df=2))
+    return _woven(G.mentions(nodes), G.shared_classes(nodes, docs, 0.28, 0.12), G.semantic(_topical(docs, v), 0.15))
 
 
-@query()
+@query(f"WITH {_GRAPH} SELECT relation, sum(links)::BIGINT AS edges, coalesce(sum(links) FILTER (confidence < 0.5), 0)::BIGINT AS weak, round(sum(confidence * links) / sum(links), 6) AS mean_confidence FROM graph GROUP BY relation")
 def graph_receipt(spark, sf_dir):
     return G.receipt(_edges(spark, sf_dir)).withColumn("mean_confidence", F.round("mean_confidence", 6))
 

@@ -99,10 +99,11 @@ def expand_metadata(rows: DataFrame) -> DataFrame:
     return item.select("r.id", "r.title", F.array_join(F.transform("r.creators", lambda c: c["heading"]), "; ").alias("agency"))
 
 
-def abstract_of(inverted: Column, most: int = 12_000) -> Column:
-    """A text from its inverted index (word to positions), in order of position, cut at most characters."""
+def abstract_of(inverted: Column, most: int | None = None) -> Column:
+    """A text from its inverted index (word to positions), in order of position; with most it is cut at so many characters."""
     pairs = F.flatten(F.transform(F.map_entries(inverted), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    return F.substring(F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " "), 1, most)
+    whole = F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " ")
+    return whole if most is None else F.substring(whole, 1, most)
 
 
 def fits_cards(files: DataFrame) -> DataFrame:
@@ -133,15 +134,16 @@ def _literature(provider: str, doi: Column, other: Column, title: Column, text:
     return [F.lit(provider).alias("provider"), F.coalesce(doi, other).alias("archive_id"), doi.alias("doi"), F.coalesce(title, F.lit("")).alias("title"), F.coalesce(text, F.lit("")).alias("text"), url.alias("source_url"), *marks]
 
 
-def crossref_records(items: DataFrame) -> DataFrame:
-    """Literature records from items (DOI, URL, title array<string>, abstract); the first title counts, abstracts end at 12,000 characters."""
+def crossref_records(items: DataFrame, kept: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
+    """Literature records from items (DOI, URL, title array<string>, abstract), with the items' columns kept; the first title counts. With most abstracts end at so many characters."""
     doi = normalize_doi(F.col("DOI"))
     url = F.coalesce(F.nullif("URL", F.lit("")), F.concat(F.lit("https://doi.org/"), doi), F.lit(""))
-    return items.select(*_literature("CROSSREF", doi, F.col("URL"), F.get("title", F.lit(0)), F.substring("abstract", 1, 12_000), url))
+    text = F.col("abstract") if most is None else F.substring("abstract", 1, most)
+    return items.select(*kept, *_literature("CROSSREF", doi, F.col("URL"), F.get("title", F.lit(0)), text, url))
 
 
-def openalex_records(items: DataFrame) -> DataFrame:
-    """Literature records from items (id, doi, title, abstract_inverted_index map<string,array<int>>)."""
+def openalex_records(items: DataFrame, kept: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
+    """Literature records from items (id, doi, title, abstract_inverted_index map<string,array<int>>), with the items' columns kept. With most abstracts end at so many characters."""
     doi = normalize_doi(F.col("doi"))
     url = F.coalesce(F.nullif("doi", F.lit("")), F.nullif("id", F.lit("")), F.lit(""))
-    return items.select(*_literature("OPENALEX", doi, F.col("id"), F.col("title"), abstract_of(F.col("abstract_inverted_index")), url))
+    return items.select(*kept, *_literature("OPENALEX", doi, F.col("id"), F.col("title"), abstract_of(F.col("abstract_inverted_index"), most), url))
