@@ -244,13 +244,13 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     got = [(r.weight, r.fresh, r.passes) for r in spark.sql("select * from weights order by passes").collect()]
-    assert got == [(0.53, True, 1), (0.5786, False, 2)]
+    assert got == [(0.53, True, 1), (0.5786, False, 2)]  # the malformed line is dropped
     corpus = str(tmp_path / "corpus")
     for n in range(2):
-        q = passes.search_stream(passes.read_stream(spark, str(folder), schema), all_of=("a",), field="edge_key").writeStream.foreachBatch(passes.merge_into(corpus, "signature")).option("checkpointLocation", str(tmp_path / f"m{n}")).start()
+        q = passes.search_stream(passes.read_stream(spark, str(folder), schema), all_of=("a",), field="edge_key").writeStream.foreachBatch(passes.merge_into(corpus, "signature", f"s{n}")).option("checkpointLocation", str(tmp_path / f"m{n}")).start()
         q.processAllAvailable()
         q.stop()
-    assert spark.read.parquet(corpus).count() == 1
+    assert passes.read_corpus(spark, corpus).count() == 1
 
 
 def test_places_and_pairs(spark):
