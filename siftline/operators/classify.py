@@ -12,22 +12,30 @@ from pyspark.sql import functions as F
 from siftline.operators.features import group_folds, guard_names
 
 
+def guard_report(rows: DataFrame, label: str, group: str, folds: int, tier: str | None = None, witnesses: str | None = None, families: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, guard, n, failed): what stands against training on rows, for each cohort (by) apart.
+
+    TOO_FEW_ROWS: under 20. TOO_FEW_GROUPS: under twice the folds. TIER_C_ONLY: no
+    label of another tier. WITNESS_OVERLAP: labels made by a family that is a
+    predictor's too. THIN_FOLDS: folds without both classes. n is the count that
+    each guard looks at. rows have a fold.
+    """
+    better = F.count_if(F.coalesce(F.col(tier), F.lit("")) != "C") if tier else F.count(F.lit(1))
+    clash = F.count_if(F.arrays_overlap(witnesses, F.array(*[F.lit(f) for f in families]))) if witnesses and families else F.lit(0).cast("long")
+    sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), F.countDistinct(group).alias("_groups"), better.alias("_better"), clash.alias("_clash"))
+    thin = rows.groupBy(*by, "fold").agg(F.countDistinct(label).alias("_k")).groupBy(*by).agg(F.count_if(F.col("_k") < 2).alias("_thin"))
+    both = sums.join(thin, list(by)) if by else sums.crossJoin(thin)  # one row each
+    one = lambda guard, n, failed: F.struct(F.lit(guard).alias("guard"), F.col(n).alias("n"), failed.alias("failed"))
+    c = F.col
+    each = F.array(one("TOO_FEW_ROWS", "_rows", c("_rows") < 20), one("TOO_FEW_GROUPS", "_groups", c("_groups") < 2 * folds), one("TIER_C_ONLY", "_better", c("_better") == 0), one("WITNESS_OVERLAP", "_clash", c("_clash") > 0), one("THIN_FOLDS", "_thin", c("_thin") > 0))
+    return both.select(*by, F.inline(each))
+
+
 def check_training(rows: DataFrame, label: str, group: str, folds: int, tier: str | None = None, witnesses: str | None = None, families: tuple[str, ...] = ()) -> None:
-    """Raises ValueError unless there are 20 rows, twice as many groups as folds, both classes in every fold, not Tier C alone, and no witness among the predictors' families. rows have a fold."""
-    sums = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(group).alias("groups"), *([F.count_if(F.col(tier) != "C").alias("better")] if tier else [])).first()
-    if sums["n"] < 20:
-        raise ValueError(f"{sums['n']} rows are too few to train on")
-    if sums["groups"] < 2 * folds:
-        raise ValueError(f"{sums['groups']} groups are too few for {folds} folds")
-    if tier and not sums["better"]:
-        raise ValueError("labels of tier C alone can't train a model")
-    thin = [r["fold"] for r in rows.groupBy("fold").agg(F.countDistinct(label).alias("k")).filter("k < 2").collect()]
-    if thin:
-        raise ValueError(f"folds without both classes: {sorted(thin)}")
-    if witnesses and families:
-        clash = rows.filter(F.arrays_overlap(witnesses, F.array(*[F.lit(f) for f in families]))).limit(1).count()
-        if clash:
-            raise ValueError("labels were witnessed by families that are predictors")
+    """Raises ValueError where a guard of guard_report() fails; five rows come to the driver."""
+    failed = [f"{r['guard']} ({r['n']})" for r in guard_report(rows, label, group, folds, tier, witnesses, families).filter("failed").collect()]
+    if failed:
+        raise ValueError("training is refused: " + ", ".join(failed))
 
 
 def models(seed: int = 7) -> dict:
@@ -57,14 +65,15 @@ def prepared(rows: DataFrame, features: list[str]) -> DataFrame:
     return rows.withColumns({f: F.col(f).cast("double") for f in features}).withColumns({f"{f}_missing": F.col(f).isNull().cast("double") for f in features})
 
 
-def train_oof(rows: DataFrame, features: list[str], group: str, folds: int = 3, names: tuple[str, ...] | None = None, seed: int = 7) -> DataFrame:
+def train_oof(rows: DataFrame, features: list[str], group: str, folds: int = 3, names: tuple[str, ...] | None = None, seed: int = 7, tier: str | None = None, witnesses: str | None = None, families: tuple[str, ...] = ()) -> DataFrame:
     """(id, label, fold, scores by model, score): every row is scored once, by models that saw no row of its group.
 
-    rows: (id, label, group, features). Classes weigh alike.
+    rows: (id, label, group, features, and the columns tier and witnesses where
+    given). Classes weigh alike. Guards run first; families are the predictors'.
     """
     data = group_folds(prepared(rows, features), group, folds).withColumn("label", F.col("label").cast("double")).persist()
     try:
-        check_training(data, "label", group, folds)
+        check_training(data, "label", group, folds, tier, witnesses, families)
         n = {r["label"]: r["count"] for r in data.groupBy("label").count().collect()}
         total = sum(n.values())
         data_w = data.withColumn("weight", F.when(F.col("label") == 1.0, total / (2 * n[1.0])).otherwise(total / (2 * n[0.0])))

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions.hashing import stream_digest
+
+
 def classify_domain(path: Column, prefixes: list[tuple[str, str]], other: str = "OTHER") -> Column:
     """The domain of the first prefix that a path begins with."""
     out = F.lit(other)
@@ -72,3 +75,25 @@ def pack(nodes: DataFrame, context: DataFrame, attention: DataFrame) -> DataFram
     """Nodes with their facets and attention; a node without either stays. nodes (id, ...), context (subject, facet, status), attention (node, score)."""
     facets = context.groupBy(F.col("subject").alias("id")).agg(F.array_sort(F.collect_list(F.struct("facet", "status"))).alias("facets"))
     return nodes.join(facets, "id", "left").join(attention.select(F.col("node").alias("id"), "score"), "id", "left")
+
+
+def assimilate(files: DataFrame, prefixes: list[tuple[str, str]], roles: dict[str, str], lexicon: dict[str, int], negative: str, least: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A tree's files as (index, queue, receipt). files: (path, text), one for each path.
+
+    index: path, domain, roles, score, negative (whether the text has what the
+    pattern negative finds) and json (whether a .json file parses, null for
+    others). queue: the files that score at least least, best first. receipt: one row
+    of counts, the status and order-free digests of both. A null text counts as
+    empty, and isn't JSON; no files give an empty index and FAIL_EMPTY_SCAN.
+    """
+    text = F.coalesce("text", F.lit(""))
+    parses = F.when(F.lower("path").endswith(".json"), F.get_json_object(text, "$").isNotNull())
+    index = files.select("path", classify_domain(F.col("path"), prefixes).alias("domain"), roles_for(F.col("path"), text, roles).alias("roles"), lexicon_score(text, lexicon).alias("score"), text.rlike(negative).alias("negative"), parses.alias("json"))
+    line = F.concat_ws("|", "path", "domain", F.array_join("roles", ","), F.col("score").cast("string"))
+    signed = index.withColumn("sha", F.sha2(line, 256))
+    queue = routing_queue(index, least)
+    counts = index.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("score") >= least).alias("candidates"), F.count_if("negative").alias("negative"), F.count_if(~F.col("json")).alias("json_errors"))
+    status = F.when(F.col("files") == 0, "FAIL_EMPTY_SCAN").when(F.col("json_errors") > 0, "PASS_WITH_JSON_PARSE_WARNINGS").otherwise("PASS")
+    digest = lambda rows, name: stream_digest(rows, "sha").select(F.col("digest").alias(name))
+    receipt = counts.withColumn("status", status).crossJoin(digest(signed, "index_sha256")).crossJoin(digest(signed.filter(F.col("score") >= least), "queue_sha256"))  # one row each
+    return index, queue, receipt

@@ -247,6 +247,13 @@ def concept_coverage(spark, sf_dir):
     return B.concept_coverage(files, {"licence": "(?i)license", "abuse": "idiot|moron"})[0]
 
 
+@query("SELECT source AS repo, c AS concept, doc_id AS path, row_number() OVER (PARTITION BY source, c ORDER BY doc_id) AS rank FROM documents JOIN (VALUES ('licence', '(?i)license'), ('abuse', 'idiot|moron')) AS v(c, p) ON regexp_matches(text, p) QUALIFY rank <= 20")
+def concept_audit(spark, sf_dir):
+    """The evidence behind concept_coverage: up to twenty files for each concept and repository, its report's length."""
+    files = table(spark, sf_dir, "documents").select(F.col("source").alias("repo"), F.col("doc_id").alias("path"), "text")
+    return B.concept_coverage(files, {"licence": "(?i)license", "abuse": "idiot|moron"})[1].select("repo", "concept", "path", "rank")
+
+
 # context
 
 #: Values of every field of a document. Digits and clock times are taken as whole runs, which is what the patterns' look-arounds ask for.

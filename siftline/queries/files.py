@@ -91,3 +91,21 @@ def harmonize(spark, sf_dir):
     late = F.when((F.col("event_type") == "signup") & (F.dayofmonth("date") % 3 == 0), "-late").otherwise("")
     by_day = rows.groupBy(F.concat("event_type", late).alias("cohort"), F.datediff("date", F.lit(d0)).alias("day")).agg(F.count(F.lit(1)).cast("double").alias("opportunity"), F.sum("score").alias("weighted"))
     return _rounded(X.harmonized(by_day, X.exposed_days(events, 0, n), ["weighted"], "opportunity"))
+
+
+_PARSED = "CASE WHEN path LIKE '%.json' THEN json_valid(text) END"
+
+
+@query(f"""WITH f AS (SELECT source || '/' || doc_id || CASE WHEN doc_id % 10 = 0 THEN '.json' ELSE '.txt' END AS path, CASE WHEN doc_id % 20 = 0 THEN '{{{{"doc_id":' || doc_id || '}}}}' ELSE coalesce(text, '') END AS text FROM documents),
+d AS (SELECT *, CASE WHEN starts_with(path, 'src1') THEN 'ALPHA' WHEN starts_with(path, 'src2') THEN 'BETA' ELSE 'OTHER' END AS domain, CASE WHEN regexp_matches(path || chr(10) || text, '(?i)license') THEN ['LICENCE'] ELSE [] END || CASE WHEN regexp_matches(path || chr(10) || text, 'idiot|moron') THEN ['ABUSE'] ELSE [] END || CASE WHEN regexp_matches(path || chr(10) || text, '[0-9]{{3}}') THEN ['NUMBERS'] ELSE [] END AS roles, {_SC} AS score FROM f),
+s AS (SELECT *, sha256(path || '|' || domain || '|' || array_to_string(roles, ',') || '|' || score) AS sha FROM d),
+i AS (SELECT sha256(string_agg(h, '' ORDER BY b)) AS h FROM (SELECT sha[:2] AS b, sha256(string_agg(sha, '' ORDER BY sha)) AS h FROM s GROUP BY b)),
+q AS (SELECT sha256(string_agg(h, '' ORDER BY b)) AS h FROM (SELECT sha[:2] AS b, sha256(string_agg(sha, '' ORDER BY sha)) AS h FROM s WHERE score >= 5 GROUP BY b))
+SELECT count(*) AS files, count(*) FILTER (score >= 5) AS candidates, count(*) FILTER (regexp_matches(text, '(?i)not |no ')) AS negative, count(*) FILTER (NOT ({_PARSED})) AS json_errors,
+CASE WHEN count(*) FILTER (NOT ({_PARSED})) > 0 THEN 'PASS_WITH_JSON_PARSE_WARNINGS' ELSE 'PASS' END AS status, (SELECT h FROM i) AS index_sha256, (SELECT h FROM q) AS queue_sha256 FROM s""".replace("{{", "{").replace("}}", "}"))
+def assimilate_tree(spark, sf_dir):
+    """The receipt of documents as a tree of files; each twentieth is JSON, and as many only say so."""
+    name = F.concat(F.concat_ws("/", "source", "doc_id"), F.when(F.col("doc_id") % 10 == 0, ".json").otherwise(".txt"))
+    text = F.when(F.col("doc_id") % 20 == 0, F.to_json(F.struct("doc_id"))).otherwise(F.coalesce("text", F.lit("")))
+    files_ = table(spark, sf_dir, "documents").select(name.alias("path"), text.alias("text"))
+    return O.assimilate(files_, _PREFIX, _ROLES, _LEXICON, "(?i)not |no ")[2]

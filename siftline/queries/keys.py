@@ -135,3 +135,26 @@ def normalize_openalex(spark, sf_dir):
     index = flat.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("abstract_inverted_index"))
     items = rows.drop("w").join(index, "doc_id", "left")
     return web.openalex_records(items, kept=("doc_id",)).select("doc_id", "archive_id", "doi", "title", "text", "source_url")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(' ' || array_to_string(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9]+'), ' ') || ' ', ' licensed under the ')")
+def phrase_filter(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter(T.phrase_hit(T.normalized(F.col("text")), F.lit("licensed under the"))).select("doc_id")
+
+
+@query("SELECT o_orderkey, o_custkey AS customer, o_orderstatus AS mark, NULL::VARCHAR AS nothing FROM orders")
+def resolve_path(spark, sf_dir):
+    """Parts of nested records by their dotted paths; one leads beyond an array's end."""
+    record = F.struct(F.struct("o_custkey").alias("customer"), F.array(F.lit("first"), F.col("o_orderstatus")).alias("marks"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", record.alias("r"))
+    at = lambda path, name: T.resolve_path(F.col("r"), path).alias(name)
+    return rows.select("o_orderkey", at("customer.o_custkey", "customer"), at("marks.1", "mark"), at("marks.7", "nothing"))
+
+
+@query("SELECT l_orderkey || '-' || l_linenumber AS id, l_returnflag AS title, 'supplier ' || l_suppkey || '; part ' || l_partkey AS agency FROM lineitem")
+def expand_metadata(spark, sf_dir):
+    """Orders as metadata documents of their lines (seven at most), each with two creators."""
+    heading = lambda kind, c: F.struct(F.concat_ws(" ", F.lit(kind), F.col(c).cast("string")).alias("heading"))
+    item = F.struct(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_returnflag").alias("title"), F.array(heading("supplier", "l_suppkey"), heading("part", "l_partkey")).alias("creators"))
+    docs = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(item).alias("records"))
+    return web.expand_metadata(docs)
