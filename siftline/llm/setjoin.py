@@ -48,7 +48,7 @@ SLOTS = 1 << 19
 #: K-grams and sets that a task holds, about (a single larger set is a task with its partner).
 TASK_GRAMS, TASK_SETS = 1 << 20, 256
 #: Bytes of Arrow data after which a batch of sets is handed over.
-BATCH_BYTES = 64 << 20
+BATCH_BYTES = 16 << 20
 #: Index entries that are worked on at once.
 ENTRIES = 1 << 18
 _U = np.uint64
