@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftline.functions.text import normalize_doi
+
 
 def _best(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     w = W.partitionBy(*keys).orderBy(*order)
@@ -28,18 +30,24 @@ def merge_records(prior: DataFrame, current: DataFrame, key: str, ordinal: str)
     return _best(both, [key], F.col("_b").desc(), F.col(ordinal).desc()).drop("_b")
 
 
+def publication_key(doi: Column, title: Column, first_author: Column, ident: Column) -> Column:
+    """The normalised DOI, else normalised title and first author, else the id."""
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), "[^a-z0-9]+", " "))
+    by_title = F.when((plain != "") & first_author.isNotNull(), F.concat(F.lit("title:"), plain, F.lit("|"), F.lower(first_author)))
+    return F.coalesce(F.concat(F.lit("doi:"), normalize_doi(doi)), by_title, F.concat(F.lit("id:"), ident.cast("string")))
+
+
 def dedupe_publications(rows: DataFrame) -> DataFrame:
     """One row per publication: rows (id, doi, title, first_author, score, updated, families).
 
-    The key is the DOI, else normalised title and first author, else the id. The
-    row of the highest (score, updated, id) stands for all; families are merged
-    and the highest score is kept, so copies earn credit once.
+    The row of the highest (score, updated, id) of a publication_key() stands for
+    all; families are merged and the highest score is kept, so copies earn credit
+    once. A publication's families are distinct before they meet.
     """
-    title = F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), "[^a-z0-9]+", " ")
-    by_title = F.when((F.trim(title) != "") & F.col("first_author").isNotNull(), F.concat(F.lit("title:"), F.trim(title), F.lit("|"), F.lower("first_author")))
-    key = F.coalesce(F.when(F.trim("doi") != "", F.concat(F.lit("doi:"), F.lower(F.trim("doi")))), by_title, F.concat(F.lit("id:"), F.col("id").cast("string")))
-    g = rows.withColumn("key", key).groupBy("key")
-    return g.agg(F.max_by("id", F.struct("score", "updated", "id")).alias("id"), F.max("score").alias("score"), F.count(F.lit(1)).alias("versions"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("families")))).alias("families"))
+    keyed = rows.withColumn("key", publication_key(F.col("doi"), F.col("title"), F.col("first_author"), F.col("id")))
+    best = keyed.groupBy("key").agg(F.max_by("id", F.struct("score", "updated", "id")).alias("id"), F.max("score").alias("score"), F.count(F.lit(1)).alias("versions"))
+    named = keyed.select("key", F.explode("families").alias("family")).groupBy("key").agg(F.array_sort(F.collect_set("family")).alias("families"))
+    return best.join(named, "key", "left").withColumn("families", F.coalesce("families", F.array().cast("array<string>")))
 
 
 def lineage_edges(records: DataFrame) -> DataFrame:

@@ -22,42 +22,70 @@ tag AS (SELECT doc_id, tag, weight FROM tg JOIN tw USING (tag)), tt AS (SELECT d
 _DATES = f"dt AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '(^|[^0-9A-Za-z_])((18|19|20)[0-9][0-9](-[0-9][0-9]-[0-9][0-9])?)($|[^0-9A-Za-z_])', 2)) AS date FROM documents), dn AS (SELECT doc_id, count(*) AS n FROM dt GROUP BY doc_id)"
 #: Seeds are the documents whose id is divisible by this; all others are candidates.
 SEED = 50
-_SCORED = f"""{_vectors(1)}, {_TAGW}, {_DATES},
-sem AS (SELECT x.doc_id AS c, y.doc_id AS s, sum(x.weight * y.weight) AS sem FROM vectors x JOIN vectors y ON y.token = x.token AND y.doc_id % {SEED} = 0 AND x.doc_id % {SEED} != 0 GROUP BY ALL),
-tgs AS (SELECT x.doc_id AS c, y.doc_id AS s, sum(x.weight) AS shared, max(x.weight) AS most FROM tag x JOIN tag y ON y.tag = x.tag AND y.doc_id % {SEED} = 0 AND x.doc_id % {SEED} != 0 GROUP BY ALL),
-dts AS (SELECT x.doc_id AS c, y.doc_id AS s, count(*) AS n FROM dt x JOIN dt y ON y.date = x.date AND y.doc_id % {SEED} = 0 AND x.doc_id % {SEED} != 0 GROUP BY ALL),
-ks AS (SELECT c, s FROM sem UNION SELECT c, s FROM tgs UNION SELECT c, s FROM dts),
-sc AS (SELECT ks.c, ks.s, coalesce(sem, 0) AS sem, coalesce(CASE WHEN shared > 0 THEN shared / (a.total + b.total - shared) * least(1, shared / 1.5) END, 0) AS tag, coalesce(most >= 0.2, false) AS inf, coalesce(dts.n / (da.n + db.n - dts.n), 0) AS date, (ca.source != cb.source)::INT AS apart
-FROM ks LEFT JOIN sem ON sem.c = ks.c AND sem.s = ks.s LEFT JOIN tgs ON tgs.c = ks.c AND tgs.s = ks.s LEFT JOIN dts ON dts.c = ks.c AND dts.s = ks.s JOIN tt a ON a.doc_id = ks.c JOIN tt b ON b.doc_id = ks.s LEFT JOIN dn da ON da.doc_id = ks.c LEFT JOIN dn db ON db.doc_id = ks.s JOIN documents ca ON ca.doc_id = ks.c JOIN documents cb ON cb.doc_id = ks.s),
-fs AS (SELECT *, least(0.99::DOUBLE, 0.72 * sem + 0.16 * tag + 0.07 * date + 0.05 * apart) AS score, (tag > 0 AND inf) OR date > 0 AS structural FROM sc),
-bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY round(score, 12) DESC, s) AS r FROM fs) WHERE r = 1)"""
+#: Candidates so far behind a seed name it as their parent.
+LINKED = 7
+
+
+def _score_sql(n: int, cand: str, seed: str) -> str:
+    """CTEs up to fs{n}: scores of the pairs of a candidate and a seed, conditions on their {d}.doc_id, that share anything."""
+    both = f"{cand.format(d='x')} AND {seed.format(d='y')}"
+    return f"""sem{n} AS (SELECT x.doc_id AS c, y.doc_id AS s, sum(x.weight * y.weight) AS sem FROM vectors x JOIN vectors y ON y.token = x.token AND {both} GROUP BY ALL),
+tgs{n} AS (SELECT x.doc_id AS c, y.doc_id AS s, sum(x.weight) AS shared, max(x.weight) AS most FROM tag x JOIN tag y ON y.tag = x.tag AND {both} GROUP BY ALL),
+dts{n} AS (SELECT x.doc_id AS c, y.doc_id AS s, count(*) AS n FROM dt x JOIN dt y ON y.date = x.date AND {both} GROUP BY ALL),
+lk{n} AS (SELECT x.doc_id AS c, y.doc_id AS s FROM documents x JOIN documents y ON y.doc_id = x.doc_id - {LINKED} AND x.doc_id % {SEED} = {LINKED} AND {both}),
+ks{n} AS (SELECT c, s FROM sem{n} UNION SELECT c, s FROM tgs{n} UNION SELECT c, s FROM dts{n} UNION SELECT c, s FROM lk{n}),
+sc{n} AS (SELECT ks.c, ks.s, coalesce(sem, 0) AS sem, coalesce(CASE WHEN shared > 0 THEN shared / (a.total + b.total - shared) * least(1, shared / 1.5) END, 0) AS tag, coalesce(most >= 0.2, false) AS inf, coalesce(d.n / (da.n + db.n - d.n), 0) AS date, (ca.source != cb.source)::INT AS apart, lk.c IS NOT NULL AS explicit
+FROM ks{n} ks LEFT JOIN sem{n} e ON e.c = ks.c AND e.s = ks.s LEFT JOIN tgs{n} g ON g.c = ks.c AND g.s = ks.s LEFT JOIN dts{n} d ON d.c = ks.c AND d.s = ks.s JOIN tt a ON a.doc_id = ks.c JOIN tt b ON b.doc_id = ks.s LEFT JOIN dn da ON da.doc_id = ks.c LEFT JOIN dn db ON db.doc_id = ks.s JOIN documents ca ON ca.doc_id = ks.c JOIN documents cb ON cb.doc_id = ks.s LEFT JOIN lk{n} lk ON lk.c = ks.c AND lk.s = ks.s),
+fs{n} AS (SELECT *, {n} AS round, CASE WHEN explicit THEN 1::DOUBLE ELSE least(0.99::DOUBLE, 0.72 * sem + 0.16 * tag + 0.07 * date + 0.05 * apart) END AS score, explicit OR (tag > 0 AND inf) OR date > 0 AS structural FROM sc{n})"""
+
+
+def _got_sql(n: int) -> str:
+    """got{n} from bs{n}: what a round pulls."""
+    return f"got{n} AS (SELECT * FROM bs{n} WHERE explicit OR (score >= 0.24 AND (structural OR sem >= 0.42)) ORDER BY round(score, 9) DESC, round(sem, 9) DESC, c LIMIT 100)"
+
+
+_BEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY round(score, 12) DESC, round, s) AS r FROM {rows}) WHERE r = 1"
+_OPEN = "{d}.doc_id % " + f"{SEED} != 0"
+_SCORED = f"""{_vectors(1)}, {_TAGW}, {_DATES}, {_score_sql(1, _OPEN, "{d}.doc_id % " + f"{SEED} = 0")}, bs1 AS ({_BEST.format(rows="fs1")}), {_got_sql(1)}"""
+_PULLED = f"""{_SCORED}, {_score_sql(2, _OPEN + " AND {d}.doc_id NOT IN (SELECT c FROM got1)", "{d}.doc_id IN (SELECT c FROM got1)")},
+left2 AS (SELECT * EXCLUDE (r) FROM bs1 WHERE c NOT IN (SELECT c FROM got1) UNION ALL SELECT * FROM fs2), bs2 AS ({_BEST.format(rows="left2")}), {_got_sql(2)}"""
 
 
 def _parts(spark, sf_dir):
-    r = records(spark, sf_dir).withColumn("id", F.col("ord")).withColumn("parent_url", F.lit(None).cast("string"))
+    url = lambda c: F.concat(F.lit("https://docs.example.org/"), c.cast("string"))
+    parent = F.when(F.col("ord") % SEED == LINKED, url(F.col("ord") - LINKED))
+    r = records(spark, sf_dir).withColumns({"id": F.col("ord"), "source_url": url(F.col("ord")), "parent_url": parent})
     tags = V.tag_rows(r)
     weights = V.tag_idf(tags, n_docs(spark, sf_dir), "capped").select("tag", "weight")
-    own = tags.select("id", "tag").join(F.broadcast(weights), "tag").select("id", "tag", "weight")
+    own = tags.select("id", "tag").join(weights, "tag").select("id", "tag", "weight")
     dates = r.select("id", F.explode(T.dates(F.col("text"))).alias("date"))
     seeds, candidates = r.filter(F.col("id") % SEED == 0), r.filter(F.col("id") % SEED != 0)
     return seeds, candidates, vectors(spark, sf_dir), own, dates
 
 
-@query(f"WITH {_SCORED} SELECT c AS candidate, s AS seed, round(score, 5) AS score FROM bs")
+@query("SELECT doc_id AS candidate, doc_id - 7 AS seed FROM documents WHERE doc_id % 50 = 7 AND doc_id - 7 IN (SELECT doc_id FROM documents)")
+def explicit_link_join(spark, sf_dir):
+    """Candidates that name a seed as their parent."""
+    seeds, cands, *_ = _parts(spark, sf_dir)
+    return P.explicit_links(cands, seeds).select(F.col("cid").alias("candidate"), F.col("sid").alias("seed"))
+
+
+@query(f"WITH {_SCORED} SELECT c AS candidate, s AS seed, round(score, 5) AS score FROM bs1")
 def best_seed_join(spark, sf_dir):
     seeds, cands, v, tags, dates = _parts(spark, sf_dir)
     best = P.best_seed(P.score_pairs(cands, seeds, v, tags, dates, P.explicit_links(cands, seeds)))
     return best.select(F.col("cid").alias("candidate"), F.col("sid").alias("seed"), F.round("score", 5).alias("score"))
 
 
-@query(f"WITH {_SCORED} SELECT c AS candidate, s AS seed, round(score, 5) AS score FROM bs WHERE score >= 0.24 AND (structural OR sem >= 0.42) ORDER BY round(score, 9) DESC, round(sem, 9) DESC, c LIMIT 100")
+@query(f"WITH {_SCORED} SELECT c AS candidate, s AS seed, round(score, 5) AS score FROM got1")
 def ranked_pull(spark, sf_dir):
     seeds, cands, v, tags, dates = _parts(spark, sf_dir)
     best = P.best_seed(P.score_pairs(cands, seeds, v, tags, dates, P.explicit_links(cands, seeds)))
     return P.ranked_pull(best, 0.24, 0.42, 100).select(F.col("cid").alias("candidate"), F.col("sid").alias("seed"), F.round("score", 5).alias("score"))
 
 
-@query()
+@query(f"""WITH {_PULLED}, pulled AS (SELECT *, 1 AS pulled FROM got1 UNION ALL SELECT *, 2 FROM got2)
+SELECT c AS id, pulled AS round, s AS connected_to, round(score, 6) AS score, round(sem, 6) AS sem, round(tag, 6) AS tag, CASE WHEN structural THEN 'CONNECTED_PULL' ELSE 'SPECULATIVE_SEMANTIC_PULL' END AS status FROM pulled""")
 def selective_pull(spark, sf_dir):
     seeds, cands, v, tags, dates = _parts(spark, sf_dir)
     return P.selective_pull(seeds, cands, v, tags, dates, saver(spark), rounds=2)
