@@ -10,7 +10,7 @@
 3. Index lists of up to list_size entries are sorted by the k-gram's position in
    the sets and cut into blocks. A pair of blocks is skipped when its sizes and
    positions leave no pair that can reach t; pairs of what is left are counted,
-   and those that meet SHARED times, longer lists that both may be in included, are
+   and those that meet SHARED times, long lists that both may be in included, are
    candidates. Candidates with one smallest neighbour make a group.
 4. Longer lists aren't paired up, nor gathered anywhere. A pair that meets in no short
    list shares all it needs in long ones, so only sets with SHARED k-grams in long
@@ -35,7 +35,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import discard, fresh, hot_join, maybe_among, row_key, slices, sorted_groups, stored, table
@@ -141,16 +141,16 @@ def _can_reach(t: Fraction, s1, s2, p1, p2, low1, low2, lp1, lp2):
 
 
 def _list_pairs(t: Fraction):
-    """(a, b, na, nb, more): pairs of sets that meet in an index list, with their sizes and how many long lists they can share."""
+    """(a, b, na, nb): pairs of sets that meet in an index list, with their sizes."""
 
     def run(batches):
-        for gram, nid, size, pos, wide, sig in _list_runs(batches):
+        for gram, nid, size, pos in _list_runs(batches):
             cut = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1], [True]]))
             length = np.diff(cut)
             out: list[tuple] = []
             for g in np.unique(length[length > 1]):
                 rows = cut[:-1][length == g][:, None] + np.arange(g)
-                n, s, p, w, h = nid[rows], size[rows], pos[rows], wide[rows], sig[rows]
+                n, s, p = nid[rows], size[rows], pos[rows]
                 edge = np.arange(0, g, BLOCK)
                 stop = np.append(edge[1:], g)
                 hs, ls = np.maximum.reduceat(s, edge, axis=1), np.minimum.reduceat(s, edge, axis=1)
@@ -166,11 +166,10 @@ def _list_pairs(t: Fraction):
                         ok = _can_reach(t, s[i], s[j], p[i], p[j], s[i], s[j], p[i], p[j])
                         a, b, na, nb = n[i][ok], n[j][ok], s[i][ok], s[j][ok]
                         swap = a > b
-                        more = np.where(h[i][ok] & h[j][ok], np.minimum(w[i][ok], w[j][ok]), 0)
-                        out.append((np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb), more))
+                        out.append((np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb)))
             if out:
-                a, b, na, nb, more = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "na": pa.array(na, pa.int32()), "nb": pa.array(nb, pa.int32()), "more": pa.array(more, pa.int32())})
+                a, b, na, nb = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "na": pa.array(na, pa.int32()), "nb": pa.array(nb, pa.int32())})
 
     return run
 
@@ -196,7 +195,7 @@ def _list_runs(batches):
 
 def _arrays(held):
     t = pa.Table.from_batches(held)
-    return tuple(t[c].to_numpy() for c in ("gram", "nid", "n", "pos", "wide", "sig"))
+    return tuple(t[c].to_numpy() for c in ("gram", "nid", "n", "pos"))
 
 
 class Family:
@@ -301,6 +300,11 @@ def _dealt(rows: DataFrame, group: str, bound: tuple[int, int]) -> DataFrame:
     return hot_join(rows, size, [group], "m").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int")).drop("blocks")
 
 
+def _maybe_long(list_size: int) -> Column:
+    """The k-grams of a set's prefix whose lists may be long, with how often they occur."""
+    return F.filter(F.arrays_zip("prefix", "often"), lambda e: e["often"] > list_size)
+
+
 class Links:
     """signed: a row for each document; sets: a row for each distinct set; found: links that connect all that are linked."""
 
@@ -319,7 +323,7 @@ class Links:
 
         lists, long_ = self._index(list_size)
         members = stored(self._families(long_), "members")
-        pairs = stored(self._candidates(lists), "pairs")
+        pairs = stored(self._candidates(lists, list_size), "pairs")
         tasks = stored(self._groups(pairs).unionByName(self._stars(members)), "tasks")
         grams = self._grams(rows, tasks)
         found = self._joined(tasks, grams, "links")
@@ -343,29 +347,32 @@ class Links:
         """(entries of lists of at most list_size, entries of longer lists); lists of one entry are left out."""
         t = self.t
         least = -(-t.numerator // (t.denominator - t.numerator)) if t < 1 else 1 << 31
-        # k-grams that may be in long lists: how many a set has, and a bit for each
-        may = F.filter(F.arrays_zip("prefix", "often"), lambda e: e["often"] > list_size)
-        bit = lambda e: F.call_function("shiftleft", F.lit(1).cast("long"), e["prefix"].bitwiseAND(F.lit(63)).cast("int"))
-        sets = self.sets.filter(F.col("n") >= least).select("nid", "n", "prefix", "often", F.size(may).alias("wide"), F.aggregate(may, F.lit(0).cast("long"), lambda x, e: x.bitwiseOR(bit(e))).alias("sig"))
-        entries = sets.select("nid", "n", "wide", "sig", F.posexplode(F.arrays_zip("prefix", "often")).alias("pos", "e")).select("nid", "n", "wide", "sig", "pos", F.col("e.prefix").alias("gram"), F.col("e.often").alias("often")).filter("often > 1")
+        wide = F.size(_maybe_long(list_size))
+        entries = self.sets.filter(F.col("n") >= least).select("nid", "n", wide.alias("wide"), F.posexplode(F.arrays_zip("prefix", "often")).alias("pos", "e")).select("nid", "n", "wide", "pos", F.col("e.prefix").alias("gram"), F.col("e.often").alias("often")).filter("often > 1")
         many = entries.filter(F.col("often") > list_size).drop("often")
         sizes = stored(many.groupBy("gram").agg(F.count(F.lit(1)).alias("length")).filter("length > 1").withColumn("m", F.col("length")), "lengths")
         many = stored(hot_join(many, sizes, ["gram"], "m").filter("length > 1"), "lists")
         self.spent = [sizes, many]
-        short = entries.filter(F.col("often") <= list_size).drop("often").unionByName(many.filter(F.col("length") <= list_size).drop("length"))
+        short = entries.filter(F.col("often") <= list_size).drop("often", "wide").unionByName(many.filter(F.col("length") <= list_size).drop("length", "wide"))
         # two sets that meet in no short list share all they need in long ones, so both have as many
         s = t / (1 + t)
         other = f"((n * {t.numerator}L + {t.denominator - 1}L) div {t.denominator}L)"
         needed = F.least(F.lit(SHARED).cast("long"), F.expr(f"((n + {other}) * {s.numerator}L + {s.denominator - 1}L) div {s.denominator}L"))
-        return short, many.filter((F.col("length") > list_size) & (F.col("wide") >= needed)).drop("length", "wide", "sig")
+        return short, many.filter((F.col("length") > list_size) & (F.col("wide") >= needed)).drop("length", "wide")
 
-    def _candidates(self, lists: DataFrame) -> DataFrame:
-        """(a, b, na, nb) of sets that meet in short lists often enough, with what they can share in long ones."""
+    def _candidates(self, lists: DataFrame, list_size: int) -> DataFrame:
+        """(a, b, na, nb) of sets that meet often enough, in short lists or in these and long ones together."""
         s = self.t / (1 + self.t)
-        need = F.expr(f"((na + nb) * {s.numerator}L + {s.denominator - 1}L) div {s.denominator}L")
+        need = F.least(F.lit(SHARED).cast("long"), F.expr(f"((na + nb) * {s.numerator}L + {s.denominator - 1}L) div {s.denominator}L"))
         sorted_ = lists.repartition("gram").sortWithinPartitions("gram", "pos", "n", "nid")
-        met = sorted_.mapInArrow(_list_pairs(self.t), "a long, b long, na int, nb int, more int").groupBy("a", "b", "na", "nb", "more").agg(F.count(F.lit(1)).alias("met"))
-        return met.filter(F.col("met") + F.col("more") >= F.least(F.lit(SHARED).cast("long"), need)).drop("met", "more")
+        met = stored(sorted_.mapInArrow(_list_pairs(self.t), "a long, b long, na int, nb int").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("met")), "met")
+        self.spent.append(met)
+        few = met.filter(F.col("met") < need)
+        long_ = self.sets.select("nid", F.transform(_maybe_long(list_size), lambda e: e["prefix"]).alias("long")).filter(F.size("long") > 0)
+        named = lambda c: long_.select(F.col("nid").alias(c), F.col("long").alias(f"long_{c}"))
+        more = few.join(named("a"), "a").join(named("b"), "b").filter(F.col("met") + F.size(F.array_intersect("long_a", "long_b")) >= need)
+        names = ["a", "b", "na", "nb"]
+        return met.filter(F.col("met") >= need).select(names).unionByName(more.select(names))
 
     def _groups(self, pairs: DataFrame) -> DataFrame:
         """Tasks of candidate pairs. A pair belongs to the group of its first set's smallest neighbour; a large group is split into blocks, and each pair goes to the task of its two blocks."""
