@@ -386,7 +386,8 @@ def test_literature_records(spark):
 
     items = spark.createDataFrame([("https://doi.org/10.1/X", None, ["one", "two"], "a" * 13_000), (None, "http://u", [], None)], "DOI string, URL string, title array<string>, abstract string")
     a, b = web.crossref_records(items).collect()
-    assert (a.archive_id, a.doi, a.title, len(a.text), a.source_url) == ("10.1/x", "10.1/x", "one", 12_000, "https://doi.org/10.1/x")
+    assert (a.archive_id, a.doi, a.title, len(a.text), a.source_url) == ("10.1/x", "10.1/x", "one", 13_000, "https://doi.org/10.1/x")
+    assert max(len(r.text) for r in web.crossref_records(items, most=12_000).collect()) == 12_000
     assert (b.archive_id, b.doi, b.title, b.text, b.source_url, b.provider) == ("http://u", None, "", "", "http://u", "CROSSREF")
     works = spark.createDataFrame([("w1", None, "t", {"b": [1], "a": [0, 2]}), ("w2", "doi:10.2/Y", None, None)], "id string, doi string, title string, abstract_inverted_index map<string,array<int>>")
     a, b = web.openalex_records(works).collect()
