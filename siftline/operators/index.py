@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from siftline.operators.search import B, K1, idf, lengths, postings
 from siftline.plans.storage import saver
 
-BUCKETS = 64
+BUCKETS = 16
 #: Documents of a block at most, about.
 BLOCK = 1024
 #: Blocks that a search with a limit scores first, and by how much that grows.
