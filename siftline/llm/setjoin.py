@@ -347,18 +347,19 @@ class Links:
         """(entries of lists of at most list_size, entries of longer lists); lists of one entry are left out."""
         t = self.t
         least = -(-t.numerator // (t.denominator - t.numerator)) if t < 1 else 1 << 31
-        wide = F.size(_maybe_long(list_size))
-        entries = self.sets.filter(F.col("n") >= least).select("nid", "n", wide.alias("wide"), F.posexplode(F.arrays_zip("prefix", "often")).alias("pos", "e")).select("nid", "n", "wide", "pos", F.col("e.prefix").alias("gram"), F.col("e.often").alias("often")).filter("often > 1")
+        entries = self.sets.filter(F.col("n") >= least).select("nid", "n", F.posexplode(F.arrays_zip("prefix", "often")).alias("pos", "e")).select("nid", "n", "pos", F.col("e.prefix").alias("gram"), F.col("e.often").alias("often")).filter("often > 1")
         many = entries.filter(F.col("often") > list_size).drop("often")
         sizes = stored(many.groupBy("gram").agg(F.count(F.lit(1)).alias("length")).filter("length > 1").withColumn("m", F.col("length")), "lengths")
         many = stored(hot_join(many, sizes, ["gram"], "m").filter("length > 1"), "lists")
         self.spent = [sizes, many]
-        short = entries.filter(F.col("often") <= list_size).drop("often", "wide").unionByName(many.filter(F.col("length") <= list_size).drop("length", "wide"))
+        short = entries.filter(F.col("often") <= list_size).drop("often").unionByName(many.filter(F.col("length") <= list_size).drop("length"))
         # two sets that meet in no short list share all they need in long ones, so both have as many
         s = t / (1 + t)
         other = f"((n * {t.numerator}L + {t.denominator - 1}L) div {t.denominator}L)"
         needed = F.least(F.lit(SHARED).cast("long"), F.expr(f"((n + {other}) * {s.numerator}L + {s.denominator - 1}L) div {s.denominator}L"))
-        return short, many.filter((F.col("length") > list_size) & (F.col("wide") >= needed)).drop("length", "wide")
+        long_ = many.filter(F.col("length") > list_size).drop("length")
+        enough = long_.groupBy("nid", "n").agg(F.count(F.lit(1)).alias("wide")).filter(F.col("wide") >= needed).select("nid")
+        return short, long_.join(enough, "nid")
 
     def _candidates(self, lists: DataFrame, list_size: int) -> DataFrame:
         """(a, b, na, nb) of sets that meet often enough, in short lists or in these and long ones together."""
@@ -368,7 +369,9 @@ class Links:
         met = stored(sorted_.mapInArrow(_list_pairs(self.t), "a long, b long, na int, nb int").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("met")), "met")
         self.spent.append(met)
         few = met.filter(F.col("met") < need)
-        long_ = self.sets.select("nid", F.transform(_maybe_long(list_size), lambda e: e["prefix"]).alias("long")).filter(F.size("long") > 0)
+        asked = few.select(F.explode(F.array("a", "b")).alias("nid")).select(F.xxhash64("nid").alias("at"))
+        own = maybe_among(self.sets.select("nid", "prefix", "often", F.xxhash64("nid").alias("at")), asked, "at")
+        long_ = own.select("nid", F.transform(_maybe_long(list_size), lambda e: e["prefix"]).alias("long")).filter(F.size("long") > 0)
         named = lambda c: long_.select(F.col("nid").alias(c), F.col("long").alias(f"long_{c}"))
         more = few.join(named("a"), "a").join(named("b"), "b").filter(F.col("met") + F.size(F.array_intersect("long_a", "long_b")) >= need)
         names = ["a", "b", "na", "nb"]
