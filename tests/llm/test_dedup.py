@@ -304,17 +304,3 @@ def test_items_of_any_length(spark):
     got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_tokens=8_000)
     equal = sum(a == b for a, b in zip(long_, changed, strict=True))
     assert {tuple(r) for r in got.collect()} == {(1, 7, equal, 30_000), (2, 7, 20, 20)}
-
-
-def test_texts_that_share_a_phrase_stay_apart(spark):
-    """Ten common words and three of their own link nobody: what is shipped to be compared grows with the texts, not with their pairs."""
-    common = " ".join(f"c{i}" for i in range(10))
-    shipped = []
-    for n in (2_000, 4_000):
-        rows = [(i, f"{common} a{i} b{i} c{i}x") for i in range(n)] + [(n, f"{common} a5 b5 c5x d"), (n + 1, f"{common} a5 b5 c5x d e")]
-        own = setjoin.Links(spark.createDataFrame(rows, "doc_id long, text string"), 3, 0.9, "doc_id", "text")
-        lists, long_ = own._index(setjoin.LIST)
-        shipped.append((own._families(long_).count(), own._candidates(lists, setjoin.LIST).count()))
-        roots = [r["n"] for r in own.roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).collect()]
-        assert roots == [2]  # and the root itself
-    assert shipped[0][0] <= 10 and shipped[1][0] <= 10 and all(c < 100 for _, c in shipped), shipped
