@@ -40,11 +40,24 @@ def workflow_flags(text: Column) -> dict[str, Column]:
     return {"has_schedule": text.rlike(r"(?m)^\s*schedule:"), "has_dispatch": text.rlike(r"(?m)^\s*workflow_dispatch:"), "has_push": text.rlike(r"(?m)^\s*push:"), "can_write": text.rlike(r"(?m)^\s*contents:\s*write")}
 
 
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else; NaN and infinities pass, null doesn't.
+
+    The functions for JSON read the first value and pass over what follows it, so
+    the text is put before another element of an array and before another field of
+    an object: what ends the one early is no part of the other.
+    """
+    strict = {"allowSingleQuotes": "false"}
+    element = F.size(F.from_json(F.concat(F.lit("["), text, F.lit(",0]")), "array<string>", strict)) == 2
+    field = F.from_json(F.concat(F.lit('{"v":'), text, F.lit(',"end":true}')), "v string, end boolean", strict)["end"]
+    return F.coalesce(element & field, F.lit(False))
+
+
 def declared_metadata(text: Column, keys: list[str]) -> Column:
     """The scalar values that a JSON document gives for the keys, as a map; null where it isn't JSON."""
     entries = F.array(*[F.struct(F.lit(k).alias("key"), F.get_json_object(text, f"$.{k}").alias("value")) for k in keys])
     found = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
-    return F.when(F.get_json_object(text, "$").isNotNull(), found)
+    return F.when(is_json(text), found)
 
 
 def scan_summary(rows: DataFrame) -> DataFrame:
@@ -87,7 +100,7 @@ def assimilate(files: DataFrame, prefixes: list[tuple[str, str]], roles: dict[st
     empty, and isn't JSON; no files give an empty index and FAIL_EMPTY_SCAN.
     """
     text = F.coalesce("text", F.lit(""))
-    parses = F.when(F.lower("path").endswith(".json"), F.get_json_object(text, "$").isNotNull())
+    parses = F.when(F.lower("path").endswith(".json"), is_json(text))
     index = files.select("path", classify_domain(F.col("path"), prefixes).alias("domain"), roles_for(F.col("path"), text, roles).alias("roles"), lexicon_score(text, lexicon).alias("score"), text.rlike(negative).alias("negative"), parses.alias("json"))
     line = F.concat_ws("|", "path", "domain", F.array_join("roles", ","), F.col("score").cast("string"))
     signed = index.withColumn("sha", F.sha2(line, 256))

@@ -78,6 +78,20 @@ def test_an_empty_folder_has_no_cards(spark, tmp_path):
     assert headers.header_cards(spark, str(tmp_path)).count() == 0
 
 
+def test_json_is_the_whole_text(spark, tmp_path):
+    import duckdb
+
+    good = ["1", " 1 ", "null", "NaN", '{"a":1,"a":2}', "[[1],[2]]", "[]", "{}", '"a" ']
+    bad = ["1 and more", '"a" b', "{} x", "[1] 2", "true x", "", "1],[2", "1,2],[", '1,"x":2', '1,"end":true}', "1,0]", "{'a':1}", '"a\nb"']
+    rows = [(i, t) for i, t in enumerate([*good, *bad])]
+    assert [r.j for r in spark.createDataFrame(rows, "i int, t string").orderBy("i").select(files.is_json(F.col("t")).alias("j")).collect()] == [True] * len(good) + [False] * len(bad)
+    docs = [(10 + 20 * i, t, "en", "src1", len(t)) for i, t in rows]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert catalog.queries()["assimilate_tree"](spark, str(tmp_path)).first().json_errors == con.execute(catalog.oracle_sql()["assimilate_tree"]).fetchone()[3] == len(bad)
+
+
 def test_a_tree_is_assimilated(spark):
     rows = [("a/x.json", '{"k": 1}'), ("a/y.json", "{broken"), ("b/z.txt", "alpha beta failed"), ("b/none.txt", None)]
     index, queue, receipt = files.assimilate(spark.createDataFrame(rows, "path string, text string"), [("a/", "A")], {"R": "beta"}, {"alpha": 3, "beta": 2}, "failed", 5)
