@@ -43,8 +43,9 @@ SHARED = 3
 LIST = 32
 #: Entries of a block of an index list.
 BLOCK = 8
-#: Slots of the table of counts.
-SLOTS = 1 << 19
+#: Slots of the table of counts, which is summed in parts.
+SLOT_BITS, PART_BITS = 21, 16
+SLOTS, PART = 1 << SLOT_BITS, 1 << PART_BITS
 #: K-grams and sets that a task holds, about (a single larger set is a task with its partner).
 TASK_GRAMS, TASK_SETS = 1 << 20, 256
 #: Bytes of Arrow data after which a batch of sets is handed over.
@@ -78,22 +79,41 @@ def _needed(t: Fraction, a, b):
     return -(-((a + b) * s.numerator) // s.denominator)
 
 
+def _slot(grams: np.ndarray) -> np.ndarray:
+    return (grams >> _U(64 - SLOT_BITS)).astype(np.int64)
+
+
 def _counts(k: int):
+    """(part, width, n) of a partition's table of counts: the compressed counts of each part, in so many bytes each."""
+
     def run(batches):
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for _, _, buf, off in chunks(batch.column("text")):
                 _, _, h, first = words(buf, off)
                 grams, _ = joined(h, first, k)
-                total += np.bincount((grams >> _U(45)).astype(np.int64), minlength=SLOTS)
-        at = np.flatnonzero(total)
-        for lo in range(0, len(at), 1 << 16):
-            own = at[lo : lo + (1 << 16)]
-            yield pa.record_batch({"slot": pa.array(own, pa.int32()), "n": pa.array(total[own])})
+                total += np.bincount(_slot(grams), minlength=SLOTS)
+        for part, own in enumerate(total.reshape(-1, PART)):
+            if own.any():
+                kind = next(d for d in (np.uint8, np.uint16, np.uint32, np.int64) if own.max() <= np.iinfo(d).max)
+                packed = pa.compress(own.astype(kind).tobytes(), codec="zstd", asbytes=True)
+                yield pa.record_batch({"part": pa.array([part], pa.int32()), "width": pa.array([np.dtype(kind).itemsize], pa.int32()), "n": pa.array([packed], pa.binary())})
 
     return run
 
 
+def _summed(batches):
+    """(part, n): the summed counts of each part that a partition has, as 32-bit integers."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, width, packed in zip(*(batch.column(c).to_pylist() for c in ("part", "width", "n")), strict=True):
+            raw = pa.decompress(packed, decompressed_size=width * PART, codec="zstd", asbytes=True)
+            own = total.setdefault(part, np.zeros(PART, np.int64))
+            own += np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[width]).astype(np.int64)
+    for part, own in total.items():
+        yield pa.record_batch({"part": pa.array([part], pa.int32()), "n": pa.array([np.minimum(own, np.iinfo(np.int32).max).astype(np.int32).tobytes()], pa.binary())})
+
+
 def _flushed(rows: Iterator[tuple[int, tuple]], kinds: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
     """Batches of (bytes, values) rows of at most 1024 rows or about BATCH_BYTES."""
     held, size = [], 0
@@ -118,7 +138,7 @@ def _signatures(k: int, t: Fraction, order, kind: pa.DataType):
             for (key, k1, k2), grams in zip(named, gram_sets(batch.column("text"), k), strict=True):
                 n = len(grams)
                 keep = min(n, n - int(_ceil(t, n)) + SHARED)
-                by = rank[(grams >> _U(45)).astype(np.int64)]
+                by = rank[_slot(grams)]
                 if keep < n:
                     part = np.argpartition(by, keep - 1)[:keep] if n else np.zeros(0, np.int64)
                     edge = by[part].max()
@@ -310,13 +330,18 @@ class Links:
         kind = dict(rows.dtypes)["id"]
         schema = f"id {kind}, k1 long, k2 long, fp binary, n int, prefix array<long>, often array<int>"
         arrow = pa.string() if kind == "string" else getattr(pa, {"bigint": "int64", "int": "int32", "smallint": "int16", "tinyint": "int8"}.get(kind, kind))()
-        self.signed = stored(rows.mapInArrow(_signatures(k, self.t, self.order, arrow), schema), "signatures")
-        firsts = self.signed.filter("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.min(F.struct("k1", "k2")).alias("row"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("often").alias("often"))
-        self.sets = stored(firsts.withColumn("nid", F.monotonically_increasing_id()), "sets")
-
-        lists, long_ = self._index(list_size)
+        signatures = stored(rows.mapInArrow(_signatures(k, self.t, self.order, arrow), schema), "signatures")
+        firsts = signatures.filter("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.min(F.struct("k1", "k2")).alias("row"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("often").alias("often"))
+        indexed = stored(firsts.withColumn("nid", F.monotonically_increasing_id()), "sets")
+        # prefixes are kept as long as the index is built, no longer
+        self.signed = stored(signatures.drop("prefix", "often"), "signed")
+        discard(signatures)
+
+        lists, long_ = self._index(indexed, list_size)
         members = stored(self._families(long_), "members")
         pairs = stored(self._candidates(lists), "pairs")
+        self.sets = stored(indexed.drop("prefix", "often"), "sets")
+        discard(indexed, *self.spent)
         tasks = stored(self._groups(pairs).unionByName(self._stars(members)), "tasks")
         grams = self._grams(rows, tasks)
         found = self._joined(tasks, grams, "links")
@@ -328,22 +353,24 @@ class Links:
             more = self._joined(rest, grams, "links")
             self.found = found.unionByName(more)
             self.roots = components(self.found.select("a", "b"))
-        discard(members, pairs, tasks, grams, rest, *self.spent)
+        discard(members, pairs, tasks, grams, rest)
 
     def _order(self, rows: DataFrame):
-        summed = rows.select("text").mapInArrow(_counts(self.k), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-        rank = np.zeros(SLOTS, np.int64)
-        rank[summed["slot"].to_numpy()] = summed["n"].to_numpy()
-        return rows.sparkSession.sparkContext.broadcast(np.minimum(rank, np.iinfo(np.int32).max).astype(np.int32))
-
-    def _index(self, list_size: int) -> tuple[DataFrame, DataFrame]:
+        counted = rows.select("text").mapInArrow(_counts(self.k), "part int, width int, n binary")
+        summed = counted.repartition("part").mapInArrow(_summed, "part int, n binary").toArrow()
+        rank = np.zeros((SLOTS // PART, PART), np.int32)
+        for part, own in zip(summed["part"].to_pylist(), summed["n"], strict=True):
+            rank[part] = np.frombuffer(own.as_buffer(), np.int32)
+        return rows.sparkSession.sparkContext.broadcast(rank.ravel())
+
+    def _index(self, sets: DataFrame, list_size: int) -> tuple[DataFrame, DataFrame]:
         """(entries of lists of at most list_size, entries of longer lists); lists of one entry are left out."""
         t = self.t
         least = -(-t.numerator // (t.denominator - t.numerator)) if t < 1 else 1 << 31
-        entries = self.sets.filter(F.col("n") >= least).select("nid", "n", F.posexplode(F.arrays_zip("prefix", "often")).alias("pos", "e")).select("nid", "n", "pos", F.col("e.prefix").alias("gram"), F.col("e.often").alias("often")).filter("often > 1")
+        entries = sets.filter(F.col("n") >= least).select("nid", "n", F.posexplode(F.arrays_zip("prefix", "often")).alias("pos", "e")).select("nid", "n", "pos", F.col("e.prefix").alias("gram"), F.col("e.often").alias("often")).filter("often > 1")
         many = entries.filter(F.col("often") > list_size).drop("often")
         sizes = stored(many.groupBy("gram").agg(F.count(F.lit(1)).alias("length")).filter("length > 1").withColumn("m", F.col("length")), "lengths")
-        many = stored(hot_join(many, sizes, ["gram"], "m").filter("length > 1"), "lists")
+        many = stored(hot_join(maybe_among(many, sizes, "gram"), sizes, ["gram"], "m").filter("length > 1"), "lists")
         self.spent = [sizes, many]
         short = entries.filter(F.col("often") <= list_size).drop("often").unionByName(many.filter(F.col("length") <= list_size).drop("length"))
         return short, many.filter(F.col("length") > list_size).drop("length")
@@ -403,8 +430,8 @@ class Links:
     def _grams(self, rows: DataFrame, tasks: DataFrame) -> DataFrame:
         """(nid, grams) of every set of a task, from the text of one document that has it."""
         needed = tasks.select("nid").distinct().join(self.sets.select("nid", "fp", F.col("row.k1").alias("k1"), F.col("row.k2").alias("k2")), "nid")
-        texts = maybe_among(rows.drop("id"), needed, "k1").join(needed, ["k1", "k2"]).select("nid", "fp", "text")
-        return stored(texts.mapInArrow(_grams_of(self.k), "nid long, fp binary, own binary, grams binary").filter("fp = own").dropDuplicates(["nid"]).select("nid", "grams"), "grams")
+        texts = maybe_among(rows.drop("id"), needed, "k1").join(needed, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("nid", "fp", "text")
+        return stored(texts.mapInArrow(_grams_of(self.k), "nid long, fp binary, own binary, grams binary").filter("fp = own").select("nid", "grams"), "grams")
 
     def _joined(self, tasks: DataFrame, grams: DataFrame, name: str) -> DataFrame:
         shipped = tasks.join(grams, "nid").repartition("task").sortWithinPartitions("task", "nid")

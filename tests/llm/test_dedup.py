@@ -304,3 +304,22 @@ def test_items_of_any_length(spark):
     got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_tokens=8_000)
     equal = sum(a == b for a, b in zip(long_, changed, strict=True))
     assert {tuple(r) for r in got.collect()} == {(1, 7, equal, 30_000), (2, 7, 20, 20)}
+
+
+def test_prefixes_and_counts_stay_small(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{(7 * i + j) % 900}" for j in range(120)) for i in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    own = setjoin.Links(df, 3, 0.9, "doc_id", "text")
+    assert not {"prefix", "often"} & {*own.signed.columns, *own.sets.columns}
+    rank = own.order.value
+    seen = np.zeros(setjoin.SLOTS, np.int64)
+    for grams, t in zip(setjoin.gram_sets(pa.array(texts), 3), texts, strict=True):
+        assert len(grams) == len(t.split()) - 2
+        np.add.at(seen, setjoin._slot(grams), 1)
+    assert (rank == seen).all()
+    counted = df.select("text").mapInArrow(setjoin._counts(3), "part int, width int, n binary")
+    assert counted.count() <= 4 * setjoin.SLOTS // setjoin.PART
+    assert counted.agg({"width": "max"}).first()[0] == 1
