@@ -212,3 +212,35 @@ def test_similar_pairs_are_brute_force(spark, threshold):
     got = {tuple(r) for r in similar_pairs(spark.createDataFrame(list(sets.items()), "ord int, shingles array<string>"), threshold).collect()}
     s = {k: set(v) for k, v in sets.items()}
     assert got == {(a, b) for a, b in itertools.combinations(s, 2) if s[a] and s[b] and len(s[a] & s[b]) / len(s[a] | s[b]) >= threshold}
+
+
+def test_similarity_takes_bounded_blocks(monkeypatch):
+    import pyarrow as pa
+
+    from siftline.operators import similar as S
+
+    monkeypatch.setattr(S, "WEIGHTS", 12)
+    monkeypatch.setattr(S, "VECTORS", 3)
+    rng = random.Random(5)
+    own = {f"d{i:02}": {rng.randrange(9): rng.random() for _ in range(rng.randrange(1, 15))} for i in range(25)}
+    kinds = {"id": pa.string(), "class": pa.int64(), "tokens": pa.list_(pa.int64()), "weights": pa.list_(pa.float64())}
+    rows = [{"id": k, "class": int(k[1:]) % 4, "tokens": [*v], "weights": [*v.values()]} for k, v in own.items()]
+    batches = [pa.RecordBatch.from_pylist(rows[lo : lo + 10], pa.schema(kinds)) for lo in (0, 10, 20)]
+    blocks = [b.to_pylist()[0] | {"block": i} for i, b in enumerate(S._packed(iter(batches)))]
+    assert [x for b in blocks for x in b["ids"]] == [*own] and all(len(b["ids"]) <= 3 and (len(b["tokens"]) <= 12 or len(b["ids"]) == 1) for b in blocks)
+    both = [x | {f"{c}2": v for c, v in y.items()} for x in blocks for y in blocks if x["block"] <= y["block"]]
+    got = [r for b in S._met(0.5, pa.string())([pa.RecordBatch.from_pylist(both)]) for r in b.to_pylist()]
+    want = {(a, b): s for a, b in itertools.combinations(own, 2) if (s := sum(w * own[b].get(t, 0) for t, w in own[a].items())) >= 0.5}
+    assert {(r["a"], r["b"]): r["similarity"] for r in got} == pytest.approx(want) and len(got) == len(want)
+    assert all((r["class_a"], r["class_b"]) == (int(r["a"][1:]) % 4, int(r["b"][1:]) % 4) for r in got)
+
+
+def test_words_are_counted_in_their_rows_and_pairs_stay_where_they_are(spark, tmp_path):
+    df = spark.createDataFrame([(1, "b a b  b"), (2, None), (3, " "), (4, "c")], "id int, text string")
+    counts = tfidf.term_counts(df, F.filter(F.split("text", " "), lambda w: w != ""))
+    assert sorted(map(tuple, counts.collect())) == [(1, "a", 1, 4), (1, "b", 3, 4), (4, "c", 1, 1)]
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    v = spark.createDataFrame([(i, f"t{i % 3}", 1.0) for i in range(9)], "id int, token string, weight double")
+    pairs = tfidf.cosine_pairs(v, 0.9)
+    assert "ShuffleExchange" not in pairs._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    assert {(r.a, r.b) for r in pairs.collect()} == {(a, b) for a, b in itertools.combinations(range(9), 2) if a % 3 == b % 3}
