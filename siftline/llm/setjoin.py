@@ -49,7 +49,7 @@ SLOTS, PART = 1 << SLOT_BITS, 1 << PART_BITS
 #: K-grams and sets that a task holds, about (a single larger set is a task with its partner).
 TASK_GRAMS, TASK_SETS = 1 << 20, 256
 #: Bytes of Arrow data after which a batch of sets is handed over.
-BATCH_BYTES = 64 << 20
+BATCH_BYTES = 16 << 20
 #: Index entries that are worked on at once.
 ENTRIES = 1 << 18
 _U = np.uint64
@@ -352,7 +352,8 @@ class Links:
         else:
             more = self._joined(rest, grams, "links")
             self.found = found.unionByName(more)
-            self.roots = components(self.found.select("a", "b"))
+            # the stars found so far stand for their links
+            self.roots = components(roots.toDF("a", "b").unionByName(more.select("a", "b")))
         discard(members, pairs, tasks, grams, rest)
 
     def _order(self, rows: DataFrame):
@@ -454,7 +455,8 @@ def components(found: DataFrame) -> DataFrame:
     while True:
         near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = near.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        # a link may come several times here; the round's result is distinct
+        large = near.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("x"), "m").filter("x != m").select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         last, edges = edges, stored(small, "edges")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.operators.features import group_folds, guard_names
 
+if TYPE_CHECKING:  # Spark ML loads pandas, which other queries' drivers do without
+    from pyspark.ml import Pipeline
+
 
 def guard_report(rows: DataFrame, label: str, group: str, folds: int, tier: str | None = None, witnesses: str | None = None, families: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
     """(by, guard, n, failed): what stands against training on rows, for each cohort (by) apart.
@@ -40,6 +41,8 @@ def check_training(rows: DataFrame, label: str, group: str, folds: int, tier: st
 
 def models(seed: int = 7) -> dict:
     """The ensemble. Two forests of different depth stand for the kinds that Spark ML has no class for."""
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+
     own = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
     return {
         "logistic": LogisticRegression(maxIter=50, regParam=0.01, **own),
@@ -51,6 +54,9 @@ def models(seed: int = 7) -> dict:
 
 def pipeline(features: list[str], model) -> Pipeline:
     """Median imputation with missing indicators, scaling, and the model. Rows need the columns of prepared()."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+
     filled = [f"{f}_filled" for f in features]
     return Pipeline(stages=[
         Imputer(strategy="median", inputCols=features, outputCols=filled),
@@ -71,6 +77,8 @@ def train_oof(rows: DataFrame, features: list[str], group: str, folds: int = 3,
     rows: (id, label, group, features, and the columns tier and witnesses where
     given). Classes weigh alike. Guards run first; families are the predictors'.
     """
+    from pyspark.ml.functions import vector_to_array
+
     data = group_folds(prepared(rows, features), group, folds).withColumn("label", F.col("label").cast("double")).persist()
     try:
         check_training(data, "label", group, folds, tier, witnesses, families)
@@ -93,6 +101,8 @@ def train_oof(rows: DataFrame, features: list[str], group: str, folds: int = 3,
 
 def score_population(rows: DataFrame, fitted: list, oof: DataFrame) -> DataFrame:
     """(id, score, score_origin): the mean of fitted pipelines, replaced by out-of-fold scores where a row was trained on. rows are prepared()."""
+    from pyspark.ml.functions import vector_to_array
+
     out = None
     for m in fitted:
         got = m.transform(rows).select("id", vector_to_array("probability")[1].alias("p"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +12,10 @@ from siftline.functions.text import normalize_doi
 from pyspark.sql import types as T
 
 
-@F.pandas_udf(T.StringType())
-def unescape(text: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def unescape(text: pa.Array) -> pa.Array:
     """HTML entities as characters."""
-    return text.map(html.unescape, na_action="ignore")
+    return pa.array([None if x is None else html.unescape(x) for x in text.to_pylist()], pa.string())
 
 
 def page_text(page: Column) -> Column:
