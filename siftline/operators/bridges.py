@@ -2,40 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftline.functions.text import norm_tokens, normalized
-from siftline.operators.phrases import substrings, whole_words
+from siftline.functions.text import norm_tokens
+from siftline.operators.phrases import lexicon, substrings, whole_words
 from siftline.plans.pairs import pairs_within
 
 
-def _words(rows: DataFrame, *more: Column) -> DataFrame:
-    """(id, more, title_words, w): the tokens of title and body, with an empty one between that no phrase crosses."""
+#: So many lines of a lexicon are looked for one by one in a text; more are joined by their beginnings.
+FEW = 64
+
+
+def _met(rows: DataFrame, aliases: DataFrame, whole: bool, gates: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(id, gates, family, alias, title) for every alias in a row's title or body; title: whether it is in the title. whole: on whole words alone.
+
+    gates(title, body), of the normalised texts, goes along. Title and body are searched apart, so no phrase crosses from one to the other.
+    """
+    lines = lexicon(aliases)
     title, body = (norm_tokens(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "body"))
-    return rows.select("id", *more, F.size(title).alias("title_words"), F.concat(title, F.array(F.lit("")), body).alias("w"))
+    texts = rows.select("id", F.array_join(title, " ").alias("_t"), F.array_join(body, " ").alias("_b"))
+    gate = (gates(F.col("_t"), F.col("_b")) if gates else F.lit(None)).alias("gates")
+    if lines.limit(FEW + 1).count() <= FEW:
+        edge = F.lit(" " if whole else "")
+        found = [F.contains(F.concat(edge, F.col(c), edge), F.col("_p")) for c in ("_t", "_b")]
+        phrases = lines.select("family", "alias", F.concat(edge, F.array_join("words", " "), edge).alias("_p"))
+        return texts.select("id", gate, "_t", "_b").crossJoin(F.broadcast(phrases)).filter(found[0] | found[1]).select("id", "gates", "family", "alias", found[0].alias("title"))
+    split = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    words = texts.select("id", gate, F.size(split("_t")).alias("_n"), F.concat(split("_t"), F.array(F.lit("")), split("_b")).alias("w"))
+    return (whole_words if whole else substrings)(words, aliases).select("id", "gates", "family", "alias", (F.col("at") < F.col("_n")).alias("title"))
 
 
 def _scored(met: DataFrame) -> DataFrame:
-    """(id, family, score, hits) from places of aliases: 2 where one is in the title, else 1, plus up to 1 for the number of aliases found."""
-    base = F.when(F.col("at") < F.col("title_words"), 2.0).otherwise(1.0)
-    g = met.groupBy("id", "family").agg(F.max(base).alias("base"), F.countDistinct("alias").alias("hits"))
+    """(id, family, score, hits) of found aliases: 2 where one is in the title, else 1, plus up to 1 for the number of aliases found."""
+    g = met.groupBy("id", "family").agg(F.max(F.when(F.col("title"), 2.0).otherwise(1.0)).alias("base"), F.countDistinct("alias").alias("hits"))
     return g.select("id", "family", (F.col("base") + F.least(F.lit(1.0), 0.15 * F.col("hits"))).alias("score"), "hits")
 
 
 def match_substring(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     """(id, family, score, hits): aliases found in title or body, also inside words. rows: (id, title, body), one for each id."""
-    return _scored(substrings(_words(rows), aliases))
+    return _scored(_met(rows, aliases, False))
 
 
 def match_strict(rows: DataFrame, aliases: DataFrame, context: dict[str, list[str]] | None = None, generic: str | None = None) -> DataFrame:
     """Like match_substring on whole words; a family with context terms needs one of them in the text, and a lone generic family is dropped."""
-    spaced = F.concat(F.lit(" "), normalized(F.coalesce("title", F.lit(""))), F.lit("  "), normalized(F.coalesce("body", F.lit(""))), F.lit(" "))
-    gates = [F.when(reduce(lambda a, c: a | c, [F.contains(spaced, F.lit(f" {x} ")) for x in terms]), F.lit(family)) for family, terms in (context or {}).items()]
-    met = whole_words(_words(rows, F.array_compact(F.array(*gates, F.lit(None).cast("string"))).alias("gates")), aliases)
+
+    def gates(title: Column, body: Column) -> Column:
+        spaced = F.concat(F.lit(" "), title, F.lit("  "), body, F.lit(" "))
+        open_ = [F.when(reduce(lambda a, c: a | c, [F.contains(spaced, F.lit(f" {x} ")) for x in terms]), F.lit(family)) for family, terms in (context or {}).items()]
+        return F.array_compact(F.array(*open_, F.lit(None).cast("string")))
+
+    met = _met(rows, aliases, True, gates)
     out = _scored(met.filter(~F.col("family").isin(list(context or {})) | F.array_contains("gates", F.col("family"))))
     if generic is not None:
         out = out.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("id"))).filter((F.col("family") != generic) | (F.col("_n") > 1)).drop("_n")
@@ -225,7 +246,8 @@ def strict_refine(papers: DataFrame, candidates: DataFrame, aliases: DataFrame,
 
     candidates: (id, families).
     """
-    again = _routed(match_strict(papers.join(candidates.select("id"), "id", "left_semi"), aliases, context, generic))
+    # papers that are no candidates go with the join below; what is matched is small, texts aren't shuffled
+    again = _routed(match_strict(papers, aliases, context, generic))
     both = candidates.select("id", F.col("families").alias("old_families")).join(again, "id", "left")
     return both.select("id", F.col("families").isNotNull().alias("kept"), "families", "route_score", "old_families")
 

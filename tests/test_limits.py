@@ -18,3 +18,32 @@ def test_queries_load_neither_pandas_nor_ml():
 def test_sets_are_handed_over_in_small_batches():
     rows = ((4 << 20, (i,)) for i in range(32))
     assert [b.num_rows for b in setjoin._flushed(rows, {"n": pa.int64()})] == [5, 5, 5, 5, 5, 5, 2]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_counted_where_they_are(spark, sf_dir):
+    from siftline import catalog
+    from siftline.operators.search import postings
+
+    docs = spark.createDataFrame([(1, "b a b", "c a"), (2, None, ""), (3, "", "z z z")], "id long, title string, text string")
+    found = postings(docs, {"title": 3.0, "text": 1.5})
+    assert "Exchange" not in _plan(found) and "Exchange" not in _plan(catalog.queries()["tokens"](spark, sf_dir))
+    assert {tuple(r) for r in found.select("id", "token", "tf", "length").collect()} == {(1, "a", 4.5, 5), (1, "b", 6.0, 5), (1, "c", 1.5, 5), (3, "z", 4.5, 3)}
+    assert {tuple(r) for r in postings(docs, {"title": 3.0, "text": 1.5}, ["c", "z"]).select("id", "token", "tf", "length").collect()} == {(1, "c", 1.5, 5), (3, "z", 4.5, 3)}
+
+
+def test_few_aliases_take_no_row_for_each_word(spark, monkeypatch):
+    from siftline.operators import bridges
+
+    rows = spark.createDataFrame([(1, "the end", "clowns and the Idiot"), (2, "a licen", "se x"), (3, None, "the  license, the and")], "id long, title string, body string")
+    aliases = spark.createDataFrame([("insult", "idiot"), ("insult", "clown"), ("legal", "license"), ("legal", "licen se"), ("place", "the and"), ("none", "!")], "family string, alias string")
+    context = {"insult": ["the"]}
+    few = [bridges.match_substring(rows, aliases), bridges.match_strict(rows, aliases, context, "place")]
+    assert all("posexplode" not in _plan(x) for x in few)
+    got = [sorted(map(tuple, x.collect())) for x in few]
+    monkeypatch.setattr(bridges, "FEW", 0)
+    many = [bridges.match_substring(rows, aliases), bridges.match_strict(rows, aliases, context, "place")]
+    assert got == [sorted(map(tuple, x.collect())) for x in many] and len(got[0]) == 3 and len(got[1]) == 3
