@@ -47,3 +47,26 @@ def test_few_aliases_take_no_row_for_each_word(spark, monkeypatch):
     monkeypatch.setattr(bridges, "FEW", 0)
     many = [bridges.match_substring(rows, aliases), bridges.match_strict(rows, aliases, context, "place")]
     assert got == [sorted(map(tuple, x.collect())) for x in many] and len(got[0]) == 3 and len(got[1]) == 3
+
+
+def test_best_seeds_are_those_of_all_pairs(spark, monkeypatch):
+    import random
+
+    from siftline.operators import pull as P
+
+    rng = random.Random(5)
+    docs = [(i, i, f"p{i % 3}" if i % 7 else None, f"u{i}", f"u{i - 3}" if i % 10 == 3 else None) for i in range(60)]
+    r = spark.createDataFrame(docs, "id long, ord long, provider string, source_url string, parent_url string")
+    vectors = spark.createDataFrame([(i, t, rng.choice([0.25, 0.5])) for i in range(55) for t in rng.sample("abcdefghijklmnop", 3)], "id long, token string, weight double")
+    tags = spark.createDataFrame([(i, t, {"x": 0.0, "y": 0.15, "z": 0.9}[t]) for i in range(0, 60, 2) for t in rng.sample("xyz", 2)], "id long, tag string, weight double")
+    dates = spark.createDataFrame([(i, str(1990 + i % 4)) for i in range(0, 60, 5)], "id long, date string")
+    seeds, cands = r.filter("id % 10 = 0"), r.filter("id % 10 != 0")
+    args = (cands, seeds, vectors, tags, dates, P.explicit_links(cands, seeds))
+    names = ["cid", "sid", "seed_ord", "score", "sem", "tag", "date", "explicit", "structural"]
+    show = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in row) for row in df.select(*names).collect())
+    want = show(P.best_seed(P.score_pairs(*args)))
+    for size in (4096, 7):
+        monkeypatch.setattr(P, "VECTORS", size)
+        pairs = P.best_pairs(*args)
+        assert show(P.best_seed(pairs)) == want and pairs.count() < P.score_pairs(*args).count()
+    assert any(row[7] for row in want)
