@@ -70,3 +70,9 @@ def test_best_seeds_are_those_of_all_pairs(spark, monkeypatch):
         pairs = P.best_pairs(*args)
         assert show(P.best_seed(pairs)) == want and pairs.count() < P.score_pairs(*args).count()
     assert any(row[7] for row in want)
+
+
+def test_openalex_texts_stay_where_they_are(spark, sf_dir):
+    from siftline import catalog
+
+    assert "Exchange" not in _plan(catalog.queries()["normalize_openalex"](spark, sf_dir))
