@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, fresh, hot_join, maybe_among, row_key, slices, sorted_groups, stored, table
+from .shared import discard, fresh, hot_join, maybe_among, returning, row_key, slices, sorted_groups, stored, table
 from .textbytes import chunks, joined, words
 
 SHARED = 3
@@ -50,7 +50,7 @@ SLOTS, PART = 1 << SLOT_BITS, 1 << PART_BITS
 TASK_GRAMS, TASK_SETS = 1 << 20, 256
 #: Bytes of Arrow data after which a batch of sets is handed over.
 BATCH_BYTES = 16 << 20
-#: Index entries that are worked on at once.
+#: Index entries that are worked on at once, and pairs of them after which a batch is handed over.
 ENTRIES = 1 << 18
 _U = np.uint64
 
@@ -99,7 +99,7 @@ def _counts(k: int):
                 packed = pa.compress(own.astype(kind).tobytes(), codec="zstd", asbytes=True)
                 yield pa.record_batch({"part": pa.array([part], pa.int32()), "width": pa.array([np.dtype(kind).itemsize], pa.int32()), "n": pa.array([packed], pa.binary())})
 
-    return run
+    return returning(run)
 
 
 def _summed(batches):
@@ -149,7 +149,7 @@ def _signatures(k: int, t: Fraction, order, kind: pa.DataType):
                 part = part[np.lexsort((grams[part], by[part]))]
                 yield 12 * len(part), (key, k1, k2, fingerprint(grams), n, grams[part].view(np.int64), by[part])
 
-    return lambda batches: _flushed(rows(batches), kinds)
+    return returning(lambda batches: _flushed(rows(batches), kinds))
 
 
 def _can_reach(t: Fraction, s1, s2, p1, p2, low1, low2, lp1, lp2):
@@ -166,6 +166,7 @@ def _list_pairs(t: Fraction):
             cut = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1], [True]]))
             length = np.diff(cut)
             out: list[tuple] = []
+            size_ = 0
             for g in np.unique(length[length > 1]):
                 rows = cut[:-1][length == g][:, None] + np.arange(g)
                 n, s, p = nid[rows], size[rows], pos[rows]
@@ -185,11 +186,19 @@ def _list_pairs(t: Fraction):
                         a, b, na, nb = n[i][ok], n[j][ok], s[i][ok], s[j][ok]
                         swap = a > b
                         out.append((np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb)))
+                        size_ += len(a)
+                        if size_ >= ENTRIES:
+                            yield _pair_batch(out)
+                            out, size_ = [], 0
             if out:
-                a, b, na, nb = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "na": pa.array(na, pa.int32()), "nb": pa.array(nb, pa.int32())})
+                yield _pair_batch(out)
 
-    return run
+    return returning(run)
+
+
+def _pair_batch(out: list[tuple]) -> pa.RecordBatch:
+    kinds = {"a": pa.int64(), "b": pa.int64(), "na": pa.int32(), "nb": pa.int32()}
+    return pa.record_batch({c: pa.array(np.concatenate(x), kinds[c]) for c, x in zip(kinds, zip(*out, strict=True), strict=True)})
 
 
 def _list_runs(batches):
@@ -296,7 +305,7 @@ def _join_tasks(t: Fraction):
                 a, b, derived = zip(*found, strict=True)
                 yield pa.record_batch({"a": pa.array(nid[list(a)], pa.int64()), "b": pa.array(nid[list(b)], pa.int64()), "derived": pa.array(derived)})
 
-    return run
+    return returning(run)
 
 
 def _grams_of(k: int):
@@ -308,7 +317,7 @@ def _grams_of(k: int):
             for (nid, fp), grams in zip(named, gram_sets(batch.column("text"), k), strict=True):
                 yield grams.nbytes, (nid, fp, fingerprint(grams), grams.tobytes())
 
-    return lambda batches: _flushed(rows(batches), kinds)
+    return returning(lambda batches: _flushed(rows(batches), kinds))
 
 
 def _dealt(rows: DataFrame, group: str, bound: tuple[int, int]) -> DataFrame:
@@ -443,15 +452,31 @@ class Links:
         return self.sets.select("nid", "fp", "copies", "id").join(self.roots, self.sets["nid"] == self.roots["node"], "left").select("fp", "copies", "id", F.coalesce("root", "nid").alias("root"))
 
 
+def _contracted(batches):
+    """The links of each batch as stars: (u, v) with v the smallest node that u reaches in the batch."""
+    for batch in batches:
+        parent: dict[int, int] = {}
+        root = lambda x: _find(parent, x)
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a, b = root(parent.setdefault(u, u)), root(parent.setdefault(v, v))
+            parent[max(a, b)] = min(a, b)
+        stars = [(u, v) for u in parent if (v := root(u)) != u]
+        if stars:
+            u, v = zip(*stars, strict=True)
+            yield pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
 def components(found: DataFrame) -> DataFrame:
     """(node, root) for every node of a link; root is the smallest node of its component.
 
-    Alternating large-star and small-star: each round is a min per node (which
-    pre-aggregates) and a join of it back to the links, one row a node; adaptive
-    skew joins split the links of a hub.
+    A batch's links become stars in its task; alternating large-star and small-star
+    joins them up: each round is a min per node (which pre-aggregates) and a join of
+    it back to the links, one row a node; adaptive skew joins split the links of a hub.
     """
-    edges = stored(found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
-    before = (0, None)
+    links = found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
+    edges = stored(links.mapInArrow(_contracted, "u long, v long"), "edges")
+    state = lambda: edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = state()
     while True:
         near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -461,7 +486,7 @@ def components(found: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("x"), "m").filter("x != m").select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         last, edges = edges, stored(small, "edges")
         discard(last)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = state()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now

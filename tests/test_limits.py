@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import subprocess
 import sys
+from fractions import Fraction
 
+import numpy as np
 import pyarrow as pa
 
 from siftline.llm import setjoin
@@ -76,3 +78,22 @@ def test_openalex_texts_stay_where_they_are(spark, sf_dir):
     from siftline import catalog
 
     assert "Exchange" not in _plan(catalog.queries()["normalize_openalex"](spark, sf_dir))
+
+
+def test_links_of_a_batch_take_one_round(spark, monkeypatch):
+    written = []
+    stored = setjoin.stored
+    monkeypatch.setattr(setjoin, "stored", lambda df, name: written.append(name) or stored(df, name))
+    chain = spark.range(300).selectExpr("id AS a", "id + 1 AS b").coalesce(1)
+    got = setjoin.components(chain)
+    assert {(r.node, r.root) for r in got.collect()} == {(i, 0) for i in range(1, 301)}
+    assert len(written) <= 4  # eleven by stars alone
+
+
+def test_pairs_of_lists_come_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(setjoin, "ENTRIES", 1 << 10)
+    n = 32 * 30
+    rows = pa.record_batch({"gram": pa.array(np.repeat(np.arange(30), 32)), "nid": pa.array(np.arange(n)), "n": pa.array(np.full(n, 50, np.int32)), "pos": pa.array(np.zeros(n, np.int32))})
+    got = list(setjoin._list_pairs(Fraction(9, 10))(iter([rows])))
+    assert sum(b.num_rows for b in got) == 30 * 32 * 31 // 2
+    assert max(b.num_rows for b in got) <= (1 << 10) + 64 * 30
