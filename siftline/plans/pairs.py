@@ -26,6 +26,20 @@ def _struct(rows: DataFrame, keys: list[str], name: str) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in rows.columns if c not in keys]).alias(name)
 
 
+#: Bits of a table of hashes.
+BITS = 1 << 24
+
+
+def maybe_among(rows: DataFrame, keys: DataFrame, col: str) -> DataFrame:
+    """The rows whose col may be among those of keys, by a broadcast table of BITS bits: none is lost, a few others stay."""
+    slot = F.pmod(F.xxhash64(col), F.lit(BITS)) + 1
+    table = keys.groupBy(F.bitmap_bucket_number(slot).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bits"))
+    own = rows.withColumn("_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(table), "_bucket")
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return own.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(*[f"`{c}`" for c in rows.columns])
+
+
 def pairs_within(rows: DataFrame, keys: list[str], ident: str, block: int = BLOCK) -> DataFrame:
     """(keys, a, b): structs of all pairs of rows that agree in keys, a's ident below b's. Null keys and idents pair with nothing, equal idents don't either."""
     hot = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n")).filter("_n > 1")

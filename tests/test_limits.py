@@ -97,3 +97,23 @@ def test_pairs_of_lists_come_in_bounded_batches(monkeypatch):
     got = list(setjoin._list_pairs(Fraction(9, 10))(iter([rows])))
     assert sum(b.num_rows for b in got) == 30 * 32 * 31 // 2
     assert max(b.num_rows for b in got) <= (1 << 10) + 64 * 30
+
+
+def test_chunks_are_compared_from_few_postings(spark, monkeypatch):
+    from siftline.operators import sieve as C
+
+    kept = {}
+    written = C.written
+    monkeypatch.setattr(C, "written", lambda df, name: kept.setdefault(name, written(df, name)))
+    rows = [(i, [f"s{i}_{j}" for j in range(100)]) for i in range(40)] + [(i, [f"c{j}" for j in range(100)]) for i in range(40, 60)] + [(60, [f"c{j}" for j in range(99)])]
+    got = {tuple(r) for r in C.similar_pairs(spark.createDataFrame(rows, "ord long, shingles array<string>"), 0.88).collect()}
+    assert got == {(a, b) for a in range(40, 61) for b in range(a + 1, 61)}
+    # beginnings of 42 sets, twenty copies being one; no posting of all shingles is dealt out
+    assert kept["heads"].count() <= 42 * 14 and kept["met"].count() <= 2 * 14
+
+
+def test_origins_read_no_text(spark, sf_dir):
+    from siftline import catalog
+
+    assert "text" not in _plan(catalog.queries()["context_merge"](spark, sf_dir)).split("ReadSchema: ")[1].split("\n")[0]
+    assert "regexp_extract" not in _plan(catalog.queries()["context_merge"](spark, sf_dir))
