@@ -117,3 +117,21 @@ def test_origins_read_no_text(spark, sf_dir):
 
     assert "text" not in _plan(catalog.queries()["context_merge"](spark, sf_dir)).split("ReadSchema: ")[1].split("\n")[0]
     assert "regexp_extract" not in _plan(catalog.queries()["context_merge"](spark, sf_dir))
+
+
+def test_contained_sets_are_compared_where_they_meet(spark, monkeypatch):
+    import random
+
+    from siftline.operators import tfidf as V
+
+    rng = random.Random(3)
+    own = {k: set(rng.sample(range(40), rng.choice([1, 2, 3, 5, 25]))) for k in range(80)}
+    want = {(a, b) for a in own for b in own if a != b and own[a] <= own[b]}
+    rows = lambda sets: spark.createDataFrame([(k, e) for k, x in sets.items() for e in x], "k long, e long")
+    assert {tuple(r) for r in V.contained_sets(rows(own)).collect()} == want
+    few = {k: x for k, x in own.items() if len(x) <= V.SMALL}
+    made = V.contained_sets(rows(few))
+    # elements are compared in the join where the two meet
+    join = next(x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+    assert "array_except" in join and "sig" in join
+    assert {tuple(r) for r in made.collect()} == {(a, b) for a, b in want if a in few and b in few}
