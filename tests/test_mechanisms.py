@@ -267,3 +267,15 @@ def test_a_star_pairs_nobody_up(spark):
     both = pairs.join(degree.toDF("a", "da"), "a").join(degree.toDF("b", "db"), "b")
     out = both.select(F.when(F.struct("da", "a") < F.struct("db", "b"), F.col("a")).otherwise(F.col("b")).alias("u")).groupBy("u").count()
     assert out.agg(F.max("count")).first()[0] == 2
+
+
+def test_pairs_of_documents_are_made_of_numbers_and_spread(spark, sf_dir):
+    from siftline import catalog
+    from siftline.plans.pairs import pairs_within
+
+    plan = catalog.queries()["shared_entity_pairs"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "round(" not in plan
+    rows = spark.range(3000).selectExpr("'k' AS k", "id")
+    out = pairs_within(rows, ["k"], "id", 250)
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert out.count() == 3000 * 2999 // 2
