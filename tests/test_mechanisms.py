@@ -279,3 +279,35 @@ def test_pairs_of_documents_are_made_of_numbers_and_spread(spark, sf_dir):
     out = pairs_within(rows, ["k"], "id", 250)
     assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert out.count() == 3000 * 2999 // 2
+
+
+def test_weights_of_joined_and_of_broadcast_tokens(spark, tmp_path, monkeypatch):
+    from siftline.operators import tfidf
+
+    rng = random.Random(5)
+    texts = [[f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.randrange(0, 40))] for _ in range(60)] + [None, [None, "w1"]]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, words array<string>").repartition(3)
+    n = df.agg(F.count(F.lit(1)).alias("n"))
+    counts = {i: Counter(w for w in t or [] if w is not None) for i, t in rows}
+    often = Counter(w for c in counts.values() for w in c)
+    for frequent, least in ((1 << 20, 1), (40, 1), (40, 2), (1, 3)):  # none, some or all tokens are joined
+        monkeypatch.setattr(tfidf, "FREQUENT", frequent)
+        want = {}
+        for i, c in counts.items():
+            raw = {w: k / len(texts[i]) * (math.log((1 + len(rows)) / (1 + often[w])) + 1) for w, k in c.items() if often[w] >= least}
+            norm = math.sqrt(sum(x * x for x in raw.values()))
+            want |= {(i, w): x / norm for w, x in raw.items()}
+        out = tfidf.vectors(df, F.col("words"), n, least)
+        assert {(r.id, r.token): r.weight for r in tfidf.weights(out).collect()} == pytest.approx(want)
+        long = tfidf.salient(tfidf.weights(out)).select("id", "rank", "token", "weight").collect()
+        assert sorted(map(tuple, tfidf.salient_of(out).select("id", "rank", "token", "weight").collect())) == sorted(map(tuple, long))
+    assert tfidf.vectors(df.limit(0), F.col("words"), n).count() == 0
+
+
+def test_weights_move_each_document_once(spark, sf_dir):
+    from siftline import catalog
+
+    for name in ("tfidf", "tfidf_min_df2", "salient_keywords"):
+        plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "MapInArrow" in plan, name
