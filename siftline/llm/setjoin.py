@@ -351,11 +351,12 @@ class Links:
         pairs = stored(self._candidates(lists), "pairs")
         self.sets = stored(indexed.drop("prefix", "often"), "sets")
         discard(indexed, *self.spent)
-        tasks = stored(self._groups(pairs).unionByName(self._stars(members)), "tasks")
+        groups, stars = self._groups(pairs), self._stars(members)
+        tasks = groups.unionByName(stars)
         grams = self._grams(rows, tasks)
         found = self._joined(tasks, grams, "links")
         roots = components(found.select("a", "b"))
-        rest = stored(self._rest(members, roots), "tasks")
+        rest = self._rest(members, roots)
         if rest.isEmpty():
             self.found, self.roots = found, roots
         else:
@@ -363,7 +364,7 @@ class Links:
             self.found = found.unionByName(more)
             # the stars found so far stand for their links
             self.roots = components(roots.toDF("a", "b").unionByName(more.select("a", "b")))
-        discard(members, pairs, tasks, grams, rest)
+        discard(members, pairs, groups, stars, grams, rest)
 
     def _order(self, rows: DataFrame):
         counted = rows.select("text").mapInArrow(_counts(self.k), "part int, width int, n binary")
@@ -397,13 +398,17 @@ class Links:
         """Tasks of candidate pairs. A pair belongs to the group of its first set's smallest neighbour; a large group is split into blocks, and each pair goes to the task of its two blocks."""
         near = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
         hub = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("hub"))
-        own = pairs.join(hub, pairs["a"] == hub["u"]).drop("u")
+        # steps of which more than one reads the rows are stored, so that no plan holds them several times
+        hubs = own = stored(pairs.join(hub, pairs["a"] == hub["u"]).drop("u"), "hubs")
         sets = own.select("hub", F.col("a").alias("nid"), F.col("na").alias("n")).unionByName(own.select("hub", F.col("b").alias("nid"), F.col("nb").alias("n"))).distinct()
         grams, most = self.bound
         blocks = sets.groupBy("hub").agg(F.ceil(F.greatest(F.sum("n") / grams, F.count(F.lit(1)) / most)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("m"))
         at = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
         own = hot_join(own, blocks, ["hub"], "m").withColumn("task", F.xxhash64("hub", at("a"), at("b"), F.lit("group")))
-        return own.select("task", F.col("a").alias("nid"), F.lit(1).alias("visited")).unionByName(own.select("task", F.col("b").alias("nid"), F.lit(0).alias("visited"))).groupBy("task", "nid").agg(F.max("visited").alias("visited"))
+        ends = F.array(F.struct(F.col("a").alias("nid"), F.lit(1).alias("visited")), F.struct(F.col("b").alias("nid"), F.lit(0).alias("visited")))
+        out = stored(own.select("task", F.inline(ends)).groupBy("task", "nid").agg(F.max("visited").alias("visited")), "tasks")
+        discard(hubs)
+        return out
 
     def _families(self, entries: DataFrame) -> DataFrame:
         """(fam, nid, n, low, high): members of families, with the least and greatest position of the k-grams that they share."""
@@ -415,27 +420,33 @@ class Links:
     def _stars(self, members: DataFrame) -> DataFrame:
         """Tasks that compare a family's sets with its smallest one."""
         others = _dealt(members.filter("nid != fam"), "fam", self.bound)
-        others = others.select(F.xxhash64("fam", "block", F.lit("star")).alias("task"), "fam", "nid")
-        return others.select("task", "nid", F.lit(0).alias("visited")).unionByName(others.select("task", F.col("fam").alias("nid"), F.lit(1).alias("visited")).distinct())
+        others = stored(others.select(F.xxhash64("fam", "block", F.lit("star")).alias("task"), "fam", "nid"), "stars")
+        out = stored(others.select("task", "nid", F.lit(0).alias("visited")).unionByName(others.select("task", F.col("fam").alias("nid"), F.lit(1).alias("visited")).distinct()), "tasks")
+        discard(others)
+        return out
 
     def _rest(self, members: DataFrame, roots: DataFrame) -> DataFrame:
         """Tasks for families of several components: blocks of sets outside the largest component against all blocks that sizes and positions don't rule out."""
         t, s = self.t, self.t / (1 + self.t)
-        named = members.join(roots, members["nid"] == roots["node"], "left").select("fam", "nid", "n", "low", "high", F.coalesce("root", "nid").alias("c"))
+        named = stored(members.join(roots, members["nid"] == roots["node"], "left").select("fam", "nid", "n", "low", "high", F.coalesce("root", "nid").alias("c")), "named")
         counts = named.groupBy("fam", "c").agg(F.count(F.lit(1)).alias("m"))
         main = counts.groupBy("fam").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m")).filter("parts > 1").drop("parts")
-        kinds = hot_join(named, main, ["fam"], "m").filter("main IS NOT NULL").withColumn("kind", F.xxhash64("fam", (F.col("c") != F.col("main")), F.floor(F.log("n") / 0.05), F.floor(F.log2(F.col("low") + 1))))
-        dealt = _dealt(kinds, "kind", self.bound).withColumn("block", F.xxhash64("kind", "block"))
+        kinds = stored(hot_join(named, main, ["fam"], "m").filter("main IS NOT NULL").withColumn("kind", F.xxhash64("fam", (F.col("c") != F.col("main")), F.floor(F.log("n") / 0.05), F.floor(F.log2(F.col("low") + 1)))), "kinds")
+        discard(named)
+        dealt = stored(_dealt(kinds, "kind", self.bound).withColumn("block", F.xxhash64("kind", "block")), "blocks")
+        discard(kinds)
         about = dealt.groupBy("fam", "block").agg(F.max(F.col("c") != F.col("main")).alias("odd"), F.min("n").alias("ln"), F.max("n").alias("hn"), F.min("low").alias("lp"), F.max("high").alias("hp"), F.min("c").alias("lc"), F.max("c").alias("hc"))
         x, y = (about.select("fam", *[F.col(c).alias(f"{c}{i}") for c in about.columns if c != "fam"]) for i in (1, 2))
         need = F.expr(f"((ln1 + ln2) * {s.numerator}L + {s.denominator - 1}L) div {s.denominator}L")
         reach = (F.col("hn1") * t.denominator >= F.col("ln2") * t.numerator) & (F.col("hn2") * t.denominator >= F.col("ln1") * t.numerator) & (F.least("hp1", "hp2") + F.least(F.col("hn1") - F.col("lp1"), F.col("hn2") - F.col("lp2")) >= need)
         apart = ~((F.col("lc1") == F.col("hc1")) & (F.col("lc2") == F.col("hc2")) & (F.col("lc1") == F.col("lc2")))
         pairs = x.filter("odd1").join(y, "fam").filter((~F.col("odd2") | (F.col("block1") <= F.col("block2"))) & reach & apart)
-        task = pairs.select("fam", "block1", "block2", F.xxhash64("fam", "block1", "block2", F.lit("rest")).alias("task"))
+        task = stored(pairs.select("fam", "block1", "block2", F.xxhash64("fam", "block1", "block2", F.lit("rest")).alias("task")), "met")
         first = task.select("fam", F.col("block1").alias("block"), "task", F.lit(1).alias("visited"))
         second = task.filter("block1 != block2").select("fam", F.col("block2").alias("block"), "task", F.lit(0).alias("visited"))
-        return first.unionByName(second).join(dealt.select("fam", "block", "nid"), ["fam", "block"]).select("task", "nid", "visited")
+        out = stored(first.unionByName(second).join(dealt.select("fam", "block", "nid"), ["fam", "block"]).select("task", "nid", "visited"), "tasks")
+        discard(dealt, task)
+        return out
 
     def _grams(self, rows: DataFrame, tasks: DataFrame) -> DataFrame:
         """(nid, grams) of every set of a task, from the text of one document that has it."""

@@ -323,3 +323,20 @@ def test_prefixes_and_counts_stay_small(spark):
     counted = df.select("text").mapInArrow(setjoin._counts(3), "part int, width int, n binary")
     assert counted.count() <= 4 * setjoin.SLOTS // setjoin.PART
     assert counted.agg({"width": "max"}).first()[0] == 1
+
+
+def test_no_plan_holds_a_step_many_times(spark, monkeypatch):
+    rng = random.Random(2)
+    pool = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(pool) for _ in range(30)) for _ in range(6)]
+    texts = [t + f" x{i}" for t in texts for i in range(8)]
+    scans, keep = {}, setjoin.stored
+
+    def counted(df, name, *more):
+        scans[name] = max(scans.get(name, 0), df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return keep(df, name, *more)
+
+    monkeypatch.setattr(setjoin, "stored", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert setjoin.jaccard_components(df, 3, 0.9, list_size=3).count() == len(texts)
+    assert max(scans.values()) <= 16, scans
