@@ -135,3 +135,48 @@ def test_contained_sets_are_compared_where_they_meet(spark, monkeypatch):
     join = next(x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
     assert "array_except" in join and "sig" in join
     assert {tuple(r) for r in made.collect()} == {(a, b) for a, b in want if a in few and b in few}
+
+
+def test_similarity_takes_matrices_not_vectors_one_by_one(spark, monkeypatch):
+    import random
+
+    from siftline.operators import similar as S
+
+    rng = random.Random(11)
+    own = {i: {t: rng.random() for t in {0, 1, *(min(59, int(rng.expovariate(0.1))) for _ in range(rng.randrange(1, 20)))}} for i in range(60)}
+    dot = lambda a, b: sum(w * own[b].get(t, 0) for t, w in own[a].items())
+
+    def block(ids):
+        lists = pa.array([[*own[i]] for i in ids], pa.list_(pa.int64())), pa.array([[*own[i].values()] for i in ids], pa.list_(pa.float64()))
+        return S.Postings(len(ids), *S.postings(*lists))
+
+    for shared, cells in ((1, 1 << 20), (8, 100), (1 << 20, 1)):
+        monkeypatch.setattr(S, "SHARED", shared)
+        monkeypatch.setattr(S, "CELLS", cells)
+        monkeypatch.setattr(S, "PRODUCTS", 7 if shared == 1 else 1 << 16)
+        got = np.concatenate([m for _, _, m in S.products(block(range(40)), block(range(25, 60)))])
+        assert np.allclose(got, [[dot(a, b) for b in range(25, 60)] for a in range(40)])
+    monkeypatch.setattr(S, "VECTORS", 9)
+    rows = spark.createDataFrame([(i, [(str(t), w) for t, w in v.items()]) for i, v in own.items()], "id long, vector array<struct<token: string, weight: double>>")
+    from siftline.operators import tfidf as V
+
+    few = V.cosine_pairs(rows, 0.5, 3)
+    # one task meets some blocks alone, so it gives up to three for each
+    assert few.count() < V.cosine_pairs(rows, 0.5).count()
+    want = {(a, b) for a in own for b in sorted((b for b in own if b > a and dot(a, b) >= 0.5), key=lambda b: (-round(dot(a, b), 9), -b))[:3]}
+    assert {(r.a, r.b) for r in V.semantic_topk(few, 3).collect()} == want
+
+
+def test_rounds_of_a_pull_gather_words_once(spark, monkeypatch):
+    from siftline.operators import pull as P
+    from siftline.plans.storage import saver
+
+    made = []
+    profiles = P.profiles
+    monkeypatch.setattr(P, "profiles", lambda *a: made.append(1) or profiles(*a))
+    docs = spark.createDataFrame([(i, i, "p", f"u{i}", f"u{i - 1}" if i else None) for i in range(5)], "id long, ord long, provider string, source_url string, parent_url string")
+    none = lambda kind: spark.createDataFrame([], kind)
+    args = none("id long, token string, weight double"), none("id long, tag string, weight double"), none("id long, date string")
+    got = P.selective_pull(docs.filter("id = 0"), docs.filter("id > 0"), *args, saver(spark), rounds=3)
+    assert {(r.id, r.round, r.connected_to) for r in got.collect()} == {(1, 1, 0), (2, 2, 1), (3, 3, 2)}
+    assert len(made) == 1
