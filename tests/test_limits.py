@@ -180,3 +180,24 @@ def test_rounds_of_a_pull_gather_words_once(spark, monkeypatch):
     got = P.selective_pull(docs.filter("id = 0"), docs.filter("id > 0"), *args, saver(spark), rounds=3)
     assert {(r.id, r.round, r.connected_to) for r in got.collect()} == {(1, 1, 0), (2, 2, 1), (3, 3, 2)}
     assert len(made) == 1
+
+
+def test_words_of_vectors_are_counted_in_the_task(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from siftline.functions import text as T
+    from siftline.operators import tfidf as V
+    from siftline.queries import mining
+
+    texts = [(1, "The Quantum-Gravity report of 1999 ab Straße Привет 12345 1999"), (2, None), (3, ""), (4, "ЁЖИК ёжик İstanbul a.b.c 1.5e+3 x\ny zz\x85zzz Kelvin Kelvin KELVIN"), (5, "12 345 the")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    for stop, digits in ((T.STOP, False), (T.STOP_V1, True)):
+        count = T.word_counter(stop, digits)
+        for r in df.select("text", T.tokens(F.col("text"), stop, digits).alias("w")).collect():
+            if r.text is not None:
+                own = count(r.text)
+                assert sum(own.values()) == len(r.w) and all(own[w] == r.w.count(w) for w in r.w)
+    n = df.agg(F.count(F.lit(1)).alias("n"))
+    show = lambda v: {(r.id, r.token, round(r.weight, 12)) for r in V.weights(v).collect()}
+    assert show(V.vectors(df, F.col("text"), n, count=T.word_counter())) == show(V.vectors(df, T.tokens(F.col("text")), n))
+    assert "regexp_extract_all" not in _plan(mining.packed_vectors(spark, sf_dir))
