@@ -230,3 +230,19 @@ def test_chunks_without_a_mark_stay_where_they_are(spark):
     kept = C.retain(chunks, [("legal", "license")])
     assert {(r.id, r.chunk_index, r.direct) for r in kept.collect()} == {(3, 3, False), (3, 4, True), (3, 5, False)}
     assert "bitmap" in _plan(kept)
+
+
+def test_seeds_of_many_tasks_make_few_blocks(spark, monkeypatch):
+    from siftline.operators import pull as P
+
+    kept = {}
+    written = P.written
+    monkeypatch.setattr(P, "written", lambda df, name, rows=0: kept.setdefault(name, written(df, name, rows)))
+    docs = spark.range(0, 400, 1, 16).selectExpr("id", "id AS ord", "'p' AS provider", "'u' || id AS source_url", "CAST(NULL AS string) AS parent_url")
+    words = spark.range(400).selectExpr("id", "array(named_struct('token', 't' || id DIV 10 % 20, 'weight', 1.0D)) AS vector")
+    none = lambda kind: spark.createDataFrame([], kind)
+    seeds, cands = docs.filter("id % 10 = 0"), docs.filter("id % 10 != 0")
+    pairs = P.best_pairs(cands, seeds, words, none("id long, tag string, weight double"), none("id long, date string"), none("cid long, sid long"))
+    # of the two seeds with a candidate's word the first
+    assert {(r.cid, r.sid) for r in P.best_seed(pairs).collect()} == {(i, i // 10 % 20 * 10) for i in range(400) if i % 10}
+    assert kept["seeds"].count() == 1 and kept["seeds"].first()["n"] == 40
